@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,64 @@ def put(uri: str, parts) -> None:
         if store.get_file_info(path).type.name == "File":
             store.delete_file(path)
     store.move(own, path)
+
+
+_P = 0x9E3779B97F4A7C15  # odd, and 5 modulo 8: powers of it stay apart in the high bits
+_MASK = 2**64 - 1
+_BLOCK = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+_POWER, _BACK = _powers(_P, _BLOCK), _powers(pow(_P, -1, 2**64), _BLOCK)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text, A-Z lower-cased; none for a null text.
+
+    A word's hash is a polynomial over random values of its bytes, taken for all words at once from
+    running sums; texts are read in blocks that end at white space.
+    """
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    if len(data) <= _BLOCK:
+        return _block_hashes(data)
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + _BLOCK, len(data))
+        if end < len(data):
+            cut = max(data.rfind(x, at, end) for x in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+            if cut > at:
+                end = cut + 1
+            else:  # one word fills the block: take it whole
+                ends = [i for x in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (i := data.find(x, end)) >= 0]
+                end = min(ends, default=len(data))
+        out.append(_block_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _block_hashes(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint64)
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw)
+    power, back = (_POWER, _BACK) if n <= _BLOCK else (_powers(_P, n), _powers(pow(_P, -1, 2**64), n))
+    word = np.empty(n + 2, bool)
+    word[0] = word[-1] = False
+    np.logical_not(_SPACE[raw], out=word[1:-1])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * power[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))

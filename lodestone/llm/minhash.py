@@ -19,32 +19,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, table, word_hashes, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 1_000_000
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while they fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_hashes(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; fewer words than width are one shingle, none are no set."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     k = min(width, len(h))
     n = len(h) - k + 1
     acc = h[:n].copy()
@@ -76,7 +63,6 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def sign(width: int, slots: int, seed: int):
     def run(batches):
         a, b = coefficients(slots, seed)
-        cache = WordHashes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             fps, counts, sigs = [], [], []
@@ -89,7 +75,7 @@ def sign(width: int, slots: int, seed: int):
 
             size = 0
             for x in texts:
-                s = shingle_hashes(x.as_py(), width, cache)
+                s = shingle_hashes(x.as_py(), width)
                 counts.append(len(s))
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 if len(s):
@@ -109,9 +95,8 @@ def sign(width: int, slots: int, seed: int):
 
 def sets_of(width: int):
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
-            found = [shingle_hashes(x.as_py(), width, cache).view(np.int64) for x in batch.column(1)]
+            found = [shingle_hashes(x.as_py(), width).view(np.int64) for x in batch.column(1)]
             ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             values = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "set"])
