@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, mixing, secrets, urls, warc
 
-QUERIES = {f.__name__: f for f in (minhash.op1_minhash_near_dedup,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        minhash.op1_minhash_near_dedup,
+        urls.op2_url_filter,
+        warc.op5_warc,
+        secrets.op6_secret_scan,
+        mixing.op10_source_mixing,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": urls.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op6_secret_scan": secrets.ORACLE,
+    "op10_source_mixing": mixing.ORACLE,
+}
