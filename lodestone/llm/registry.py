@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, secrets, urls, warc
+from . import decontaminate, minhash, mixing, secrets, shards, toxicity, urls, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         minhash.op1_minhash_near_dedup,
         urls.op2_url_filter,
+        decontaminate.op3_decontamination,
+        shards.op4_token_shards,
         warc.op5_warc,
         secrets.op6_secret_scan,
+        toxicity.op7_toxicity,
         mixing.op10_source_mixing,
     )
 }
