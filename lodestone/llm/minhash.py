@@ -1,15 +1,17 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
-A document's set of word shingles gives one signature of `chunks * width` slots of 16 bits. Two
-signatures that differ in at most chunks * (errors + 1) - 1 slots agree, by pigeonhole, in all but
-`errors` slots of some chunk; each chunk is therefore indexed under every choice of the slots left
-out, and equal keys give every pair under that distance. At similarity 0.8 a slot differs with
-probability 0.2, so with the defaults 6 of a million pairs at exactly 0.8 share no key (fewer above).
-
-Sets that are equal are one class before anything else. In a bucket each member is compared with
-the smallest one only; pairs across the components that result are compared in a second round, so
-large groups of copies cost a number of pairs in proportion to their size. Every link is confirmed
-on the full sets.
+A document's set of word shingles gives one signature: chunks * width slots of 16 bits, which make
+the index, and `extra` slots of 8 bits, which only sharpen the distance. Two signatures that differ
+in at most chunks * (errors + 1) - 1 of the index slots agree, by pigeonhole, in all but `errors`
+slots of some chunk; each chunk is therefore indexed under every choice of the slots left out, and
+equal keys give every pair under that distance. At similarity 0.8 a slot differs with probability
+0.2, so with the defaults 6 of a million pairs at exactly 0.8 share no key (fewer above).
+
+Sets that are equal are one class before anything else. In a bucket every member is first compared
+with the smallest one only, which joins large groups of copies by a number of pairs in proportion to
+their size. Then the members outside a bucket's largest component are compared with all members of other
+components, tile by tile inside the tasks, and only pairs whose signatures are near leave them.
+Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -60,35 +62,32 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def sign(width: int, slots: int, seed: int):
+def sign(width: int, index_slots: int, extra: int, seed: int):
     def run(batches):
-        a, b = coefficients(slots, seed)
+        a, b = coefficients(index_slots + extra, seed)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            fps, counts, sigs = [], [], []
-            group: list[np.ndarray] = []
+            fps, counts, sigs, group, size = [], [], [], [], 0
 
-            def flush(group=group, sigs=sigs):
+            def flush(sigs=sigs, group=group):
                 if group:
-                    sigs.extend(row.tobytes() for row in minima(group, a, b))
+                    slots = minima(group, a, b)
+                    sigs.extend(x.tobytes() + y.tobytes() for x, y in zip(slots[:, :index_slots], slots[:, index_slots:].astype(np.uint8), strict=True))
                     group.clear()
 
-            size = 0
-            for x in texts:
+            for x in batch.column(1):
                 s = shingle_hashes(x.as_py(), width)
                 counts.append(len(s))
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 if len(s):
                     group.append(s)
                     size += len(s)
-                else:
-                    flush()
-                    sigs.append(b"")
-                if size > 60_000:
+                if not len(s) or size > 30_000:
                     flush()
                     size = 0
+                if not len(s):
+                    sigs.append(b"")
             flush()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "fp", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "fp", "n", "sig"])
 
     return run
 
@@ -96,7 +95,7 @@ def sign(width: int, slots: int, seed: int):
 def sets_of(width: int):
     def run(batches):
         for batch in batches:
-            found = [shingle_hashes(x.as_py(), width).view(np.int64) for x in batch.column(1)]
+            found = [np.sort(shingle_hashes(x.as_py(), width).view(np.int64)) for x in batch.column(1)]
             ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             values = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "set"])
@@ -104,77 +103,165 @@ def sets_of(width: int):
     return run
 
 
-def chunk_keys(chunks: int, width: int, errors: int):
-    """One hash per chunk and choice of `errors` slots left out."""
-    out = []
-    for c in range(chunks):
-        for left in combinations(range(width), width - errors):
-            parts = [F.substring("sig", 2 * (c * width + s) + 1, 2) for s in left]
-            out.append(F.xxhash64(F.lit(len(out)), F.concat(*parts)))
-    return F.array(*out)
+def choices(chunks: int, width: int, errors: int) -> list[tuple[int, ...]]:
+    """The index slots of each key: every chunk with every choice of `errors` slots left out."""
+    return [tuple(c * width + s for s in left) for c in range(chunks) for left in combinations(range(width), width - errors)]
 
 
-def distance(slots: int):
-    """Slots in which the signatures `sa` and `sb` differ."""
-    differ = [(F.substring("sa", 2 * s + 1, 2) != F.substring("sb", 2 * s + 1, 2)).cast("int") for s in range(slots)]
-    total = differ[0]
-    for x in differ[1:]:
-        total = total + x
-    return total
+def keys(slots: list[tuple[int, ...]]):
+    each = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.concat(*[F.substring("sig", 2 * s + 1, 2) for s in chosen])).alias("key")) for k, chosen in enumerate(slots)]
+    return F.explode(F.array(*each))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 9, width: int = 5, errors: int = 1, max_distance: int = 24, seed: int = 20240229) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 9, width: int = 5, errors: int = 1, extra: int = 166, max_distance: int = 70, seed: int = 20240229) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Links: 100 * |intersection| >= percent * |union| of the shingle sets. component_id is the
-    smallest id reachable by links. Candidates whose signatures differ in more than max_distance of
-    the 45 slots are dropped unverified: at similarity 0.8 that happens to fewer than one pair in a
-    million. Null or empty texts have an empty set, are linked with nothing and kept. Rows with a
-    null id get a null component and are kept. Rows that repeat an id are one node, linked by the
+    smallest id reachable by links. In the second comparison, pairs whose signatures differ in more than
+    max_distance of the 211 slots are dropped unverified: at similarity 0.8 that happens to fewer
+    than two pairs in a million. Null or empty texts have an empty set, are linked with nothing and
+    kept. Rows with a null id get a null component and are kept. Rows that repeat an id are one node, linked by the
     links of any of their texts. Other columns of docs are ignored; an empty table gives no rows.
     """
-    slots = chunks * width
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are linked only if equal
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(sign(shingle, slots, seed), "id long, fp binary, n long, sig binary"), "signatures")
+    signed = written(texts.mapInArrow(sign(shingle, chunks * width, extra, seed), "id long, fp binary, n long, sig binary"), "signatures")
     classes = written(signed.where("n > 0 AND id IS NOT NULL").groupBy("fp", "n", "sig").agg(F.min("id").alias("rep")), "classes")
+    chosen = choices(chunks, width, errors)
 
-    keyed = classes.where(F.col("n") >= least).select("rep", F.explode(chunk_keys(chunks, width, errors)).alias("key"))
+    keyed = classes.where(F.col("n") >= least).select("rep", "n", keys(chosen).alias("x")).select("rep", "n", "x.k", "x.key")
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    stars = written(close(keyed.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), classes, slots, max_distance, percent), "stars")
-    first = components(confirmed(stars, texts, shingle, percent))
-
-    # pairs of a bucket whose members are still in different components, and that were not compared yet
-    placed = keyed.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key")
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")))
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = confirmed(written(close(across, classes, slots, max_distance, percent), "across"), texts, shingle, percent)
-    links = more.union(first.select("node", "component"))
-    final = components(links.toDF("a", "b")).toDF("rep", "component_id")
-
-    labelled = classes.join(final, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    buckets = written(keyed.join(hubs, "key").select("key", "k", "rep", "hub"), "buckets")
+    stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    first = components(confirmed(written(stars, "stars"), texts, shingle, percent))
+
+    near = written(across(buckets, first, classes, chosen, percent, max_distance), "across")
+    more = confirmed_in_tiles(near, texts, shingle, percent).join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
+    final = components(more.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")).toDF("a", "b")).toDF("comp", "component_id")
+    placed = first.toDF("rep", "comp").join(final, "comp", "left").select("rep", F.coalesce("component_id", "comp").alias("component_id"))
+    placed = placed.union(final.join(first, F.col("comp") == F.col("node"), "left_anti").select("comp", "component_id"))
+
+    labelled = classes.join(placed, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labelled, "fp", "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def close(pairs: DataFrame, classes: DataFrame, slots: int, max_distance: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures and set sizes allow a link."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.where(distance(slots) <= max_distance).select("a", "b")
+TILE_OUT, TILE_ALL = 128, 512
+
+
+def across(buckets: DataFrame, first: DataFrame, classes: DataFrame, chosen: list[tuple[int, ...]], percent: int, max_distance: int) -> DataFrame:
+    """Members of one bucket, of different components, whose signatures are within max_distance.
+
+    Of each bucket, the members outside its largest component meet all members in tiles of
+    TILE_OUT by TILE_ALL. Rows (key, o, t, rep, partners): per tile, one for each member that has a
+    partner in it or is one. A pair is listed only in the first bucket that holds both, so once.
+    """
+    placed = written(buckets.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "k", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    tiles = mixed.select("key", "main", F.ceil((F.col("c") - F.col("most")) / TILE_OUT).cast("int").alias("outs"), F.ceil(F.col("c") / TILE_ALL).cast("int").alias("alls"))
+    rows = placed.join(tiles, "key").withColumn("h", F.xxhash64("rep", "k"))
+    columns = ["key", "k", "rep", "comp", "o", "t", "side"]
+    outer = rows.where("comp <> main").withColumn("o", F.expr("CAST(pmod(h, outs) AS INT)")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("alls") - 1))).withColumn("side", F.lit(0)).select(columns)
+    every = rows.withColumn("t", F.expr("CAST(pmod(h, alls) AS INT)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).withColumn("side", F.lit(1)).select(columns)
+    signed = outer.union(every).join(classes.select("rep", "n", "sig"), "rep").select(*columns, "n", "sig")
+    return signed.repartition("key", "o", "t").sortWithinPartitions("key", "o", "t").mapInArrow(near_in_tiles(chosen, percent, max_distance), "key long, o int, t int, rep long, partners array<long>")
+
+
+def near_in_tiles(chosen: list[tuple[int, ...]], percent: int, max_distance: int):
+    index_slots = max(map(max, chosen)) + 1
+
+    def partners_of(k, rep, comp, side, n, sig):
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return {}
+        raw = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
+        wide, slim = raw[:, : 2 * index_slots].copy().view(np.uint16), raw[:, 2 * index_slots :]
+        out: dict[int, list[int]] = {}
+        for i in left:
+            j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            differ = wide[j] != wide[i]
+            near = differ.sum(1) + (slim[j] != slim[i]).sum(1) <= max_distance
+            j, differ = j[near], differ[near]
+            if len(j) and k:
+                shared = np.zeros(len(j), bool)
+                for earlier in chosen[:k]:
+                    shared |= ~differ[:, earlier].any(1)
+                j = j[~shared]
+            if len(j):
+                out[int(rep[i])] = rep[j].tolist()
+                for x in rep[j].tolist():
+                    out.setdefault(x, [])
+        return out
+
+    def run(batches):
+        for at, part in tiles(batches):
+            k, rep, comp, side, n = (part.column(c).to_numpy() for c in ("k", "rep", "comp", "side", "n"))
+            found = partners_of(int(k[0]), rep, comp, side, n, part.column("sig").to_pylist())
+            if found:
+                size = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * size, pa.int64()), pa.array([at[1]] * size, pa.int32()), pa.array([at[2]] * size, pa.int32()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "o", "t", "rep", "partners"])
+
+    return run
+
+
+def tiles(batches):
+    """(key, o, t) and the rows of one tile after another, from batches sorted by tile."""
+    rest = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        at = np.column_stack([part.column(c).to_numpy() for c in ("key", "o", "t")])
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield at[a].tolist(), part.slice(a, b - a)
+        rest = part.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield [rest.column(c)[0].as_py() for c in ("key", "o", "t")], rest
+
+
+def links_in_tiles(percent: int):
+    """Links (a, b) among the partners listed in each tile, by their full sets."""
+
+    def run(batches):
+        for _, part in tiles(batches):
+            a, b = [], []
+            reps, partners = part.column("rep").to_pylist(), part.column("partners").to_pylist()
+            sets = {}
+            for r, x in zip(reps, part.column("set").combine_chunks(), strict=True):
+                sets.setdefault(r, []).append(x.values.to_numpy())
+            for r, others in zip(reps, partners, strict=True):
+                each = [(o, y) for o in others or [] for y in sets.get(o, [])]
+                for x in sets[r] if each else []:
+                    sizes = np.array([len(y) for _, y in each])
+                    joined = np.concatenate([y for _, y in each])
+                    at = np.minimum(np.searchsorted(x, joined), len(x) - 1)
+                    common = np.add.reduceat(x[at] == joined, np.append(0, np.cumsum(sizes)[:-1]))
+                    for i in np.flatnonzero(100 * common >= percent * (sizes + len(x) - common)):
+                        a.append(min(r, each[i][0]))
+                        b.append(max(r, each[i][0]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def confirmed_in_tiles(near: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links among the partners of near (key, o, t, rep, partners), as (a, b)."""
+    sets = sets_for(near.select(F.col("rep").alias("id")), texts, shingle).withColumnRenamed("id", "rep")
+    return near.join(sets, "rep").select("key", "o", "t", "rep", "partners", "set").repartition("key", "o", "t").sortWithinPartitions("key", "o", "t").mapInArrow(links_in_tiles(percent), "a long, b long").distinct()
+
+
+def sets_for(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    return written(texts.join(ids.distinct(), "id", "left_semi").mapInArrow(sets_of(shingle), "id long, set array<long>"), "sets")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links by their full sets, which are made for the documents in pairs only."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(texts.join(wanted, "id", "left_semi").mapInArrow(sets_of(shingle), "id long, set array<long>"), "sets")
+    sets = sets_for(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, shingle)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("c"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-    return common.where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b")
+    return common.where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b").distinct()
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
