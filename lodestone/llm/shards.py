@@ -13,7 +13,10 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 import zlib
+from array import array
+from collections import deque
 from functools import lru_cache
 from itertools import accumulate
 
@@ -30,7 +33,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 DTYPE = np.dtype("<u2")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_600_000  # about 150 bytes each
 #: A space before white space (as the pattern's \s has it) or the end: there a text can't be cut at spaces alone.
 UNEVEN = re.compile("[ ](?=[\t\n\v\f\r \x85\xa0  -     　]|$)")
 
@@ -47,7 +50,7 @@ class Tokenizer:
         self.spaced = _Kept(lambda w: self.plain(" " + w))
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), DTYPE).tobytes()
+        return packed(self.encoding.encode_ordinary(text))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -58,6 +61,10 @@ class Tokenizer:
         return b"".join([self.plain(first), *map(self.spaced.__getitem__, rest)])
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes() if sys.byteorder == "little" else np.array(ids, DTYPE).tobytes()
+
+
 class _Kept(dict):
     def __init__(self, make):
         self.make = make
@@ -123,7 +130,7 @@ def make_sequences(path: str, seq_len: int, offsets: dict[int, int], size: int,
         tokens, permutation, stride = tokenizer(path), Permutation(size, key), seq_len * DTYPE.itemsize
         part = TaskContext.get().partitionId()
         at, end = offsets[part], np.array([END], DTYPE).tobytes()
-        buffer, owners = bytearray(), []  # owners: (document, its tokens' bytes still in the buffer)
+        buffer, owners = bytearray(), deque()  # owners: (document, its tokens' bytes still in the buffer)
 
         def cut(force: bool):
             nonlocal at
@@ -138,7 +145,7 @@ def make_sequences(path: str, seq_len: int, offsets: dict[int, int], size: int,
                         owners[0] = (doc, n - left)
                         left = 0
                     else:
-                        owners.pop(0)
+                        owners.popleft()
                         left -= n
                 rows.append((at, len(piece) // DTYPE.itemsize, ids, piece + end * ((stride - len(piece)) // DTYPE.itemsize)))
                 at += 1
