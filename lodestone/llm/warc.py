@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import table, work_path
 
+NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,8 +46,10 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    kept = rows.select("page_id", "digest", "payload").join(first.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("first")), "left_semi")
-    kept.select("digest", "page_id", "payload").dropDuplicates(["digest", "page_id"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # payloads travel once, keyed by digest and id: copies of one payload are spread
+    known = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
+    kept = rows.select("digest", known("page_id").alias("id"), "payload").join(first.select("digest", known("first").alias("id")), ["digest", "id"], "left_semi")
+    kept.dropDuplicates(["digest", "id"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     records = rows.select("page_id", "url", "digest", "bytes", base32(F.sha1("payload")).alias("sha1")).join(first, "digest")
     repeats = (F.col("bytes") >= least_bytes) & (F.col("page_id") != F.col("first"))
