@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, secrets, shards, toxicity, urls, warc
+from . import decontaminate, embeddings, lm, minhash, mixing, secrets, shards, toxicity, urls, warc
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,8 @@ QUERIES = {
         warc.op5_warc,
         secrets.op6_secret_scan,
         toxicity.op7_toxicity,
+        embeddings.op8_embedding_near_dedup,
+        lm.op9_lm_scoring,
         mixing.op10_source_mixing,
     )
 }
@@ -22,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op2_url_filter": urls.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
+    "op8_embedding_near_dedup": embeddings.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
