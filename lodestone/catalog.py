@@ -1,9 +1,10 @@
-"""All queries of the reference's operators, by name, with their SQL."""
+"""All queries of the document engine, by name, with their SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "hybrid_search"
-
-QUERIES: dict = {}
+from lodestone import registry
+from lodestone.operators import closure, filters, joins  # noqa: F401
 
-ORACLES: dict = {}
+FLAGSHIP = "hybrid_search"
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
