@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestone import registry
-from lodestone.operators import closure, filters, joins  # noqa: F401
+from lodestone.operators import aggregates, closure, filters, joins, retrieval, sets, topk, windows  # noqa: F401
 
 FLAGSHIP = "hybrid_search"
 QUERIES = registry.QUERIES
