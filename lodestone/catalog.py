@@ -5,6 +5,8 @@ from __future__ import annotations
 from lodestone import registry
 from lodestone.functions import text  # noqa: F401
 from lodestone.operators import aggregates, closure, filters, joins, retrieval, sets, tables, topk, windows  # noqa: F401
+from lodestone.sources import sinks  # noqa: F401
+from lodestone.streaming import events, queues  # noqa: F401
 
 FLAGSHIP = "hybrid_search"
 QUERIES = registry.QUERIES
