@@ -75,8 +75,8 @@ _CANON = """CASE WHEN regexp_replace({x}, '[.,]', '', 'g') = {x} THEN {x} WHEN r
  ELSE regexp_replace(regexp_replace({x}, '[.,][0-9]+$', ''), '[.,]', '', 'g') || '.' || regexp_extract({x}, '[.,]([0-9]+)$', 1) END"""
 
 
-@query(", n AS (SELECT DISTINCT unnest(['7', '1.000.000', '1,5', '1.234', '1234.567', '1.234,56', '12.34.56', '0,05'] || regexp_extract_all(p_name || ' ' || CAST(p_retailprice AS VARCHAR), '[0-9]+([.,][0-9]+)*')) AS x FROM part) SELECT x AS raw, " + _CANON.format(x="x") + " AS number FROM n")
-def canonical_numbers(spark, sf):
+@query(", n AS (SELECT DISTINCT unnest(['7', '1.000.000', '1,5', '1.234', '1234.567', '1.234,56', '12.34.56', '0,05'] || regexp_extract_all(p_name || ' ' || CAST(p_retailprice AS VARCHAR), '[0-9]+([.,][0-9]+)*')) AS x FROM part) SELECT x AS raw, " + _CANON.format(x="x") + " AS number FROM n", name="canonical_number")
+def _canonical_number(spark, sf):
     raw = F.regexp_extract_all(F.concat_ws(" ", "p_name", F.col("p_retailprice").cast("string")), F.lit(NUMBER), F.lit(0))
     fixed = F.array(*[F.lit(x) for x in ("7", "1.000.000", "1,5", "1.234", "1234.567", "1.234,56", "12.34.56", "0,05")])
     return table(spark, sf, "part").select(F.explode(F.concat(fixed, raw)).alias("raw")).distinct().select("raw", canonical_number(F.col("raw")).alias("number"))

@@ -101,6 +101,11 @@ def lexical_topk(spark, sf):
     return lexical_scores(table(spark, sf, "documents"), QUESTION, "doc_id").orderBy(F.desc("score"), F.desc("covered"), F.desc("mentions"), "doc_id").limit(20).select("doc_id", "score")
 
 
+@query(f"SELECT item_id, score FROM {_lexical_sql('item_id', 'benchmark', 'the of data and with')} ORDER BY score DESC, covered DESC, mentions DESC, item_id LIMIT 10")
+def rank_lexical(spark, sf):
+    return lexical_scores(table(spark, sf, "benchmark"), "the of data and with", "item_id").orderBy(F.desc("score"), F.desc("covered"), F.desc("mentions"), "item_id").limit(10).select("item_id", "score")
+
+
 @query("SELECT doc_id FROM documents WHERE len(list_intersect(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), ['benchmark', 'secret', 'token'])) > 0 ORDER BY doc_id LIMIT 200")
 def text_match(spark, sf):
     """Documents with at least one of the words."""

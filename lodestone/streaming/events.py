@@ -159,3 +159,17 @@ def resume_checkpoint(spark, sf):
     """Flushes of 32 from a checkpoint on: what was done before it is skipped."""
     events = table(spark, sf, "events").where("event_id >= 100")
     return events.groupBy(F.expr("event_id div 32").alias("flush")).agg(F.count("*").alias("n"))
+
+
+def scheduled(rows: DataFrame, work, interval: str | None, at: str):
+    """A job run by a trigger: at once and then every interval, or once over what there is. A failure ends the query with its error."""
+    writer = rows.writeStream.foreachBatch(work).option("checkpointLocation", at)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+@query("SELECT count(*) AS n FROM events")
+def schedules(spark, sf):
+    """One run of a scheduled job, which stores the number of events it saw."""
+    at = folder(spark, "schedule")
+    scheduled(stream(spark, sf), lambda batch, number: batch.groupBy().agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/v{number}"), None, f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("n long").parquet(f"{at}/v*").groupBy().agg(F.sum("n").alias("n"))
