@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType
 
 from lodestone.registry import query
 from lodestone.views import table, view
@@ -84,7 +85,7 @@ def normalize_citations(spark, sf):
     return spark.createDataFrame(list(ANSWERS), "raw string, n int").select("raw", run("raw", "n").alias("x")).select("raw", "x.*")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def norm_vi_udf(text: pd.Series) -> pd.Series:
     """Lower case without marks, white space as one; đ stays."""
     flat = lambda t: None if t is None else " ".join("".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower().split())
@@ -104,12 +105,12 @@ def num_variants(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_distinct(F.array(n.cast("string"), grouped, F.replace(grouped, F.lit(","), F.lit(".")))).alias("spellings"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_vector(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_vector(b: pd.Series) -> pd.Series:
     """Little-endian 4-byte floats; a length that is no multiple of 4 is an error."""
     return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
