@@ -2,7 +2,8 @@
 
 Each word scores its log-odds of standing in a toxic document against a clean one, smoothed by a
 Dirichlet prior in proportion to its overall frequency, less a fixed cost per word. Words whose
-log-odds are not significant, or that were not seen, score the cost only. All maximal-scoring
+two rates do not differ significantly for the number of words tested, or that were not seen, score the
+cost only. All maximal-scoring
 segments of a text are found in linear time. Under chance the best segment of n words follows an
 extreme-value law with parameters lambda and K; a segment's normalised score is
 lambda * S - ln(K * n), and the significant ones are the passages. A logistic curve
@@ -36,6 +37,7 @@ class Model:
     log_k: float
     slope: float
     offset: float
+    top: float = math.inf  # greater normalised scores count as this in the probability
 
     def word_scores(self, text: str | None) -> np.ndarray:
         h = word_hashes(text)
@@ -48,7 +50,7 @@ class Model:
         return self.lam * segment_score - self.log_k - math.log(max(n, 1))
 
     def probability(self, x: float) -> float:
-        z = self.slope * x + self.offset
+        z = self.slope * min(x, self.top) + self.offset
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
@@ -126,6 +128,15 @@ def chance_lambda(scores: np.ndarray, share: np.ndarray) -> float:
     return hi
 
 
+def significance(tests: int) -> float:
+    """The deviation beyond which one of that many words is expected by chance, on either side."""
+    lo, hi = 0.0, 40.0
+    while hi - lo > 1e-9:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if math.erfc(mid / math.sqrt(2)) * max(tests, 1) > 1 else (lo, mid)
+    return hi
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset by damped Newton steps with a small ridge."""
     mean, sd = (x.mean(), x.std() or 1.0) if len(x) else (0.0, 1.0)
@@ -139,7 +150,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_labelled: int = 20_000, max_words: int = 20_000, prior: float = 50.0, least_z: float = 2.6, cost: float = 0.7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_labelled: int = 20_000, max_words: int = 20_000, prior: float = 50.0, least_docs: int = 3, cost: float = 0.7) -> Model:
     """Fits on at most max_labelled labelled documents outside the held-out fold, taken in hash order.
 
     A document with several labels counts as toxic if any is; null labels and ids don't count. Without
@@ -160,8 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_l
     alpha = share * prior * n_toxic / (n_toxic + n_clean) + 0.01
     beta = share * prior * n_clean / (n_toxic + n_clean) + 0.01
     odds = F.log((F.col("t") + alpha) / (n_toxic + prior)) - F.log((F.col("c") + beta) / (n_clean + prior))
-    scored = counts.select("word", "t", "c", odds.alias("s"), (odds / F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("c") + beta))).alias("z"))
-    picked = scored.where(f"abs(z) >= {least_z} AND t + c >= 5").orderBy(F.abs("z").desc(), "word").limit(max_words).toPandas()
+    # twice the log-likelihood ratio of one rate for both labels against one each
+    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    t, c, both, n = F.col("t"), F.col("c"), F.col("t") + F.col("c"), n_toxic + n_clean
+    ratio = 2 * (part(t, both * n_toxic / n) + part(c, both * n_clean / n) + part(n_toxic - t, (n - both) * n_toxic / n) + part(n_clean - c, (n - both) * n_clean / n))
+    scored = written(counts.where(both >= least_docs).select("word", "t", "c", odds.alias("s"), ratio.alias("g")), "words")
+    least = significance(scored.count()) ** 2
+    picked = scored.where(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(max_words).toPandas()
     order = np.argsort(words := picked["word"].to_numpy(np.int64).view(np.uint64))
     s = np.clip(picked["s"].to_numpy(float)[order], -4, 6) - cost
     model = Model(words[order], s, cost, 1.0, 0.0, 1.0, 0.0)
@@ -174,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_l
     top, n, y = best["best"].to_numpy(float), np.maximum(best["n"].to_numpy(float), 1), best["label"].to_numpy(float)
     null = (model.lam * top - np.log(n))[(y == 0) & (top > 0)]
     model.log_k = float(null.mean() - EULER) if len(null) else 0.0
-    model.slope, model.offset = logistic(model.lam * top - model.log_k - np.log(n), y)
+    x = model.lam * top - model.log_k - np.log(n)
+    model.top = float(np.median(x[y == 1]))  # far beyond it, scores say no more
+    model.slope, model.offset = logistic(np.minimum(x, model.top), y)
     return model
 
 
