@@ -82,10 +82,10 @@ def section_span_len(spark, sf):
     return starts.select("article_id", "section", F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(following, F.lit(6)))).alias("span"))
 
 
-@query("SELECT l_orderkey AS series, coalesce(bool_and(up), true) AS ordered FROM (SELECT l_orderkey, l_partkey > lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS up FROM lineitem) GROUP BY 1")
+@query("SELECT l_orderkey AS series, coalesce(bool_and(up), true) AS ordered FROM (SELECT l_orderkey, l_partkey > lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS up FROM lineitem) GROUP BY 1")
 def ordered_labels(spark, sf):
     """Whether each series' labels rise strictly."""
-    up = F.col("l_partkey") > F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    up = F.col("l_partkey") > F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     return table(spark, sf, "lineitem").select("l_orderkey", up.alias("up")).groupBy(F.col("l_orderkey").alias("series")).agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("ordered"))
 
 
