@@ -58,10 +58,10 @@ def model_distinct(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), first_seen(F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " "), 300).alias("models"))
 
 
-@query("SELECT doc_id, " + _first_sql("string_split(substr(text, 1, 300), ' ')", 8) + " AS keywords FROM documents")
+@query("SELECT doc_id, " + _first_sql("string_split(string_split(text, chr(10))[1], ' ')", 8) + " AS keywords FROM documents")
 def keyword_distinct(spark, sf):
-    """Up to eight distinct words of the head of a text."""
-    return table(spark, sf, "documents").select("doc_id", first_seen(F.split(F.substring("text", 1, 300), " "), 8).alias("keywords"))
+    """Up to eight distinct words of a text's first line."""
+    return table(spark, sf, "documents").select("doc_id", first_seen(F.split(F.get(F.split("text", "\n"), F.lit(0)), " "), 8).alias("keywords"))
 
 
 @query("SELECT doc_id, list_filter(string_split('EN+de+xx+' || lang, '+'), lambda l: NOT list_contains(['en', 'fr'], lower(l))) AS missing FROM documents WHERE lang NOT IN ('de', 'xx')")
