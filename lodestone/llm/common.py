@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,3 +148,48 @@ def _block_hashes(data: bytes) -> np.ndarray:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * power[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+# A blocked Bloom filter of 64-bit hashes: all bits of a hash lie in one block of 512.
+BLOOM_WORDS, BLOOM_PROBES, BLOOM_BITS = 8, 6, 12
+
+
+def bloom_blocks(n: int) -> int:
+    return max(1, -(-n * BLOOM_BITS // (64 * BLOOM_WORDS)))
+
+
+def bloom_positions(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, words and bits of each hash's probes."""
+    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    probe = mix(h)[:, None] >> (np.arange(BLOOM_PROBES, dtype=np.uint64) * np.uint64(9)) & np.uint64(511)
+    return block.astype(np.int64), (probe >> np.uint64(6)).astype(np.int64), np.uint64(1) << (probe & np.uint64(63))
+
+
+def bloom_hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    block, word, bit = bloom_positions(h, len(bits))
+    return (bits[block[:, None], word] & bit != 0).all(axis=1)
+
+
+def bloom_filter(hashes: DataFrame, blocks: int) -> np.ndarray:
+    """The filter of hashes (h long): each task fills blocks of its own, and equal blocks are joined by OR on the cluster.
+
+    Only the filter comes to the driver; the caller bounds blocks.
+    """
+
+    def part(batches):
+        bits = np.zeros((blocks, BLOOM_WORDS), np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                block, word, bit = bloom_positions(batch.column(0).to_numpy().view(np.uint64), blocks)
+                np.bitwise_or.at(bits, (block[:, None], word), bit)
+        used = np.flatnonzero(bits.any(axis=1))
+        for at in range(0, len(used), 10_000):
+            rows = used[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(bits[rows, w].view(np.int64)) for w in range(BLOOM_WORDS)]], names=["block", *[f"w{w}" for w in range(BLOOM_WORDS)]])
+
+    parts = hashes.select("h").mapInArrow(part, "block long, " + ", ".join(f"w{w} long" for w in range(BLOOM_WORDS)))
+    joined = parts.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(BLOOM_WORDS)])
+    out = np.zeros((blocks, BLOOM_WORDS), np.uint64)
+    for row in joined.toLocalIterator():
+        out[row[0]] = np.array(row[1:], np.int64).view(np.uint64)
+    return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, word_hashes, written
+from .common import BLOOM_WORDS, bloom_blocks, bloom_filter, bloom_hits, components, table, word_hashes, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -252,8 +252,31 @@ def confirmed_in_tiles(near: DataFrame, texts: DataFrame, shingle: int, percent:
     return near.join(sets, "rep").select("key", "o", "t", "rep", "partners", "set").repartition("key", "o", "t").sortWithinPartitions("key", "o", "t").mapInArrow(links_in_tiles(percent), "a long, b long").distinct()
 
 
+MAX_FILTER_BYTES = 32 << 20  # beyond it the texts are joined by id
+
+
 def sets_for(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    return written(texts.join(ids.distinct(), "id", "left_semi").mapInArrow(sets_of(shingle), "id long, set array<long>"), "sets")
+    """Shingle sets of the texts with these ids, and of a few others: (id, set).
+
+    A Bloom filter of the ids picks the texts where they are read, so they don't move; the joins that follow
+    are exact. Too many ids for a filter of bounded size are joined instead.
+    """
+    ids = written(ids.distinct(), "ids")
+    blocks = bloom_blocks(ids.count())
+    if blocks * BLOOM_WORDS * 8 > MAX_FILTER_BYTES:
+        return written(texts.join(ids, "id", "left_semi").mapInArrow(sets_of(shingle), "id long, set array<long>"), "sets")
+    bits = texts.sparkSession.sparkContext.broadcast(bloom_filter(ids.select(F.xxhash64("id").alias("h")), blocks))
+
+    def picked(batches):
+        def kept():
+            for batch in batches:
+                rows = np.flatnonzero(bloom_hits(bits.value, batch.column(2).to_numpy().view(np.uint64)))
+                if len(rows):
+                    yield batch.take(pa.array(rows))
+
+        yield from sets_of(shingle)(kept())
+
+    return written(texts.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(picked, "id long, set array<long>"), "sets")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:

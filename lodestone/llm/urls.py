@@ -16,11 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import BLOOM_WORDS, bloom_blocks, bloom_filter, bloom_hits, table
 
-WORDS = 8  # 64-bit words a block
-PROBES = 6
-BITS_PER_KEY = 12
 MAX_FILTER_BYTES = 64 << 20  # a longer list goes without the filter, by the exact join alone
 
 
@@ -44,45 +41,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def positions(keys: list[bytes], blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block, words and bits of each key's probes."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    probe = mix(h)[:, None] >> (np.arange(PROBES, dtype=np.uint64) * np.uint64(9)) & np.uint64(511)
-    return block.astype(np.int64), (probe >> np.uint64(6)).astype(np.int64), np.uint64(1) << (probe & np.uint64(63))
+def hashes(keys: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode()) for k in keys), np.uint64, len(keys))
 
 
-def build(keys: list[bytes], blocks: int) -> np.ndarray:
-    bits = np.zeros((blocks, WORDS), np.uint64)
-    block, word, bit = positions(keys, blocks)
-    np.bitwise_or.at(bits, (block[:, None], word), bit)
-    return bits
-
-
-def may_hold(bits: np.ndarray, keys: list[bytes]) -> np.ndarray:
-    block, word, bit = positions(keys, len(bits))
-    return (bits[block[:, None], word] & bit != 0).all(axis=1)
-
-
-def filter_bits(listed: DataFrame, blocks: int) -> np.ndarray:
-    """The Bloom filter of listed (key): each task fills its own, and equal blocks are joined by OR on the cluster."""
-
-    def part(batches):
-        bits = np.zeros((blocks, WORDS), np.uint64)
-        for batch in batches:
-            if batch.num_rows:
-                bits |= build([k.encode() for k in batch.column(0).to_pylist()], blocks)
-        used = np.flatnonzero(bits.any(axis=1))
-        for at in range(0, len(used), 10_000):
-            rows = used[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(bits[rows, w].view(np.int64)) for w in range(WORDS)]], names=["block", *[f"w{w}" for w in range(WORDS)]])
-
-    parts = listed.select("key").mapInArrow(part, "block long, " + ", ".join(f"w{w} long" for w in range(WORDS)))
-    joined = parts.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
-    out = np.zeros((blocks, WORDS), np.uint64)
-    for row in joined.toLocalIterator():  # at most MAX_FILTER_BYTES
-        out[row[0]] = np.array(row[1:], np.int64).view(np.uint64)
-    return out
+def hashed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column(0).to_pylist()).view(np.int64))], names=["h"])
 
 
 def keys_of(host: str, path: str, lengths: list[int]) -> list[str]:
@@ -105,8 +70,8 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     parsed = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
 
     size = listed.agg(F.count("*").alias("k"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
-    blocks = max(1, -(-size["k"] * BITS_PER_KEY // (64 * WORDS)))
-    bits = spark.sparkContext.broadcast(filter_bits(listed, blocks)) if blocks * WORDS * 8 <= MAX_FILTER_BYTES else None
+    blocks = bloom_blocks(size["k"])
+    bits = spark.sparkContext.broadcast(bloom_filter(listed.select("key").mapInArrow(hashed, "h long"), blocks)) if blocks * BLOOM_WORDS * 8 <= MAX_FILTER_BYTES else None
     lengths = list(size["lengths"])
 
     def possible(batches):
@@ -118,7 +83,7 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
                 keys += found
                 rows += [i] * len(found)
             if keys and bits is not None:
-                hit = np.flatnonzero(may_hold(bits.value, [k.encode() for k in keys]))
+                hit = np.flatnonzero(bloom_hits(bits.value, hashes(keys)))
                 rows, keys = [rows[i] for i in hit], [keys[i] for i in hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=["url", "key"])
 
