@@ -145,11 +145,6 @@ def chunk_laws(spark, sf):
     return pieces.select("id", "n", "i", F.concat(F.when(F.col("title") == "", "").otherwise(F.concat(F.lit("["), "title", F.lit("]\n"))), "chunk").alias("chunk"))
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
-    found = F.filter(F.transform(F.split("text", "(?<=[.?!…])\\s+|\n+"), F.trim), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(found).alias("n", "sentence"))
-
-
 @query("""SELECT doc_id, CAST(max(piece) + 1 AS BIGINT) AS pieces FROM (SELECT doc_id, sum(CASE WHEN d > cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS piece FROM (
  SELECT doc_id, n, coalesce(d, 0) AS d, quantile_cont(coalesce(d, 0), 0.9) OVER (PARTITION BY doc_id) AS cut FROM (
   SELECT doc_id, n, CASE WHEN p IS NULL THEN 0 ELSE 1 - len(list_intersect(w, p)) / greatest(len(list_distinct(list_concat(w, p))), 1) END AS d FROM (
@@ -157,7 +152,7 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)))))) GROUP BY 1""")
 def chunk_semantic(spark, sf):
     """Pieces of each text: cut where a line's words differ most from those of the line before (over the 90th percentile)."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("n", "s")).select("doc_id", "n", F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     order = Window.partitionBy("doc_id").orderBy("n")
     rows = rows.withColumn("p", F.lag("w").over(order))

@@ -42,7 +42,7 @@ def slug_union(spark, sf):
 
 def first_seen(items: Column, most: int) -> Column:
     """Trimmed, without blanks and repeats, in order, at most `most`: the limit is the feature."""
-    return F.slice(F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
 _FIRST = "list_filter(list_transform({s}, lambda x: trim(x)), lambda x: x <> '')"
