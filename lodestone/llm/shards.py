@@ -1,11 +1,13 @@
 """Token ids in training order: fixed-stride binary shards placed by a keyed permutation.
 
 Each input partition is one stream of tokens, every document followed by the end token, cut into
-sequences of seq_len; the last is filled up with end tokens. Sequence i of N goes to slot
-P(i), where P is a Feistel network on the least even number of bits that holds N, applied again
-while its value is N or more (cycle-walking): a permutation of 0..N-1 that needs no table and can
-be inverted. Slots are range-partitioned into shards of shard_rows sequences, so slot s is at byte
-(s % shard_rows) * stride of shard s // shard_rows, and reading may begin or resume anywhere.
+sequences of seq_len; the last is filled up with end tokens. Sequence i of partition p has the number
+p * 2**40 + i, and its position is P(number), where P is a Feistel network on the least even number of bits
+that holds partitions * 2**40, applied again while its value lies outside (cycle-walking): a permutation
+that needs no table, can be inverted, and needs no count of the sequences beforehand, so texts are tokenised
+once. Positions are range-partitioned into shards; a sequence's global slot is its place among all in order of
+position: the slot its shard starts at, and its row there. Row r of a shard is at byte r * stride, and
+reading may begin or resume at any slot.
 """
 
 from __future__ import annotations
@@ -13,9 +15,8 @@ from __future__ import annotations
 import base64
 import json
 import re
-import sys
 import zlib
-from array import array
+from bisect import bisect_right
 from collections import deque
 from functools import lru_cache
 from itertools import accumulate
@@ -33,13 +34,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 DTYPE = np.dtype("<u2")
-CACHED_WORDS = 1_600_000  # about 150 bytes each
-#: A space before white space (as the pattern's \s has it) or the end: there a text can't be cut at spaces alone.
-UNEVEN = re.compile("[ ](?=[\t\n\v\f\r \x85\xa0  -     　]|$)")
+PER_PART = 1 << 40  # sequences a partition may have
+BYTES_PER_TOKEN = 3  # of text, about: it only sets how many shards there are
 
 
 class Tokenizer:
-    """Token bytes of texts. A word and the space before it give the same tokens anywhere, so they are kept."""
+    """Token bytes of texts."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -47,35 +47,9 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.spaced = _Kept(lambda w: self.plain(" " + w))
-
-    def plain(self, text: str) -> bytes:
-        return packed(self.encoding.encode_ordinary(text))
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if UNEVEN.search(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        return b"".join([self.plain(first), *map(self.spaced.__getitem__, rest)])
-
-
-def packed(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes() if sys.byteorder == "little" else np.array(ids, DTYPE).tobytes()
-
-
-class _Kept(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.make(word)
-        if len(word) < 40:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = out
-        return out
+        return self.encoding.encode_to_numpy(text).astype(DTYPE).tobytes() if text else b""
 
 
 @lru_cache(2)
@@ -99,37 +73,26 @@ class Permutation:
 
     def _walk(self, x: np.ndarray, keys) -> np.ndarray:
         x = self._network(np.asarray(x, np.uint64), keys)
-        while (out := np.flatnonzero(x >= self.size)).size:
+        while (out := np.flatnonzero(x >= np.uint64(self.size))).size:
             x[out] = self._network(x[out], keys)
         return x.astype(np.int64)
 
-    def slots(self, index: np.ndarray) -> np.ndarray:
+    def positions(self, index: np.ndarray) -> np.ndarray:
         return self._walk(index, self.keys)
 
-    def indexes(self, slot: np.ndarray) -> np.ndarray:
-        return self._walk(slot, self.keys[::-1])
-
-
-def count_sequences(path: str, seq_len: int):
-    def run(batches):
-        tokens, width, number = tokenizer(path), DTYPE.itemsize, 0
-        for batch in batches:
-            number += sum(len(tokens(t.as_py())) // width + 1 for t in batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-number // seq_len)], pa.int64())], names=["part", "sequences"])
-
-    return run
+    def numbers(self, position: np.ndarray) -> np.ndarray:
+        return self._walk(position, self.keys[::-1])
 
 
-SEQUENCES = "slot long, sequence long, n_tokens int, doc_ids array<long>, tokens binary"
+SEQUENCES = "position long, sequence long, n_tokens int, doc_ids array<long>, tokens binary"
 
 
-def make_sequences(path: str, seq_len: int, offsets: dict[int, int], size: int, key: int):
-    """Sequences of a partition with their slots; the partition must be the one that was counted."""
+def make_sequences(path: str, seq_len: int, parts: int, key: int):
+    """Sequences of a partition with their positions."""
 
     def run(batches):
-        tokens, permutation, stride = tokenizer(path), Permutation(size, key), seq_len * DTYPE.itemsize
-        part = TaskContext.get().partitionId()
-        at, end = offsets[part], np.array([END], DTYPE).tobytes()
+        tokens, permutation, stride = tokenizer(path), Permutation(parts * PER_PART, key), seq_len * DTYPE.itemsize
+        at, end = TaskContext.get().partitionId() * PER_PART, np.array([END], DTYPE).tobytes()
         buffer, owners = bytearray(), deque()  # owners: (document, its tokens' bytes still in the buffer)
 
         def cut(force: bool):
@@ -153,7 +116,7 @@ def make_sequences(path: str, seq_len: int, offsets: dict[int, int], size: int,
             del buffer[:begin]
             if rows:
                 index, n, ids, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(permutation.slots(np.array(index))), pa.array(index, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["slot", "sequence", "n_tokens", "doc_ids", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(permutation.positions(np.array(index))), pa.array(index, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["position", "sequence", "n_tokens", "doc_ids", "tokens"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -163,17 +126,15 @@ def make_sequences(path: str, seq_len: int, offsets: dict[int, int], size: int,
                 if len(buffer) >= 2_000_000:
                     yield from cut(False)
         yield from cut(True)
-        if at != offsets.get(part + 1, size):
-            raise RuntimeError(f"partition {part} changed between the two passes")
 
     return run
 
 
-def write_shards(folder: str, shard_rows: int):
-    """Writes each shard of a partition sorted by slot, and returns where every sequence is."""
+def write_shards(folder: str, width: int):
+    """Writes each shard of a partition sorted by position, and returns where every sequence is."""
 
     def run(batches):
-        shard, parts, rows = None, [], 0
+        shard, parts = None, []
 
         def close():
             if parts:
@@ -181,45 +142,48 @@ def write_shards(folder: str, shard_rows: int):
                 parts.clear()
 
         for batch in batches:
-            slots = batch.column(0).to_numpy()
-            crcs = []
-            for s, data in zip((slots // shard_rows).tolist(), batch.column(4), strict=True):
+            rows, crcs, own = [], [], (batch.column(0).to_numpy() // width).tolist()
+            for s, data in zip(own, batch.column(4), strict=True):
                 if s != shard:
                     close()
                     shard = s
+                rows.append(len(parts))
                 parts.append(raw := data.as_py())
                 crcs.append(zlib.crc32(raw))
-                rows += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crcs, pa.int64())], names=["slot", "sequence", "n_tokens", "doc_ids", "crc"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.int64()), *batch.columns[1:4], pa.array(crcs, pa.int64())], names=["shard", "row", "sequence", "n_tokens", "doc_ids", "crc"])
         close()
 
     return run
 
 
 def materialise(docs: DataFrame, folder: str, seq_len: int = 512, shard_rows: int = 4096, key: int = 2024, tokenizer_path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs as shards under folder (shared storage) and returns the index: slot, sequence, n_tokens, doc_ids, crc.
+    """Writes docs as shards under folder (shared storage) and returns the index: slot, shard, row, sequence, n_tokens, doc_ids, crc.
 
-    docs must be a scan of a stored table, which gives the same partitions each time (they are counted in a
-    first pass and checked in the second). Null and empty texts are one end token; null ids stay null in
-    doc_ids; repeated rows are written as often as they come; an empty table gives a meta.json and no shards.
+    docs must be a scan of a stored table, which gives the same partitions each time, so a repeated task
+    makes the same sequences. Shards have about shard_rows sequences. Null and empty texts are one end
+    token; null ids stay null in doc_ids; repeated rows are written as often as they come; an empty
+    table gives a meta.json and no shards.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counts = dict(rows.mapInArrow(count_sequences(tokenizer_path, seq_len), "part int, sequences long").collect())  # one number per partition
-    parts = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
-    starts = list(accumulate(parts, initial=0))
-    size = starts[-1]
-    put(f"{folder}/meta.json", [json.dumps({"sequences": size, "seq_len": seq_len, "shard_rows": shard_rows, "dtype": DTYPE.str, "end": END, "key": key}).encode()])
-    sequences = rows.mapInArrow(make_sequences(tokenizer_path, seq_len, dict(enumerate(starts)), size, key), SEQUENCES)
-    shards = max(1, -(-size // shard_rows))
-    placed = sequences.repartitionById(shards, F.floor(F.col("slot") / shard_rows).cast("int")).sortWithinPartitions("slot")
-    return written(placed.mapInArrow(write_shards(folder, shard_rows), "slot long, sequence long, n_tokens int, doc_ids array<long>, crc long"), "index")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    parts = max(1, rows.rdd.getNumPartitions())
+    shards = max(1, size // (BYTES_PER_TOKEN * seq_len * shard_rows))
+    width = -(-parts * PER_PART // shards)
+    sequences = rows.mapInArrow(make_sequences(tokenizer_path, seq_len, parts, key), SEQUENCES)
+    placed = sequences.repartitionById(shards, F.expr(f"CAST(position div {width} AS INT)")).sortWithinPartitions("position")
+    stored_rows = written(placed.mapInArrow(write_shards(folder, width), "shard long, row long, sequence long, n_tokens int, doc_ids array<long>, crc long"), "index")
+    counts = dict(stored_rows.groupBy("shard").count().collect())  # one number a shard
+    starts = list(accumulate((counts.get(i, 0) for i in range(shards)), initial=0))
+    put(f"{folder}/meta.json", [json.dumps({"sequences": starts[-1], "seq_len": seq_len, "starts": starts[:-1], "dtype": DTYPE.str, "end": END, "key": key, "partitions": parts}).encode()])
+    first = spark.createDataFrame(list(enumerate(starts[:-1])), "shard long, start long")
+    return stored_rows.join(first, "shard").select((F.col("start") + F.col("row")).alias("slot"), "shard", "row", "sequence", "n_tokens", "doc_ids", "crc")
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
-    """Every slot as it stands in the shards: slot, shard, byte_offset, tokens (binary)."""
+    """Every row as it stands in the shards: shard, row, byte_offset, tokens (binary)."""
     meta = json.loads(read_bytes(f"{folder}/meta.json"))
-    stride, per = meta["seq_len"] * np.dtype(meta["dtype"]).itemsize, meta["shard_rows"]
+    stride = meta["seq_len"] * np.dtype(meta["dtype"]).itemsize
 
     def run(batches):
         for batch in batches:
@@ -227,10 +191,10 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
                 raw, shard = data.as_py(), int(re.search(r"shard-(\d+)", name)[1])
                 n = len(raw) // stride
                 at = np.arange(n, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shard * per + at), pa.array(np.full(n, shard, np.int32)), pa.array(at * stride), pa.array([raw[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())], names=["slot", "shard", "byte_offset", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int64)), pa.array(at), pa.array(at * stride), pa.array([raw[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())], names=["shard", "row", "byte_offset", "tokens"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", "content")
-    return files.mapInArrow(run, "slot long, shard int, byte_offset long, tokens binary")
+    return files.mapInArrow(run, "shard long, row long, byte_offset long, tokens binary")
 
 
 def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
@@ -243,20 +207,21 @@ def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:
     """Sequences first..first+count-1 as rows of token ids, read by offset: how a loader starts or resumes."""
     meta = json.loads(read_bytes(f"{folder}/meta.json"))
-    dtype, per = np.dtype(meta["dtype"]), meta["shard_rows"]
+    dtype, starts = np.dtype(meta["dtype"]), [*meta["starts"], meta["sequences"]]
     stride, stop, out = meta["seq_len"] * dtype.itemsize, min(first + count, meta["sequences"]), []
     while first < stop:
-        n = min(per - first % per, stop - first)
-        out.append(read_bytes(f"{folder}/shard-{first // per:08d}.bin", first % per * stride, n * stride))
+        shard = bisect_right(starts, first) - 1
+        n = min(starts[shard + 1], stop) - first
+        out.append(read_bytes(f"{folder}/shard-{shard:08d}.bin", (first - starts[shard]) * stride, n * stride))
         first += n
     return np.frombuffer(b"".join(out), dtype).reshape(-1, meta["seq_len"])
 
 
 def verified(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """The index with the place of each sequence, after its bytes were read back and compared by checksum."""
-    back = stored(spark, folder).select("slot", "shard", "byte_offset", F.crc32("tokens").alias("read"))
+    back = stored(spark, folder).select("shard", "row", "byte_offset", F.crc32("tokens").alias("read"))
     wrong = F.raise_error(F.concat(F.lit("stored sequence differs at slot "), F.col("slot").cast("string")))
-    joined = index.join(back, "slot", "left")
+    joined = index.join(back, ["shard", "row"], "left")
     return joined.select("slot", "shard", "byte_offset", "sequence", "n_tokens", "doc_ids", F.when(F.col("read") == F.col("crc"), F.col("crc")).otherwise(wrong).alias("crc"))
 
 

@@ -85,9 +85,9 @@ def plain_tokens(texts):
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 1000, 4097])
 def test_permutation(size):
     p = shards.Permutation(size, 9)
-    slots = p.slots(np.arange(size))
+    slots = p.positions(np.arange(size))
     assert sorted(slots.tolist()) == list(range(size))
-    assert p.indexes(slots).tolist() == list(range(size))
+    assert p.numbers(slots).tolist() == list(range(size))
     assert size < 100 or (slots != np.arange(size)).mean() > 0.9
 
 
@@ -99,8 +99,11 @@ def test_shards_round_trip(spark):
     index = shards.materialise(docs, folder, seq_len=64, shard_rows=50)
     placed = sorted(shards.verified(spark, folder, index).collect())
     n = len(placed)
-    assert [r.slot for r in placed] == list(range(n)) and sorted(r.sequence for r in placed) == list(range(n))
-    assert all(r.shard == r.slot // 50 and r.byte_offset == r.slot % 50 * 128 for r in placed)
+    assert [r.slot for r in placed] == list(range(n)) and len({r.sequence for r in placed}) == n
+    assert [r.shard for r in placed] == sorted(r.shard for r in placed) and len({(r.shard, r.byte_offset) for r in placed}) == n
+    assert len({r.shard for r in placed}) > 5
+    order = shards.Permutation(docs.rdd.getNumPartitions() * shards.PER_PART, 2024).positions(np.array([r.sequence for r in placed]))
+    assert (np.diff(order) > 0).all()  # slots follow the keyed positions
     data = shards.read_slots(folder, 0, n)
     assert data.shape == (n, 64) and (shards.read_slots(folder, 45, 20) == data[45:65]).all()
     by_sequence = data[[r.slot for r in sorted(placed, key=lambda r: r.sequence)]]
@@ -200,7 +203,7 @@ def test_trie_probabilities_sum_to_one(spark):
             starts = np.zeros(len(unknown), bool)
             starts[0] = True
             mass += 10 ** model.log_probs(unknown, starts)[0][-1]
-            assert abs(mass - 1) < 0.02  # 8-bit codes
+            assert abs(mass - 1) < 0.01, (order, context, mass)  # 8-bit codes
         assert meta["words"] == 4
 
 
