@@ -50,10 +50,10 @@ def hashed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column(0).to_pylist()).view(np.int64))], names=["h"])
 
 
-def keys_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Host suffixes (at label ends) with path prefixes of the listed lengths."""
+def keys_of(host: str, path: str, lengths: list[int], levels: list[int]) -> list[str]:
+    """Host suffixes of the listed numbers of labels with path prefixes of the listed lengths."""
     labels = host.split(".")
-    suffixes = [".".join(labels[i:]) for i in range(len(labels))]
+    suffixes = [".".join(labels[-n:]) for n in levels if n <= len(labels)]
     return [s + p for p in [path[:n] for n in lengths if n <= len(path)] for s in suffixes]
 
 
@@ -62,24 +62,26 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     rules (host, path, verdict). Longest rule wins; of equally long ones block before allow, then
     the last in text order. Every row of urls is kept, also repeated ones and null urls, which have
-    an empty host and path. Rules with a null or empty host fit nothing; an empty list judges all by default.
+    an empty host and path. Rules with a null or empty host, or a path that doesn't begin with /, fit nothing; an empty list judges all by default.
     """
     spark = urls.sparkSession
-    listed = rules.where("host IS NOT NULL AND host <> ''").select(F.concat("host", F.coalesce("path", F.lit(""))).alias("key"), F.char_length(F.coalesce("path", F.lit(""))).alias("n"), "verdict")
-    listed = listed.groupBy("key", "n").agg(F.max("verdict").alias("verdict"))
+    path = F.coalesce("path", F.lit(""))
+    usable = rules.where((F.col("host") != "") & ~F.contains("host", F.lit("/")) & ((path == "") | F.startswith(path, F.lit("/"))))
+    listed = usable.select(F.concat("host", path).alias("key"), F.char_length(path).alias("n"), F.size(F.split("host", "\\.")).alias("labels"), "verdict")
+    listed = listed.groupBy("key", "n", "labels").agg(F.max("verdict").alias("verdict"))
     parsed = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
 
-    size = listed.agg(F.count("*").alias("k"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
+    size = listed.agg(F.count("*").alias("k"), F.array_sort(F.collect_set("n")).alias("lengths"), F.array_sort(F.collect_set("labels")).alias("levels")).first()
     blocks = bloom_blocks(size["k"])
     bits = spark.sparkContext.broadcast(bloom_filter(listed.select("key").mapInArrow(hashed, "h long"), blocks)) if blocks * BLOOM_WORDS * 8 <= MAX_FILTER_BYTES else None
-    lengths = list(size["lengths"])
+    lengths, levels = list(size["lengths"]), list(size["levels"])
 
     def possible(batches):
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows, keys = [], []
             for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-                found = keys_of(h, p, lengths)
+                found = keys_of(h, p, lengths, levels)
                 keys += found
                 rows += [i] * len(found)
             if keys and bits is not None:

@@ -28,7 +28,7 @@ def test_urls(spark):
         (1, "http://A.example.COM/en/7?x"), (2, "http://example.com/en/8"), (3, "com/en/"), (4, None), (5, "x://net/de/8"), (6, "ftp://a.example.net/de/8#f"),
         (7, "http://notcom/en/"), (8, "http://org"), (9, "http://x.org/es/"), (9, "http://x.org/es/"), (10, ""), (11, "http:///en/"), (12, "h://u\nv.com/en/ü"),
     ]
-    rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in urls.RULES] + [(None, "/x", "block"), ("", "/", "block")], "host string, path string, verdict string")
+    rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in urls.RULES] + [(None, "/x", "block"), ("", "/", "block"), ("or", "g/es/", "block"), ("a/b.com", None, "block")], "host string, path string, verdict string")
     df = urls.judged(spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'k' AS key"), rules)
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in df.collect()}
     assert df.count() == 13
