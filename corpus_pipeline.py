@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose toxicity is 0.5 or more."""
+    """Without the documents whose toxicity is 0.5 or more; null and empty texts stay, and without toxic labels all do."""
     docs = docs.select(COLUMNS)
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.where("toxic_score < 0.5").select(COLUMNS)
@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Rows without an id stay; of rows that repeat an id and a text one stays.
+    Rows without an id stay, as do null and empty texts; of rows that repeat an id one stays.
     """
     judged = minhash.near_duplicates(docs)
     kept = written(judged.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item within its edit budget."""
+    """Without the documents that hold a benchmark item within its edit budget; null and empty texts stay."""
     return decontaminate.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 

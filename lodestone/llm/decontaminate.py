@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table
 
 WORDS = re.compile(r"\w+")
 
@@ -124,6 +124,15 @@ class Searcher:
         return best
 
 
+def item_blocks(spark: SparkSession, items: DataFrame, least_item: int, block_chars: int):
+    """Broadcast lists of items (id, normal form), of about block_chars characters each; at least one list."""
+    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
+    blocks = max(1, -(-(sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars))
+    for b in range(blocks):
+        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about block_chars
+        yield spark.sparkContext.broadcast([(r[0], t) for r in rows if len(t := normalised(r[1])) >= least_item])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_piece: int = 14, least_item: int = 28, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, distance, match_start, match_end: each item found in each document, at its best place.
 
@@ -133,15 +142,9 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_pie
     empty texts hold nothing; rows that repeat are reported as often as they come. Items are read in blocks
     of about block_chars characters, one pass over the documents each.
     """
-    spark = docs.sparkSession
-    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
-    blocks = max(1, -(-(sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars))
     named = docs.select("doc_id", "text")
     out = None
-    for b in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about block_chars
-        block = [(r[0], t) for r in rows if len(t := normalised(r[1])) >= least_item]
-        shared = spark.sparkContext.broadcast(block)
+    for shared in item_blocks(docs.sparkSession, items, least_item, block_chars):
 
         def run(batches, shared=shared):
             search = Searcher(shared.value, rate, least_piece)
@@ -155,10 +158,21 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_pie
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item."""
-    bad = written(contaminated(docs, items, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_piece: int = 14, least_item: int = 28, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item as contaminated has it; null ids are judged like others.
+
+    Rows are dropped where they are read: nothing is joined or shuffled.
+    """
+    at = docs.columns.index("text")
+    for shared in item_blocks(docs.sparkSession, items, least_item, block_chars):
+
+        def kept(batches, shared=shared):
+            search = Searcher(shared.value, rate, least_piece)
+            for batch in batches:
+                yield batch.filter(pa.array([not search.matches(normalised(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
