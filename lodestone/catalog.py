@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestone import registry
 from lodestone.functions import language, text  # noqa: F401
-from lodestone.operators import aggregates, chunking, closure, filters, joins, retrieval, sets, tables, topk, windows  # noqa: F401
+from lodestone.operators import aggregates, chunking, closure, filters, joins, retrieval, sets, tables, tools, topk, windows  # noqa: F401
 from lodestone.sources import readers, sinks  # noqa: F401
 from lodestone.streaming import events, queues  # noqa: F401
 
