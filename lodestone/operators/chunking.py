@@ -232,7 +232,7 @@ def index_article(spark, sf):
     pieces = pages.select("article_id", "seq", F.posexplode(chunker(1000, 200, PLAIN)("text")).alias("i", "chunk"))
     numbered = pieces.withColumn("chunk_index", F.row_number().over(Window.partitionBy("article_id").orderBy("seq", "i")) - 1)
     found = lambda p: F.nullif(F.regexp_extract("chunk", p, 1), F.lit(""))
-    section = carried(found("([A-Z][a-z]+ [0-9]+)"), found(".*([A-Z][a-z]+ [0-9]+)"), "article_id", "chunk_index")
+    section = carried(found("([A-Z][a-z]+ [0-9]+)"), found("(?s)^.*([A-Z][a-z]+ [0-9]+)"), "article_id", "chunk_index")
     rows = numbered.withColumn("section", F.coalesce(section, F.lit("")))
     return rows.select("article_id", "chunk_index", "seq", "section", point_id(F.col("article_id"), F.col("chunk_index")).alias("point_id"), F.concat(F.when(F.col("section") == "", "").otherwise(F.concat(F.lit("["), "section", F.lit("]\n"))), "chunk").alias("text"))
 

@@ -66,15 +66,16 @@ def terms_of(text: str) -> list[str]:
 
 
 def lexical_scores(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """docs with covered (distinct terms), mentions (each term up to 3) and score (share of the terms' letters)."""
+    """Of docs with any term: covered (distinct terms), mentions (each term up to 3) and score (share of the terms' letters).
+
+    Only the terms' own words leave a text, and one aggregation counts them.
+    """
     terms = terms_of(text)
-    weights = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(t)).alias("w")) for t in terms])
-    total = sum(map(len, terms))
-    found = tokens(F.col("text"))
-    per = F.transform(weights, lambda x: F.struct(x["w"].alias("w"), F.size(F.filter("_tokens", lambda y: y == x["t"])).alias("c")))
-    add = lambda f: F.aggregate("_per", F.lit(0), lambda s, x: s + f(x))
-    rows = docs.withColumn("_tokens", found).where(F.arrays_overlap("_tokens", F.array(*[F.lit(t) for t in terms]))).withColumn("_per", per)
-    return rows.select(id_col, add(lambda x: (x["c"] > 0).cast("int")).alias("covered"), add(lambda x: F.least(x["c"], F.lit(3))).alias("mentions"), F.round(add(lambda x: F.when(x["c"] > 0, x["w"]).otherwise(0)) / F.lit(float(total)), 9).alias("score"))
+    found = docs.select(id_col, F.explode(F.filter(tokens(F.col("text")), lambda x: x.isin(*terms))).alias("_t"))
+    counts = found.groupBy(id_col).agg(*[F.count_if(F.col("_t") == t).alias(f"_c{i}") for i, t in enumerate(terms)])
+    add = lambda f: sum((f(F.col(f"_c{i}"), len(t)) for i, t in enumerate(terms)), F.lit(0))
+    score = add(lambda c, w: F.when(c > 0, w).otherwise(0)) / F.lit(float(sum(map(len, terms))))
+    return counts.select(id_col, add(lambda c, w: (c > 0).cast("int")).cast("int").alias("covered"), add(lambda c, w: F.least(c, F.lit(3))).cast("int").alias("mentions"), F.round(score, 9).alias("score"))
 
 
 QUESTION = "model data the benchmark of secret and information"

@@ -35,7 +35,7 @@ def carried(first: Column, last: Column, of: str, order: str) -> Column:
  last_value(nullif(regexp_extract(text, '.*([A-Z][a-z]+ [0-9]+)', 1), '') IGNORE NULLS) OVER (PARTITION BY article_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS section FROM chunks""")
 def section_carry(spark, sf):
     found = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return chunks(spark, sf).select("article_id", "chunk_index", carried(found("([A-Z][a-z]+ [0-9]+)"), found(".*([A-Z][a-z]+ [0-9]+)"), "article_id", "chunk_index").alias("section"))
+    return chunks(spark, sf).select("article_id", "chunk_index", carried(found("([A-Z][a-z]+ [0-9]+)"), found("(?s)^.*([A-Z][a-z]+ [0-9]+)"), "article_id", "chunk_index").alias("section"))
 
 
 def ranges(missing: DataFrame, key: str, number: str, most: int = 200) -> DataFrame:
