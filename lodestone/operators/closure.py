@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.registry import query
+from lodestone.sources.sinks import folder
 from lodestone.views import edges, table, view
 
 
 def build_closure(tree: DataFrame, max_depth: int = 32) -> DataFrame:
-    """The closure of edges (id, parent_id). Rows are joined level by level; a tree deeper than max_depth is an error."""
-    self_rows = tree.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"))
+    """The closure of edges (id, parent_id), stored in the shared folder.
+
+    Rows are joined level by level and each level is written, so none is made twice; a tree deeper than
+    max_depth is an error.
+    """
+    spark, path = tree.sparkSession, folder(tree.sparkSession, "closure")
     up = tree.where("parent_id IS NOT NULL").select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
-    level = up.select(F.col("parent").alias("ancestor_id"), F.col("child").alias("descendant_id"), F.lit(1).alias("depth"))
-    out = self_rows
-    for depth in range(1, max_depth + 1):
-        if level.isEmpty():
-            return out
-        out = out.union(level)
-        level = level.join(up, level["ancestor_id"] == up["child"]).select(F.col("parent").alias("ancestor_id"), "descendant_id", F.lit(depth + 1).alias("depth"))
+    level = tree.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"))
+    for depth in range(max_depth + 1):
+        level.write.parquet(at := f"{path}/{depth}")
+        last = spark.read.schema(level.schema).parquet(at)
+        if last.isEmpty():
+            return spark.read.schema(level.schema).parquet(*[f"{path}/{d}" for d in range(depth + 1)])
+        level = last.join(up, last["ancestor_id"] == up["child"]).select(F.col("parent").alias("ancestor_id"), "descendant_id", F.lit(depth + 1).alias("depth"))
     raise ValueError(f"the tree is deeper than {max_depth}, or has a cycle")
 
 
