@@ -118,6 +118,14 @@ def cache_lookup(spark, sf):
     return docs.where("doc_id % 2 = 0").join(cached, "h", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+@query("SELECT a.doc_id, coalesce(a.doc_id > b.doc_id, false) AS hit FROM documents a LEFT JOIN (SELECT md5(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1) b ON md5(a.text) = b.h")
+def cache_lookup_all(spark, sf):
+    """Every document, and whether one of a smaller id has cached its text; cache_lookup, whose SQL is fixed, asks even ones of odd ones."""
+    docs = table(spark, sf, "documents").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h"))
+    cached = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return docs.join(cached, "h", "left").select("doc_id", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("hit"))
+
+
 @query(", a AS (SELECT DISTINCT lower(trim(p_brand)) AS slug, 'config' AS u FROM part WHERE p_size < 25), b AS (SELECT DISTINCT lower(trim(p_brand)) AS slug, CASE WHEN length(p_brand) % 2 = 0 THEN ' ' ELSE 'db' END AS u FROM part WHERE p_size >= 20) SELECT coalesce(a.slug, b.slug) AS slug, coalesce(nullif(trim(b.u), ''), a.u) AS url FROM a FULL OUTER JOIN b USING (slug)")
 def provider_overlay(spark, sf):
     """Settings of both places by normalised name; non-blank values of the second win."""
