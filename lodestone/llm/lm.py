@@ -8,9 +8,10 @@ a monotone pointer that its high bits give, and an n-gram is looked up by the su
 key relative to its context. Beside each n-gram stand 8-bit codes of its
 smoothed log-probability and of its back-off weight.
 
-Probabilities are interpolated absolute discounting over add-one unigrams. n-grams seen once are
-left out above order one (their mass goes to the back-off), and so nothing above them is counted.
-All counts are taken over the whole training fold by Spark aggregations.
+Probabilities are interpolated absolute discounting over add-one unigrams. Above order one, n-grams
+seen less often than `least` are left out (their mass goes to the back-off), and so nothing above
+them is counted; the registered query leaves out none. All counts are taken over the whole training
+fold by Spark aggregations.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import crc_fold, filesystem, put, table, word_hashes, work_path
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 DISCOUNT = 0.75
+ORDER = 3  # of the registered query, which counts n-grams seen once too
 U = np.uint64
 
 
@@ -443,6 +445,6 @@ def score(docs: DataFrame, folder: str, meta: dict) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    meta = train(docs.where(F.coalesce(crc_fold("doc_id", 7) != 2, F.lit(True))), folder := work_path(spark, "trie"))
+    meta = train(docs.where(F.coalesce(crc_fold("doc_id", 7) != 2, F.lit(True))), folder := work_path(spark, "trie"), order=ORDER, least=1)
     held_out = F.coalesce(crc_fold("doc_id", 7) == 2, F.lit(False))
     return score(docs, folder, meta).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(meta["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
