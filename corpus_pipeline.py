@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item within its edit budget; null and empty texts stay."""
-    return decontaminate.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), **decontaminate.WHOLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 An item with a budget of k edits is split into k + 1 pieces; a document that holds the item within
 k edits holds one piece unchanged (pigeonhole). All pieces are searched at once with an
-Aho-Corasick automaton; around each hit, Myers' bit-parallel distance decides. Items travel to
-the tasks in blocks of bounded size; documents are never shuffled.
+Aho-Corasick automaton; around each hit, Myers' bit-parallel distance decides, first on the few pieces
+next to it: of p pieces of a match that may have p - 1 edits, one half has less edits than pieces too.
+Items travel to the tasks in blocks of bounded size; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 WORDS = re.compile(r"\w+")
+#: Letters of scripts that put no space between words, or none before endings.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Every item that has a letter, and the whole rate as its budget.
+WHOLE = {"least_piece": 1, "least_item": 1}
 
 
 def normalised(text: str | None) -> str:
@@ -25,7 +30,7 @@ def normalised(text: str | None) -> str:
 
 
 def budget(length: int, rate: float, least_piece: int) -> int:
-    return max(0, min(int(length * rate), length // least_piece - 1))
+    return max(0, min(int(length * rate + 1e-9), length // least_piece - 1))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -34,6 +39,25 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def halves(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces, the groups (first, last + 1) it lies in when n pieces are halved again and again, smallest first; without itself and the whole."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    todo = [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+            if b - a < n:
+                for i in range(a, b):
+                    out[i].insert(0, (a, b))
+    return out
+
+
+def within_words(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] begins or ends inside a word of a script with spaces."""
+    return any(0 < at < len(text) and text[at - 1] != " " and text[at] != " " and not (UNSPACED.match(text[at - 1]) or UNSPACED.match(text[at])) for at in (start, end))
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -76,10 +100,16 @@ class Searcher:
 
         self.items = [(i, t, budget(len(t), rate, least_piece)) for i, t in items]
         self.peq = [masks(t) for _, t, _ in self.items]
-        found: dict[str, list[tuple[int, int]]] = {}
+        found: dict[str, list[tuple[int, int, list]]] = {}
         for n, (_, t, k) in enumerate(self.items):
-            for at, piece in pieces(t, k):
-                found.setdefault(piece, []).append((n, at))
+            parts = pieces(t, k)
+            cuts, groups = [*(at for at, _ in parts), len(t)], {}
+            for (at, piece), around in zip(parts, halves(k + 1), strict=True):
+                for a, b in around:
+                    if (a, b) not in groups:
+                        part = t[cuts[a] : cuts[b]]
+                        groups[a, b] = cuts[a], cuts[b], b - a - 1, part, masks(part)
+                found.setdefault(piece, []).append((n, at, [groups[x] for x in around]))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -93,8 +123,15 @@ class Searcher:
             return []
         begins: dict[int, set[int]] = {}
         for last, (length, where) in self.automaton.iter(text):
-            for n, at in where:
-                begins.setdefault(n, set()).add(last + 1 - length - at)
+            for n, at, around in where:
+                s = last + 1 - length - at
+                if s in begins.get(n, ()):
+                    continue
+                for a, b, k, part, peq in around:
+                    if best_end(part, peq, text[max(0, s + a - k) : max(0, s + b + k)])[0] > k:
+                        break
+                else:
+                    begins.setdefault(n, set()).add(s)
         out = []
         for n, starts in sorted(begins.items()):
             item, pattern, k = self.items[n]
@@ -104,7 +141,7 @@ class Searcher:
 
     def best(self, n: int, pattern: str, k: int, text: str, starts: list[int]) -> tuple[int, int, int] | None:
         for s in starts:
-            if s >= 0 and text.startswith(pattern, s):
+            if s >= 0 and text.startswith(pattern, s) and (k or not within_words(text, s, s + len(pattern))):
                 return 0, s, s + len(pattern)
         if not k:
             return None
@@ -126,10 +163,10 @@ class Searcher:
 
 def item_blocks(spark: SparkSession, items: DataFrame, least_item: int, block_chars: int):
     """Broadcast lists of items (id, normal form), of about block_chars characters each; at least one list."""
-    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
+    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text IS NOT NULL").dropDuplicates()
     blocks = max(1, -(-(sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars))
     for b in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about block_chars
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about block_chars
         yield spark.sparkContext.broadcast([(r[0], t) for r in rows if len(t := normalised(r[1])) >= least_item])
 
 
@@ -137,10 +174,11 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_pie
     """doc_id, item_id, distance, match_start, match_end: each item found in each document, at its best place.
 
     Texts and items are compared in normal form (normalised), to which the offsets refer. The budget of an
-    item of n characters is min(rate * n, n // least_piece - 1) edits. Null or empty items and items
-    under least_item characters in normal form are too short to identify and are not searched; null and
-    empty texts hold nothing; rows that repeat are reported as often as they come. Items are read in blocks
-    of about block_chars characters, one pass over the documents each.
+    item of n characters is min(rate * n, n // least_piece - 1) edits: the whole rate if least_piece is 1, as
+    in the query and the pipeline (WHOLE); items without an edit are found as whole words only. Null or
+    empty items and items under least_item characters in normal form are not searched; an item without an id
+    is reported with a null one; null and empty texts hold nothing; rows that repeat are reported as often as
+    they come. Items are read in blocks of about block_chars characters, one pass over the documents each.
     """
     named = docs.select("doc_id", "text")
     out = None
@@ -176,4 +214,4 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_piece: int
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), **WHOLE)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from lodestone.llm import lm
+from lodestone.llm import decontaminate, lm
 
 
 def discounted(train, order):
@@ -41,3 +41,48 @@ def test_language_model_counts_every_trigram(spark, tmp_path):
     for i, t in texts.items():
         assert abs(found[i] - three([*t.split(), None])) < 0.6, i  # 31 tokens in 8-bit codes
     assert sum(found.values()) > sum(two([*t.split(), None]) for t in texts.values()) + 60
+
+
+def best_edits(pattern, text):
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for i, p in enumerate(pattern, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (p != c)))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+def test_decontamination_uses_the_whole_rate(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    phrase = lambda n: " ".join(word() for _ in range(n))
+    items = {1: (phrase(18) + " zzzzzzz " + phrase(4))[:80].strip(), 2: phrase(25), 3: phrase(60), 4: "中国的首都是哪一座城市请写出它的名字", 5: phrase(4), 6: "kitten"}
+    eight = phrase(6) + " absolute " + phrase(8)
+    items[7] = eight + " " + "q" * max(0, 79 - len(eight))
+    docs = {1: "so " + items[7].replace("absolute", "zzzzzzzz") + " end", 2: "问：" + items[4] + "？答", 3: f"a {items[5]} b", 4: "one kitten here", 5: "kittens", 6: "x " + "n" * 60 + " y", 7: phrase(80)}
+    for d in range(10, 70):
+        part = list(items[r.randrange(1, 6)])
+        for _ in range(r.randint(0, len(part) // 8)):
+            part[r.randrange(len(part))] = r.choice(["", "z", "ab"])
+        docs[d] = f"{phrase(r.randint(0, 20))} {''.join(part)} {phrase(r.randint(0, 20))}"
+    null = "n" * 60
+    want = set()
+    for d, t in docs.items():
+        text = decontaminate.normalised(t)
+        for i, x in [*items.items(), (None, null)]:
+            x = decontaminate.normalised(x)
+            e, most = (best_edits(x, text), len(x) * 10 // 100) if i != 6 else (0 if f" {x} " in f" {text} " else 9, 0)
+            if e <= most:
+                want.add((d, i, e))
+    assert {(1, 7), (2, 4), (3, 5), (4, 6), (6, None)} <= {w[:2] for w in want} and len(want) > 40
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*items.items(), (None, null), (8, ""), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = decontaminate.op3_decontamination(spark, str(tmp_path)).collect()
+    assert {(x.doc_id, x.item_id, x.distance) for x in found} == want and len(found) == len(want)
+
+    import corpus_pipeline
+
+    left = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars"), str(tmp_path))
+    assert {x.doc_id for x in left.collect()} == docs.keys() - {w[0] for w in want}
