@@ -1,6 +1,9 @@
 """Queries that cover every row of their tables, by plain Python."""
 
 import re
+import shutil
+
+from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.views import table
@@ -21,3 +24,22 @@ def test_every_document_is_tokenised_and_looked_up(spark):
     assert hits == {i: t is not None and first[t] < i for i, t in docs.items()}
     same = {(i % 2, first[t] % 2) for i, t in docs.items() if hits[i]}
     assert same & {(0, 0), (1, 1)}  # copies of one parity are hits
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    events = table(spark, SF, "events")
+    events.coalesce(1).write.parquet(f"{tmp_path}/once")
+    (one := tmp_path / "file").mkdir()
+    shutil.copy(next((tmp_path / "once").glob("part-*.parquet")), one / "events.parquet")
+    many = tmp_path / "folder"
+    ages = events.withColumn("ts", F.col("ts") - F.expr("make_dt_interval(20 * (event_id % 70))"))
+    ages.repartitionByRange(70, F.col("event_id") % 70).write.parquet(f"{many}/events.parquet")
+    assert len(list((many / "events.parquet").glob("part-*.parquet"))) > 64
+    for at in (one, many):
+        stored = {r.event_id: r for r in table(spark, str(at), "events").collect()}
+        get = lambda name, at=at: catalog.QUERIES[name](spark, str(at)).collect()
+        assert get("schedules")[0].n == len(stored)
+        assert sorted(r.event_id for r in get("dedup_stream")) == sorted(stored)
+        assert sum(r.n for r in get("heartbeat_state")) == sum(r.n for r in get("tumbling_window")) == len(stored)
+        assert sum(r.n for r in get("sliding_window")) == 2 * len(stored)
+        assert all({r.event_id for r in get(x)} == stored.keys() for x in ("rate_fixed_window", "token_bucket"))
