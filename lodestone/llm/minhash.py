@@ -7,11 +7,12 @@ slots of some chunk; each chunk is therefore indexed under every choice of the s
 equal keys give every pair under that distance. At similarity 0.8 a slot differs with probability
 0.2, so with the defaults 6 of a million pairs at exactly 0.8 share no key (fewer above).
 
-Sets that are equal are one class before anything else. In a bucket every member is first compared
-with the smallest one only, which joins large groups of copies by a number of pairs in proportion to
-their size. Then the members outside a bucket's largest component are compared with all members of other
-components, tile by tile inside the tasks, and only pairs whose signatures are near leave them.
-Every link is confirmed on the full sets.
+Sets that are equal are one class before anything else, and buckets with equal members one bucket. In
+a bucket every member is first compared with the smallest one, then all outside the largest component
+with one more member of it: pairs in proportion to the bucket's size, which join large groups
+of near copies. Then the members outside a bucket's largest component are compared with all members of other
+components: signatures are packed into blocks, each pair of blocks is one row, and only pairs whose
+signatures are near leave the tasks. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -113,13 +114,12 @@ def keys(slots: list[tuple[int, ...]]):
     return F.explode(F.array(*each))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 9, width: int = 5, errors: int = 1, extra: int = 166, max_distance: int = 70, seed: int = 20240229) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 9, width: int = 5, errors: int = 1, extra: int = 166, max_distance: int = 90, seed: int = 20240229) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Links: 100 * |intersection| >= percent * |union| of the shingle sets. component_id is the
-    smallest id reachable by links. In the second comparison, pairs whose signatures differ in more than
-    max_distance of the 211 slots are dropped unverified: at similarity 0.8 that happens to fewer
-    than two pairs in a million. Null or empty texts have an empty set, are linked with nothing and
+    smallest id reachable by links. max_distance is the signature distance of the last comparison, of 211
+    slots: at similarity 0.8 or more, fewer than one pair in 10**12 differs in more than 90. Null or empty texts have an empty set, are linked with nothing and
     kept. Rows with a null id get a null component and are kept. Rows that repeat an id are one node, linked by the
     links of any of their texts. Other columns of docs are ignored; an empty table gives no rows.
     """
@@ -129,17 +129,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(signed.where("n > 0 AND id IS NOT NULL").groupBy("fp", "n", "sig").agg(F.min("id").alias("rep")), "classes")
     chosen = choices(chunks, width, errors)
 
-    keyed = classes.where(F.col("n") >= least).select("rep", "n", keys(chosen).alias("x")).select("rep", "n", "x.k", "x.key")
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
+    keyed = classes.where(F.col("n") >= least).select("rep", keys(chosen).alias("x")).select("rep", "x.k", "x.key")
+    held = keyed.groupBy("key").agg(F.min("k").alias("k"), F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("hub <> top")
+    hubs = held.groupBy("hub", "top", "c", "x").agg(F.min(F.struct("k", "key")).alias("least")).select("least.key", "hub")
     buckets = written(keyed.join(hubs, "key").select("key", "k", "rep", "hub"), "buckets")
     stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = components(confirmed(written(stars, "stars"), texts, shingle, percent))
+    comps = components(confirmed(written(stars, "stars"), texts, shingle, percent))
 
-    near = written(across(buckets, first, classes, chosen, percent, max_distance), "across")
-    more = confirmed_in_tiles(near, texts, shingle, percent).join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
-    final = components(more.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")).toDF("a", "b")).toDF("comp", "component_id")
-    placed = first.toDF("rep", "comp").join(final, "comp", "left").select("rep", F.coalesce("component_id", "comp").alias("component_id"))
-    placed = placed.union(final.join(first, F.col("comp") == F.col("node"), "left_anti").select("comp", "component_id"))
+    second = written(further(buckets, comps), "second")
+    comps = joined(comps, confirmed(second, texts, shingle, percent))
+    near = written(across(buckets, comps, classes, chosen, percent, max_distance), "across")
+    placed = joined(comps, confirmed_in_tiles(near, texts, shingle, percent)).toDF("rep", "component_id")
 
     labelled = classes.join(placed, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labelled, "fp", "left")
@@ -150,39 +150,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 TILE_OUT, TILE_ALL = 128, 512
 
 
-def across(buckets: DataFrame, first: DataFrame, classes: DataFrame, chosen: list[tuple[int, ...]], percent: int, max_distance: int) -> DataFrame:
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component), joined by links (a, b) between nodes."""
+    ends = links.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+    final = components(ends.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")).toDF("a", "b")).toDF("component", "low")
+    old = comps.join(final, "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+    new = final.join(comps.select("node"), F.col("component") == F.col("node"), "left_anti")
+    return written(old.union(new.select("component", "low")), "components")
+
+
+def in_components(buckets: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members but for their bucket's smallest, which all are compared with: (key, k, rep, comp); and per bucket of several components
+    its members c, those of the largest component, its name main and one member of it, centre."""
+    rest = buckets.where("rep <> hub").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = written(rest.select("key", "k", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("rep", F.xxhash64("rep")).alias("centre"))
+    largest = F.max_by(F.struct("comp", "centre"), F.struct("c", "comp"))
+    mixed = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.max("c").alias("most"), largest.alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    return placed, mixed.select("key", "c", "most", F.col("main.comp").alias("main"), "main.centre")
+
+
+def further(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members outside their bucket's largest component with one member of it."""
+    placed, mixed = in_components(buckets, comps)
+    pairs = placed.join(mixed, "key").where("comp <> main")
+    return pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+
+
+def across(buckets: DataFrame, comps: DataFrame, classes: DataFrame, chosen: list[tuple[int, ...]], percent: int, max_distance: int) -> DataFrame:
     """Members of one bucket, of different components, whose signatures are within max_distance.
 
-    Of each bucket, the members outside its largest component meet all members in tiles of
-    TILE_OUT by TILE_ALL. Rows (key, o, t, rep, partners): per tile, one for each member that has a
-    partner in it or is one. A pair is listed only in the first bucket that holds both, so once.
+    Of each bucket, the members outside its largest component meet all members in tiles of about
+    TILE_OUT by TILE_ALL, each side one block of signatures. Rows (key, o, t, rep, partners): per tile, one for each
+    member that has a partner in it or is one. A pair is listed only in the first bucket that holds both, so once.
     """
-    placed = written(buckets.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "k", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    placed, mixed = in_components(buckets, comps)
     tiles = mixed.select("key", "main", F.ceil((F.col("c") - F.col("most")) / TILE_OUT).cast("int").alias("outs"), F.ceil(F.col("c") / TILE_ALL).cast("int").alias("alls"))
-    rows = placed.join(tiles, "key").withColumn("h", F.xxhash64("rep", "k"))
-    columns = ["key", "k", "rep", "comp", "o", "t", "side"]
-    outer = rows.where("comp <> main").withColumn("o", F.expr("CAST(pmod(h, outs) AS INT)")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("alls") - 1))).withColumn("side", F.lit(0)).select(columns)
-    every = rows.withColumn("t", F.expr("CAST(pmod(h, alls) AS INT)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).withColumn("side", F.lit(1)).select(columns)
-    signed = outer.union(every).join(classes.select("rep", "n", "sig"), "rep").select(*columns, "n", "sig")
-    return signed.repartition("key", "o", "t").sortWithinPartitions("key", "o", "t").mapInArrow(near_in_tiles(chosen, percent, max_distance), "key long, o int, t int, rep long, partners array<long>")
+    rows = written(placed.join(tiles, "key").join(classes.select("rep", "n", "sig"), "rep").withColumn("h", F.xxhash64("rep", "k")), "members")
+    block = [F.collect_list(c).alias(c) for c in ("rep", "comp", "n", "sig")]
+
+    def blocks(members: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
+        packed = members.withColumn(own, F.expr(f"CAST(pmod(h, {count}) AS INT)")).groupBy("key", "k", own, others).agg(*block)
+        return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop(others)
+
+    outer = blocks(rows.where("comp <> main"), "o", "outs", "t", "alls").drop("k")
+    every = blocks(rows, "t", "alls", "o", "outs").select("key", "k", "o", "t", *[F.col(c).alias(f"{c}s") for c in ("rep", "comp", "n", "sig")])
+    return outer.join(every, ["key", "o", "t"]).mapInArrow(near_in_tiles(chosen, percent, max_distance), "key long, o int, t int, rep long, partners array<long>")
 
 
 def near_in_tiles(chosen: list[tuple[int, ...]], percent: int, max_distance: int):
     index_slots = max(map(max, chosen)) + 1
 
-    def partners_of(k, rep, comp, side, n, sig):
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return {}
-        raw = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
-        wide, slim = raw[:, : 2 * index_slots].copy().view(np.uint16), raw[:, 2 * index_slots :]
+    def slots(sigs):
+        raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+        return raw[:, : 2 * index_slots].copy().view(np.uint16), raw[:, 2 * index_slots :]
+
+    def partners_of(k, left, right):
+        (reps, comps, sizes, sigs), (rep, comp, n, sig) = left, right
+        (wide, slim), (wides, slims) = slots(sigs), slots(sig)
         out: dict[int, list[int]] = {}
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            differ = wide[j] != wide[i]
-            near = differ.sum(1) + (slim[j] != slim[i]).sum(1) <= max_distance
+        for i in range(len(reps)):
+            j = np.flatnonzero((comp != comps[i]) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i])))
+            differ = wides[j] != wide[i]
+            near = differ.sum(1) + (slims[j] != slim[i]).sum(1) <= max_distance
             j, differ = j[near], differ[near]
             if len(j) and k:
                 shared = np.zeros(len(j), bool)
@@ -190,18 +220,21 @@ def near_in_tiles(chosen: list[tuple[int, ...]], percent: int, max_distance: int
                     shared |= ~differ[:, earlier].any(1)
                 j = j[~shared]
             if len(j):
-                out[int(rep[i])] = rep[j].tolist()
+                out[int(reps[i])] = rep[j].tolist()
                 for x in rep[j].tolist():
                     out.setdefault(x, [])
         return out
 
     def run(batches):
-        for at, part in tiles(batches):
-            k, rep, comp, side, n = (part.column(c).to_numpy() for c in ("k", "rep", "comp", "side", "n"))
-            found = partners_of(int(k[0]), rep, comp, side, n, part.column("sig").to_pylist())
-            if found:
-                size = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * size, pa.int64()), pa.array([at[1]] * size, pa.int32()), pa.array([at[2]] * size, pa.int32()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "o", "t", "rep", "partners"])
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name, row=row, batch=batch: batch.column(name)[row]
+                sides = [[*(get(c + s).values.to_numpy() for c in ("rep", "comp", "n")), get("sig" + s).as_py()] for s in ("", "s")]
+                found = partners_of(get("k").as_py(), *sides)
+                if found:
+                    size = len(found)
+                    at = [pa.array([get(c).as_py()] * size, t) for c, t in (("key", pa.int64()), ("o", pa.int32()), ("t", pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*at, pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "o", "t", "rep", "partners"])
 
     return run
 
