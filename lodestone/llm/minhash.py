@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOOM_WORDS, bloom_blocks, bloom_filter, bloom_hits, components, table, word_hashes, written
+from .common import BLOOM_WORDS, WORD, bloom_blocks, bloom_filter, bloom_hits, components, table, word_hashes, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +88,7 @@ def sign(width: int, index_slots: int, extra: int, seed: int):
                 if not len(s):
                     sigs.append(b"")
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "fp", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "version", "fp", "n", "sig"])
 
     return run
 
@@ -114,18 +114,42 @@ def keys(slots: list[tuple[int, ...]]):
     return F.explode(F.array(*each))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 9, width: int = 5, errors: int = 1, extra: int = 166, max_distance: int = 90, seed: int = 20240229) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Parameters are those of judged.
 
-    Links: 100 * |intersection| >= percent * |union| of the shingle sets. component_id is the
-    smallest id reachable by links. max_distance is the signature distance of the last comparison, of 211
-    slots: at similarity 0.8 or more, fewer than one pair in 10**12 differs in more than 90. Null or empty texts have an empty set, are linked with nothing and
-    kept. Rows with a null id get a null component and are kept. Rows that repeat an id are one node, linked by the
-    links of any of their texts. Other columns of docs are ignored; an empty table gives no rows.
+    component_id is the smallest id reachable by links. Null or empty texts have an empty set, are linked with
+    nothing and kept. Rows with a null id get a null component and are kept. Rows that repeat an id are one node,
+    linked by the links of any of their texts. Other columns of docs are ignored; an empty table gives no rows.
+    """
+    return judged(docs, id_col, text_col, **parameters).drop("fp", "version")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest id of their component; near_duplicates tells what a component is.
+
+    Of rows with that id all different shingle sets stay, of equal sets one row: the one whose text has the smallest hash.
+    Rows without an id count as having one made of their text, above all others, so their copies go too. Rows
+    without words stay, however often they come. Texts are joined by id and hash of the text.
+    """
+    own = {"_lodestone_id": F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_col), 2)), "_lodestone_version": F.xxhash64(text_col)}
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    named = docs.where(worded).withColumns(own)
+    found = judged(named, "_lodestone_id", text_col, **parameters).where("kept")
+    kept = written(found.groupBy(F.col("doc_id").alias("_lodestone_id"), "fp").agg(F.min("version").alias("_lodestone_version")).drop("fp"), "kept")
+    rows = named.join(kept, list(own), "left_semi").dropDuplicates(list(own))
+    return rows.select(docs.columns).union(docs.where(~worded))
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, chunks: int = 9, width: int = 5, errors: int = 1, extra: int = 166, max_distance: int = 90, seed: int = 20240229) -> DataFrame:
+    """near_duplicates' columns, and of each row the hash of its text (version) and the digest of its set (fp).
+
+    Links: 100 * |intersection| >= percent * |union| of the shingle sets. max_distance is the signature distance of the
+    last comparison, of 211 slots: at similarity 0.8 or more, fewer than one pair in 10**12 differs in more than 90.
     """
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are linked only if equal
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(sign(shingle, chunks * width, extra, seed), "id long, fp binary, n long, sig binary"), "signatures")
+    signer = sign(shingle, chunks * width, extra, seed)
+    signed = written(texts.withColumn("version", F.xxhash64("text")).mapInArrow(signer, "id long, version long, fp binary, n long, sig binary"), "signatures")
     classes = written(signed.where("n > 0 AND id IS NOT NULL").groupBy("fp", "n", "sig").agg(F.min("id").alias("rep")), "classes")
     chosen = choices(chunks, width, errors)
 
@@ -142,8 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = joined(comps, confirmed_in_tiles(near, texts, shingle, percent)).toDF("rep", "component_id")
 
     labelled = classes.join(placed, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labelled, "fp", "left")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = signed.select("id", "version", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labelled, "fp", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), "fp", "version")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
