@@ -24,12 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Rows without an id stay, as do null and empty texts; of rows that repeat an id one stays.
+    Of rows that repeat that id, each different text stays once; rows without an id are compared too and go as copies
+    of others or of each other; null and empty texts stay.
     """
-    judged = minhash.near_duplicates(docs)
-    kept = written(judged.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    ids = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
-    return ids.union(docs.where("doc_id IS NULL").select(COLUMNS))
+    return minhash.without_copies(docs.select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
