@@ -62,7 +62,7 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     rules (host, path, verdict). Longest rule wins; of equally long ones block before allow, then
     the last in text order. Every row of urls is kept, also repeated ones and null urls, which have
-    an empty host and path. Rules with a null or empty host, or a path that doesn't begin with /, fit nothing; an empty list judges all by default.
+    an empty host and path. Other columns of urls are kept; columns named host, path, rule or verdict are replaced. Rules with a null or empty host, or a path that doesn't begin with /, fit nothing; an empty list judges all by default.
     """
     spark = urls.sparkSession
     path = F.coalesce("path", F.lit(""))
@@ -91,9 +91,9 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     hits = parsed.where("host <> ''").select("url", "host", "path").mapInArrow(possible, "url string, key string")
     exact = hits.join(listed, "key")
-    best = exact.groupBy("url").agg(F.max(F.struct(F.char_length("key").alias("length"), F.col("verdict").alias("verdict"), F.col("key").alias("rule"))).alias("best"))
-    out = parsed.join(best, "url", "left")
-    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.verdict", F.lit(default))).drop("best")
+    best = exact.groupBy("url").agg(F.max(F.struct(F.char_length("key").alias("length"), F.col("verdict").alias("verdict"), F.col("key").alias("rule"))).alias("_lodestone_best"))
+    out = parsed.join(best, "url", "left").select(*[c for c in parsed.columns if c.lower() not in ("rule", "verdict")], "_lodestone_best")
+    return out.withColumn("rule", F.col("_lodestone_best.rule")).withColumn("verdict", F.coalesce("_lodestone_best.verdict", F.lit(default))).drop("_lodestone_best")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
