@@ -1,10 +1,11 @@
 """Mixing sources by temperature, under an entropy target or a limit on repetition.
 
 A source with a share p of the tokens gets the weight p**t / sum(p**t). The exponent t is bisected
-inside one aggregate row: either to the least t in [0, 1] whose largest repetition stays within a
-limit, or to the t in [0, 1] at which the weights have a given entropy. Each source then runs through whole epochs and
+either to the least t in [0, 1] whose largest repetition stays within a limit, which only takes the
+largest and the smallest share, or to the t in [0, 1] at which the weights have a given entropy, in ten aggregations
+over the sources that halve six times each. Each source then runs through whole epochs and
 a part of one; every epoch orders a source by keyed blocks, and the last one stops at its token budget.
-DataFrame functions only. What is kept per source is bounded by max_sources, which is checked.
+DataFrame functions only. Plans of up to MAX_BROADCAST sources are broadcast, larger ones joined.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import WORD, table, written
 
 STEPS = 60
+HALVINGS = 6  # of the bisection by entropy in one aggregation
+MAX_BROADCAST = 100_000  # sources, at some 100 bytes each
 
 
 def order_key(identity: Column, epoch: Column, seed: int) -> Column:
@@ -32,60 +35,67 @@ def facts(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), (words + 1).alias("tokens"))
 
 
-def weights(sizes: DataFrame, max_repeats: float | None, entropy: float | None, budget: float | None, max_sources: int) -> DataFrame:
-    """source, n, exponent, weight, repeats from sizes (source, n).
+def even_exponent(top: float, low: float, max_repeats: float) -> float:
+    """The least exponent in [0, 1] at which no source is seen more than max_repeats times as often as another, from the largest and the smallest share."""
+    lo, hi = 0.0, 1.0
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (top / low) ** (1 - mid) > max_repeats else (lo, mid)
+    return round(hi, 12)
 
-    repeats is the number of epochs: with a token budget, weight * budget / n; without one, scaled
-    so that the source repeated least is seen exactly once and no document is left out.
-    """
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s"), F.count("*").alias("k"))
-    guarded = listed.select(F.when(F.col("k") <= max_sources, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {max_sources} sources"))).alias("s"))
-    total = F.aggregate("s", F.lit(0).cast("double"), lambda a, x: a + x["n"])
-    row = guarded.select("s", total.alias("total")).select("s", F.transform("s", lambda x: x["n"] / F.col("total")).alias("p"))
 
-    def power_sum(t: Column) -> Column:
-        return F.aggregate("p", F.lit(0.0), lambda a, x: a + F.pow(x, t))
+def entropy_exponent(shares: DataFrame, entropy: float) -> float:
+    """The least exponent in [0, 1] at which the weights of shares (p) have no more than that entropy; 1 if they have more there."""
+    lo, hi = 0.0, 1.0
+    for _ in range(STEPS // HALVINGS):
+        step = (hi - lo) / 2**HALVINGS
+        grid = F.explode(F.array(*[F.lit(lo + step * i) for i in range(1, 2**HALVINGS)]))
+        z = F.sum(F.pow("p", F.col("t")))
+        spread = F.log(z) - F.sum(F.pow("p", F.col("t")) * F.col("t") * F.log("p")) / z
+        above = shares.select("p", grid.alias("t")).groupBy("t").agg((spread > entropy).alias("above")).where("above").agg(F.max("t")).first()[0]
+        lo = lo if above is None else above
+        hi = min(hi, lo + step)
+    return round(hi, 12)
 
-    def spread(t: Column) -> Column:
-        return F.pow(F.array_max("p") / F.array_min("p"), 1 - t)
 
-    def entropy_of(t: Column) -> Column:
-        # ln Z - sum p**t ln p**t / Z
-        z = power_sum(t)
-        return F.log(z) - F.aggregate("p", F.lit(0.0), lambda a, x: a + F.pow(x, t) * t * F.log(x)) / z
+def weights(sizes: DataFrame, max_repeats: float | None, entropy: float | None, budget: float | None) -> DataFrame:
+    """source, n, exponent, weight, repeats from sizes (source, n).
 
-    def too_flat(t: Column) -> Column:
-        if entropy is not None:
-            return entropy_of(t) > entropy
-        return spread(t) > max_repeats
+    repeats is the number of epochs: with a token budget, weight * budget / n; without one, scaled
+    so that the source repeated least is seen exactly once and no document is left out. Only sums and extremes
+    come to the driver.
+    """
+    total, top, low = sizes.agg(F.sum("n"), F.max("n"), F.min("n")).first()
+    if not total:
+        return sizes.select("source", "n", *[F.lit(0.0).alias(c) for c in ("exponent", "weight", "repeats")])
+    share = F.col("n") / F.lit(float(total))
+    exponent = entropy_exponent(sizes.select(share.alias("p")), entropy) if entropy is not None else even_exponent(top / float(total), low / float(total), max_repeats)
+    z = sizes.agg(F.sum(F.pow(share, F.lit(exponent)))).first()[0]
+    weight = F.pow(share, F.lit(exponent)) / F.lit(z)
+    repeats = weight * F.lit(budget) / F.col("n") if budget is not None else F.pow(share / F.lit(top / float(total)), F.lit(exponent) - 1)
+    return sizes.select("source", "n", F.lit(exponent).alias("exponent"), weight.alias("weight"), F.round(repeats, 9).alias("repeats"))
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        flat = too_flat(mid)
-        return F.struct(F.when(flat, mid).otherwise(acc["lo"]).alias("lo"), F.when(flat, acc["hi"]).otherwise(mid).alias("hi"))
 
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    row = row.select("s", "p", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda acc: F.round(acc["hi"], 12)).alias("exponent"))
-    row = row.select("exponent", power_sum(F.col("exponent")).alias("z"), F.array_max("p").alias("top"), F.explode(F.arrays_zip("s", "p")).alias("x"))
-    weight = F.pow(F.col("x.p"), F.col("exponent")) / F.col("z")
-    repeats = weight * F.lit(budget) / F.col("x.s.n") if budget is not None else F.pow(F.col("x.p") / F.col("top"), F.col("exponent") - 1)
-    return row.select(F.col("x.s.source").alias("source"), F.col("x.s.n").alias("n"), "exponent", weight.alias("weight"), F.round(repeats, 9).alias("repeats"))
+def sized(plan: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(plan) if rows <= MAX_BROADCAST else plan
 
 
-def mixing_plan(rows: DataFrame, seed: int, max_repeats: float | None = 2.0, entropy: float | None = None, budget: float | None = None, max_sources: int = 100_000) -> DataFrame:
+def mixing_plan(rows: DataFrame, seed: int, max_repeats: float | None = 2.0, entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """Per source: exponent, weight, repeats, whole epochs, and the last order key inside the part of an epoch.
 
     The part's budget is floor(fraction * n) tokens; documents enter in key order while their
     running sum fits. Sums of 4,096 blocks per source find the block where it ends, and only
     that block is read by document.
     """
-    plan = written(weights(rows.groupBy("source").agg(F.sum("tokens").alias("n")), max_repeats, entropy, budget, max_sources), "weights")
+    sizes = written(rows.groupBy("source").agg(F.sum("tokens").alias("n")), "sizes")
+    plan = written(weights(sizes, max_repeats, entropy, budget), "weights")
+    sources = plan.count()
     plan = plan.withColumn("whole", F.floor("repeats").cast("int")).withColumn("part", F.floor(F.round((F.col("repeats") - F.floor("repeats")) * F.col("n"), 3)).cast("long"))
-    keyed = rows.join(F.broadcast(plan.select("source", "whole", "part")), "source").withColumn("key", order_key(F.col("id"), F.col("whole"), seed)).withColumn("block", block_of(F.col("key")))
+    keyed = rows.join(sized(plan.select("source", "whole", "part"), sources), "source").withColumn("key", order_key(F.col("id"), F.col("whole"), seed)).withColumn("block", block_of(F.col("key")))
     sums = keyed.groupBy("source", "part", "block").agg(F.sum("tokens").alias("t"))
     before = F.sum("t").over(Window.partitionBy("source").orderBy("block")) - F.col("t")
     edge = sums.withColumn("before", before).where((F.col("before") <= F.col("part")) & (F.col("before") + F.col("t") > F.col("part"))).select("source", "block", (F.col("part") - F.col("before")).alias("room"))
-    inside = keyed.join(F.broadcast(edge), ["source", "block"])
+    inside = keyed.join(sized(edge, sources), ["source", "block"])
     running = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("key"))
     last = inside.withColumn("running", running).where(F.col("running") <= F.col("room")).groupBy("source").agg(F.max("key").alias("last"))
     floor_key = edge.select("source", (F.shiftleft(F.col("block").cast("long"), 48) - 1).alias("floor"))
@@ -96,14 +106,17 @@ def mixing_plan(rows: DataFrame, seed: int, max_repeats: float | None = 2.0, ent
 def realise(docs: DataFrame, plan: DataFrame, seed: int, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with mix_epoch, mix_block and mix_key: one row per epoch a document is in.
 
-    Sorting by mix_epoch and mix_key gives the training order, with the sources interleaved.
+    Sorting by mix_epoch and mix_key gives the training order, with the sources interleaved. Columns of docs that
+    have these names are replaced.
     """
-    wide = docs.join(F.broadcast(plan.select(F.col("source").alias("mix_source"), "whole", "last")), F.coalesce(F.col(source_col), F.lit("")) == F.col("mix_source"))
-    more = F.coalesce(order_key(F.col(id_col), F.col("whole"), seed) <= F.col("last"), F.lit(False)).cast("int")
-    wide = wide.withColumn("mix_copies", F.col("whole") + more).where("mix_copies > 0")
-    wide = wide.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    wide = wide.withColumn("mix_key", order_key(F.col(id_col), F.col("mix_epoch"), seed)).withColumn("mix_block", block_of(F.col("mix_key")))
-    return wide.drop("mix_source", "whole", "last", "mix_copies")
+    own = ["_lodestone_source", "_lodestone_whole", "_lodestone_last", "_lodestone_copies"]
+    listed = sized(plan.select(F.col("source").alias(own[0]), F.col("whole").alias(own[1]), F.col("last").alias(own[2])), plan.count())
+    docs = docs.drop("mix_epoch", "mix_block", "mix_key")
+    wide = docs.join(listed, F.coalesce(F.col(source_col), F.lit("")) == F.col(own[0]))
+    more = F.coalesce(order_key(F.col(id_col), F.col(own[1]), seed) <= F.col(own[2]), F.lit(False)).cast("int")
+    wide = wide.withColumn(own[3], F.col(own[1]) + more).where(F.col(own[3]) > 0)
+    wide = wide.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col(own[3]) - 1)))
+    return wide.withColumn("mix_key", order_key(F.col(id_col), F.col("mix_epoch"), seed)).withColumn("mix_block", block_of(F.col("mix_key"))).select(*docs.columns, "mix_epoch", "mix_block", "mix_key")
 
 
 def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
