@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ LEDGER = "blob string, kind string, version int, spans array<struct<s:int,e:int>
 def spans(text: Column, rule: Rule) -> Column:
     """Start and end, in code points, of the leftmost non-overlapping matches that are long enough.
 
-    The pieces between the matches (split) and the matches give the offsets by running sums.
+    The pieces between the matches (split) and the matches give the offsets by running sums; n matches are
+    gathered in blocks of sqrt(n), as each step copies what its block has so far.
     """
     if rule.kind == "hex":  # a run of [0-9a-f] of 24 or more is a match of its own; shorter ones need not be listed
         pattern = F.lit(f"[0-9a-f]{{{rule.least},}}")
@@ -51,11 +53,12 @@ def spans(text: Column, rule: Rule) -> Column:
         pattern = F.lit(f"AKIA[A-Z0-9]{{{rule.least - 4},}}")
     else:
         pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, pattern, -1)
-    step = F.zip_with(F.slice(gaps, 1, F.size(found)), F.arrays_zip(found.alias("m"), value.alias("v")), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m["m"]).alias("m"), F.length(m["v"]).alias("v")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def lengths(found: Column) -> Column:
+        value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
+        return F.zip_with(F.slice(gaps, 1, F.size(found)), F.arrays_zip(found.alias("m"), value.alias("v")), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m["m"]).alias("m"), F.length(m["v"]).alias("v")))
 
     def add(acc, x):
         start = acc["at"] + x["g"]
@@ -63,13 +66,45 @@ def spans(text: Column, rule: Rule) -> Column:
         kept = F.when(x["v"] >= rule.least, F.array(F.struct(start.alias("s"), end.alias("e")))).otherwise(F.array().cast(SPAN))
         return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
 
-    return F.when(F.regexp_like(text, pattern), F.aggregate(step, begin, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def add_block(acc, block):
+        inner = F.aggregate(block, begin(acc["at"]), add)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], inner["out"]).alias("out"))
+
+    def placed(steps: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(steps), size), lambda i: F.slice(steps, i, size))
+        return F.aggregate(blocks, begin(F.lit(0)), add_block, lambda acc: acc["out"])
+
+    some = let(let(F.regexp_extract_all(text, pattern, F.lit(0)), lengths), placed)
+    return F.when(F.regexp_like(text, pattern), some).otherwise(F.array().cast(SPAN))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value taken once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows of blobs (blob, text): one per rule, also where nothing is found."""
-    each = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")) for r in rules])
-    return blobs.select("blob", F.explode(each).alias("r")).select("blob", "r.kind", "r.version", "r.spans")
+    """Ledger rows of blobs (blob, text, done: kinds that need no scan, or null): one per rule that is due, also where nothing is found."""
+    each = []
+    for r in rules:
+        due = ~F.coalesce(F.array_contains("done", r.kind), F.lit(False))
+        each.append(F.when(due, F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))))
+    return blobs.select("blob", F.explode(F.array_compact(F.array(*each))).alias("r")).select("blob", "r.kind", "r.version", "r.spans")
+
+
+def ledger_rows(spark: SparkSession, ledger: str, rules: tuple[Rule, ...]) -> DataFrame | None:
+    """The ledger's rows of these rules' versions; None where there is no ledger yet."""
+    try:
+        known = spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    current = F.lit(False)
+    for r in rules:
+        current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    return known.where(current)
 
 
 def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,23 +118,14 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     named = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = named.withColumn("blob", F.sha2("text", 256))
     paths = named.select("path", "blob")
-    wanted = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    exists = spark._jvm.org.apache.hadoop.fs.Path(ledger).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(ledger))
-    due = list(rules)
-    groups = [(due, wanted)]
-    if exists:
-        seen = spark.read.schema(LEDGER).parquet(ledger).select("blob", "kind", "version").distinct()
-        groups = [([r], wanted.join(seen.where((F.col("kind") == r.kind) & (F.col("version") == r.version)), "blob", "left_anti")) for r in due]
-    for todo, unseen in groups:
-        # one row of each unseen blob: the text travels keyed by blob and path, so copies of one text are spread
-        texts = named.join(unseen.withColumnRenamed("path", "first"), (named["blob"] == unseen["blob"]) & named["path"].eqNullSafe(F.col("first")), "left_semi")
-        scan(texts, tuple(todo)).dropDuplicates(["blob", "kind", "version"]).write.mode("append").parquet(ledger)
-    known = spark.read.schema(LEDGER).parquet(ledger)
-    current = None
-    for r in rules:
-        is_current = (F.col("kind") == r.kind) & (F.col("version") == r.version)
-        current = is_current if current is None else current | is_current
-    found = known.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("kind", "spans"))).alias("found"))
+    wanted = paths.groupBy("blob").agg(F.min("path").alias("first")).withColumn("done", F.lit(None).cast("array<string>"))
+    if (seen := ledger_rows(spark, ledger, rules)) is not None:
+        done = seen.groupBy("blob").agg(F.collect_set("kind").alias("done"))  # as many as there are rules at most
+        wanted = wanted.drop("done").join(done, "blob", "left").where(F.coalesce(F.size("done") < len(rules), F.lit(True)))
+    # one row of each unseen blob: the text travels keyed by blob and path, so copies of one text are spread
+    texts = named.join(wanted.withColumnRenamed("blob", "own"), (named["blob"] == F.col("own")) & named["path"].eqNullSafe(F.col("first"))).select("blob", "text", "done")
+    scan(texts, rules).dropDuplicates(["blob", "kind", "version"]).write.mode("append").parquet(ledger)
+    found = ledger_rows(spark, ledger, rules).where(F.size("spans") > 0).groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("kind", "spans"))).alias("found"))
     return paths.join(found, "blob", "left").select("path", "blob", "found")
 
 

@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import embeddings, mixing, registry, secrets, urls, warc
 from lodestone.llm.common import work_path
 from tests.oracle import connect, difference
@@ -94,6 +96,18 @@ def test_secrets_and_ledger(spark):
     run(spark.createDataFrame([(99, "secret = newsecret")], "doc_id long, text string"))
     assert spark.read.parquet(ledger).count() == size + len(secrets.RULES)
     assert run(versions.limit(0)) == {}
+    newer = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, 2 if r.kind == "hex" else r.version, r.base) for r in secrets.RULES)
+    before, scanned = spark.read.parquet(ledger).count(), spark.read.parquet(ledger).selectExpr("count(DISTINCT blob)").first()[0]
+    both = versions.select("doc_id", "text").union(spark.createDataFrame([(99, "secret = newsecret"), (100, "unseen " + "e" * 30)], "doc_id long, text string"))
+    again = {r.path: r.d for r in secrets.scan_versions(both, ledger, newer).select("path", secrets.digest(base, F.col("found")).alias("d")).collect()}
+    assert again == found | {99: "assign:0:18", 100: "hex:7:37"}  # a new version of one rule, and a new text for all rules, in one pass
+    assert spark.read.parquet(ledger).count() == before + scanned + len(newer)
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(["secret: abcdef0 x", "😀 " + "f" * 30, "AKIA" + "Z" * 20] * 3000)
+    found = secrets.scan_versions(spark.createDataFrame([(1, text)], "doc_id long, text string"), work_path(spark, "ledger"))
+    assert found.select(secrets.digest(["assign", "access", "hex"], F.col("found")).alias("d")).first().d == ",".join(python_spans(text))
 
 
 def test_vectors(spark):
