@@ -9,8 +9,8 @@ extreme-value law with parameters lambda and K; a segment's normalised score is
 lambda * S - ln(K * n), and the significant ones are the passages. A logistic curve
 fitted on the training rows turns a document's best normalised score into a probability.
 
-The model is fitted on a bounded sample of labelled rows (max_labelled); it is at most
-max_words words and is the only thing sent to the tasks.
+The model is fitted on a bounded sample of labelled rows (max_labelled), whose words bound it; it is
+the only thing sent to the tasks. The prior's frequencies of the sample's words are counted over all documents.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table, word_hashes, written
+from .common import WORD, crc_fold, table, word_hashes, written
 
 EULER = 0.5772156649015329
 
@@ -87,7 +87,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def count_words(batches):
-    """Per word hash: documents of each label that hold it; hash 0 with tox and clean documents in all."""
+    """Per word hash: documents of each label that hold it."""
     for batch in batches:
         labels = batch.column(1).to_numpy(zero_copy_only=False)
         hashes = [np.unique(word_hashes(t.as_py())) for t in batch.column(0)]
@@ -101,6 +101,24 @@ def count_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(toxic), pa.array(alls - toxic)], names=["word", "toxic", "clean"])
 
 
+def count_in_all(shared):
+    """Of each of the shared sorted words, in how many of a task's documents it is."""
+
+    def run(batches):
+        words, counts = shared.value, np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                h = np.unique(word_hashes(text.as_py()))
+                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                counts[at[words[at] == h]] += 1
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 10_000):
+            i = some[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(words[i].view(np.int64)), pa.array(counts[i])], names=["word", "n"])
+
+    return run
+
+
 def best_segments(model: Model):
     def run(batches):
         for batch in batches:
@@ -150,10 +168,10 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_labelled: int = 20_000, max_words: int = 20_000, prior: float = 50.0, least_docs: int = 3, cost: float = 0.7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_labelled: int = 20_000, prior: float = 50.0, least_docs: int = 3, cost: float = 0.7) -> Model:
     """Fits on at most max_labelled labelled documents outside the held-out fold, taken in hash order.
 
-    A document with several labels counts as toxic if any is; null labels and ids don't count. Without
+    Ties in hash order are taken by id. A document with several labels counts as toxic if any is; null labels and ids don't count. Without
     any labelled document, or without toxic ones, every text gets the same low score.
     """
     spark = docs.sparkSession
@@ -167,7 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_l
         return Model(np.empty(0, np.uint64), np.empty(0), cost, 1.0, 0.0, 0.0, -4.0)
 
     counts = rows.mapInArrow(count_words, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    share = (F.col("t") + F.col("c")) / F.lit(n_toxic + n_clean)
+    counts = written(counts.where(F.col("t") + F.col("c") >= least_docs), "counts")
+    listed = np.sort(counts.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))  # words of the sample
+    if not len(listed):
+        return Model(np.empty(0, np.uint64), np.empty(0), cost, 1.0, 0.0, 0.0, -4.0)
+    everywhere = docs.select("text").mapInArrow(count_in_all(spark.sparkContext.broadcast(listed)), "word long, n long").groupBy("word").agg(F.sum("n").alias("all"))
+    counts = counts.join(written(everywhere, "everywhere"), "word")
+    share = F.col("all") / F.lit(docs.count())
     alpha = share * prior * n_toxic / (n_toxic + n_clean) + 0.01
     beta = share * prior * n_clean / (n_toxic + n_clean) + 0.01
     odds = F.log((F.col("t") + alpha) / (n_toxic + prior)) - F.log((F.col("c") + beta) / (n_clean + prior))
@@ -175,15 +199,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_l
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     t, c, both, n = F.col("t"), F.col("c"), F.col("t") + F.col("c"), n_toxic + n_clean
     ratio = 2 * (part(t, both * n_toxic / n) + part(c, both * n_clean / n) + part(n_toxic - t, (n - both) * n_toxic / n) + part(n_clean - c, (n - both) * n_clean / n))
-    scored = written(counts.where(both >= least_docs).select("word", "t", "c", odds.alias("s"), ratio.alias("g")), "words")
+    scored = written(counts.select("word", "t", "c", odds.alias("s"), ratio.alias("g")), "words")
     least = significance(scored.count()) ** 2
-    picked = scored.where(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(max_words).toPandas()
+    picked = scored.where(F.col("g") >= least).toPandas()  # words of the sample
     order = np.argsort(words := picked["word"].to_numpy(np.int64).view(np.uint64))
     s = np.clip(picked["s"].to_numpy(float)[order], -4, 6) - cost
     model = Model(words[order], s, cost, 1.0, 0.0, 1.0, 0.0)
 
     clean = picked["c"].to_numpy(float)[order] / n_clean
-    neutral = 200.0  # words of a clean document beside the picked ones, as the chance model has them
+    length = rows.where("label = 0").agg(F.avg(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0.0
+    neutral = max(length - clean.sum(), 1.0)  # words of a clean document beside the picked ones
     chance = np.append(clean, neutral) / (clean.sum() + neutral)
     model.lam = chance_lambda(np.append(s, -cost), chance)
     best = rows.select("text", "label").mapInArrow(best_segments(model), "best double, n long, label int").toPandas()  # at most max_labelled rows
@@ -200,8 +225,9 @@ def score(docs: DataFrame, model: Model, alpha: float = 1e-3) -> DataFrame:
     """docs with toxic_score, toxic_passages (first word, end, normalised score of the significant segments).
 
     A segment is significant if chance gives as good a one with probability under alpha. Null and empty
-    texts have no passages and the score of a text without any.
+    texts have no passages and the score of a text without any. Columns of docs with these names are replaced.
     """
+    docs = docs.drop("toxic_score", "toxic_passages")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     least = -math.log(-math.log1p(-alpha))
     passages = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -227,4 +253,4 @@ def score(docs: DataFrame, model: Model, alpha: float = 1e-3) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_passages").alias("n_passages"))
+    return scored.select("doc_id", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_passages").alias("n_passages"))
