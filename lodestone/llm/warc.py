@@ -1,32 +1,48 @@
 """A content-addressed web archive.
 
-Payload bytes are stored once under their SHA-256; the exact header of every record is stored
-apart, with the digest of its payload. Records come back by joining the two, and a payload whose
-bytes no longer have the digest they are stored under is an error. Records are WARC 1.1 responses,
-or revisits of the first record with the same payload.
+Payload bytes are stored once under their SHA-256, compressed one by one; the exact header of every record is
+stored apart, with the digest of its payload. Records come back by joining the two, and a payload whose
+bytes no longer have the digest they are stored under is an error. Records are WARC 1.1 responses, each an HTTP
+head and the payload, or revisits of the first record with the same payload, which hold the HTTP head alone.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
+from itertools import chain
+
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, work_path
+from .common import put, table, work_path, written
 
 NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+FACTS = "page_id long, url string, digest string, bytes long, sha1 string, packed binary"
+
 
+def sha1_of(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
-def base32(hexes: Column) -> Column:
-    """RFC 4648 base32 of 40 hex digits: eight groups of 20 bits, four letters each."""
-    letters = []
-    for j in range(8):
-        group = F.conv(F.substring(hexes, 5 * j + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            letters.append(F.substring(F.lit(ALPHABET), F.shiftright(group, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*letters)
+
+def digested(batches):
+    """(page_id, url, digest, bytes, sha1, packed) of pages (page_id, url, html)."""
+    press = zstandard.ZstdCompressor(3)
+    for batch in batches:
+        payloads = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(2)]
+        columns = [
+            pa.array([hashlib.sha256(x).hexdigest() for x in payloads], pa.string()),
+            pa.array(list(map(len, payloads)), pa.int64()),
+            pa.array(list(map(sha1_of, payloads)), pa.string()),
+            pa.array(list(map(press.compress, payloads)), pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "url", "digest", "bytes", "sha1", "packed"])
 
 
 def line(name: str, value: Column) -> Column:
@@ -36,72 +52,117 @@ def line(name: str, value: Column) -> Column:
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes pages (page_id, url, html) under path: payloads/ (digest, payload) and headers/ (digest, header).
+    """Writes pages (page_id, url, html) under path: payloads/ (digest, packed) and headers/ (digest, header).
 
     Among records with equal payloads of at least least_bytes bytes the smallest page_id is the
     response and the others are revisits of it; smaller payloads and rows with a null page_id are
     responses. Repeated rows are repeated records of one payload. A null html is an empty payload
-    and a null url leaves its header line out.
+    and a null url leaves its header line out. Other columns of pages are ignored.
     """
-    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
+    columns = [F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")]
+    rows = written(pages.select(columns).mapInArrow(digested, FACTS), "versions")
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
     # payloads travel once, keyed by digest and id: copies of one payload are spread
     known = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
-    kept = rows.select("digest", known("page_id").alias("id"), "payload").join(first.select("digest", known("first").alias("id")), ["digest", "id"], "left_semi")
-    kept.dropDuplicates(["digest", "id"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    kept = rows.select("digest", known("page_id").alias("id"), "packed").join(first.select("digest", known("first").alias("id")), ["digest", "id"], "left_semi")
+    kept.dropDuplicates(["digest", "id"]).select("digest", "packed").write.option("compression", "uncompressed").parquet(f"{path}/payloads")
 
-    records = rows.select("page_id", "url", "digest", "bytes", base32(F.sha1("payload")).alias("sha1")).join(first, "digest")
+    records = rows.select("page_id", "url", "digest", "bytes", "sha1").join(first, "digest")
     repeats = (F.col("bytes") >= least_bytes) & (F.col("page_id") != F.col("first"))
-    kind = F.when(repeats, "revisit").otherwise("response")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html;charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", kind),
+        line("WARC-Type", F.when(repeats, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("WARC-Refers-To", F.when(repeats, urn(F.col("first")))),
         line("WARC-Profile", F.when(repeats, F.lit(PROFILE))),
-        line("Content-Type", F.lit("text/html;charset=utf-8")),
-        line("Content-Length", F.when(repeats, F.lit(0)).otherwise(F.col("bytes")).cast("string")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", (F.octet_length(http) + F.when(repeats, F.lit(0)).otherwise(F.col("bytes"))).cast("string")),
         F.lit("\r\n"),
+        http,
     )
     records.select("digest", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
 
 
+def rebuilt(batches):
+    """(record, payload) from (digest, header, packed): the record's bytes as in a WARC file, and its full payload."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = []
+        for digest, header, packed in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            payload = press.decompress(packed)
+            if hashlib.sha256(payload).hexdigest() != digest:
+                raise ValueError(f"payload differs from its digest {digest}")
+            own = b"" if b"\r\nWARC-Type: revisit\r\n" in header[:64] else payload
+            out.append((header + own + b"\r\n\r\n", payload))
+        record, payload = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(record, pa.binary()), pa.array(payload, pa.binary())], names=["record", "payload"])
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record again, as (header, payload): revisits carry the payload of the response they refer to."""
-    payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    checked = payloads.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest")))).alias("payload"))
+    """Every record again, as (record, payload): revisits come with the payload of the response they refer to."""
+    payloads = spark.read.schema("digest string, packed binary").parquet(f"{path}/payloads")
     headers = spark.read.schema("digest string, header binary").parquet(f"{path}/headers")
-    return headers.join(checked, "digest").select("header", "payload")
+    return headers.join(payloads, "digest").select("digest", "header", "packed").mapInArrow(rebuilt, "record binary, payload binary")
+
+
+def opened(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields of one record and its HTTP body; its lengths must be those it states."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    version, *lines = head.decode("utf-8").split("\r\n")
+    fields = dict(x.split(": ", 1) for x in lines)
+    size = int(fields["Content-Length"])
+    if version != "WARC/1.1" or len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
+        raise ValueError(f"record of {len(record)} bytes is not of its stated length {size}")
+    http, _, body = rest[:size].partition(b"\r\n\r\n")
+    if fields["WARC-Type"] == "response" and int(re.search(rb"Content-Length: (\d+)", http)[1]) != len(body):
+        raise ValueError("HTTP body is not of its stated length")
+    return fields, body
+
+
+def facts_of(batches):
+    number = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
+    for batch in batches:
+        out = []
+        for record, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fields, body = opened(record)
+            sha1 = sha1_of(payload)
+            if f"sha1:{sha1}" != fields["WARC-Payload-Digest"] or fields["WARC-Type"] == "response" and body != payload:
+                raise ValueError(f"payload differs from its digest sha1:{sha1}")
+            out.append((number(fields.get("WARC-Record-ID")), len(payload), sha1, fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
+        columns = zip(*out, strict=True) if out else ((),) * 5
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def field(name: str) -> Column:
-    return F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), f"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record rebuilt from the archive: id, length and digest of the full payload, type and reference, read from the record's bytes."""
+    return records(spark, path).mapInArrow(facts_of, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def warc_bytes(rows: DataFrame) -> DataFrame:
-    """The records' bytes as they stand in a WARC file: header, own payload (none for revisits), two line ends."""
-    body = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return rows.select(F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+def export(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Writes the records as .warc files under folder, one a task; returns file, records and bytes of each."""
 
+    def run(batches):
+        sizes = []
 
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record read from the archive: id, length and digests of the full payload, type and reference.
+        def sized():
+            for batch in batches:
+                for record in batch.column(0):
+                    sizes.append(len(raw := record.as_py()))
+                    yield raw
 
-    The payload's own digest must be the one its header names; the large column is dropped before the join.
-    """
-    payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    facts = payloads.select("digest", (F.sha2("payload", 256) == F.col("digest")).alias("whole"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("sha1"))
-    headers = spark.read.schema("digest string, header binary").parquet(f"{path}/headers")
-    number = lambda name: F.regexp_extract(field(name), "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
-    named = headers.select("digest", number("WARC-Record-ID").alias("page_id"), F.regexp_extract(field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"))
-    joined = named.join(facts, "digest")
-    wrong = F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest")))
-    return joined.select("page_id", "payload_bytes", F.when(F.col("whole") & (F.col("sha1") == F.col("payload_digest")), F.col("payload_digest")).otherwise(wrong).alias("payload_digest"), "record_type", "refers_to")
+        name = f"part-{TaskContext.get().partitionId():06d}.warc"
+        stream = sized()
+        if (first := next(stream, None)) is not None:
+            put(f"{folder}/{name}", chain([first], stream))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["file", "records", "bytes"])
+
+    return written(records(spark, path).select("record").mapInArrow(run, "file string, records long, bytes long"), "files")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +170,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(spark, path)
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _LETTER = f"substr('{ALPHABET}', 1 + CAST((('0x' || substr(h, 5 * j + 1, 5))::BIGINT >> (15 - 5 * i)) & 31 AS BIGINT), 1)"
 ORACLE = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),

@@ -5,10 +5,9 @@ import math
 import re
 
 import pytest
-
 from pyspark.sql import functions as F
 
-from lodestone.llm import embeddings, mixing, registry, secrets, urls, warc
+from lodestone.llm import embeddings, mixing, registry, secrets, shards, urls, warc
 from lodestone.llm.common import work_path
 from tests.oracle import connect, difference
 
@@ -61,9 +60,17 @@ def test_archive_round_trip(spark):
         assert r[2] == base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
     records = warc.records(spark, path)
     assert sorted(bytes(r.payload) for r in records.collect()) == sorted((h or "").encode() for _, _, h in rows)
-    for raw in (bytes(r.record) for r in warc.warc_bytes(records).collect()):
-        head, _, body = raw.partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n") and len(body) == int(re.search(rb"Content-Length: (\d+)", head)[1]) + 4
+    for raw in (bytes(r.record) for r in records.collect()):
+        head, _, block = raw.partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n") and len(block) == int(re.search(rb"Content-Length: (\d+)", head)[1]) + 4
+        fields, body = warc.opened(raw)
+        assert block.startswith(b"HTTP/1.1 200 OK\r\n") and (fields["WARC-Type"] == "response" or not body)
+        with pytest.raises(ValueError, match="length"):
+            warc.opened(raw[:-5] + raw[-4:])
+    folder = work_path(spark, "warc")
+    files = warc.export(spark, path, folder).collect()
+    whole = b"".join(shards.read_bytes(f"{folder}/{f.file}") for f in files)
+    assert sum(f.records for f in files) == whole.count(b"WARC/1.1\r\nWARC-Type: ") == 8 and sum(f.bytes for f in files) == len(whole)
     assert spark.read.parquet(f"{path}/payloads").count() <= 4
     empty = work_path(spark, "archive")
     warc.archive(pages.limit(0), empty)
