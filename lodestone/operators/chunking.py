@@ -189,18 +189,35 @@ def page_cuts(spark, sf):
     return overlaps(cut, pages).select(F.col("key").alias("article_id"), F.col("an").alias("block"), F.col("bn").alias("seq"), "lo", "hi")
 
 
-@query()
-def page_windows(spark, sf):
-    """Pages of each article in windows: eight pages at most, closed once they hold 2,000 bytes. A fold over page sizes."""
-    sizes = F.array_sort(F.collect_list(F.struct("seq", F.octet_length("text").alias("b"))))
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("k"), F.lit(0).alias("s"), F.array().cast("array<struct<seq:int,w:int>>").alias("out"))
+def windows_of(sizes: Column, pages: int = 8, room: int = 2000) -> Column:
+    """The window of each of these sizes: pages at most, closed once they hold room bytes. n sizes are folded in blocks of sqrt(n), as each step copies what its block has so far."""
+    empty = F.array().cast("array<int>")
 
     def step(acc, x):
-        full = (acc["k"] >= 8) | (acc["s"] >= 2000)
+        full = (acc["k"] >= pages) | (acc["s"] >= room)
         w = acc["w"] + full.cast("int")
-        return F.struct(w.alias("w"), (F.when(full, 0).otherwise(acc["k"]) + 1).alias("k"), (F.when(full, 0).otherwise(acc["s"]) + x["b"]).alias("s"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), w.alias("w")))).alias("out"))
+        used = lambda c: F.when(full, 0).otherwise(acc[c])
+        return F.struct(w.alias("w"), (used("k") + 1).alias("k"), (used("s") + x).alias("s"), F.concat(acc["out"], F.array(w)).alias("out"))
+
+    def block(acc, part):
+        begin = F.struct(acc["w"].alias("w"), acc["k"].alias("k"), acc["s"].alias("s"), empty.alias("out"))
+        inner = F.aggregate(part, begin, step)
+        return F.struct(inner["w"].alias("w"), inner["k"].alias("k"), inner["s"].alias("s"), F.concat(acc["out"], inner["out"]).alias("out"))
 
-    placed = article_pages(spark, sf).groupBy("article_id").agg(sizes.alias("p")).select("article_id", F.explode(F.aggregate("p", start, step, lambda a: a["out"])).alias("x"))
+    size = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(sizes), size), lambda i: F.slice(sizes, i, size))
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("k"), F.lit(0).alias("s"), empty.alias("out"))
+    return F.aggregate(blocks, start, block, lambda acc: acc["out"])
+
+
+@query(""", n AS (SELECT article_id, row_number() OVER (PARTITION BY article_id ORDER BY seq) AS i, seq, CAST(strlen(text) AS BIGINT) AS b FROM article_pages),
+f AS (SELECT article_id, i, seq, 0 AS w, 1 AS k, b AS s FROM n WHERE i = 1 UNION ALL
+ SELECT n.article_id, n.i, n.seq, f.w + CASE WHEN f.k >= 8 OR f.s >= 2000 THEN 1 ELSE 0 END, CASE WHEN f.k >= 8 OR f.s >= 2000 THEN 1 ELSE f.k + 1 END, CASE WHEN f.k >= 8 OR f.s >= 2000 THEN n.b ELSE f.s + n.b END FROM f JOIN n ON n.article_id = f.article_id AND n.i = f.i + 1)
+SELECT article_id, w AS "window", min(seq) AS first, max(seq) AS last FROM f GROUP BY ALL""")
+def page_windows(spark, sf):
+    """Pages of each article in windows: eight pages at most, closed once they hold 2,000 bytes."""
+    pages = article_pages(spark, sf).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.octet_length("text").alias("b")))).alias("p"))
+    placed = pages.select("article_id", F.explode(F.arrays_zip(F.col("p.seq").alias("seq"), windows_of(F.col("p.b")).alias("w"))).alias("x"))
     return placed.groupBy("article_id", F.col("x.w").alias("window")).agg(F.min("x.seq").alias("first"), F.max("x.seq").alias("last"))
 
 

@@ -53,14 +53,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-@query("SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS tokens FROM documents WHERE doc_id % 10 = 3")
-def tokenize(spark, sf):
-    return table(spark, sf, "documents").where("doc_id % 10 = 3").select("doc_id", tokens(F.col("text")).alias("tokens"))
+_TOKENS = "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS tokens FROM documents"
 
 
-@query("SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS tokens FROM documents")
-def tokenize_all(spark, sf):
-    """The tokens of every document; tokenize, whose SQL is fixed, has a tenth of them."""
+@query(_TOKENS, name="tokenize_all")
+@query(_TOKENS)
+def tokenize(spark, sf):
+    """The tokens of every document."""
     return table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
@@ -74,9 +73,10 @@ def terms_of(text: str) -> list[str]:
 def lexical_scores(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """Of docs with any term: covered (distinct terms), mentions (each term up to 3) and score (share of the terms' letters).
 
-    Only the terms' own words leave a text, and one aggregation counts them.
+    Only the terms' own words leave a text, and one aggregation counts them. A question without a term has no rows.
     """
-    terms = terms_of(text)
+    if not (terms := terms_of(text)):
+        return docs.where(F.lit(False)).select(id_col, F.lit(0).alias("covered"), F.lit(0).alias("mentions"), F.lit(0.0).alias("score"))
     found = docs.select(id_col, F.explode(F.filter(tokens(F.col("text")), lambda x: x.isin(*terms))).alias("_t"))
     counts = found.groupBy(id_col).agg(*[F.count_if(F.col("_t") == t).alias(f"_c{i}") for i, t in enumerate(terms)])
     add = lambda f: sum((f(F.col(f"_c{i}"), len(t)) for i, t in enumerate(terms)), F.lit(0))
@@ -84,6 +84,17 @@ def lexical_scores(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return counts.select(id_col, add(lambda c, w: (c > 0).cast("int")).cast("int").alias("covered"), add(lambda c, w: F.least(c, F.lit(3))).cast("int").alias("mentions"), F.round(score, 9).alias("score"))
 
 
+def lexical_order(id_col: str) -> list[Column]:
+    return [F.desc("score"), F.desc("covered"), F.desc("mentions"), F.col(id_col)]
+
+
+def lexically_ranked(docs: DataFrame, text: str, id_col: str, limit: int) -> DataFrame:
+    """The best docs for a question, by lexical_order; for a question without a term, the first by id, with a score of 0."""
+    if not terms_of(text):
+        return docs.select(id_col, F.lit(0).alias("covered"), F.lit(0).alias("mentions"), F.lit(0.0).alias("score")).orderBy(id_col).limit(limit)
+    return lexical_scores(docs, text, id_col).orderBy(*lexical_order(id_col)).limit(limit)
+
+
 QUESTION = "model data the benchmark of secret and information"
 
 
@@ -105,12 +116,12 @@ _ORDER = "score DESC, covered DESC, mentions DESC, doc_id"
 
 @query(f"SELECT doc_id, score FROM {_lexical_sql('doc_id', 'documents', QUESTION)} ORDER BY {_ORDER} LIMIT 20")
 def lexical_topk(spark, sf):
-    return lexical_scores(table(spark, sf, "documents"), QUESTION, "doc_id").orderBy(F.desc("score"), F.desc("covered"), F.desc("mentions"), "doc_id").limit(20).select("doc_id", "score")
+    return lexically_ranked(table(spark, sf, "documents"), QUESTION, "doc_id", 20).select("doc_id", "score")
 
 
 @query(f"SELECT item_id, score FROM {_lexical_sql('item_id', 'benchmark', 'the of data and with')} ORDER BY score DESC, covered DESC, mentions DESC, item_id LIMIT 10")
 def rank_lexical(spark, sf):
-    return lexical_scores(table(spark, sf, "benchmark"), "the of data and with", "item_id").orderBy(F.desc("score"), F.desc("covered"), F.desc("mentions"), "item_id").limit(10).select("item_id", "score")
+    return lexically_ranked(table(spark, sf, "benchmark"), "the of data and with", "item_id", 10).select("item_id", "score")
 
 
 @query("SELECT doc_id FROM documents WHERE len(list_intersect(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), ['benchmark', 'secret', 'token'])) > 0 ORDER BY doc_id LIMIT 200")
@@ -175,15 +186,15 @@ def hybrid(points: DataFrame, query_point: DataFrame, texts: DataFrame, text: st
     """Dense and lexical hits fused by reciprocal rank, cut, and then without hits of unfinished articles.
 
     points (point_id, article_id, embedding), texts (point_id, text), done (article_id). The dense list
-    and the cut follow limit (5 by default, 20 at most); text candidates are 200. Fewer than
-    limit may be left.
+    and the cut follow limit (5 by default, 20 at most); every text is scored, and as many go into the fusion as
+    dense hits. A question without a term leaves the dense list alone. Fewer than limit may be left.
     """
     limit = 5 if limit <= 0 else min(limit, 20)
     fetch = min(3 * limit, 20)
     dense = vector_topk(points, query_point, fetch)
-    lexical = lexical_scores(texts, text, "point_id").orderBy(F.desc("score"), F.desc("covered"), F.desc("mentions"), "point_id").limit(fetch)
+    lexical = lexical_scores(texts, text, "point_id").orderBy(*lexical_order("point_id")).limit(fetch)
     a = ranked(dense, F.desc("score"), "point_id").select("point_id", "rank")
-    b = ranked(lexical, F.desc("score"), F.desc("covered"), F.desc("mentions"), "point_id").select("point_id", "rank")
+    b = ranked(lexical, *lexical_order("point_id")).select("point_id", "rank")
     top = reciprocal_rank_fusion([a, b]).orderBy(F.desc("score"), "point_id").limit(limit)
     hits = points.select("point_id", "article_id").join(F.broadcast(top), "point_id")  # at most limit rows
     return hits.join(done, "article_id", "left_semi").select("point_id", "article_id", "score", "list")

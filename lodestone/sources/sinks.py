@@ -17,8 +17,10 @@ from lodestone.views import article_pages, chunks, table, view
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir; a temporary one where it is unset)."""
+    """A fresh path in the folder that all executors share: spark.checkpoint.dir, which a cluster must set; a temporary one in local runs."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", base := f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
     return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
 
@@ -41,8 +43,8 @@ def merge_add(target: DataFrame, rows: DataFrame, keys: list[str], counters: lis
 
 
 def replace_partitions(rows: DataFrame, path: str, by: str) -> DataFrame:
-    """Stores rows by partition; partitions that rows has none of stay as they are."""
-    rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Stores rows by partition; partitions that rows has none of stay as they are. Large partitions are split over tasks."""
+    rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 

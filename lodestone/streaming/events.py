@@ -77,27 +77,33 @@ def dedup_stream(spark, sf):
     return finished(twice.select("event_id").dropDuplicates(["event_id"]))
 
 
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's events of one micro-batch by time, whatever chunks they came in: the micro-batch bounds them."""
+    return pd.concat(batches).sort_values(["ts", "event_id"])
+
+
 def fixed_window(limit: int = 5, seconds: float = 60.0):
     """For applyInPandasWithState: hits of a key that a window starting at its first hit allows or refuses."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
         start, used = state.get if state.exists else (float("-inf"), 0)
-        for rows in batches:
-            rows = rows.sort_values(["ts", "event_id"])
-            allowed = []
-            for t in rows["ts"]:
-                if t - start >= seconds:
-                    start, used = t, 0
-                used += 1
-                allowed.append(used <= limit)
-            yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
+        rows, allowed = in_order(batches), []
+        for t in rows["ts"]:
+            if t - start >= seconds:
+                start, used = t, 0
+            used += 1
+            allowed.append(used <= limit)
+        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
         state.update((float(start), int(used)))
 
     return run
 
 
 def rate_limited(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """event_id, user_id, allowed; ts in seconds. One state row per user, however many events it has."""
+    """event_id, user_id, allowed; ts in seconds. One state row per user, however many events it has.
+
+    Within a micro-batch events are judged by time; over micro-batches they must come in order of time, as a queue delivers them.
+    """
     rows = events.select("event_id", "user_id", F.unix_micros("ts").cast("double").alias("ts")).withColumn("ts", F.col("ts") / 1e6)
     return rows.groupBy("user_id").applyInPandasWithState(fixed_window(limit, seconds), "event_id long, user_id long, allowed boolean", "start double, used long", "append", GroupStateTimeout.NoTimeout)
 
@@ -112,15 +118,13 @@ def bucket(capacity: float, per_second: float):
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
         level, at = state.get if state.exists else (capacity, None)
-        for rows in batches:
-            rows = rows.sort_values(["ts", "event_id"])
-            allowed = []
-            for t in rows["ts"]:
-                level = min(capacity, level + per_second * max(0.0, t - at)) if at is not None else capacity
-                at = t
-                allowed.append(level >= 1)
-                level -= level >= 1
-            yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
+        rows, allowed = in_order(batches), []
+        for t in rows["ts"]:
+            level = min(capacity, level + per_second * max(0.0, t - at)) if at is not None else capacity
+            at = t
+            allowed.append(level >= 1)
+            level -= level >= 1
+        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
         state.update((float(level), float(at)))
 
     return run
@@ -134,17 +138,16 @@ def token_bucket(spark, sf):
 
 def apply_stream(rows: DataFrame, transition, target: str) -> DataFrame:
     """Applies transition(state, batch) to the stored state for each micro-batch: a new version of it is written
-    beside the old one, named by the batch, so a batch that is repeated gives the same version."""
-    spark = rows.sparkSession
-    last = {"path": None}
+    beside the old one, named by the batch, so a batch that is repeated gives the same version, and a query
+    that is started again goes on from the version of the batch before."""
+    spark, at = rows.sparkSession, f"{target}/state"
 
     def step(batch: DataFrame, number: int) -> None:
-        state = spark.read.parquet(last["path"]) if last["path"] else None
-        transition(state, batch).write.mode("overwrite").parquet(path := f"{target}/v{number}")
-        last["path"] = path
+        state = batch.sparkSession.read.parquet(f"{at}/v={number - 1}") if number else None
+        transition(state, batch).write.mode("overwrite").parquet(f"{at}/v={number}")
 
     rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last["path"])
+    return spark.read.parquet(f"{at}/v={spark.read.parquet(at).agg(F.max('v')).first()[0]}")
 
 
 @query("SELECT user_id, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY 1")
