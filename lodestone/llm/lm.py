@@ -1,35 +1,41 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
-
-Words are 64-bit hashes, tokens of the model their ranks. The trie is cut into shards by the first word's
-hash; shard and level have files of their own in shared storage, which the tasks map into memory.
-A level holds its n-grams as one monotone sequence, context position * V + rank of the last word, in
-Elias-Fano form: the low bits packed, the high bits in unary. The sequence of each context begins at
-a monotone pointer that its high bits give, and an n-gram is looked up by the successor of its
-key relative to its context. Beside each n-gram stand 8-bit codes of its
-smoothed log-probability and of its back-off weight.
-
-Probabilities are interpolated absolute discounting over add-one unigrams. Above order one, n-grams
-seen less often than `least` are left out (their mass goes to the back-off), and so nothing above
-them is counted; the registered query leaves out none. All counts are taken over the whole training
-fold by Spark aggregations.
+"""Language-model scores from an Elias-Fano n-gram trie in shards.
+
+Words are 64-bit hashes; the vocabulary gives each its rank and its exact count, and is the only part every task
+maps. N-grams up to trigrams, none left out, are dealt to shards by their middle word: the one before the word
+that is predicted. A middle word that has more tokens than a shard is split further by the word before it.
+A task takes one shard: it counts the shard's n-grams and writes its levels as one file, or maps
+that file and looks up the tokens dealt to it, whose sums per document are then added up. So no task reads the
+whole trie, and a hot word is spread over many.
+
+A shard's levels are monotone sequences in Elias-Fano form (low bits packed, high bits in unary): its middle words;
+bigrams as middle word's position * V + rank; contexts of two words, middle word first; trigrams as
+context's position * V + rank. The sequence of each context begins at a monotone pointer that the high bits give,
+and an n-gram is looked up by the successor of its key relative to its context. Beside each n-gram stands
+an 8-bit code of its smoothed log-probability, beside each context one of its back-off weight.
+
+Probabilities are interpolated absolute discounting over add-one unigrams. All counts are taken over the
+whole training fold.
 """
 
 from __future__ import annotations
 
-import io
 import json
+import struct
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, filesystem, put, table, word_hashes, work_path
+from .common import crc_fold, filesystem, mix, put, table, word_hashes, work_path, written
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 DISCOUNT = 0.75
-ORDER = 3  # of the registered query, which counts n-grams seen once too
+PARCEL = 1_000_000  # tokens that are dealt together
 U = np.uint64
 
 
@@ -113,100 +119,131 @@ def codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.where(n > 0, sums / np.maximum(n, 1), 0).astype(np.float32)
 
 
-def saved(folder: str, level: int, shard: int, arrays: dict[str, np.ndarray]) -> None:
+def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file: the head's length, a head of names, types and places, and the arrays."""
+    places, parts, at = {}, [], 0
     for name, x in arrays.items():
-        np.save(out := io.BytesIO(), x)
-        put(f"{folder}/{level}-{shard}-{name}.npy", [out.getvalue()])
-
-
-def mapped(folder: str, level: int, shard: int, name: str) -> np.ndarray:
-    """The array, mapped into memory where storage is mounted, else read."""
-    store, path = filesystem(f"{folder}/{level}-{shard}-{name}.npy")
+        raw = np.ascontiguousarray(x).tobytes()
+        places[name] = (x.dtype.str, len(x), at)
+        parts += [raw, bytes(-len(raw) % 64)]
+        at += len(raw) + len(parts[-1])
+    head = json.dumps(places).encode()
+    head += b" " * (-(len(head) + 8) % 64)
+    put(uri, [struct.pack("<Q", len(head)), head, *parts])
+
+
+def load_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays, mapped into memory where storage is mounted, else read."""
+    store, path = filesystem(uri)
     if store.type_name == "local":
-        return np.load(path, mmap_mode="r")
-    with store.open_input_file(path) as f:
-        return np.load(io.BytesIO(f.read()))
-
-
-class Level:
-    def __init__(self, folder: str, level: int, shard: int):
-        get = lambda name: mapped(folder, level, shard, name)
-        self.keys = EliasFano(*(get(f) for f in EliasFano.FIELDS))
-        self.prob, self.back, self.book, self.back_book = get("prob"), get("back"), get("book"), get("back_book")
-        self.counts = get("counts") if level == 1 else None  # of other levels only the builder needs them
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with store.open_input_file(path) as f:
+            raw = np.frombuffer(f.read(), np.uint8)
+    begin = 8 + int(raw[:8].view("<u8")[0])
+    return {name: raw[begin + at : begin + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in json.loads(bytes(raw[8:begin])).items()}
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, in the narrowest type, byte plane after byte plane, compressed."""
+    out, press = [], zstandard.ZstdCompressor(1)
+    for x in arrays:
+        small = x.astype(np.min_scalar_type(int(x.max()))) if len(x) else np.empty(0, np.uint8)
+        body = press.compress(small.view(np.uint8).reshape(len(x), small.itemsize).T.tobytes())
+        out += [struct.pack("<BQQ", small.itemsize, len(x), len(body)), body]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at, press = [], 0, zstandard.ZstdDecompressor()
+    while at < len(data):
+        width, n, size = struct.unpack_from("<BQQ", data, at)
+        at += struct.calcsize("<BQQ")
+        planes = np.frombuffer(press.decompress(data[at : at + size], max_output_size=width * n), np.uint8).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        at += size
+    return out
 
 
-class Trie:
-    """The levels that are written so far."""
+class Vocabulary:
+    """Ranks and counts of words, in shards by the word's hash."""
 
-    def __init__(self, folder: str, levels: int):
+    def __init__(self, folder: str):
         with (lambda s, p: s.open_input_file(p))(*filesystem(f"{folder}/meta.json")) as f:
             self.meta = json.loads(f.read())
         self.shift = U(64 - self.meta["shard_bits"])
-        self.shards = 1 << self.meta["shard_bits"]
-        self.offsets, self.size = np.array(self.meta["offsets"], np.int64), self.meta["words"]
-        self.levels = [[Level(folder, n, s) for s in range(self.shards)] for n in range(1, levels + 1)]
-        self.unknown = -np.log10(self.meta["tokens"] + self.size + 1)
+        self.offsets, self.size, self.tokens = np.array(self.meta["offsets"], np.int64), self.meta["words"], self.meta["tokens"]
+        self.shards = [load_arrays(f"{folder}/words-{s}.bin") for s in range(len(self.offsets))]
+        self.keys = [EliasFano(*(x[f] for f in EliasFano.FIELDS)) for x in self.shards]
+        self.total = self.tokens + self.size + 1
 
     def by_shard(self, shard: np.ndarray):
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        cuts = np.searchsorted(shard[order], np.arange(len(self.offsets) + 1))
         return [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
-    def ranks(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Global rank of each hash (-1: unknown), and its shard."""
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """Rank of each hash; -1: unknown."""
         words, inverse = np.unique(hashes, return_inverse=True)
         shard, out = (words >> self.shift).astype(np.int64), np.full(len(words), -1)
         for s, at in self.by_shard(shard):
-            local = self.levels[0][s].keys.find(words[at] - (U(s) << self.shift))
+            local = self.keys[s].find(words[at] - (U(s) << self.shift))
             out[at] = np.where(local >= 0, local + self.offsets[s], -1)
-        return out[inverse], shard[inverse]
+        return out[inverse]
+
+    def counts(self, ranks: np.ndarray) -> np.ndarray:
+        """Training counts; 0 for -1 and the size."""
+        words, inverse = np.unique(ranks, return_inverse=True)
+        out, known = np.zeros(len(words), np.int64), np.flatnonzero((words >= 0) & (words < self.size))
+        shard = np.searchsorted(self.offsets, words[known], "right") - 1
+        for s, at in self.by_shard(shard):
+            out[known[at]] = self.shards[s]["counts"][words[known[at]] - self.offsets[s]]
+        return out[inverse]
+
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 1.0) / self.total
 
-    def positions(self, ranks: np.ndarray, shard: np.ndarray, starts: np.ndarray, top: int) -> list[np.ndarray]:
-        """For n = 1..top, the position in its shard's level n of the n-gram that ends at each token (-1: none).
+    def splits(self, words: np.ndarray) -> np.ndarray:
+        """Over how many shards the n-grams with this middle word are dealt."""
+        return np.minimum(1 + self.counts(words) // self.meta["tokens_per_shard"], self.meta["parts"])
 
-        Tokens are those of many texts; starts: True at each first one, over which no n-gram reaches.
-        shard is that of the n-gram's first word.
+    def first_part(self, words: np.ndarray) -> np.ndarray:
+        return (mix(words.astype(U) + U(1)) % U(self.meta["parts"])).astype(np.int64)
+
+    def by_part(self, mid: np.ndarray, left: np.ndarray, right: np.ndarray, other: np.ndarray | None = None):
+        """(shard, packed n-grams) of every shard that gets some; left: rank + 1, or 0 for none.
+
+        Without other, equal n-grams are one with their count; with it, it is packed in place of the count.
         """
-        out = [np.where(ranks >= 0, ranks - self.offsets[shard], -1)]
-        for n in range(2, top + 1):
-            prev, pos = out[-1], np.full(len(ranks), -1)
-            can = np.flatnonzero((prev[:-1] >= 0) & (ranks[1:] >= 0) & ~starts[1:]) + 1
-            first = shard[can - (n - 1)]
-            keys = prev[can - 1].astype(U) * U(self.size) + ranks[can].astype(U)
-            for s, at in self.by_shard(first):
-                unique, inverse = np.unique(keys[at], return_inverse=True)
-                pos[can[at]] = self.levels[n - 1][s].keys.find(unique)[inverse]
-            out.append(pos)
-        return out
-
-    def log_probs(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's probability, and its training count (0: unknown)."""
-        ranks, shard = self.ranks(hashes)
-        positions = self.positions(ranks, shard, starts, len(self.levels))
-        p, counts = np.full(len(ranks), self.unknown), np.zeros(len(ranks), np.int64)
-        for s, at in self.by_shard(np.where(ranks >= 0, shard, self.shards - 1)):
-            at = at[ranks[at] >= 0]
-            level, pos = self.levels[0][s], positions[0][at]
-            p[at], counts[at] = level.book[level.prob[pos]], level.counts[pos]
-        for n in range(2, len(self.levels) + 1):
-            context = np.append(-1, positions[n - 2][:-1])
-            context[starts] = -1
-            at = np.flatnonzero(context >= 0)
-            first = np.zeros(len(ranks), np.int64)
-            first[n - 1 :] = shard[: len(shard) - n + 1]
-            for s, each in self.by_shard(first[at]):
-                i = at[each]
-                found = positions[n - 1][i]
-                below, level = self.levels[n - 2][s], self.levels[n - 1][s]
-                backed = p[i] + below.back_book[below.back[context[i]]]
-                p[i] = np.where(found >= 0, level.book[level.prob[np.maximum(found, 0)]] if level.keys.n else 0.0, backed)
-        return p, counts
-
-
-@lru_cache(4)
-def trie(folder: str, levels: int) -> Trie:
-    return Trie(folder, levels)
+        words, at = np.unique(mid, return_inverse=True)
+        splits = self.splits(words)[at]
+        part = (self.first_part(words)[at] + (mix(left.astype(U)) % splits.astype(U)).astype(np.int64)) % self.meta["parts"]
+        context = at * (self.size + 1) + left
+        order = np.lexsort((right, context, part) if other is None else (context, part))
+        mid, left, right, part, context = (x[order] for x in (mid, left, right, part, context))
+        fresh = np.append(True, context[1:] != context[:-1]) if len(context) else np.empty(0, bool)
+        if other is None:
+            each = np.flatnonzero(fresh | np.append(True, right[1:] != right[:-1]))
+            other = np.diff(each, append=len(right))
+            mid, left, right, part, fresh = (x[each] for x in (mid, left, right, part, fresh))
+        else:
+            other = other[order]
+        cuts = np.searchsorted(part, np.arange(self.meta["parts"] + 1))
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if b > a:
+                begins = a + np.flatnonzero(fresh[a:b])
+                yield p, pack(np.diff(mid[begins], prepend=0), left[begins], np.diff(begins, append=b), right[a:b], other[a:b])
+
+
+def grams(data: bytes) -> tuple[np.ndarray, ...]:
+    """mid, left, right, other of by_part's packed n-grams."""
+    steps, left, runs, right, other = unpack(data)
+    return np.repeat(np.cumsum(steps), runs), np.repeat(left, runs), right, other
+
+
+@lru_cache(2)
+def vocabulary(folder: str) -> Vocabulary:
+    return Vocabulary(folder)
 
 
 def tokens_of(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -228,223 +265,363 @@ def text_groups(batch, column: int, chars: int = 1_000_000):
         yield first, group
 
 
-def _marks(lengths: np.ndarray) -> np.ndarray:
-    starts = np.zeros(int(lengths.sum()), bool)
-    starts[np.cumsum(lengths)[:-1]] = True
-    starts[:1] = True
-    return starts
+def count_unigrams(batches):
+    """Words and their counts, merged in memory and handed on when they are many."""
+    parts, size = [], 0
 
+    def merged():
+        words, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        each, at = np.unique(words, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(np.bincount(at, counts).astype(np.int64))], names=["word", "c"])
 
-class _Counter:
-    """Counts of keys, and values that go with them if there are any, merged in memory and handed on when they are many."""
+    for batch in batches:
+        for _, texts in text_groups(batch, 0):
+            parts.append(np.unique(tokens_of(texts)[0], return_counts=True))
+            size += len(parts[-1][0])
+            if size > PARCEL:
+                yield merged()
+                size = 0
+    if parts:
+        yield merged()
 
-    def __init__(self, most: int = 1_000_000):
-        self.most, self.parts, self.size = most, [], 0
 
-    def add(self, keys: np.ndarray, values: np.ndarray | None = None):
-        if len(keys):
-            found, at, counts = np.unique(keys, return_index=True, return_counts=True)
-            self.parts.append((found, counts, None if values is None else values[at]))
-            self.size += len(found)
-        if self.size > self.most:
-            yield from self.flush()
+def write_words(folder: str, shard_bits: int):
+    """Writes each shard of the vocabulary: its words in order, and their counts."""
 
-    def flush(self):
-        if self.parts:
-            keys, counts = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            values = None if self.parts[0][2] is None else np.concatenate([p[2] for p in self.parts])[order][first]
-            yield keys[first], np.add.reduceat(counts, first), values
-        self.parts, self.size = [], 0
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            for s in np.unique(shards):
+                held.setdefault(int(s), []).append([batch.column(c).to_numpy()[shards == s] for c in ("word", "c")])
+        for s, parts in held.items():
+            word, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield write_word_shard(folder, s, shard_bits, word.view(U), c)
 
+    return run
 
-def count_unigrams(batches):
-    counter = _Counter()
 
-    def rows(found):
-        for k, c, _ in found:
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["word", "c"])
+def write_word_shard(folder: str, shard: int, shard_bits: int, word: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(word)
+    keys = EliasFano.build(word[order] - (U(shard) << U(64 - shard_bits)), 1 << (64 - shard_bits))
+    save_arrays(f"{folder}/words-{shard}.bin", {f: getattr(keys, f) for f in EliasFano.FIELDS} | {"counts": c[order]})
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(c)], pa.int64())], names=["shard", "n"])
 
-    for batch in batches:
-        for _, texts in text_groups(batch, 0):
-            yield from rows(counter.add(tokens_of(texts)[0]))
-    yield from rows(counter.flush())
 
+def contexts(vocabulary: Vocabulary, texts) -> tuple[np.ndarray, ...]:
+    """Of each token of texts: its text's place, its rank and those of the word before and of the one before that (-1: unknown, or none); and the texts' lengths."""
+    hashes, lengths = tokens_of(texts)
+    right, starts = vocabulary.ranks(hashes), np.zeros(len(hashes), bool)
+    starts[np.cumsum(lengths)[:-1]] = True
+    starts[:1] = True
+    mid = np.append(-1, right[:-1])
+    mid[starts] = -1
+    left = np.append(-1, mid[:-1])
+    left[starts] = -1
+    return np.repeat(np.arange(len(lengths)), lengths), right, mid, left, lengths
 
-def count_ngrams(folder: str, order: int):
-    """n-grams of `order` whose context is in the trie: (shard, key, count, lower).
 
-    lower is log10 of the last word's probability after one word of context less, from the levels so far; 0 for
-    bigrams, whose writer has the unigrams at hand.
-    """
+def rows_of(found) -> pa.RecordBatch:
+    """Batch of (parcel, part, data)."""
+    parcel, part, data = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(parcel, pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["parcel", "part", "data"])
+
+
+def deal_grams(folder: str):
+    """The n-grams of training texts, counted parcel by parcel."""
 
     def run(batches):
-        model = trie(folder, order - 1)
-        counters = [_Counter(1_000_000 // model.shards + 30_000) for _ in range(model.shards)]
+        model, held, size = vocabulary(folder), [], 0
 
-        def rows(shard, found):
-            for k, c, low in found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int32)), pa.array(k.view(np.int64)), pa.array(c), *([pa.array(low)] if order > 2 else [])], names=COUNTED[order > 2])
+        def deal():
+            mid, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return rows_of([(0, p, data) for p, data in model.by_part(mid, left + 1, right)])
 
         for batch in batches:
             for _, texts in text_groups(batch, 0):
-                hashes, lengths = tokens_of(texts)
-                ranks, shard = model.ranks(hashes)
-                starts = _marks(lengths)
-                context = np.append(-1, model.positions(ranks, shard, starts, order - 1)[-1][:-1])
-                context[starts] = -1
-                at = np.flatnonzero((context >= 0) & (ranks >= 0))
-                keys = context[at].astype(U) * U(model.size) + ranks[at].astype(U)
-                lower = model.log_probs(hashes, starts)[0][at] if order > 2 else None
-                for s, each in model.by_shard(shard[at - (order - 1)]):
-                    yield from rows(s, counters[s].add(keys[each], None if lower is None else lower[each]))
-        for s, counter in enumerate(counters):
-            yield from rows(s, counter.flush())
+                _, right, mid, left, _ = contexts(model, texts)
+                known = mid >= 0
+                held.append((mid[known], left[known], right[known]))
+                size += int(known.sum())
+                if size >= PARCEL:
+                    yield deal()
+                    size = 0
+        if size:
+            yield deal()
 
     return run
 
 
-COUNTED = (["shard", "key", "c"], ["shard", "key", "c", "lower"])
+SPLIT = "mid long, right long, c long, part int"
 
 
-def by_shard_rows(batches, columns: list[str]):
-    """(shard, columns as arrays) from batches sorted by shard."""
-    held, shard = [], None
-    for batch in batches:
-        shards = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b == a:
-                continue
-            if shard is not None and shards[a] != shard:
-                yield shard, [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            shard = int(shards[a])
-            held.append([batch.column(c).to_numpy()[a:b] for c in columns])
-    if held:
-        yield shard, [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-DONE = "shard int, n long"
-
+def count_part(folder: str):
+    """Stores a shard's n-grams and their counts; returns the bigrams of words that are split over shards, for each of these."""
 
-def write_unigrams(folder: str, tokens: int, words: int, shard_bits: int):
     def run(batches):
-        for shard, (word, c) in by_shard_rows(batches, ["word", "c"]):
-            local = word.view(U) - (U(shard) << U(64 - shard_bits))
-            order = np.argsort(local)
-            local, c = local[order], c[order]
-            keys = EliasFano.build(local, 1 << (64 - shard_bits))
-            prob, book = codes(np.log10((c + 1.0) / (tokens + words + 1)))
-            saved(folder, 1, shard, {f: getattr(keys, f) for f in EliasFano.FIELDS} | {"counts": c, "prob": prob, "book": book})
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(c)], pa.int64())], names=["shard", "n"])
+        model, held = vocabulary(folder), {}
+        for batch in batches:
+            for p, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                held.setdefault(p, []).append(data.as_py())
+        for p, blocks in held.items():
+            mid, left, right, c = (np.concatenate(x) for x in zip(*map(grams, blocks), strict=True))
+            blocks.clear()
+            words, at = np.unique(mid, return_inverse=True)
+            context = at * (model.size + 1) + left
+            order = np.lexsort((right, context))
+            context, right = context[order], right[order]
+            each = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (right[1:] != right[:-1])))
+            c = np.add.reduceat(c[order], each)
+            mid, left, right = mid[order][each], left[order][each], right[each]
+            put(f"{folder}/counted-{p}.bin", [pack(np.diff(mid, prepend=0), left, right, c)])
+            splits = model.splits(words)
+            hot = words[splits > 1]
+            own = np.flatnonzero(np.isin(mid, hot))
+            if len(own):
+                both, at = np.unique(np.searchsorted(hot, mid[own]) * model.size + right[own], return_inverse=True)
+                sums, of, last = np.bincount(at, c[own]).astype(np.int64), both // model.size, both % model.size
+                times, first = splits[splits > 1][of], model.first_part(hot)[of]
+                for j in range(int(times.max())):
+                    to = np.flatnonzero(times > j)
+                    yield pa.RecordBatch.from_arrays([pa.array(hot[of[to]]), pa.array(last[to]), pa.array(sums[to]), pa.array(((first[to] + j) % model.meta["parts"]).astype(np.int32))], names=["mid", "right", "c", "part"])
 
     return run
 
 
-def write_level(folder: str, order: int, top: int):
-    """Writes a shard's level of `order`, and the back-off weights of the level below; counts only under another level."""
+def write_part(folder: str):
+    """Writes each shard's levels, from its stored counts and the bigrams of split words: rows (part, mid, right, c), mid null in one row of every shard."""
 
     def run(batches):
-        model = None
-        for shard, (key, c, *low) in by_shard_rows(batches, COUNTED[order > 2][1:]):
-            model = model or Trie(folder, 0)
-            sort = np.argsort(key.view(U))
-            key, c = key.view(U)[sort], c[sort].astype(float)
-            counts = mapped(folder, order - 1, shard, "counts")
-            context, word = (key // U(model.size)).astype(np.int64), (key % U(model.size)).astype(np.int64)
-            kept = c - DISCOUNT
-            back = 1 - np.bincount(context, kept, len(counts)) / np.maximum(counts, 1)
-            back = np.maximum(back, 1e-9)
-            lower = 10 ** low[0][sort] if low else unigram_probability(folder, model, word)
-            prob, book = codes(np.log10(kept / counts[context] + back[context] * lower))
-            back_code, back_book = codes(np.log10(back))
-            keys = EliasFano.build(key, len(counts) * model.size)
-            saved(folder, order, shard, {f: getattr(keys, f) for f in EliasFano.FIELDS} | {"prob": prob, "book": book} | ({"counts": c.astype(np.int64)} if order < top else {}))
-            saved(folder, order - 1, shard, {"back": back_code, "back_book": back_book})
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(c)], pa.int64())], names=["shard", "n"])
+        model, held = vocabulary(folder), {}
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            for p in np.unique(part):
+                held.setdefault(int(p), []).append(batch.filter(pa.array(part == p)))
+        for p, parts in held.items():
+            rows = pa.Table.from_batches(parts)
+            rows = rows.filter(pc.is_valid(rows["mid"]))
+            save_arrays(f"{folder}/grams-{p}.bin", levels(model, stored_counts(folder, p), *(rows[c].to_numpy() for c in ("mid", "right", "c"))))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], names=["part"])
 
     return run
 
 
-def unigram_probability(folder: str, model: Trie, ranks: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ranks))
-    shard = np.searchsorted(model.offsets, ranks, "right") - 1
-    for s in np.unique(shard):
-        at = np.flatnonzero(shard == s)
-        out[at] = (mapped(folder, 1, int(s), "counts")[ranks[at] - model.offsets[s]] + 1.0) / (model.meta["tokens"] + model.size + 1)
+def stored_counts(folder: str, part: int) -> list[np.ndarray]:
+    store, path = filesystem(f"{folder}/counted-{part}.bin")
+    if store.get_file_info(path).type.name != "File":  # no n-gram was dealt to it
+        return [np.empty(0, np.int64)] * 4
+    with store.open_input_file(path) as f:
+        steps, left, right, c = unpack(f.read())
+    return [np.cumsum(steps), left, right, c]
+
+
+def levels(model: Vocabulary, counted, hot_mid: np.ndarray, hot_right: np.ndarray, hot_c: np.ndarray) -> dict[str, np.ndarray]:
+    mid, left, right, c = counted
+    size = model.size
+    words = np.unique(np.concatenate([mid, hot_mid]))
+    at, totals = np.searchsorted(words, mid), model.counts(words)
+
+    own = ~np.isin(mid, hot_mid)  # bigrams of split words come summed over their shards
+    keys = np.concatenate([at[own] * size + right[own], np.searchsorted(words, hot_mid) * size + hot_right])
+    pairs, where = np.unique(keys, return_inverse=True)
+    sums = np.bincount(where, np.concatenate([c[own], hot_c]), len(pairs))
+    kept, of = sums - DISCOUNT, pairs // max(size, 1)
+    back2 = np.maximum(1 - np.bincount(of, kept, len(words)) / np.maximum(totals, 1), 1e-9)
+    p2 = kept / totals[of] + back2[of] * model.probability(model.counts(pairs % max(size, 1)))
+
+    inner = left > 0
+    two = at[inner] * (size + 1) + left[inner]
+    heads, place = np.unique(two, return_inverse=True)
+    kept = c[inner] - DISCOUNT
+    sums = np.bincount(place, c[inner], len(heads))
+    back3 = np.maximum(1 - np.bincount(place, kept, len(heads)) / np.maximum(sums, 1), 1e-9)
+    p3 = kept / sums[place] + back3[place] * p2[np.searchsorted(pairs, at[inner] * size + right[inner])]
+
+    out = {}
+    for name, values, universe in (("word", words, size), ("two", pairs, len(words) * size), ("head", heads, len(words) * (size + 1)), ("three", place * size + right[inner], len(heads) * size)):
+        ef = EliasFano.build(values, max(1, universe))
+        out |= {f"{name}.{f}": getattr(ef, f) for f in EliasFano.FIELDS}
+    for name, values in (("p2", p2), ("p3", p3), ("b2", back2), ("b3", back3)):
+        out[name], out[f"{name}.book"] = codes(np.log10(values))
     return out
 
 
-def empty_level(folder: str, level: int, shard: int) -> None:
-    keys = EliasFano.build(np.empty(0, U), 1)
-    saved(folder, level, shard, {f: getattr(keys, f) for f in EliasFano.FIELDS} | {"counts": np.empty(0, np.int64), "prob": np.empty(0, np.uint8), "book": np.zeros(256, np.float32)})
+class Part:
+    """A shard of the trie."""
+
+    def __init__(self, uri: str):
+        x = load_arrays(uri)
+        self.word, self.two, self.head, self.three = (EliasFano(*(x[f"{n}.{f}"] for f in EliasFano.FIELDS)) for n in ("word", "two", "head", "three"))
+        self.codes = {n: (x[n], x[f"{n}.book"].astype(float)) for n in ("p2", "p3", "b2", "b3")}
 
+    def value(self, name: str, at: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
+        """log10 at each place; missing where that is -1."""
+        code, book = self.codes[name]
+        return np.where(at >= 0, book[code[np.maximum(at, 0)]], missing) if len(code) else np.broadcast_to(missing, at.shape)
 
-def train(docs: DataFrame, folder: str, order: int = 2, tokens_per_shard: int = 16_000_000, least: int = 2) -> dict:
+    def log_probs(self, model: Vocabulary, mid: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability; right: rank, or the vocabulary's size if unknown; left: rank + 1, or 0."""
+        words, inverse = np.unique(mid, return_inverse=True)
+        at = self.word.find(words)[inverse]
+        p = np.log10(model.probability(model.counts(right)))
+        p = self.value("p2", found(self.two, at, right, model.size), p + self.value("b2", at, 0.0))
+        heads = found(self.head, np.where(left > 0, at, -1), left, model.size + 1)
+        return self.value("p3", found(self.three, heads, right, model.size), p + self.value("b3", heads, 0.0))
+
+
+def found(level: EliasFano, context: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """Places of context * size + last; -1 where there is none, no context or no such word."""
+    out, some = np.full(len(context), -1), np.flatnonzero((context >= 0) & (last < size))
+    out[some] = level.find(context[some] * size + last[some])
+    return out
+
+
+def train(docs: DataFrame, folder: str, tokens_per_shard: int = 2_000_000, words_per_shard: int = 2_000_000) -> dict:
     """Builds the trie of docs' texts under folder (shared storage) and returns its meta data.
 
-    Null texts count as empty ones: an end token each. Without documents the model has no words.
+    Null texts count as empty ones: an end token each. Without documents the model has no words. Other columns of
+    docs are ignored.
     """
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    unigrams = texts.mapInArrow(count_unigrams, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    unigrams.write.parquet(f"{folder}/unigrams")
-    unigrams = spark.read.schema("word long, c long").parquet(f"{folder}/unigrams")
+    spark, texts = docs.sparkSession, docs.select("text")
+    unigrams = written(texts.mapInArrow(count_unigrams, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "unigrams")
     total = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, words = int(total[0]), int(total[1])
-    bits = max(3, (tokens // tokens_per_shard).bit_length())
-    shard = F.expr(f"CAST(shiftrightunsigned(word, {64 - bits}) AS INT)")
-    rows = unigrams.select(shard.alias("shard"), "word", "c").repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    sizes = dict(rows.mapInArrow(write_unigrams(folder, tokens, words, bits), DONE).collect())  # one number a shard
+    bits = max(1, (words // words_per_shard).bit_length())
+    rows = unigrams.select(F.expr(f"CAST(shiftrightunsigned(word, {64 - bits}) AS INT)").alias("shard"), "word", "c")
+    sizes = dict(rows.repartitionById(1 << bits, "shard").mapInArrow(write_words(folder, bits), "shard int, n long").collect())  # one number a shard
     offsets = [0]
     for s in range(1 << bits):
         offsets.append(offsets[-1] + sizes.get(s, 0))
         if s not in sizes:
-            empty_level(folder, 1, s)
-    meta = {"order": order, "tokens": tokens, "words": words, "shard_bits": bits, "offsets": offsets[:-1]}
+            write_word_shard(folder, s, bits, np.empty(0, U), np.empty(0, np.int64))
+    parts = 1 + tokens // tokens_per_shard
+    meta = {"tokens": tokens, "words": words, "shard_bits": bits, "offsets": offsets[:-1], "parts": parts, "tokens_per_shard": tokens_per_shard}
     put(f"{folder}/meta.json", [json.dumps(meta).encode()])
-    below = sizes
-    for s in range(1 << bits):  # until the level above is known, nothing is left to the back-off
-        saved(folder, 1, s, {"back": np.zeros(below.get(s, 0), np.uint8), "back_book": np.zeros(256, np.float32)})
-    for n in range(2, order + 1):
-        sums = [F.sum("c").alias("c"), *([F.max("lower").alias("lower")] if n > 2 else [])]
-        grams = texts.mapInArrow(count_ngrams(folder, n), "shard int, key long, c long" + ", lower double" * (n > 2)).groupBy("shard", "key").agg(*sums).where(F.col("c") >= least)
-        done = dict(grams.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(write_level(folder, n, order), DONE).collect())  # one number a shard
-        for s in range(1 << bits):
-            if s not in done:
-                empty_level(folder, n, s)
-            saved(folder, n, s, {"back": np.zeros(done.get(s, 0), np.uint8), "back_book": np.zeros(256, np.float32)})
+
+    dealt = texts.mapInArrow(deal_grams(folder), "parcel long, part int, data binary").repartitionById(parts, "part")
+    split = written(dealt.mapInArrow(count_part(folder), SPLIT), "split")
+    split = split.groupBy("part", "mid", "right").agg(F.sum("c").alias("c"))
+    every = spark.range(parts).select(F.col("id").cast("int").alias("part"), *[F.lit(None).cast("long").alias(c) for c in ("mid", "right", "c")])
+    written(every.union(split).repartitionById(parts, "part").mapInArrow(write_part(folder), "part int"), "parts").count()
     return meta
 
 
-def score(docs: DataFrame, folder: str, meta: dict) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of docs.
+def deal_tokens(folder: str):
+    """Every token with a known word before it, dealt to the shards, and one row (part, data) of each parcel with its documents.
 
-    base_score sums log10 of add-one unigrams with exact counts, score those of the trie. A null text counts as empty: its
-    end token alone. Rows that repeat are scored as often as they come; other columns are ignored.
+    The latter has id, whether it is null, tokens, known tokens, base score, and the score of the tokens without context.
     """
-    log_n = np.log10(meta["tokens"] + meta["words"] + 1)
-    order = meta["order"]
 
     def run(batches):
-        model = trie(folder, order)
+        model, at = vocabulary(folder), TaskContext.get().partitionId() << 24
+        held, docs, size = [], [], 0
+
+        def deal(parcel):
+            mid, left, right, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            facts = [np.concatenate(x) for x in zip(*docs, strict=True)]
+            held.clear()
+            docs.clear()
+            head = pack(*[x.view(U) if x.dtype == float else x.astype(np.int64).view(U) for x in facts])
+            return rows_of([(parcel, parcel % model.meta["parts"], b"d" + head), *((parcel, p, b"t" + data) for p, data in model.by_part(mid, left, right, doc))])
+
         for batch in batches:
             for first, texts in text_groups(batch, 1):
-                hashes, lengths = tokens_of(texts)
-                p, counts = model.log_probs(hashes, _marks(lengths))
-                begin = np.append(0, np.cumsum(lengths)[:-1])
-                base = np.add.reduceat(np.log10(counts + 1.0) - log_n, begin)
-                known = np.add.reduceat((counts > 0).astype(np.int64), begin)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(lengths), pa.array(known), pa.array(base), pa.array(np.add.reduceat(p, begin))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                doc, right, mid, left, lengths = contexts(model, texts)
+                begin, counts = np.append(0, np.cumsum(lengths)[:-1]), model.counts(right)
+                logs, known = np.log10(model.probability(counts)), mid >= 0
+                ids = batch.column(0).slice(first, len(texts))
+                docs.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), lengths, np.add.reduceat(counts > 0, begin, dtype=np.int64), np.add.reduceat(logs, begin), np.add.reduceat(np.where(known, 0.0, logs), begin)))
+                before = sum(len(x[0]) for x in docs) - len(texts)
+                held.append((mid[known], left[known] + 1, np.where(right < 0, model.size, right)[known], doc[known] + before))
+                size += len(right)
+                if size >= PARCEL:
+                    yield deal(at)
+                    at, size = at + 1, 0
+        if docs:
+            yield deal(at)
+
+    return run
+
+
+def score_part(folder: str, tokens: int = 500_000):
+    """Rows of documents as they are, and for each block of tokens the sums of its documents' log-probabilities."""
+
+    def run(batches):
+        model, part, shard, held, size = vocabulary(folder), None, None, [], 0
+
+        def judge():
+            blocks = [grams(data) for _, data in held]
+            p = shard.log_probs(model, *(np.concatenate([b[i] for b in blocks]) for i in range(3)))
+            out, at = [], 0
+            for (parcel, _), (_, _, _, doc) in zip(held, blocks, strict=True):
+                some, inverse = np.unique(doc, return_inverse=True)
+                out.append((parcel, part, b"t" + pack(some, np.bincount(inverse, p[at : at + len(doc)]).view(U))))
+                at += len(doc)
+            held.clear()
+            return rows_of(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        for batch in batches:
+            for parcel, p, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if data[:1] == b"d":
+                    yield rows_of([(parcel, p, data)])
+                    continue
+                if held and (p != part or size >= tokens):
+                    yield judge()
+                    size = 0
+                if p != part:
+                    part, shard = p, Part(f"{folder}/grams-{p}.bin")
+                held.append((parcel, data[1:]))
+                size += struct.unpack_from("<BQQ", data, 1)[1] * 4
+        if held:
+            yield judge()
+
+    return run
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def add_up(batches):
+    """Documents of each parcel, from its rows, which come together."""
+
+    def close(rows):
+        facts = next(unpack(x[1:]) for x in rows if x[:1] == b"d")
+        ids, null, n, known, base, score = facts
+        base, score = base.view(float), score.view(float).copy()
+        for x in rows:
+            if x[:1] == b"t":
+                doc, sums = unpack(x[1:])
+                score[doc] += sums.view(float)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    at, rows = None, []
+    for batch in batches:
+        for parcel, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            if rows and parcel != at:
+                yield close(rows)
+                rows = []
+            at = parcel
+            rows.append(data.as_py())
+    if rows:
+        yield close(rows)
+
+
+def score(docs: DataFrame, folder: str, meta: dict) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of docs.
+
+    base_score sums log10 of add-one unigrams with exact counts, score those of the trie. A null text counts as empty: its
+    end token alone. Rows that repeat are scored as often as they come; other columns are ignored. docs must be a scan
+    of a stored table, which gives the same partitions each time, so a repeated task makes the same parcels.
+    """
+    rows = "parcel long, part int, data binary"
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal_tokens(folder), rows).repartitionById(meta["parts"], "part")
+    return dealt.mapInArrow(score_part(folder), rows).repartition("parcel").sortWithinPartitions("parcel", "part").mapInArrow(add_up, SCORED)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    meta = train(docs.where(F.coalesce(crc_fold("doc_id", 7) != 2, F.lit(True))), folder := work_path(spark, "trie"), order=ORDER, least=1)
+    meta = train(docs.where(F.coalesce(crc_fold("doc_id", 7) != 2, F.lit(True))), folder := work_path(spark, "trie"))
     held_out = F.coalesce(crc_fold("doc_id", 7) == 2, F.lit(False))
     return score(docs, folder, meta).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(meta["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -184,28 +184,69 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # the context helps on texts not learnt from
 
 
-def test_trie_probabilities_sum_to_one(spark):
-    texts = ["a b a b c", "a b c", "b a", "a a b", ""] * 3
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for order in (2, 3):
+class Plain:
+    """The same interpolated model in dictionaries."""
+
+    def __init__(self, texts):
+        self.one, self.two, self.three, self.of2, self.of3 = (Counter() for _ in range(5))
+        for w in texts:
+            self.one.update(w)
+            for i in range(1, len(w)):
+                self.two[w[i - 1], w[i]] += 1
+                if i > 1:
+                    self.three[w[i - 2], w[i - 1], w[i]] += 1
+        self.total = sum(self.one.values()) + len(self.one) + 1
+        self.sums2, self.sums3 = Counter(), Counter()
+        for (a, _), c in self.two.items():
+            self.sums2[a] += c
+            self.of2[a] += 1
+        for (a, b, _), c in self.three.items():
+            self.sums3[a, b] += c
+            self.of3[a, b] += 1
+
+    def p(self, before, w):
+        p = (self.one[w] + 1) / self.total
+        if before and self.sums2[before[-1]]:
+            n = self.sums2[before[-1]]
+            p = max(self.two[before[-1], w] - 0.75, 0) / n + 0.75 * self.of2[before[-1]] / n * p
+        if len(before) > 1 and self.sums3[before[-2:]]:
+            n = self.sums3[before[-2:]]
+            p = max(self.three[(*before[-2:], w)] - 0.75, 0) / n + 0.75 * self.of3[before[-2:]] / n * p
+        return p
+
+
+def plain_words(text):
+    return (*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), None)
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    """Over every document, with shards of so few tokens that common words are split over several."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    rows = [(i, plain_words(t)) for i, t in docs.collect()]
+    model = Plain([w for i, w in rows if i % 7])
+    for context in (rows[1][1][:1], rows[1][1][:2], rows[2][1][4:6]):
+        assert abs(sum(model.p(context, w) for w in model.one) + model.p(context, "no such word") - 1) < 1e-6
+    for size in (2_000_000, 5_000):
         folder = work_path(spark, "trie")
-        meta = lm.train(docs, folder, order=order)
-        model = lm.Trie(folder, order)
-        vocabulary = np.append(lm.word_hashes("a b c"), lm.END)
-        for context in ("a", "b", "a b"):
-            head = lm.word_hashes(context)
-            mass = 0.0
-            for w in vocabulary:
-                hashes = np.append(head, w)
-                starts = np.zeros(len(hashes), bool)
-                starts[0] = True
-                mass += 10 ** model.log_probs(hashes, starts)[0][-1]
-            unknown = np.append(head, np.uint64(12345))
-            starts = np.zeros(len(unknown), bool)
-            starts[0] = True
-            mass += 10 ** model.log_probs(unknown, starts)[0][-1]
-            assert abs(mass - 1) < 0.01, (order, context, mass)  # 8-bit codes
-        assert meta["words"] == 4
+        meta = lm.train(docs.where("doc_id % 7 <> 0"), folder, tokens_per_shard=size)
+        found = {r.doc_id: r.score for r in lm.score(docs, folder, meta).collect()}
+        for i, w in rows:
+            want = sum(np.log10(model.p(w[max(0, j - 2) : j], x)) for j, x in enumerate(w))
+            assert abs(found[i] - want) < 0.02 * len(w) ** 0.5 + 0.004 * len(w), (i, len(w), found[i], want)
+
+
+def test_split_words_give_the_same_scores(spark):
+    r = random.Random(3)
+    texts = [" ".join("hot" if r.random() < 0.4 else f"w{r.randrange(30)}" for _ in range(r.randrange(60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    docs.write.parquet(at := work_path(spark, "docs"))
+    docs, model = spark.read.parquet(at), Plain([plain_words(t) for t in texts])
+    for size in (1_000_000, 100):
+        meta = lm.train(docs, folder := work_path(spark, "trie"), tokens_per_shard=size)
+        assert size > 100 or lm.Vocabulary(folder).splits(np.arange(meta["words"])).max() > 4
+        for d, score in lm.score(docs, folder, meta).select("doc_id", "score").collect():
+            w = plain_words(texts[d])
+            assert abs(score - sum(np.log10(model.p(w[max(0, j - 2) : j], x)) for j, x in enumerate(w))) < 0.01 * len(w)
 
 
 def test_elias_fano():
