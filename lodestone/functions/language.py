@@ -35,6 +35,7 @@ def despace_line(spark, sf):
     return spark.createDataFrame([(x,) for x in SCATTERED], "line string").select("line", despaced(F.col("line")).alias("joined"))
 
 
+#: Letters and onsets of Vietnamese: fixed values.
 VOWELS = "aeiouyăâêôơưàáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ"
 TONED = "àáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ"
 ONSETS = "ngh|ch|gh|gi|kh|ng|nh|ph|qu|th|tr|[bcdđghklmnpqrstvx]"
@@ -51,29 +52,46 @@ def split_syllables(spark, sf):
     return spark.createDataFrame([(x,) for x in ("thông", "quyđịnh", "cơsở", "banana", "hợpđồng")], "token string").select("token", syllables(F.col("token")).alias("split"))
 
 
-RUN = re.compile(r"\[\s*[*^]?\s*\d{1,3}\s*\](?:\s*\[\s*[*^]?\s*\d{1,3}\s*\])*")
-ONE = re.compile(r"\d{1,3}")
+#: A citation mark, what names an internal id, and what an emptied bracket may still hold: fixed values.
+MARK = re.compile(r"\[\s*[*^]?\s*(\d{1,3})\s*\]")
+ID_NAMES = ("article id", "bài viết id", "mã bài viết", "nguồn id", "source id")
+EMPTIED = ("", "theo", "theo kết quả đọc:")
 
+_NAMES = "|".join(r"[\s_]*".join(name.split()) for name in ID_NAMES)
+LEAKED = re.compile(rf"\s*[(\[]?\s*(?:{_NAMES})\s*[:=#]?\s*\d+\s*[)\]]?", re.IGNORECASE)
+HOLLOW = re.compile(rf"\(\s*(?:{'|'.join(EMPTIED)})\s*\)", re.IGNORECASE)
 
-def cited(answer: str | None, n: int) -> tuple[str, int]:
-    """Citation marks in one form; those out of range are dropped and counted, repeats in a run are joined."""
-    dropped = 0
 
-    def run(m: re.Match) -> str:
-        nonlocal dropped
-        numbers = [int(x) for x in ONE.findall(m[0])]
-        kept = list(dict.fromkeys(x for x in numbers if 1 <= x <= n))
-        dropped += sum(not 1 <= x <= n for x in numbers)
-        return "".join(f"[^{x}]" for x in kept)
+def tidy(text: str) -> str:
+    """Without hollow brackets, runs of blanks, and blanks before a closing mark."""
+    lines = [re.sub("[ \t][ \t]+", " ", line) for line in HOLLOW.sub("", text).split("\n")]
+    return re.sub(r"\s+(?=[,.:;?!])", "", "\n".join(lines)).strip()
 
-    text = answer or ""
-    out = RUN.sub(run, text)
-    if out != text:
-        out = re.sub(r"[ \t]{2,}", " ", re.sub(r"\s+([,.;:!?])", r"\1", out)).strip()
-    return out, dropped
 
+def cited(answer: str | None, n: int) -> tuple[str, int]:
+    """Citation marks in one form and how many were out of range, which go; of marks side by side each number stays once.
 
-ANSWERS = (("see [*2] and [ ^ 1 ] [1][3].", 2), ("no marks, [ ] box", 3), ("[0] out [9]", 5), ("", 1), ("a [1] [1] [2] b", 2))
+    Internal ids are blanked. Only a text that lost something is tidied.
+    """
+    text = answer or ""
+    out, at, dropped, seen = [], 0, 0, set()
+    for m in MARK.finditer(text):
+        between = text[at : m.start()]
+        if not at or between.strip():  # not beside the mark before
+            out.append(between)
+            seen = set()
+        number, at = int(m[1]), m.end()
+        if not 1 <= number <= n:
+            dropped += 1
+        elif number not in seen:
+            seen.add(number)
+            out.append(f"[^{number}]")
+    marked = "".join([*out, text[at:]])
+    blanked = LEAKED.sub(" ", marked)
+    return (tidy(blanked) if dropped or blanked != marked else marked), dropped
+
+
+ANSWERS = (("see [*2] and [ ^ 1 ] [1][3].", 2), ("no marks, [ ] box", 3), ("[0] out [9]", 5), ("", 1), ("a [1] [1] [2] b", 2), ("as (Article ID: 54) says  [2]", 3), ("keep  this [1]", 1))
 
 
 @query()

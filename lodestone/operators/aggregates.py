@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.closure import closure  # noqa: F401  (folder_counts is registered there)
 from lodestone.operators.filters import alive
+from lodestone.operators import windows
 from lodestone.registry import query
 from lodestone.views import NOW, article_pages, chunks, table, view
 
@@ -88,10 +89,10 @@ def line_union(spark, sf):
     return words.groupBy(F.col("l_orderkey").alias("line")).agg(F.min("l_partkey").alias("x0"), F.min("l_suppkey").alias("y0"), F.max(F.col("l_partkey") + F.col("l_quantity")).alias("x1"), F.max(F.col("l_suppkey") + 10).alias("y1"), F.round(F.avg("l_quantity"), 6).alias("conf"), F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("text"))
 
 
-@query("SELECT article_id, substr(text, 1, 1) AS section, min(chunk_index) AS start_chunk FROM chunks WHERE text <> '' GROUP BY ALL")
+@query(windows.SECTIONS_SQL + " SELECT article_id, section, start_chunk FROM sections")
 def section_spans(spark, sf):
-    """Where each section first occurs; a line's first letter stands for its section."""
-    return chunks(spark, sf).where("text <> ''").groupBy("article_id", F.substring("text", 1, 1).alias("section")).agg(F.min("chunk_index").alias("start_chunk"))
+    """Where each section of an article begins."""
+    return windows.sections(spark, sf)
 
 
 def repeat_key(line: Column) -> Column:

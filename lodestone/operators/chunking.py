@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.windows import carried
 from lodestone.registry import query
 from lodestone.views import article_pages, chunks, table, view
 
@@ -239,18 +240,23 @@ def piece_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(cut("text")).alias("seq", "piece"))
 
 
+def with_sections(rows: DataFrame) -> DataFrame:
+    """rows (article_id, chunk_index, chunk, ...) with the name of each chunk's section: its first heading, else the last before it, else ''."""
+    titles = F.filter(F.transform(blocks(F.col("chunk")), lambda b: heading_title(b)), lambda t: t != "")
+    named = rows.withColumn("_titles", titles)
+    section = carried(F.try_element_at("_titles", F.lit(1)), F.try_element_at("_titles", F.lit(-1)), "article_id", "chunk_index")
+    return named.withColumn("section", F.coalesce(section, F.lit(""))).drop("_titles")
+
+
 @query()
 def index_article(spark, sf):
     """Clean pages to chunks with sections and identifiers: the whole indexing phase."""
     from lodestone.functions.text import clean_lines, point_id
-    from lodestone.operators.windows import carried
 
     pages = article_pages(spark, sf).select("article_id", "seq", clean_lines(F.col("text")).alias("text")).where("text <> ''")
     pieces = pages.select("article_id", "seq", F.posexplode(chunker(1000, 200, PLAIN)("text")).alias("i", "chunk"))
     numbered = pieces.withColumn("chunk_index", F.row_number().over(Window.partitionBy("article_id").orderBy("seq", "i")) - 1)
-    found = lambda p: F.nullif(F.regexp_extract("chunk", p, 1), F.lit(""))
-    section = carried(found("([A-Z][a-z]+ [0-9]+)"), found("(?s)^.*([A-Z][a-z]+ [0-9]+)"), "article_id", "chunk_index")
-    rows = numbered.withColumn("section", F.coalesce(section, F.lit("")))
+    rows = with_sections(numbered)
     return rows.select("article_id", "chunk_index", "seq", "section", point_id(F.col("article_id"), F.col("chunk_index")).alias("point_id"), F.concat(F.when(F.col("section") == "", "").otherwise(F.concat(F.lit("["), "section", F.lit("]\n"))), "chunk").alias("text"))
 
 

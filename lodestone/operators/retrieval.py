@@ -200,10 +200,13 @@ def hybrid(points: DataFrame, query_point: DataFrame, texts: DataFrame, text: st
     return hits.join(done, "article_id", "left_semi").select("point_id", "article_id", "score", "list")
 
 
-@query(f"""SELECT t.point_id, p.article_id, t.score, t.list FROM (SELECT point_id, CAST(round(sum(1.0::DOUBLE / (60 + r)), 12) AS FLOAT) AS score, min(l) AS list FROM (
+HYBRID_SQL = f"""SELECT t.point_id, p.article_id, t.score, t.list FROM (SELECT point_id, CAST(round(sum(1.0::DOUBLE / (60 + r)), 12) AS FLOAT) AS score, min(l) AS list FROM (
   SELECT point_id, row_number() OVER (ORDER BY score DESC, point_id) AS r, 0 AS l FROM (SELECT point_id, {_COS} AS score FROM points WHERE user_id < 4 ORDER BY score DESC, point_id LIMIT 20)
   UNION ALL SELECT point_id, row_number() OVER (ORDER BY score DESC, covered DESC, mentions DESC, point_id), 1 FROM (SELECT doc_id AS point_id, covered, mentions, score FROM {_lexical_sql('doc_id', 'documents', QUESTION)} WHERE doc_id IN (SELECT point_id FROM points WHERE user_id < 4) ORDER BY score DESC, covered DESC, mentions DESC, point_id LIMIT 20))
-  GROUP BY 1 ORDER BY score DESC, point_id LIMIT 20) t JOIN points p USING (point_id) WHERE p.article_id IN (SELECT id FROM articles WHERE index_status = 'done' AND deleted_at IS NULL)""")
+  GROUP BY 1 ORDER BY score DESC, point_id LIMIT 20) t JOIN points p USING (point_id) WHERE p.article_id IN (SELECT id FROM articles WHERE index_status = 'done' AND deleted_at IS NULL)"""
+
+
+@query(HYBRID_SQL)
 def hybrid_search(spark, sf):
     """Points are the embeddings; a document's text goes with the point of the same id."""
     points = view(spark, sf, "points").where("user_id < 4")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import retrieval, tables, topk
+from lodestone.operators import retrieval, tables, topk, windows
 from lodestone.operators.filters import BLANKS, alive
 from lodestone.operators.joins import neighbours
 from lodestone.registry import query
@@ -22,17 +22,24 @@ def scoped(wanted: tuple[int, ...], scope: tuple[int, ...]) -> tuple[int, ...]:
     return scope or wanted
 
 
-_HITS = f"(SELECT doc_id AS article_id, chunk_index FROM (SELECT doc_id FROM {retrieval._lexical_sql('doc_id', 'documents', retrieval.QUESTION)} ORDER BY score DESC, covered DESC, mentions DESC, doc_id LIMIT 5), (SELECT 2 AS chunk_index))"
+CITES = 3  # articles that get a number
 
 
-@query(f""", h AS {_HITS} SELECT c.article_id, c.chunk_index, true AS hit FROM chunks c JOIN h USING (article_id, chunk_index)
- UNION ALL SELECT DISTINCT c.article_id, c.chunk_index, false FROM chunks c JOIN h ON c.article_id = h.article_id AND abs(c.chunk_index - h.chunk_index) = 1""")
+@query(f""", f AS ({retrieval.HYBRID_SQL}), h AS (SELECT f.article_id, p.chunk_index, max(f.score) AS score FROM f JOIN points p USING (point_id) GROUP BY ALL),
+ n AS (SELECT article_id, row_number() OVER (ORDER BY max(score) DESC, article_id) AS n FROM h GROUP BY 1),
+ b AS (SELECT article_id, chunk_index, true AS hit FROM h UNION ALL SELECT DISTINCT c.article_id, c.chunk_index, false FROM chunks c JOIN h ON c.article_id = h.article_id AND abs(c.chunk_index - h.chunk_index) = 1
+  WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.article_id = c.article_id AND x.chunk_index = c.chunk_index))
+ SELECT article_id, chunk_index, hit, CASE WHEN n <= {CITES} THEN n ELSE 0 END AS cite FROM b JOIN n USING (article_id)""")
 def knowledge_search(spark, sf):
-    """The third chunks of the five best articles, with the chunks beside them."""
-    best = retrieval.lexical_scores(table(spark, sf, "documents"), retrieval.QUESTION, "doc_id").orderBy(F.desc("score"), F.desc("covered"), F.desc("mentions"), "doc_id").limit(5)
-    rows = chunks(spark, sf).select("article_id", "chunk_index")
-    hits = rows.where("chunk_index = 2").join(F.broadcast(best.select(F.col("doc_id").alias("article_id"))), "article_id", "left_semi")  # five rows
-    return hits.withColumn("hit", F.lit(True)).union(neighbours(rows, hits).withColumn("hit", F.lit(False)))
+    """The chunks of the fused hits, those beside them, and the number each article is cited by: best first, 0 beyond the cap."""
+    points = view(spark, sf, "points").select("point_id", "chunk_index")
+    fused = retrieval.hybrid_search(spark, sf)  # 20 rows at most
+    hits = points.join(F.broadcast(fused.select("point_id", "article_id", "score")), "point_id").groupBy("article_id", "chunk_index").agg(F.max("score").alias("score"))
+    best = hits.groupBy("article_id").agg(F.max("score").alias("best"))
+    cites = retrieval.ranked(best, F.desc("best"), "article_id").select("article_id", F.when(F.col("rank") <= CITES, F.col("rank")).otherwise(0).alias("cite"))
+    found = hits.select("article_id", "chunk_index")
+    beside = neighbours(chunks(spark, sf).select("article_id", "chunk_index"), found)
+    return found.withColumn("hit", F.lit(True)).union(beside.withColumn("hit", F.lit(False))).join(F.broadcast(cites), "article_id")
 
 
 def context(rows: DataFrame, article: int, chunk: int, window: int) -> DataFrame:
@@ -56,9 +63,9 @@ def article_info(spark, sf):
     return mine.join(counts, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT substr(text, 1, 1) AS section, min(chunk_index) AS start_chunk FROM chunks WHERE article_id = 9 AND text <> '' GROUP BY 1")
+@query(windows.SECTIONS_SQL + " SELECT section, start_chunk FROM sections WHERE article_id = 9")
 def list_sections(spark, sf):
-    return chunks(spark, sf).where("article_id = 9 AND text <> ''").groupBy(F.substring("text", 1, 1).alias("section")).agg(F.min("chunk_index").alias("start_chunk"))
+    return windows.sections(spark, sf).where("article_id = 9").select("section", "start_chunk")
 
 
 @query("SELECT chunk_index, text FROM chunks WHERE article_id = 21 AND chunk_index BETWEEN 2 AND 21")

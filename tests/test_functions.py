@@ -3,12 +3,13 @@
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import language, text
-from lodestone.operators import chunking, closure, tables
+from lodestone.operators import chunking, closure, retrieval, tables
 from lodestone.operators.joins import neighbours
 from lodestone.sources import readers, sinks
 from lodestone.streaming import events
@@ -97,6 +98,11 @@ def test_citations():
     assert language.cited("[0] out [9]", 5) == ("out", 2)
     assert language.cited("no marks, [ ] box", 3) == ("no marks, [ ] box", 0)
     assert language.cited(None, 3) == ("", 0)
+    assert language.cited("a [1] [1] [2] b [2]", 2) == ("a [^1][^2] b [^2]", 0)
+    assert language.cited("as (Article ID: 54) says  [2]", 3) == ("as says [^2]", 0)
+    assert language.cited("x (theo [9] ) , source_id=3 y", 2) == ("x, y", 1)
+    assert language.cited("keep  this [1]\n  and  that", 1) == ("keep  this [^1]\n  and  that", 0)
+    assert language.cited("bài viết id 5 và mã bài viết #12", 1) == ("và", 0)
 
 
 def test_identifiers_are_version_5_uuids(spark):
@@ -184,3 +190,49 @@ def test_text_helpers(spark):
     assert [one(text.backoff(F.lit(a))) for a in (0, 1, 2, 5, 6, 9)] == [1, 1, 2, 16, 30, 30]
     assert one(tables.col_index(F.lit("AA10"))) == 26
     assert events.WINDOW == "1 day"
+
+
+def test_sections_are_carried(spark):
+    rows = [(1, 0, "before any"), (1, 1, "Điều 1. Scope\ntext\nĐiều 2: Terms\nmore"), (1, 2, "goes on"), (1, 3, "x\nChương II\ny"), (2, 0, "none")]
+    found = chunking.with_sections(spark.createDataFrame(rows, "article_id int, chunk_index int, chunk string")).collect()
+    assert {(r.article_id, r.chunk_index): r.section for r in found} == {(1, 0): "", (1, 1): "Điều 1. Scope", (1, 2): "Điều 2: Terms", (1, 3): "Chương II", (2, 0): ""}
+
+
+def test_questions_without_terms(spark):
+    docs = spark.createDataFrame([(2, "b c"), (1, "a model"), (3, None)], "id int, text string")
+    assert retrieval.lexical_scores(docs, "a ? !", "id").count() == 0
+    assert [tuple(r) for r in retrieval.lexically_ranked(docs, "?", "id", 2).collect()] == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
+    points = spark.createDataFrame([(i, 1, [float(i), 1.0]) for i in range(1, 4)], "point_id int, article_id int, embedding array<double>")
+    one, done = spark.createDataFrame([([1.0, 0.0],)], "q array<double>"), spark.createDataFrame([(1,)], "article_id int")
+    texts = docs.withColumnRenamed("id", "point_id")
+    hits = retrieval.hybrid(points, one, texts, "!", done, 2).orderBy("score", ascending=False).collect()
+    assert [(r.point_id, r.list) for r in hits] == [(3, 0), (2, 0)]
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    source, target = f"{tmp_path}/in", f"file://{tmp_path}/state"
+
+    def add(state, batch):
+        news = batch.groupBy("k").agg(F.sum("v").alias("v"))
+        return (news if state is None else state.select("k", "v").unionByName(news)).groupBy("k").agg(F.sum("v").alias("v"))
+
+    for n in range(3):
+        spark.createDataFrame([(1, n), (n, 10)], "k int, v int").coalesce(1).write.mode("append").parquet(source)
+        rows = spark.readStream.schema("k int, v int").parquet(source)
+        state = dict(events.apply_stream(rows, add, target).select("k", "v").collect())
+    assert state == {0: 10, 1: 13, 2: 10}
+    assert dict(events.apply_stream(spark.readStream.schema("k int, v int").parquet(source), add, target).select("k", "v").collect()) == state
+
+
+def test_limits_judge_in_order_of_time():
+    class State:
+        exists, get, value = False, None, None
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+    chunks = lambda: iter([pd.DataFrame({"event_id": [3, 4], "user_id": [1, 1], "ts": [50.0, 70.0]}), pd.DataFrame({"event_id": [1, 2], "user_id": [1, 1], "ts": [0.0, 10.0]})])
+    (out,) = events.fixed_window(2, 60.0)((1,), chunks(), State())
+    assert dict(zip(out["event_id"], out["allowed"], strict=True)) == {1: True, 2: True, 3: False, 4: True}
+    (out,) = events.bucket(1.0, 1 / 60)((1,), chunks(), State())
+    assert dict(zip(out["event_id"], out["allowed"], strict=True)) == {1: True, 2: False, 3: False, 4: True}
