@@ -1,15 +1,16 @@
 """Language-model scores from an Elias-Fano n-gram trie in shards.
 
-Words are 64-bit hashes; the vocabulary gives each its rank and its exact count, and is the only part every task
+Words are 64-bit hashes; the vocabulary gives each a number and its exact count, and is the only part every task
 maps. N-grams up to trigrams, none left out, are dealt to shards by their middle word: the one before the word
-that is predicted. A middle word that has more tokens than a shard is split further by the word before it.
-A task takes one shard: it counts the shard's n-grams and writes its levels as one file, or maps
-that file and looks up the tokens dealt to it, whose sums per document are then added up. So no task reads the
-whole trie, and a hot word is spread over many.
+that is predicted. A middle word that has more tokens than a shard is split further by the word before it;
+its bigrams, summed over the shards, are a file of their own. A task takes one shard: it counts the shard's n-grams
+and writes its levels as one file, or maps that file and looks up the tokens dealt to it, whose sums per document are
+then added up. So no task reads the whole trie, and a hot word is spread over many. The most frequent words
+have the smallest numbers, so what is dealt packs well.
 
 A shard's levels are monotone sequences in Elias-Fano form (low bits packed, high bits in unary): its middle words;
-bigrams as middle word's position * V + rank; contexts of two words, middle word first; trigrams as
-context's position * V + rank. The sequence of each context begins at a monotone pointer that the high bits give,
+bigrams as middle word's position * V + number; contexts of two words, middle word first; trigrams as
+context's position * V + number. The sequence of each context begins at a monotone pointer that the high bits give,
 and an n-gram is looked up by the successor of its key relative to its context. Beside each n-gram stands
 an 8-bit code of its smoothed log-probability, beside each context one of its back-off weight.
 
@@ -35,7 +36,8 @@ from .common import crc_fold, filesystem, mix, put, table, word_hashes, work_pat
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 DISCOUNT = 0.75
-PARCEL = 1_000_000  # tokens that are dealt together
+PARCEL = 2_000_000  # tokens that are dealt together
+TOP = 1 << 16  # words that are numbered by frequency; the others come after, by rank in order of their hashes
 U = np.uint64
 
 
@@ -166,38 +168,49 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Vocabulary:
-    """Ranks and counts of words, in shards by the word's hash."""
+    """Numbers and counts of words, in shards by the word's hash; and the most frequent ones."""
 
     def __init__(self, folder: str):
         with (lambda s, p: s.open_input_file(p))(*filesystem(f"{folder}/meta.json")) as f:
             self.meta = json.loads(f.read())
         self.shift = U(64 - self.meta["shard_bits"])
-        self.offsets, self.size, self.tokens = np.array(self.meta["offsets"], np.int64), self.meta["words"], self.meta["tokens"]
+        self.offsets, self.tokens = np.array(self.meta["offsets"], np.int64), self.meta["tokens"]
+        self.top = self.meta["top"]
+        self.size, self.total = self.top + self.meta["words"], self.tokens + self.meta["words"] + 1
         self.shards = [load_arrays(f"{folder}/words-{s}.bin") for s in range(len(self.offsets))]
         self.keys = [EliasFano(*(x[f] for f in EliasFano.FIELDS)) for x in self.shards]
-        self.total = self.tokens + self.size + 1
+        top = load_arrays(f"{folder}/words-top.bin")
+        self.top_counts, order = top["counts"], np.argsort(top["words"])
+        self.top_words, self.top_numbers = top["words"][order], order
 
     def by_shard(self, shard: np.ndarray):
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.offsets) + 1))
         return [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """Rank of each hash; -1: unknown."""
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each hash; -1: unknown."""
         words, inverse = np.unique(hashes, return_inverse=True)
-        shard, out = (words >> self.shift).astype(np.int64), np.full(len(words), -1)
-        for s, at in self.by_shard(shard):
-            local = self.keys[s].find(words[at] - (U(s) << self.shift))
-            out[at] = np.where(local >= 0, local + self.offsets[s], -1)
+        out = np.full(len(words), -1)
+        if len(self.top_words):
+            at = np.minimum(np.searchsorted(self.top_words, words), len(self.top_words) - 1)
+            out = np.where(self.top_words[at] == words, self.top_numbers[at], -1)
+        rest = np.flatnonzero(out < 0)
+        shard = (words[rest] >> self.shift).astype(np.int64)
+        for s, i in self.by_shard(shard):
+            local = self.keys[s].find(words[rest[i]] - (U(s) << self.shift))
+            out[rest[i]] = np.where(local >= 0, local + self.offsets[s] + self.top, -1)
         return out[inverse]
 
-    def counts(self, ranks: np.ndarray) -> np.ndarray:
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
         """Training counts; 0 for -1 and the size."""
-        words, inverse = np.unique(ranks, return_inverse=True)
-        out, known = np.zeros(len(words), np.int64), np.flatnonzero((words >= 0) & (words < self.size))
-        shard = np.searchsorted(self.offsets, words[known], "right") - 1
-        for s, at in self.by_shard(shard):
-            out[known[at]] = self.shards[s]["counts"][words[known[at]] - self.offsets[s]]
+        words, inverse = np.unique(numbers, return_inverse=True)
+        out = np.zeros(len(words), np.int64)
+        top, rest = (words >= 0) & (words < self.top), np.flatnonzero((words >= self.top) & (words < self.size))
+        out[top] = self.top_counts[words[top]]
+        shard = np.searchsorted(self.offsets, words[rest] - self.top, "right") - 1
+        for s, i in self.by_shard(shard):
+            out[rest[i]] = self.shards[s]["counts"][words[rest[i]] - self.top - self.offsets[s]]
         return out[inverse]
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
@@ -211,7 +224,7 @@ class Vocabulary:
         return (mix(words.astype(U) + U(1)) % U(self.meta["parts"])).astype(np.int64)
 
     def by_part(self, mid: np.ndarray, left: np.ndarray, right: np.ndarray, other: np.ndarray | None = None):
-        """(shard, packed n-grams) of every shard that gets some; left: rank + 1, or 0 for none.
+        """(shard, packed n-grams) of every shard that gets some; left: number + 1, or 0 for none.
 
         Without other, equal n-grams are one with their count; with it, it is packed in place of the count.
         """
@@ -310,9 +323,9 @@ def write_word_shard(folder: str, shard: int, shard_bits: int, word: np.ndarray,
 
 
 def contexts(vocabulary: Vocabulary, texts) -> tuple[np.ndarray, ...]:
-    """Of each token of texts: its text's place, its rank and those of the word before and of the one before that (-1: unknown, or none); and the texts' lengths."""
+    """Of each token of texts: its text's place, its number and those of the word before and of the one before that (-1: unknown, or none); and the texts' lengths."""
     hashes, lengths = tokens_of(texts)
-    right, starts = vocabulary.ranks(hashes), np.zeros(len(hashes), bool)
+    right, starts = vocabulary.numbers(hashes), np.zeros(len(hashes), bool)
     starts[np.cumsum(lengths)[:-1]] = True
     starts[:1] = True
     mid = np.append(-1, right[:-1])
@@ -354,11 +367,11 @@ def deal_grams(folder: str):
     return run
 
 
-SPLIT = "mid long, right long, c long, part int"
+SPLIT = "mid long, right long, c long"
 
 
-def count_part(folder: str):
-    """Stores a shard's n-grams and their counts; returns the bigrams of words that are split over shards, for each of these."""
+def write_part(folder: str):
+    """Counts a shard's n-grams and writes its levels; returns its share of the bigrams of words that are split over shards."""
 
     def run(batches):
         model, held = vocabulary(folder), {}
@@ -366,109 +379,125 @@ def count_part(folder: str):
             for p, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
                 held.setdefault(p, []).append(data.as_py())
         for p, blocks in held.items():
-            mid, left, right, c = (np.concatenate(x) for x in zip(*map(grams, blocks), strict=True))
+            mid, left, right, c = (np.concatenate(x) for x in zip(*map(grams, filter(None, blocks)), strict=True)) if any(blocks) else [np.empty(0, np.int64)] * 4
             blocks.clear()
             words, at = np.unique(mid, return_inverse=True)
             context = at * (model.size + 1) + left
             order = np.lexsort((right, context))
             context, right = context[order], right[order]
-            each = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (right[1:] != right[:-1])))
-            c = np.add.reduceat(c[order], each)
-            mid, left, right = mid[order][each], left[order][each], right[each]
-            put(f"{folder}/counted-{p}.bin", [pack(np.diff(mid, prepend=0), left, right, c)])
-            splits = model.splits(words)
-            hot = words[splits > 1]
-            own = np.flatnonzero(np.isin(mid, hot))
-            if len(own):
-                both, at = np.unique(np.searchsorted(hot, mid[own]) * model.size + right[own], return_inverse=True)
-                sums, of, last = np.bincount(at, c[own]).astype(np.int64), both // model.size, both % model.size
-                times, first = splits[splits > 1][of], model.first_part(hot)[of]
-                for j in range(int(times.max())):
-                    to = np.flatnonzero(times > j)
-                    yield pa.RecordBatch.from_arrays([pa.array(hot[of[to]]), pa.array(last[to]), pa.array(sums[to]), pa.array(((first[to] + j) % model.meta["parts"]).astype(np.int32))], names=["mid", "right", "c", "part"])
+            each = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (right[1:] != right[:-1]))[: len(order)])
+            c = np.add.reduceat(c[order], each) if len(each) else c
+            at, left, right = at[order][each], left[order][each], right[each]
+            split = model.splits(words) > 1
+            pairs, sums = bigrams(model, at, right, c)
+            save_arrays(f"{folder}/grams-{p}.bin", levels(model, words, split, pairs, sums, at, left, right, c))
+            hot = split[pairs // model.size]
+            yield pa.RecordBatch.from_arrays([pa.array(words[pairs[hot] // model.size]), pa.array(pairs[hot] % model.size), pa.array(sums[hot])], names=["mid", "right", "c"])
 
     return run
 
 
-def write_part(folder: str):
-    """Writes each shard's levels, from its stored counts and the bigrams of split words: rows (part, mid, right, c), mid null in one row of every shard."""
+def bigrams(model: Vocabulary, at: np.ndarray, right: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs, where = np.unique(at * model.size + right, return_inverse=True)
+    return pairs, np.bincount(where, c, len(pairs)).astype(np.int64)
 
-    def run(batches):
-        model, held = vocabulary(folder), {}
-        for batch in batches:
-            part = batch.column("part").to_numpy()
-            for p in np.unique(part):
-                held.setdefault(int(p), []).append(batch.filter(pa.array(part == p)))
-        for p, parts in held.items():
-            rows = pa.Table.from_batches(parts)
-            rows = rows.filter(pc.is_valid(rows["mid"]))
-            save_arrays(f"{folder}/grams-{p}.bin", levels(model, stored_counts(folder, p), *(rows[c].to_numpy() for c in ("mid", "right", "c"))))
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], names=["part"])
 
-    return run
+def level(name: str, values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
+    keys = EliasFano.build(values, max(1, universe))
+    return {f"{name}.{f}": getattr(keys, f) for f in EliasFano.FIELDS}
 
 
-def stored_counts(folder: str, part: int) -> list[np.ndarray]:
-    store, path = filesystem(f"{folder}/counted-{part}.bin")
-    if store.get_file_info(path).type.name != "File":  # no n-gram was dealt to it
-        return [np.empty(0, np.int64)] * 4
-    with store.open_input_file(path) as f:
-        steps, left, right, c = unpack(f.read())
-    return [np.cumsum(steps), left, right, c]
+def coded(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    code, book = codes(np.log10(values))
+    return {name: code, f"{name}.book": book}
 
 
-def levels(model: Vocabulary, counted, hot_mid: np.ndarray, hot_right: np.ndarray, hot_c: np.ndarray) -> dict[str, np.ndarray]:
-    mid, left, right, c = counted
-    size = model.size
-    words = np.unique(np.concatenate([mid, hot_mid]))
-    at, totals = np.searchsorted(words, mid), model.counts(words)
+def smoothed(model: Vocabulary, total: np.ndarray, of: np.ndarray, last: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of bigrams (place of the first word, number of the last, count), and the first words' back-off weights, from these words' counts."""
+    kept = sums - DISCOUNT
+    back = np.maximum(1 - np.bincount(of, kept, len(total)) / np.maximum(total, 1), 1e-9)
+    return kept / total[of] + back[of] * model.probability(model.counts(last)), back
 
-    own = ~np.isin(mid, hot_mid)  # bigrams of split words come summed over their shards
-    keys = np.concatenate([at[own] * size + right[own], np.searchsorted(words, hot_mid) * size + hot_right])
-    pairs, where = np.unique(keys, return_inverse=True)
-    sums = np.bincount(where, np.concatenate([c[own], hot_c]), len(pairs))
-    kept, of = sums - DISCOUNT, pairs // max(size, 1)
-    back2 = np.maximum(1 - np.bincount(of, kept, len(words)) / np.maximum(totals, 1), 1e-9)
-    p2 = kept / totals[of] + back2[of] * model.probability(model.counts(pairs % max(size, 1)))
+
+def levels(model: Vocabulary, words, split, pairs, sums, at, left, right, c) -> dict[str, np.ndarray]:
+    """A shard's arrays from its n-grams (place of the middle word, left, right, count), in order, and its bigrams; those of split words are written elsewhere."""
+    size, own = model.size, ~split[pairs // model.size]
+    pairs, sums = pairs[own], sums[own]
+    p2, b2 = smoothed(model, model.counts(words), pairs // size, pairs % size, sums)
 
     inner = left > 0
-    two = at[inner] * (size + 1) + left[inner]
-    heads, place = np.unique(two, return_inverse=True)
-    kept = c[inner] - DISCOUNT
-    sums = np.bincount(place, c[inner], len(heads))
-    back3 = np.maximum(1 - np.bincount(place, kept, len(heads)) / np.maximum(sums, 1), 1e-9)
-    p3 = kept / sums[place] + back3[place] * p2[np.searchsorted(pairs, at[inner] * size + right[inner])]
-
-    out = {}
-    for name, values, universe in (("word", words, size), ("two", pairs, len(words) * size), ("head", heads, len(words) * (size + 1)), ("three", place * size + right[inner], len(heads) * size)):
-        ef = EliasFano.build(values, max(1, universe))
-        out |= {f"{name}.{f}": getattr(ef, f) for f in EliasFano.FIELDS}
-    for name, values in (("p2", p2), ("p3", p3), ("b2", back2), ("b3", back3)):
-        out[name], out[f"{name}.book"] = codes(np.log10(values))
-    return out
+    heads, place = np.unique(at[inner] * (size + 1) + left[inner], return_inverse=True)
+    kept, totals = c[inner] - DISCOUNT, np.bincount(place, c[inner], len(heads))
+    b3 = np.maximum(1 - np.bincount(place, kept, len(heads)) / np.maximum(totals, 1), 1e-9)
+    out = level("word", words, size) | level("two", pairs, len(words) * size) | level("head", heads, len(words) * (size + 1)) | level("three", place * size + right[inner], len(heads) * size)
+    return out | coded("p2", p2) | coded("b2", b2) | coded("d3", kept / totals[place]) | coded("b3", b3)
+
+
+def write_split(folder: str):
+    """Writes the bigrams of each split word, whose rows (mid, right, c) come together, as a file."""
+
+    def run(batches):
+        model, held, word = vocabulary(folder), [], None
+
+        def close():
+            right, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(right)
+            right, c = right[order], c[order]
+            p2, b2 = smoothed(model, model.counts(np.array([word])), np.zeros(len(right), np.int64), right, c)
+            save_arrays(f"{folder}/split-{word}.bin", level("two", right, model.size) | coded("p2", p2) | coded("b2", b2))
+            return pa.RecordBatch.from_arrays([pa.array([word], pa.int64())], names=["mid"])
+
+        for batch in batches:
+            mid, right, c = (batch.column(i).to_numpy() for i in range(3))
+            for w in np.unique(mid):
+                if held and w != word:
+                    yield close()
+                word, own = int(w), mid == w
+                held.append((right[own], c[own]))
+        if held:
+            yield close()
+
+    return run
 
 
 class Part:
-    """A shard of the trie."""
+    """A shard of the trie, or the bigrams of a split word."""
 
     def __init__(self, uri: str):
         x = load_arrays(uri)
-        self.word, self.two, self.head, self.three = (EliasFano(*(x[f"{n}.{f}"] for f in EliasFano.FIELDS)) for n in ("word", "two", "head", "three"))
-        self.codes = {n: (x[n], x[f"{n}.book"].astype(float)) for n in ("p2", "p3", "b2", "b3")}
+        self.keys = {n: EliasFano(*(x[f"{n}.{f}"] for f in EliasFano.FIELDS)) for n in ("word", "two", "head", "three") if f"{n}.head" in x}
+        self.codes = {n: (x[n], x[f"{n}.book"].astype(float)) for n in ("p2", "b2", "d3", "b3") if n in x}
 
     def value(self, name: str, at: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
         """log10 at each place; missing where that is -1."""
         code, book = self.codes[name]
         return np.where(at >= 0, book[code[np.maximum(at, 0)]], missing) if len(code) else np.broadcast_to(missing, at.shape)
 
-    def log_probs(self, model: Vocabulary, mid: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability; right: rank, or the vocabulary's size if unknown; left: rank + 1, or 0."""
+    def backed(self, p: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+        """log10 of bigrams' probabilities: place of the first word (-1: none), number of the last, p without context."""
+        return self.value("p2", found(self.keys["two"], first, last, size), p + self.value("b2", first, 0.0))
+
+    def log_probs(self, folder: str, model: Vocabulary, mid: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability; right: number, or the vocabulary's size if unknown; left: number + 1, or 0."""
         words, inverse = np.unique(mid, return_inverse=True)
-        at = self.word.find(words)[inverse]
+        at = self.keys["word"].find(words)[inverse]
         p = np.log10(model.probability(model.counts(right)))
-        p = self.value("p2", found(self.two, at, right, model.size), p + self.value("b2", at, 0.0))
-        heads = found(self.head, np.where(left > 0, at, -1), left, model.size + 1)
-        return self.value("p3", found(self.three, heads, right, model.size), p + self.value("b3", heads, 0.0))
+        split = model.splits(words) > 1
+        hot = split[inverse]
+        p[~hot] = self.backed(p[~hot], at[~hot], right[~hot], model.size)
+        for i in np.flatnonzero(split):
+            own = np.flatnonzero(inverse == i)
+            p[own] = split_word(folder, int(words[i])).backed(p[own], np.zeros(len(own), np.int64), right[own], model.size)
+        heads = found(self.keys["head"], np.where(left > 0, at, -1), left, model.size + 1)
+        three = found(self.keys["three"], heads, right, model.size)
+        p += self.value("b3", heads, 0.0)
+        return np.where(three >= 0, np.log10(10 ** self.value("d3", three, -np.inf) + 10**p), p)
+
+
+@lru_cache(64)
+def split_word(folder: str, word: int) -> Part:
+    return Part(f"{folder}/split-{word}.bin")
 
 
 def found(level: EliasFano, context: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
@@ -478,7 +507,7 @@ def found(level: EliasFano, context: np.ndarray, last: np.ndarray, size: int) ->
     return out
 
 
-def train(docs: DataFrame, folder: str, tokens_per_shard: int = 2_000_000, words_per_shard: int = 2_000_000) -> dict:
+def train(docs: DataFrame, folder: str, tokens_per_shard: int = 2_000_000, words_per_shard: int = 2_000_000, top_words: int = TOP) -> dict:
     """Builds the trie of docs' texts under folder (shared storage) and returns its meta data.
 
     Null texts count as empty ones: an end token each. Without documents the model has no words. Other columns of
@@ -496,15 +525,17 @@ def train(docs: DataFrame, folder: str, tokens_per_shard: int = 2_000_000, words
         offsets.append(offsets[-1] + sizes.get(s, 0))
         if s not in sizes:
             write_word_shard(folder, s, bits, np.empty(0, U), np.empty(0, np.int64))
+    top = unigrams.orderBy(F.desc("c"), "word").limit(top_words).collect()  # top_words at most
+    save_arrays(f"{folder}/words-top.bin", {"words": np.array([r.word for r in top], np.int64).view(U), "counts": np.array([r.c for r in top], np.int64)})
     parts = 1 + tokens // tokens_per_shard
-    meta = {"tokens": tokens, "words": words, "shard_bits": bits, "offsets": offsets[:-1], "parts": parts, "tokens_per_shard": tokens_per_shard}
+    meta = {"tokens": tokens, "words": words, "shard_bits": bits, "offsets": offsets[:-1], "parts": parts, "tokens_per_shard": tokens_per_shard, "top": top_words}
     put(f"{folder}/meta.json", [json.dumps(meta).encode()])
 
-    dealt = texts.mapInArrow(deal_grams(folder), "parcel long, part int, data binary").repartitionById(parts, "part")
-    split = written(dealt.mapInArrow(count_part(folder), SPLIT), "split")
-    split = split.groupBy("part", "mid", "right").agg(F.sum("c").alias("c"))
-    every = spark.range(parts).select(F.col("id").cast("int").alias("part"), *[F.lit(None).cast("long").alias(c) for c in ("mid", "right", "c")])
-    written(every.union(split).repartitionById(parts, "part").mapInArrow(write_part(folder), "part int"), "parts").count()
+    dealt = texts.mapInArrow(deal_grams(folder), "parcel long, part int, data binary")
+    every = spark.range(parts).select(F.lit(0).cast("long").alias("parcel"), F.col("id").cast("int").alias("part"), F.lit(b"").alias("data"))  # shards without n-grams are written too
+    split = written(dealt.union(every).repartitionById(parts, "part").mapInArrow(write_part(folder), SPLIT), "split")
+    split = split.groupBy("mid", "right").agg(F.sum("c").alias("c")).repartition("mid").sortWithinPartitions("mid")
+    written(split.mapInArrow(write_split(folder), "mid long"), "split-words")
     return meta
 
 
@@ -553,7 +584,7 @@ def score_part(folder: str, tokens: int = 500_000):
 
         def judge():
             blocks = [grams(data) for _, data in held]
-            p = shard.log_probs(model, *(np.concatenate([b[i] for b in blocks]) for i in range(3)))
+            p = shard.log_probs(folder, model, *(np.concatenate([b[i] for b in blocks]) for i in range(3)))
             out, at = [], 0
             for (parcel, _), (_, _, _, doc) in zip(held, blocks, strict=True):
                 some, inverse = np.unique(doc, return_inverse=True)
