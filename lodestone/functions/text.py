@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.filters import alive
@@ -52,6 +52,14 @@ def pairs(spark, sf):
     return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
 
 
+def beside(rows: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, and columns x<name> of each row and y<name> of the next, from one pass: each row goes to its own id and to the one before; doc_id is a key."""
+    ends = F.explode(F.array(F.struct(F.col("doc_id").alias("at"), F.lit("x").alias("side")), F.struct((F.col("doc_id") - 1).alias("at"), F.lit("y").alias("side"))))
+    dealt = rows.select(ends.alias("to"), *columns)
+    both = [F.any_value(F.when(F.col("to.side") == side, F.col(c)), F.lit(True)).alias(side + c) for side in "xy" for c in columns]
+    return dealt.groupBy(F.col("to.at").alias("doc_id")).agg(F.min("to.side").alias("_first"), F.max("to.side").alias("_last"), *both).where("_first = 'x' AND _last = 'y'").drop("_first", "_last")
+
+
 @query(f"""SELECT doc_id, md5(CASE WHEN trim(x) = '' THEN y WHEN trim(y) = '' OR len(w) = 0 OR len(list_intersect(w, v)) >= 0.7 * len(w) THEN x ELSE x || chr(10) || y END) AS merged
  FROM (SELECT *, list_distinct(regexp_extract_all(lower(y), '[a-z]+')) AS w, list_distinct(regexp_extract_all(lower(x), '[a-z]+')) AS v FROM {_NEXT})""")
 def merge_ocr(spark, sf):
@@ -103,8 +111,8 @@ def compare_tokens(spark, sf):
  SELECT doc_id, score, CASE WHEN list_sort(xn) <> list_sort(yn) THEN 'conflict' WHEN score >= 0.9 THEN 'agree' WHEN score >= 0.7 THEN 'minor' ELSE 'conflict' END AS verdict FROM s""")
 def cross_check(spark, sf):
     """Whether two readings of a page agree: numbers must be the same, words nearly."""
-    (xn, xw), (yn, yw) = compare_parts(F.col("x")), compare_parts(F.col("y"))
-    parts = pairs(spark, sf).select("doc_id", xn.alias("xn"), yn.alias("yn"), xw.alias("xw"), yw.alias("yw"))
+    nums, found = compare_parts(F.col("text"))
+    parts = beside(table(spark, sf, "documents").select("doc_id", nums.alias("n"), found.alias("w")), "n", "w")
     both = F.size(F.array_union("xw", "yw"))
     score = F.when(both == 0, 1.0).otherwise(F.round(F.size(F.array_intersect("xw", "yw")) / both, 6))
     differ = F.array_sort("xn") != F.array_sort("yn")

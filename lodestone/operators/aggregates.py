@@ -102,11 +102,12 @@ def repeat_key(line: Column) -> Column:
     return F.when((F.char_length(trimmed) > 80) | ~F.regexp_like(key, F.lit("[a-zà-ỹ]")), "").otherwise(key)
 
 
-def edge_lines(pages: DataFrame, edge: int = 3) -> DataFrame:
-    """The first and last non-blank lines of each page, with their keys."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x) != "")
-    listed = pages.select("article_id", "seq", F.size(lines).alias("n"), F.posexplode(lines).alias("p", "line"))
-    return listed.where((F.col("p") < edge) | (F.col("p") >= F.col("n") - edge)).withColumn("key", repeat_key(F.col("line")))
+def lines_of(text: str = "text") -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != "")
+
+
+def at_edge(i: Column, n: Column, edge: int = 3) -> Column:
+    return (i < edge) | (i >= n - edge)
 
 
 _PAGES8 = ", pg AS (SELECT article_id // 8 AS article_id, article_id * 1000 + seq AS seq, text FROM article_pages), ls AS (SELECT article_id, seq, generate_subscripts(l, 1) - 1 AS p, len(l) AS n, unnest(l) AS line FROM (SELECT article_id, seq, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM pg)), ks AS (SELECT *, CASE WHEN length(trim(line)) > 80 OR NOT regexp_matches(regexp_replace(regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g'), '[ \t]', '', 'g'), '[a-zà-ỹ]') THEN '' ELSE regexp_replace(regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g'), '[ \t]', '', 'g') END AS key FROM ls WHERE p < 3 OR p >= n - 3), big AS (SELECT article_id FROM pg GROUP BY 1 HAVING count(*) >= 5), rep AS (SELECT article_id, key, count(*) AS c FROM ks JOIN big USING (article_id) WHERE key <> '' GROUP BY ALL HAVING count(*) >= 3)"
@@ -118,10 +119,12 @@ def eight_to_one(pages: DataFrame) -> DataFrame:
 
 
 def repeated(pages: DataFrame, least: int = 3, least_pages: int = 5) -> DataFrame:
-    """Keys of edge lines that repeat in articles of enough pages."""
-    enough = pages.groupBy("article_id").agg(F.count("*").alias("k")).where(F.col("k") >= least_pages).select("article_id")
-    keys = edge_lines(pages).where("key <> ''").join(enough, "article_id", "left_semi")
-    return keys.groupBy("article_id", "key").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    """Keys of edge lines that repeat in articles of enough pages. One aggregation counts both: each page has the key '' once."""
+    edges = F.filter(F.col("lines"), lambda x, i: at_edge(i, F.size("lines")))
+    keys = F.concat(F.array(F.lit("")), F.filter(F.transform(edges, lambda x: repeat_key(x)), lambda k: k != ""))
+    counts = pages.withColumn("lines", lines_of()).select("article_id", F.explode(keys).alias("key")).groupBy("article_id", "key").agg(F.count("*").alias("c"))
+    enough = counts.where((F.col("key") == "") & (F.col("c") >= least_pages)).select("article_id")
+    return counts.where((F.col("key") != "") & (F.col("c") >= least)).join(enough, "article_id", "left_semi")
 
 
 @query(_PAGES8 + " SELECT article_id, key, c FROM rep")
@@ -136,10 +139,11 @@ SELECT article_id, seq, CASE WHEN h THEN coalesce(joined, '') ELSE text END AS t
 def strip_repeats(spark, sf):
     """Pages without repeated edge lines; those with none stay as they are, blank lines included."""
     pages = eight_to_one(article_pages(spark, sf))
-    drops = edge_lines(pages).join(repeated(pages), ["article_id", "key"]).groupBy("article_id", "seq").agg(F.collect_set("p").alias("gone"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x) != "")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    return pages.join(drops, ["article_id", "seq"], "left").select("article_id", "seq", F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")).alias("text"))
+    gone = repeated(pages).groupBy("article_id").agg(F.collect_set("key").alias("gone"))
+    rows = pages.join(gone, "article_id", "left").withColumn("lines", lines_of())
+    left = F.filter("lines", lambda x, i: ~(at_edge(i, F.size("lines")) & F.array_contains("gone", repeat_key(x))))
+    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    return rows.select("article_id", "seq", F.when(F.size("left") < F.size("lines"), F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"))
 
 
 @query(""", ls AS (SELECT doc_id, list_filter(regexp_split_to_array(l, '[ ]+'), lambda x: x <> '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)),

@@ -28,8 +28,15 @@ def build_closure(tree: DataFrame, max_depth: int = 32) -> DataFrame:
     raise ValueError(f"the tree is deeper than {max_depth}, or has a cycle")
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_closure(edges(spark, sf_dir))
+    """The closure of a stored tree: built once an application, then read."""
+    key = spark.conf.get("spark.app.id", ""), sf_dir
+    if key not in _STORED:
+        _STORED[key] = build_closure(edges(spark, sf_dir))
+    return _STORED[key]
 
 
 def move(rows: DataFrame, node: int, parent: int) -> DataFrame:
@@ -39,8 +46,8 @@ def move(rows: DataFrame, node: int, parent: int) -> DataFrame:
     outside = rows.join(inside, "descendant_id", "left_semi").join(inside.withColumnRenamed("descendant_id", "ancestor_id"), "ancestor_id", "left_anti")
     kept = rows.join(outside, ["ancestor_id", "descendant_id", "depth"], "left_anti")
     above = rows.where(F.col("descendant_id") == parent).select(F.col("ancestor_id").alias("a"), F.col("depth").alias("ad"))
-    # every ancestor of the new parent with every node of the subtree: as many rows as the closure gains
-    fresh = above.withColumn("k", F.lit(1)).join(below.withColumn("k", F.lit(1)), "k").select(F.col("a").alias("ancestor_id"), F.col("d").alias("descendant_id"), (F.col("ad") + F.col("dd") + 1).alias("depth"))
+    # every ancestor of the new parent, as many as the tree is deep, with every node of the subtree: as many rows as the closure gains
+    fresh = below.withColumn("k", F.lit(1)).join(F.broadcast(above.withColumn("k", F.lit(1))), "k").select(F.col("a").alias("ancestor_id"), F.col("d").alias("descendant_id"), (F.col("ad") + F.col("dd") + 1).alias("depth"))
     return kept.select("ancestor_id", "descendant_id", "depth").union(fresh)
 
 
@@ -65,7 +72,7 @@ def closure_move_cross(spark, sf):
     c = closure(spark, sf)
     above = c.where("descendant_id = 3").select("ancestor_id", F.col("depth").alias("x"), F.lit(1).alias("k"))
     below = c.where("ancestor_id = 105").select("descendant_id", F.col("depth").alias("y"), F.lit(1).alias("k"))
-    return above.join(below, "k").select("ancestor_id", "descendant_id", (F.col("x") + F.col("y") + 1).alias("depth"))
+    return below.join(F.broadcast(above), "k").select("ancestor_id", "descendant_id", (F.col("x") + F.col("y") + 1).alias("depth"))
 
 
 @query(""", sub AS (SELECT descendant_id FROM closure WHERE ancestor_id = 105)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import beside
 from lodestone.registry import query
 from lodestone.views import table, view
 
@@ -20,8 +21,8 @@ _PAIRS = ", n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+'
 
 def _pairs(spark, sf):
     """Each document's numbers beside those of the next one."""
-    n = table(spark, sf, "documents").select("doc_id", numbers(F.col("text")).alias("x"))
-    return n.join(n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
+    rows = beside(table(spark, sf, "documents").select("doc_id", numbers(F.col("text")).alias("n")), "n")
+    return rows.withColumnsRenamed({"xn": "x", "yn": "y"})
 
 
 @query(_PAIRS + " SELECT doc_id, list_sort(list_filter(x, lambda v: NOT list_contains(y, v))) AS only_a, list_sort(list_filter(y, lambda v: NOT list_contains(x, v))) AS only_b FROM p")
