@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, which a cluster must set; a temporary one in local runs."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

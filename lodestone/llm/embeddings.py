@@ -158,11 +158,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col:
     groups = max(1, math.isqrt(2 * tiles))
     packed = written(classes.select("node", "hash", "weight", "vector").repartition(max(1, tiles)).mapInArrow(make_tiles, TILES), "tiles")
     dealt = packed.withColumn("g", F.expr(f"CAST(pmod(xxhash64(tile), {groups}) AS INT)"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     names = {"tile": "t", "nodes": "n", "hashes": "h", "weights": "w", "vectors": "v"}
-    left = dealt.select("size", F.col("g").alias("ga"), every.alias("gb"), *[F.col(k).alias(f"{v}a") for k, v in names.items()])
-    right = dealt.select("size", every.alias("ga"), F.col("g").alias("gb"), *[F.col(k).alias(f"{v}b") for k, v in names.items()])
-    met = left.join(right, ["ga", "gb", "size"]).where("ta <= tb").drop("ga", "gb", "size")
+    left = dealt.select("size", F.col("g").alias("ga"), F.explode(F.sequence(F.col("g"), F.lit(groups - 1))).alias("gb"), *[F.col(k).alias(f"{v}a") for k, v in names.items()])
+    right = dealt.select("size", F.explode(F.sequence(F.lit(0), F.col("g"))).alias("ga"), F.col("g").alias("gb"), *[F.col(k).alias(f"{v}b") for k, v in names.items()])
+    met = left.join(right, ["ga", "gb", "size"]).where("ga < gb OR ta <= tb").drop("ga", "gb", "size")
     found = written(met.mapInArrow(compare(threshold, dtype), "node long, hash long, links long, other long"), "links")
 
     joined = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))

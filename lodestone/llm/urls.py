@@ -65,6 +65,7 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     an empty host and path. Other columns of urls are kept; columns named host, path, rule or verdict are replaced. Rules with a null or empty host, or a path that doesn't begin with /, fit nothing; an empty list judges all by default.
     """
     spark = urls.sparkSession
+    urls = urls.drop("_lodestone_best")
     path = F.coalesce("path", F.lit(""))
     usable = rules.where((F.col("host") != "") & ~F.contains("host", F.lit("/")) & ((path == "") | F.startswith(path, F.lit("/"))))
     listed = usable.select(F.concat("host", path).alias("key"), F.char_length(path).alias("n"), F.size(F.split("host", "\\.")).alias("labels"), "verdict")

@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from lodestone.llm import minhash
-from lodestone.llm.common import components, word_hashes
+from lodestone.llm.common import components, table, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,6 +65,14 @@ def test_same_groups_as_brute_force(spark):
         assert rows_of(minhash.near_duplicates(docs, shingle=k)) == brute(rows, k)
 
 
+def test_recall_over_every_stored_document(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k, found in ((2, minhash.op1_minhash_near_dedup(spark, "/root/testdata/sf0.01")), (5, minhash.near_duplicates(docs))):
+        want = brute(rows, k)
+        assert sum(not r[3] for r in want) > 20 and rows_of(found) == want  # recall and precision of 1
+
+
 def test_nulls_repeats_and_other_columns(spark):
     base = " ".join(f"a{n}" for n in range(30))
     rows = [(1, base, 0), (1, base, 1), (2, base + " z", 2), (None, base, 3), (4, None, 4), (4, "", 5), (9, " ".join(f"b{n}" for n in range(30)), 6)]
