@@ -1,12 +1,19 @@
 """Training-data operators on the whole job, against plain definitions written apart from the code."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from lodestone.llm import decontaminate, lm
+from lodestone.llm import decontaminate, lm, toxicity
+from lodestone.llm.common import table, word_hashes
+
+
+def plain(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
 def discounted(train, order):
@@ -86,3 +93,52 @@ def test_decontamination_uses_the_whole_rate(spark, tmp_path):
 
     left = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars"), str(tmp_path))
     assert {x.doc_id for x in left.collect()} == docs.keys() - {w[0] for w in want}
+
+
+def test_toxicity_is_the_plain_model(spark):
+    """Word scores, lambda, K and every document's probability, worked out again in plain Python."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    texts = {r.doc_id: plain(r.text) for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    n = {y: sum(v == y for v in known.values()) for y in (0, 1)}
+    held = {y: Counter(w for i, v in known.items() if v == y for w in set(texts[i])) for y in (0, 1)}
+    everywhere = Counter(w for t in texts.values() for w in set(t))
+    tested = {w: everywhere[w] / len(texts) for w in held[0] | held[1] if held[0][w] + held[1][w] >= 3}
+
+    def odds(w, share):
+        part = lambda y: math.log((held[y][w] + share * 50 * n[y] / len(known) + 0.01) / (n[y] + 50))
+        return part(1) - part(0)
+
+    def ratio(w):
+        part = lambda k, e: k * math.log(k / e) if k else 0.0
+        both = held[0][w] + held[1][w]
+        return 2 * sum(part(held[y][w], both * n[y] / len(known)) + part(n[y] - held[y][w], (len(known) - both) * n[y] / len(known)) for y in (0, 1))
+
+    least = toxicity.significance(len(tested))
+    assert abs(math.erfc(least / math.sqrt(2)) * len(tested) - 1) < 1e-3
+    words = {w: max(-4, min(6, odds(w, s))) - 0.7 for w, s in tested.items() if ratio(w) >= least**2}
+    model = toxicity.fit(docs, labels)
+    found = dict(zip(model.words.tolist(), model.scores.tolist(), strict=True))
+    assert len(words) > 5 and len(found) == len(words)
+    assert all(abs(found[int(word_hashes(w)[0])] - s) < 1e-6 for w, s in words.items())
+
+    rates = {w: held[0][w] / n[0] for w in words}
+    neutral = sum(len(texts[i]) for i, v in known.items() if not v) / n[0] - sum(rates.values())
+    chance = sum(r * math.exp(model.lam * words[w]) for w, r in rates.items()) + neutral * math.exp(-0.7 * model.lam)
+    assert abs(chance / (sum(rates.values()) + neutral) - 1) < 1e-6
+
+    def best(t):
+        top = run = 0.0
+        for w in t:
+            run = max(0.0, run + words.get(w, -0.7))
+            top = max(top, run)
+        return top
+
+    raw = {i: model.lam * best(t) - math.log(max(len(t), 1)) for i, t in texts.items()}
+    null = [raw[i] for i, v in known.items() if not v and best(texts[i]) > 0]
+    assert abs(model.log_k - (sum(null) / len(null) - 0.5772156649015329)) < 1e-6
+    assert abs(model.top - np.median([raw[i] - model.log_k for i, v in known.items() if v])) < 1e-6
+    scored = {r.doc_id: r.score for r in toxicity.op7_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert scored.keys() == texts.keys()
+    for i, x in raw.items():
+        assert abs(scored[i] - 1 / (1 + math.exp(-model.slope * min(x - model.log_k, model.top) - model.offset))) < 1e-6
