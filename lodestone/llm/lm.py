@@ -83,6 +83,13 @@ class EliasFano:
             at += np.where(up, width, 0)
         return (word << 6) + at
 
+    def _run_end(self, at: np.ndarray) -> np.ndarray:
+        """Where the run of ones that begins at a bit ends; -1 if that isn't within its word."""
+        off = (at & 63).astype(U)
+        x = ~(self.high[at >> 6] >> off)
+        ones = np.bitwise_count((x & (~x + U(1))) - U(1)).astype(np.int64)
+        return np.where(ones < 64 - off.astype(np.int64), at + ones, -1)
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), U)
@@ -98,8 +105,10 @@ class EliasFano:
             return np.full(len(keys), -1)
         keys = keys.astype(U)
         high = (keys >> U(self.bits)).astype(np.int64)
-        lo = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1 - high, 0)
-        end = self._zero(high) - high
+        before = np.where(high > 0, self._zero(np.maximum(high - 1, 0)), -1)
+        lo, end = before + 1 - high, self._run_end(before + 1) - high
+        if (far := np.flatnonzero(end < lo)).size:
+            end[far] = self._zero(high[far]) - high[far]
         hi, low = end.copy(), keys & U((1 << self.bits) - 1)
         while (busy := np.flatnonzero(lo < hi)).size:
             mid = (lo[busy] + hi[busy]) >> 1
@@ -162,7 +171,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
         width, n, size = struct.unpack_from("<BQQ", data, at)
         at += struct.calcsize("<BQQ")
         planes = np.frombuffer(press.decompress(data[at : at + size], max_output_size=width * n), np.uint8).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        values = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+        out.append(values.astype(np.int32 if width < 4 else np.int64))
         at += size
     return out
 
@@ -251,7 +261,7 @@ class Vocabulary:
 def grams(data: bytes) -> tuple[np.ndarray, ...]:
     """mid, left, right, other of by_part's packed n-grams."""
     steps, left, runs, right, other = unpack(data)
-    return np.repeat(np.cumsum(steps), runs), np.repeat(left, runs), right, other
+    return np.repeat(np.cumsum(steps, dtype=np.int64), runs), np.repeat(left, runs), right, other
 
 
 @lru_cache(2)
@@ -326,13 +336,15 @@ def contexts(vocabulary: Vocabulary, texts) -> tuple[np.ndarray, ...]:
     """Of each token of texts: its text's place, its number and those of the word before and of the one before that (-1: unknown, or none); and the texts' lengths."""
     hashes, lengths = tokens_of(texts)
     right, starts = vocabulary.numbers(hashes), np.zeros(len(hashes), bool)
+    right = right.astype(np.int32 if vocabulary.size < 2**31 - 1 else np.int64)
     starts[np.cumsum(lengths)[:-1]] = True
     starts[:1] = True
-    mid = np.append(-1, right[:-1])
+    none = np.array([-1], right.dtype)
+    mid = np.append(none, right[:-1])
     mid[starts] = -1
-    left = np.append(-1, mid[:-1])
+    left = np.append(none, mid[:-1])
     left[starts] = -1
-    return np.repeat(np.arange(len(lengths)), lengths), right, mid, left, lengths
+    return np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), right, mid, left, lengths
 
 
 def rows_of(found) -> pa.RecordBatch:
@@ -392,7 +404,7 @@ def write_part(folder: str):
             pairs, sums = bigrams(model, at, right, c)
             save_arrays(f"{folder}/grams-{p}.bin", levels(model, words, split, pairs, sums, at, left, right, c))
             hot = split[pairs // model.size]
-            yield pa.RecordBatch.from_arrays([pa.array(words[pairs[hot] // model.size]), pa.array(pairs[hot] % model.size), pa.array(sums[hot])], names=["mid", "right", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(words[pairs[hot] // model.size].astype(np.int64)), pa.array(pairs[hot] % model.size), pa.array(sums[hot])], names=["mid", "right", "c"])
 
     return run
 
@@ -577,7 +589,7 @@ def deal_tokens(folder: str):
 
 
 def score_part(folder: str, tokens: int = 500_000):
-    """Rows of documents as they are, and for each block of tokens the sums of its documents' log-probabilities."""
+    """Rows of documents as they are, and for each block of tokens the sums of its documents' log-probabilities, in single precision."""
 
     def run(batches):
         model, part, shard, held, size = vocabulary(folder), None, None, [], 0
@@ -588,7 +600,7 @@ def score_part(folder: str, tokens: int = 500_000):
             out, at = [], 0
             for (parcel, _), (_, _, _, doc) in zip(held, blocks, strict=True):
                 some, inverse = np.unique(doc, return_inverse=True)
-                out.append((parcel, part, b"t" + pack(some, np.bincount(inverse, p[at : at + len(doc)]).view(U))))
+                out.append((parcel, part, b"t" + pack(some, np.bincount(inverse, p[at : at + len(doc)]).astype(np.float32).view(np.uint32))))
                 at += len(doc)
             held.clear()
             return rows_of(out)
@@ -618,13 +630,12 @@ def add_up(batches):
     """Documents of each parcel, from its rows, which come together."""
 
     def close(rows):
-        facts = next(unpack(x[1:]) for x in rows if x[:1] == b"d")
-        ids, null, n, known, base, score = facts
-        base, score = base.view(float), score.view(float).copy()
+        ids, null, n, known, base, score = (x.astype(np.int64) for x in next(unpack(x[1:]) for x in rows if x[:1] == b"d"))
+        base, score = base.view(float), score.view(float)
         for x in rows:
             if x[:1] == b"t":
                 doc, sums = unpack(x[1:])
-                score[doc] += sums.view(float)
+                score[doc] += sums.astype(np.uint32).view(np.float32)
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     at, rows = None, []
