@@ -25,14 +25,17 @@ def is_spaced(line: Column) -> Column:
     return (ones >= 10) | ((ones >= 4) & (ones * 2 >= F.size(tokens)))
 
 
-def despaced(line: Column) -> Column:
-    """Single letters side by side are joined, on lines whose letters stand apart; others stay as they are."""
-    return F.when(is_spaced(line), F.regexp_replace(line, r"(?<=(?<![\p{L}\p{M}])[\p{L}\p{M}]) (?=[\p{L}\p{M}](?![\p{L}\p{M}]))", "")).otherwise(line)
+def despaced(line: Column, whole: Column | None = None) -> Column:
+    """Single letters side by side are joined, on lines whose letters stand apart, or on all where the document's do (whole); others stay as they are."""
+    apart = is_spaced(line) if whole is None else whole | is_spaced(line)
+    return F.when(apart, F.regexp_replace(line, r"(?<=(?<![\p{L}\p{M}])[\p{L}\p{M}]) (?=[\p{L}\p{M}](?![\p{L}\p{M}]))", "")).otherwise(line)
 
 
 @query()
 def despace_line(spark, sf):
-    return spark.createDataFrame([(x,) for x in SCATTERED], "line string").select("line", despaced(F.col("line")).alias("joined"))
+    """Each line by itself, and as a line of a document whose letters stand apart."""
+    rows = spark.createDataFrame([(x,) for x in SCATTERED], "line string")
+    return rows.select("line", despaced(F.col("line")).alias("joined"), despaced(F.col("line"), F.lit(True)).alias("forced"))
 
 
 #: Letters and onsets of Vietnamese: fixed values.

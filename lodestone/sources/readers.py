@@ -67,16 +67,21 @@ def pages_of(spark: SparkSession, path: str, pattern: str, pages: Callable[[byte
 
 @reader(".txt", ".md", ".csv", ".json")
 def text_pieces_of(spark: SparkSession, path: str, size: int = 256 << 10) -> DataFrame:
-    """Pieces of text files of about size bytes, cut at line ends; a longer line is one piece."""
-    def cut(data: bytes) -> list[str]:
-        text, out = data.decode("utf-8", "replace"), []
-        while len(text) > size:
-            at = text.rfind("\n", 0, size) + 1 or text.find("\n", size) + 1 or len(text)
-            out.append(text[:at])
-            text = text[at:]
-        return [*out, text] if text or not out else out
-
-    return pages_of(spark, path, "*.{txt,md,csv,json}", cut)
+    """Pieces of text files of about size bytes, cut at line ends; a longer line makes a larger piece, an empty file has none.
+
+    Spark's text source splits files between tasks and reads them by line, so no file is held whole. Lines are put in
+    order by where they stand in the file's blocks (tasks read them in order); a running sum of their bytes deals them to pieces.
+    """
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.{txt,md,csv,json}").option("recursiveFileLookup", "true").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    end = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("path", "block").orderBy("n"))
+    placed = rows.withColumn("piece", F.floor((end - 1) / size))
+    joined = placed.groupBy("path", "block", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    whole = rows.groupBy("path").agg((F.sum(F.octet_length("line") + 1) == F.max("bytes") + 1).alias("open"))  # the last line of an open file has no end
+    order = Window.partitionBy("path").orderBy("block", "piece")
+    last = F.lead("piece").over(order).isNull()
+    pieces = joined.join(whole, "path").withColumn("seq", F.row_number().over(order)).withColumn("end", F.when(F.col("open") & last, "").otherwise("\n"))
+    return pieces.select("path", "seq", F.concat("text", "end").alias("text"))
 
 
 def opened(data: bytes) -> zipfile.ZipFile:
@@ -90,11 +95,13 @@ def tag(e) -> str:
 
 
 def run_text(p) -> str:
-    """The text of a paragraph, without what was deleted and without field codes."""
+    """The text of a paragraph, without what was deleted and without field codes; breaks and tabs as white space."""
     if tag(p) in ("del", "instrText"):
         return ""
     if tag(p) == "t":
         return p.text or ""
+    if tag(p) in ("br", "cr", "tab"):
+        return " " if tag(p) == "tab" else "\n"
     return "".join(map(run_text, p))
 
 
@@ -102,6 +109,8 @@ def docx_text(data: bytes) -> list[str]:
     body = next(e for e in ElementTree.fromstring(opened(data).read("word/document.xml")) if tag(e) == "body")
     out = []
     for e in body:
+        alternatives = [x.get("descr", "").strip() for x in e.iter() if tag(x) == "docPr"]  # an image's text stands before its paragraph or table
+        out += [f"[Hình: {x}]" for x in alternatives if x]
         if tag(e) == "p":
             listed = any(tag(x) == "numPr" for x in e.iter())
             if line := run_text(e).strip():
@@ -179,7 +188,7 @@ def zipped(parts: dict[str, str]) -> bytes:
 
 W = 'xmlns:w="http://w" xmlns:r="http://r"'
 SAMPLES = {
-    "a.docx": {"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>item</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>"},
+    "a.docx": {"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Title</w:t><w:tab/><w:t>two</w:t><w:drawing><w:docPr id='1' descr=' A plan '/></w:drawing></w:r></w:p><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>item</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>"},
     "b.xlsx": {
         "xl/workbook.xml": '<workbook xmlns:r="http://r"><sheets><sheet name="One" r:id="r1"/><sheet name="Empty" r:id="r2"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>',
@@ -237,15 +246,15 @@ TSV = (
 @query("SELECT * FROM (VALUES (0, 'Hello world', 85.0::DOUBLE, 0, 0, 45, 10), (1, 'Next', 70.0::DOUBLE, 0, 12, 20, 22)) v(line, text, conf, x0, y0, x1, y1)")
 def ocr_tsv_parse(spark, sf):
     """Lines of an OCR table, in order of their first words: text, mean confidence, box. Columns go by the header's names."""
-    cells = spark.createDataFrame(list(TSV), "p int, row string").select("p", F.split("row", "\t").alias("c"))
-    header = cells.where("p = 0").select(F.col("c").alias("h"), F.lit(1).alias("k"))
+    cells = spark.createDataFrame(list(TSV), "p int, row string").select("p", F.split("row", "\t").alias("c"), F.lit(1).alias("page"))
+    header = cells.where("p = 0").select(F.col("c").alias("h"), "page")
     get = lambda name: F.get("c", F.array_position("h", name).cast("int") - 1)
     number = lambda name: get(name).try_cast("int").alias(name)
-    words = cells.where("p > 0").withColumn("k", F.lit(1)).join(F.broadcast(header), "k")  # one row
-    words = words.select("p", *[number(n) for n in ("level", "block_num", "par_num", "line_num", "left", "top", "width", "height")], get("conf").try_cast("double").alias("conf"), get("text").alias("text"))
+    words = cells.where("p > 0").join(header, "page")
+    words = words.select("page", "p", *[number(n) for n in ("level", "block_num", "par_num", "line_num", "left", "top", "width", "height")], get("conf").try_cast("double").alias("conf"), get("text").alias("text"))
     words = words.where("level = 5 AND text <> '' AND conf >= 0 AND width > 0 AND height > 0")
-    lines = words.groupBy("block_num", "par_num", "line_num").agg(F.min("p").alias("p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), " ").alias("text"), F.avg("conf").alias("conf"), F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(F.col("left") + F.col("width")).alias("x1"), F.max(F.col("top") + F.col("height")).alias("y1"))
-    return lines.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("p")) - 1).alias("line"), "text", "conf", "x0", "y0", "x1", "y1")
+    lines = words.groupBy("page", "block_num", "par_num", "line_num").agg(F.min("p").alias("p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), " ").alias("text"), F.avg("conf").alias("conf"), F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(F.col("left") + F.col("width")).alias("x1"), F.max(F.col("top") + F.col("height")).alias("y1"))
+    return lines.select((F.row_number().over(Window.partitionBy("page").orderBy("p")) - 1).alias("line"), "text", "conf", "x0", "y0", "x1", "y1")
 
 
 BOXES = ((1, 10.0, 10.0, 30.0, 20.0, "one"), (2, 32.0, 11.0, 50.0, 21.0, "line"), (3, 10.0, 40.0, 30.0, 50.0, "two"), (4, 5.0, 41.0, 9.0, 51.0, "in"), (5, 0.0, 0.0, 0.0, 0.0, " "))
@@ -254,13 +263,13 @@ BOXES = ((1, 10.0, 10.0, 30.0, 20.0, "one"), (2, 32.0, 11.0, 50.0, 21.0, "line")
 @query()
 def bbox_parse(spark, sf):
     """Words of a page in lines: a word joins the line before if its middle is within half a line's height of it."""
-    words = spark.createDataFrame(list(BOXES), "n int, x0 double, y0 double, x1 double, y1 double, text string").where("trim(text) <> '' AND x1 > x0 AND y1 > y0")
-    words = words.select("n", *[F.round(F.col(c) * 300 / 72).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
-    order = Window.partitionBy(F.lit(1)).orderBy("n")
+    words = spark.createDataFrame([(1, *b) for b in BOXES], "page int, n int, x0 double, y0 double, x1 double, y1 double, text string").where("trim(text) <> '' AND x1 > x0 AND y1 > y0")
+    words = words.select("page", "n", *[F.round(F.col(c) * 300 / 72).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
+    order = Window.partitionBy("page").orderBy("n")
     middle, height = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0")
     starts = F.coalesce(F.abs(middle - F.lag(middle).over(order)) > F.lag(height).over(order) / 2, F.lit(True))
     lined = words.withColumn("new", starts.cast("int")).withColumn("line", F.sum("new").over(order))
-    return lined.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    return lined.groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("page")
 
 
 INFO = ((1, "Title:   Report"), (2, "Pages:          2"), (3, "Page    1 size: 595 x 842 pts"), (4, "Page    1 rot:  0"), (5, "Page    2 size: 842 x 595 pts"), (6, "Page    2 rot:  90"))
