@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -118,7 +117,8 @@ def norm_vi(spark, sf):
     return table(spark, sf, "documents").select("doc_id", norm_vi_udf("text").alias("text"))
 
 
-@query()
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN n < 1000 THEN [CAST(n AS VARCHAR)] ELSE [CAST(n AS VARCHAR), format('{:,}', n), replace(format('{:,}', n), ',', '.')] END AS spellings
+ FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey * 1000 + l_linenumber AS BIGINT) AS n FROM lineitem)""")
 def num_variants(spark, sf):
     """Spellings of a whole number: bare, and with either mark between thousands."""
     n = F.col("l_partkey") * 1000 + F.col("l_linenumber")
@@ -143,14 +143,18 @@ def vector_codec(spark, sf):
     return rows.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), (decode_vector("b") == F.col("embedding")).alias("same"))
 
 
-@query()
-def ascii_filename(spark, sf):
+def disposition(name: Column) -> Column:
     """A header-safe name: an ASCII fallback and the percent-encoded one."""
-    @F.pandas_udf("string")
-    def encoded(name: pd.Series) -> pd.Series:
-        return name.map(lambda n: f"attachment; filename=\"{''.join(c if 32 <= ord(c) < 127 and c not in chr(34) + chr(92) else '_' for c in n)}\"; filename*=UTF-8''{quote(n, safe='')}")
+    percent = F.url_encode(name)
+    for written, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        percent = F.replace(percent, F.lit(written), F.lit(wanted))
+    plain = F.regexp_replace(name, '[^ -~]|["\\\\]', "_")
+    return F.concat(F.lit('attachment; filename="'), plain, F.lit("\"; filename*=UTF-8''"), percent)
 
-    return view(spark, sf, "articles").select("id", encoded(F.concat("name", F.lit(" é.pdf"))).alias("header"))
+
+@query("""SELECT id, 'attachment; filename="' || regexp_replace(n, '[^ -~]|["\\\\]', '_', 'g') || '"; filename*=UTF-8''''' || url_encode(n) AS header FROM (SELECT id, name || ' é~*+".pdf' AS n FROM articles)""")
+def ascii_filename(spark, sf):
+    return view(spark, sf, "articles").select("id", disposition(F.concat("name", F.lit(' é~*+".pdf'))).alias("header"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '[0-9]') AS has_numbers, regexp_matches(text, 'https?://') AS has_links, length(text) <= 4000 AS short, CAST(regexp_matches(text, '[0-9]') AS INT) + CAST(NOT regexp_matches(text, 'https?://') AS INT) + CAST(length(text) <= 4000 AS INT) AS checks FROM documents")

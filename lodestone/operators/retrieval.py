@@ -41,7 +41,14 @@ def query_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
-_COS = f"round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST({_Q} AS DOUBLE[]), CAST({_Q} AS DOUBLE[])))), 9)"
+
+
+def _cos(vector: str) -> str:
+    x, q = f"CAST({vector} AS DOUBLE[])", f"CAST({_Q} AS DOUBLE[])"
+    return f"round(list_dot_product({x}, {q}) / (sqrt(list_dot_product({x}, {x})) * sqrt(list_dot_product({q}, {q}))), 9)"
+
+
+_COS = _cos("embedding")
 
 
 @query(f"SELECT point_id, article_id, {_COS} AS score FROM points WHERE user_id IN (1, 2) ORDER BY score DESC, point_id LIMIT 10", name="vector_topk")
@@ -152,7 +159,16 @@ def ranked(df: DataFrame, *order) -> DataFrame:
 
 
 _DENSE = f"(SELECT point_id, article_id, {_COS} AS score FROM points WHERE user_id = 1 ORDER BY score DESC, point_id LIMIT 15)"
-_TITLE = "(SELECT point_id, article_id, round(CAST(embedding[1] AS DOUBLE), 9) AS score FROM points WHERE user_id = 1 ORDER BY score DESC, point_id LIMIT 15)"
+_TITLES = """(SELECT article_id, list(m ORDER BY i) AS title FROM (SELECT article_id, i, round(avg(x), 9) AS m FROM
+ (SELECT article_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM points WHERE user_id = 1) GROUP BY ALL) GROUP BY 1)"""
+_TITLE = f"(SELECT point_id, article_id, {_cos('title')} AS score FROM points JOIN {_TITLES} USING (article_id) WHERE user_id = 1 ORDER BY score DESC, point_id LIMIT 15)"
+
+
+def title_topk(points: DataFrame, query_point: DataFrame, k: int) -> DataFrame:
+    """The k points whose articles' title vectors are nearest; the mean of an article's points stands for its title. Points of one article go by id."""
+    parts = points.select("article_id", F.posexplode("embedding").alias("i", "x")).groupBy("article_id", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
+    titles = parts.groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("title"))
+    return vector_topk(points.join(titles, "article_id"), query_point, k, embedding="title")
 
 
 @query(f"""SELECT point_id, CAST(round(sum(1.0::DOUBLE / (60 + r)), 12) AS FLOAT) AS score, min(l) AS list FROM (
@@ -160,7 +176,7 @@ _TITLE = "(SELECT point_id, article_id, round(CAST(embedding[1] AS DOUBLE), 9) A
 def rrf_union(spark, sf):
     mine = view(spark, sf, "points").where(in_scope(1))
     dense = vector_topk(mine, query_vector(spark, sf), 15)
-    title = mine.select("point_id", F.round(F.col("embedding")[0].cast("double"), 9).alias("score")).orderBy(F.desc("score"), "point_id").limit(15)
+    title = title_topk(mine, query_vector(spark, sf), 15)
     return reciprocal_rank_fusion([ranked(x, F.desc("score"), "point_id").select("point_id", "rank") for x in (dense, title)])
 
 
@@ -176,7 +192,7 @@ def dense_dual_rrf(spark, sf):
     """Content and title vectors fused; titles under the gate are skipped but keep their rank."""
     mine = view(spark, sf, "points").where(in_scope(1))
     dense = vector_topk(mine, query_vector(spark, sf), 15).where("score >= 0.1")
-    title = mine.select("point_id", F.round(F.col("embedding")[0].cast("double"), 9).alias("score")).orderBy(F.desc("score"), "point_id").limit(15)
+    title = title_topk(mine, query_vector(spark, sf), 15)
     a = ranked(dense, F.desc("score"), "point_id").select("point_id", "rank")
     b = ranked(title, F.desc("score"), "point_id").where("score >= 0.05").select("point_id", "rank")
     return reciprocal_rank_fusion([a, b]).orderBy(F.desc("score"), "point_id").limit(10).select("point_id", "score")
