@@ -10,6 +10,7 @@ Items travel to the tasks in blocks of bounded size; documents are never shuffle
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,9 @@ def within_words(text: str, start: int, end: int) -> bool:
     return any(0 < at < len(text) and text[at - 1] != " " and text[at] != " " and not (UNSPACED.match(text[at - 1]) or UNSPACED.match(text[at])) for at in (start, end))
 
 
+@lru_cache(4096)
 def masks(pattern: str) -> dict[str, int]:
+    """Where each character stands in a pattern, as bits; made when first asked for, as most parts of items never are."""
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
         out[c] = out.get(c, 0) | 1 << i
@@ -99,7 +102,6 @@ class Searcher:
         import ahocorasick
 
         self.items = [(i, t, budget(len(t), rate, least_piece)) for i, t in items]
-        self.peq = [masks(t) for _, t, _ in self.items]
         found: dict[str, list[tuple[int, int, list]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             parts = pieces(t, k)
@@ -108,7 +110,7 @@ class Searcher:
                 for a, b in around:
                     if (a, b) not in groups:
                         part = t[cuts[a] : cuts[b]]
-                        groups[a, b] = cuts[a], cuts[b], b - a - 1, part, masks(part)
+                        groups[a, b] = cuts[a], cuts[b], b - a - 1, part
                 found.setdefault(piece, []).append((n, at, [groups[x] for x in around]))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
@@ -127,8 +129,8 @@ class Searcher:
                 s = last + 1 - length - at
                 if s in begins.get(n, ()):
                     continue
-                for a, b, k, part, peq in around:
-                    if best_end(part, peq, text[max(0, s + a - k) : max(0, s + b + k)])[0] > k:
+                for a, b, k, part in around:
+                    if best_end(part, masks(part), text[max(0, s + a - k) : max(0, s + b + k)])[0] > k:
                         break
                 else:
                     begins.setdefault(n, set()).add(s)
@@ -152,7 +154,7 @@ class Searcher:
             while j + 1 < len(starts) and starts[j + 1] - starts[j] <= 2 * k:
                 j += 1
             lo, hi = max(0, starts[i] - k), min(len(text), starts[j] + len(pattern) + k)
-            d, end = best_end(pattern, self.peq[n], text[lo:hi])
+            d, end = best_end(pattern, masks(pattern), text[lo:hi])
             if d <= k and (best is None or d < best[0]):
                 back = pattern[::-1]
                 _, length = best_end(back, masks(back), text[max(0, lo + end - len(pattern) - k) : lo + end][::-1], True)
@@ -171,7 +173,7 @@ def item_blocks(spark: SparkSession, items: DataFrame, least_item: int, block_ch
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_piece: int = 14, least_item: int = 28, block_chars: int = 4_000_000) -> DataFrame:
-    """doc_id, item_id, distance, match_start, match_end: each item found in each document, at its best place.
+    """doc_id, item_id, distance, match_start, match_end: each item found in each document, at its best place; of equally good ones, the first.
 
     Texts and items are compared in normal form (normalised), to which the offsets refer. The budget of an
     item of n characters is min(rate * n, n // least_piece - 1) edits: the whole rate if least_piece is 1, as
