@@ -210,7 +210,10 @@ def across(buckets: DataFrame, comps: DataFrame, classes: DataFrame, chosen: lis
     """
     placed, mixed = in_components(buckets, comps)
     tiles = mixed.select("key", "main", F.ceil((F.col("c") - F.col("most")) / TILE_OUT).cast("int").alias("outs"), F.ceil(F.col("c") / TILE_ALL).cast("int").alias("alls"))
-    rows = written(placed.join(tiles, "key").join(classes.select("rep", "n", "sig"), "rep").withColumn("h", F.xxhash64("rep", "k")), "members")
+    # a member is in at most as many buckets as it has keys; its signature is fetched once for all of them
+    where = placed.join(tiles, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "k", "comp", "main", "outs", "alls")).alias("b"))
+    rows = where.join(classes.select("rep", "n", "sig"), "rep").select("rep", "n", "sig", F.inline("b"))
+    rows = written(rows.withColumn("h", F.xxhash64("rep", "k")), "members")
     block = [F.collect_list(c).alias(c) for c in ("rep", "comp", "n", "sig")]
 
     def blocks(members: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
