@@ -9,7 +9,7 @@ from lodestone.operators import retrieval, tables, topk, windows
 from lodestone.operators.filters import BLANKS, alive
 from lodestone.operators.joins import neighbours
 from lodestone.registry import query
-from lodestone.views import article_pages, chunks, table, view
+from lodestone.views import article_pages, chunks, view
 
 
 def clamp(value: int, low: int, high: int, default: int | None = None) -> int:
