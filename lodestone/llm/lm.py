@@ -36,7 +36,7 @@ from .common import crc_fold, filesystem, mix, put, table, word_hashes, work_pat
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 DISCOUNT = 0.75
 PARCEL = 2_000_000  # tokens that are dealt together
-TOP = 1 << 16  # words that are numbered by frequency; the others come after, by rank in order of their hashes
+TOP = 1 << 19  # words that are at least one in TOP tokens, so TOP at most, are numbered by frequency; the others come after, by rank in order of their hashes
 U = np.uint64
 
 
@@ -536,7 +536,7 @@ def train(docs: DataFrame, folder: str, tokens_per_shard: int = 2_000_000, words
         offsets.append(offsets[-1] + sizes.get(s, 0))
         if s not in sizes:
             write_word_shard(folder, s, bits, np.empty(0, U), np.empty(0, np.int64))
-    top = unigrams.orderBy(F.desc("c"), "word").limit(top_words).collect()  # top_words at most
+    top = sorted(unigrams.where(F.col("c") * top_words >= tokens).collect(), key=lambda r: (-r.c, r.word))  # top_words at most, as their counts add up to no more than tokens
     save_arrays(f"{folder}/words-top.bin", {"words": np.array([r.word for r in top], np.int64).view(U), "counts": np.array([r.c for r in top], np.int64)})
     parts = 1 + tokens // tokens_per_shard
     meta = {"tokens": tokens, "words": words, "shard_bits": bits, "offsets": offsets[:-1], "parts": parts, "tokens_per_shard": tokens_per_shard, "top": top_words}

@@ -243,7 +243,7 @@ def test_split_words_give_the_same_scores(spark):
     docs, model = spark.read.parquet(at), Plain([plain_words(t) for t in texts])
     for size, top in ((1_000_000, 1000), (100, 5), (100, 1000)):
         meta = lm.train(docs, folder := work_path(spark, "trie"), tokens_per_shard=size, top_words=top, words_per_shard=10)
-        assert size > 100 or lm.Vocabulary(folder).splits(np.arange(5)).max() > 4
+        assert size > 100 or lm.Vocabulary(folder).splits(np.arange(1))[0] > 4
         for d, score in lm.score(docs, folder, meta).select("doc_id", "score").collect():
             w = plain_words(texts[d])
             assert abs(score - sum(np.log10(model.p(w[max(0, j - 2) : j], x)) for j, x in enumerate(w))) < 0.01 * len(w)
