@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, lm, minhash, mixing, secrets, shards, toxicity, urls, warc
+from . import crosstok, deal, decontaminate, embeddings, lm, minhash, mixing, secrets, shards, toxicity, urls, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         embeddings.op8_embedding_near_dedup,
         lm.op9_lm_scoring,
         mixing.op10_source_mixing,
+        crosstok.op12_cross_tokenizer,
+        deal.op13_sharding,
     )
 }
 
@@ -26,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": secrets.ORACLE,
     "op8_embedding_near_dedup": embeddings.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "op13_sharding": deal.ORACLE,
 }
