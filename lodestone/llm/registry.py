@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crosstok, deal, decontaminate, embeddings, lm, minhash, mixing, secrets, shards, toxicity, urls, warc
+from . import crosstok, deal, decontaminate, embeddings, lm, minhash, mixing, secrets, shards, toxicity, turns, urls, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         embeddings.op8_embedding_near_dedup,
         lm.op9_lm_scoring,
         mixing.op10_source_mixing,
+        turns.op11_conversation_repair,
         crosstok.op12_cross_tokenizer,
         deal.op13_sharding,
     )
