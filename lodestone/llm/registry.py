@@ -29,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": secrets.ORACLE,
     "op8_embedding_near_dedup": embeddings.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "op11_conversation_repair": turns.ORACLE,
     "op13_sharding": deal.ORACLE,
 }

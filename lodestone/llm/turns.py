@@ -408,3 +408,49 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations"))
     return audited(rows, F.col("present")).withColumnRenamed("conv", "conv_id")
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edit(cost: str, letter: str, then: str) -> str:
+    return f"{{'c': {cost} + {then}.c, 'a': '{letter}' || {then}.a}}"
+
+
+def _moves(state: int) -> str:
+    """From a state over the next turn: delete it, keep it, change its role."""
+    after = {START: ODD, HEAD: ODD, EVEN: ODD, ODD: EVEN}[state]
+    keep = f"CASE WHEN ini = '{WANTED[state]}' THEN {_edit('extra', 'K', f'v{after}')}" + (f" WHEN ini = 's' THEN {_edit('extra', 'K', f'v{HEAD}')}" if state == START else "") + " END"
+    change = f"CASE WHEN ini <> '{WANTED[state]}' THEN {_edit(f'{REROLE} + extra', 'R', f'v{after}')} END"
+    return f"CASE WHEN fit THEN list_min(list_filter([{_edit(str(DELETE), 'D', f'v{state}')}, {keep}, {change}], lambda x: x IS NOT NULL)) ELSE {_edit(str(DELETE), 'D', f'v{state}')} END AS r{state}"
+
+
+def _inserted(state: int) -> str:
+    """At most three turns put in before the next one."""
+    options, at, text = [f"r{state}"], state, ""
+    for n in range(1, 4):
+        at, text = (ODD if WANTED[at] == "u" else EVEN), text + "I"
+        options.append(_edit(str(n * INSERT), text, f"r{at}"))
+    return f"{_least(*options)} AS v{state}"
+
+
+_END = {START: "{'c': 0, 'a': ''}", HEAD: "{'c': 10, 'a': 'II'}", EVEN: "{'c': 0, 'a': ''}", ODD: "{'c': 5, 'a': 'I'}"}
+_SIGN = "[^\\x20\\x09-\\x0D]"
+ORACLE = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_prepend(4294967295, list_transform(split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ord(x)::BIGINT)) AS bytes FROM conversations),
+f AS (SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind FROM k, t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER w AS i, left(role, 1) AS ini, lag(left(role, 1)) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, left(text, 256), md5(text), copy) AS seen FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 256), md5(text), copy)),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{_SIGN}') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN regexp_extract(text, '({_SIGN})[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault FROM o),
+h AS (SELECT conv_id, i, ini, CASE WHEN fault = 'truncated' THEN {CUT_SHORT} ELSE 0 END AS extra, fault IN ('fine', 'truncated') AS fit FROM g),
+v AS (SELECT conv_id, count(*) AS i, {', '.join(f'{e} AS v{s}' for s, e in _END.items())} FROM h GROUP BY conv_id
+    UNION ALL SELECT conv_id, i - 1, {', '.join(_inserted(s) for s in range(4))} FROM (SELECT v.conv_id, v.i, {', '.join(_moves(s) for s in range(4))} FROM v JOIN h ON h.conv_id IS NOT DISTINCT FROM v.conv_id AND h.i = v.i)),
+b AS (SELECT conv_id, v0.c AS cost, v0.a AS audit FROM v WHERE i = 0),
+e AS (SELECT conv_id, j, audit[j] AS edit, len(replace(audit[:j], 'I', '')) AS i, len(replace(audit[:j], 'D', '')) AS m FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM b)),
+p AS (SELECT e.conv_id, j, m, edit, role, text, max(CASE WHEN m = 1 AND edit = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS head FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i WHERE edit <> 'D'),
+r AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN (m - head) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || (CASE WHEN edit = 'I' THEN '' ELSE text END), chr(10) ORDER BY j) AS whole FROM p GROUP BY conv_id),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id"""

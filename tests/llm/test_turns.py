@@ -12,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import turns
+from lodestone.llm import registry, turns
 from lodestone.llm.common import table
+from tests.oracle import connect, difference
 
 COLUMNS = ["conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
 NO_END = 10**9
@@ -137,3 +138,8 @@ def test_query_over_the_whole_table(spark, sf):
     found = turns.op11_conversation_repair(spark, sf)
     assert found.columns == ["conv_id", *COLUMNS[1:]]
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == {c: plain(x)[0] for c, x in by_id.items()}
+
+
+def test_query_is_its_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert not difference(turns.op11_conversation_repair(spark, sf), connect(sf), registry.ORACLES["op11_conversation_repair"])
