@@ -32,12 +32,18 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, error
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components are about 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row indexes (i, j) with cosine of a[i] and b[j] at least threshold."""
+    a, b = scaled(a), scaled(b)
     ua, ub = unit_rows(a), unit_rows(b)
     qa, sa, ea = quantise(ua)
     qb, sb, eb = quantise(ub)
@@ -58,21 +64,28 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarr
     return i[keep], j[keep]
 
 
-def forest(i: list[int], j: list[int]) -> list[tuple[int, int]]:
-    """Links that join what is not yet joined."""
-    parent: dict[int, int] = {}
+def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Positions of links that join what is not yet joined, until all that is linked is joined.
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
-
-    out = []
-    for x, y in zip(i, j, strict=True):
-        if (p := root(x)) != (q := root(y)):
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    In every round each tree with a link to a tree of a lower label hangs itself under the lowest such, and links inside
+    a tree are left out from then on.
+    """
+    nodes, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = place[: len(i)], place[len(i) :]
+    label, left, out = np.arange(len(nodes)), np.arange(len(i)), []
+    while len(left):
+        high, low = np.maximum(label[x[left]], label[y[left]]), np.minimum(label[x[left]], label[y[left]])
+        apart = high != low
+        left, high, low = left[apart], high[apart], low[apart]
+        order = np.argsort(high * len(nodes) + low)
+        first = order[np.flatnonzero(np.append(True, np.diff(high[order]) > 0))] if len(order) else order
+        out.append(left[first])
+        up = np.arange(len(nodes))
+        up[high[first]] = low[first]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def usable(dtype: str):
@@ -83,8 +96,7 @@ def usable(dtype: str):
             blobs = []
             for x in batch.column(1):
                 v = None if not x.is_valid or x.values.null_count else x.values.to_numpy(zero_copy_only=False).astype(dtype)
-                square = (v.astype(float) ** 2).sum() if v is not None else 0
-                blobs.append((v + v.dtype.type(0)).tobytes() if 0 < square < math.inf else None)  # NaN fails too; -0 becomes 0
+                blobs.append((v + v.dtype.type(0)).tobytes() if v is not None and np.isfinite(v).all() and v.any() else None)  # -0 becomes 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "vector"])
 
     return run
@@ -129,7 +141,8 @@ def compare(threshold: float, dtype: str):
                     x, y = x[x < y], y[x < y]
                 links = np.concatenate([np.bincount(x, np.array(row["wb"], float)[y], len(na)), np.bincount(y, np.array(row["wa"], float)[x], len(nb))]).astype(np.int64)
                 some = np.flatnonzero(links)
-                edges = np.array(forest(na[x].tolist(), nb[y].tolist()), np.int64).reshape(-1, 2)
+                tree = forest(na[x], nb[y])
+                edges = np.stack([na[x][tree], nb[y][tree]], axis=1)
                 if len(some):
                     n, m = len(some), len(edges)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.concatenate([na, nb])[some], edges[:, 0]])), pa.array([*np.concatenate([ha, hb])[some].tolist(), *[None] * m], pa.int64()), pa.array(np.concatenate([links[some], np.zeros(m, np.int64)])), pa.array([None] * n + edges[:, 1].tolist(), pa.int64())], names=["node", "hash", "links", "other"])

@@ -5,9 +5,9 @@ sequences of seq_len; the last is filled up with end tokens. Sequence i of parti
 p * 2**40 + i, and its position is P(number), where P is a Feistel network on the least even number of bits
 that holds partitions * 2**40, applied again while its value lies outside (cycle-walking): a permutation
 that needs no table, can be inverted, and needs no count of the sequences beforehand, so texts are tokenised
-once. Positions are range-partitioned into shards; a sequence's global slot is its place among all in order of
-position: the slot its shard starts at, and its row there. Row r of a shard is at byte r * stride, and
-reading may begin or resume at any slot.
+once. Positions are range-partitioned into shards, some shards to a task; a sequence's global slot is its place among all in
+order of position: the slot its shard starts at, and its row there. Row r of a shard is at byte r * stride, and
+reading may begin or resume at any slot; the shards' starts are a table beside them.
 """
 
 from __future__ import annotations
@@ -16,15 +16,13 @@ import base64
 import json
 import re
 import zlib
-from bisect import bisect_right
 from collections import deque
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, mix, put, table, work_path, written
@@ -36,6 +34,7 @@ END = 50256
 DTYPE = np.dtype("<u2")
 PER_PART = 1 << 40  # sequences a partition may have
 BYTES_PER_TOKEN = 3  # of text, about: it only sets how many shards there are
+TASKS = 20_000  # that write shards, before one writes more than one
 
 
 class Tokenizer:
@@ -156,7 +155,7 @@ def write_shards(folder: str, width: int):
     return run
 
 
-def materialise(docs: DataFrame, folder: str, seq_len: int = 512, shard_rows: int = 4096, key: int = 2024, tokenizer_path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, folder: str, seq_len: int = 512, shard_rows: int = 4096, key: int = 2024, tokenizer_path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", tasks: int = TASKS) -> DataFrame:
     """Writes docs as shards under folder (shared storage) and returns the index: slot, shard, row, sequence, n_tokens, doc_ids, crc.
 
     docs must be a scan of a stored table, which gives the same partitions each time, so a repeated task
@@ -171,12 +170,22 @@ def materialise(docs: DataFrame, folder: str, seq_len: int = 512, shard_rows: in
     shards = max(1, size // (BYTES_PER_TOKEN * seq_len * shard_rows))
     width = -(-parts * PER_PART // shards)
     sequences = rows.mapInArrow(make_sequences(tokenizer_path, seq_len, parts, key), SEQUENCES)
-    placed = sequences.repartitionById(shards, F.expr(f"CAST(position div {width} AS INT)")).sortWithinPartitions("position")
+    each = -(-shards // tasks)  # shards a task writes
+    placed = sequences.repartitionById(-(-shards // each), F.expr(f"CAST(position div {width * each} AS INT)")).sortWithinPartitions("position")
     stored_rows = written(placed.mapInArrow(write_shards(folder, width), "shard long, row long, sequence long, n_tokens int, doc_ids array<long>, crc long"), "index")
-    counts = dict(stored_rows.groupBy("shard").count().collect())  # one number a shard
-    starts = list(accumulate((counts.get(i, 0) for i in range(shards)), initial=0))
-    put(f"{folder}/meta.json", [json.dumps({"sequences": starts[-1], "seq_len": seq_len, "starts": starts[:-1], "dtype": DTYPE.str, "end": END, "key": key, "partitions": parts}).encode()])
-    first = spark.createDataFrame(list(enumerate(starts[:-1])), "shard long, start long")
+    counts = stored_rows.groupBy("shard").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("shard") / each))
+    starts, total = [], 0
+    longest = 0
+    for row in counts.groupBy("range").agg(F.sum("n").alias("n"), F.max("n").alias("longest")).orderBy("range").collect():  # two numbers a task
+        starts.append((row["range"], total))
+        total += row["n"]
+        longest = max(longest, row["longest"])
+    ranges = F.broadcast(spark.createDataFrame(starts, "range long, first long"))
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("shard")) - F.col("n")
+    places = counts.withColumn("before", before).join(ranges, "range").select("shard", (F.col("first") + F.col("before")).alias("start"), "n")
+    places.repartitionByRange("shard").sortWithinPartitions("shard").write.parquet(f"{folder}/starts")
+    put(f"{folder}/meta.json", [json.dumps({"sequences": total, "seq_len": seq_len, "shards": shards, "longest": longest, "dtype": DTYPE.str, "end": END, "key": key, "partitions": parts}).encode()])
+    first = spark.read.schema("shard long, start long, n long").parquet(f"{folder}/starts")
     return stored_rows.join(first, "shard").select((F.col("start") + F.col("row")).alias("slot"), "shard", "row", "sequence", "n_tokens", "doc_ids", "crc")
 
 
@@ -206,14 +215,17 @@ def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
 
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:
     """Sequences first..first+count-1 as rows of token ids, read by offset: how a loader starts or resumes."""
+    from pyarrow import parquet
+
     meta = json.loads(read_bytes(f"{folder}/meta.json"))
-    dtype, starts = np.dtype(meta["dtype"]), [*meta["starts"], meta["sequences"]]
+    dtype = np.dtype(meta["dtype"])
     stride, stop, out = meta["seq_len"] * dtype.itemsize, min(first + count, meta["sequences"]), []
-    while first < stop:
-        shard = bisect_right(starts, first) - 1
-        n = min(starts[shard + 1], stop) - first
-        out.append(read_bytes(f"{folder}/shard-{shard:08d}.bin", (first - starts[shard]) * stride, n * stride))
-        first += n
+    store, path = filesystem(f"{folder}/starts")
+    found = parquet.read_table(path, filesystem=store, filters=[("start", "<", stop), ("start", ">", first - meta["longest"])]) if first < stop else None
+    for shard, start, n in sorted(zip(*(found.column(c).to_pylist() for c in ("shard", "start", "n")), strict=True)) if found else ():
+        low, high = max(first, start), min(stop, start + n)
+        if low < high:
+            out.append(read_bytes(f"{folder}/shard-{shard:08d}.bin", (low - start) * stride, (high - low) * stride))
     return np.frombuffer(b"".join(out), dtype).reshape(-1, meta["seq_len"])
 
 

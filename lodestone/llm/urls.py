@@ -16,9 +16,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOOM_WORDS, bloom_blocks, bloom_filter, bloom_hits, table
+from .common import BLOOM_WORDS, bloom_blocks, bloom_filter, bloom_hits, table, written
 
 MAX_FILTER_BYTES = 64 << 20  # a longer list goes without the filter, by the exact join alone
+MAX_BROADCAST = 100_000  # rules that go to every task; of a longer list only those with a thousandth of the hits each
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,24 @@ def keys_of(host: str, path: str, lengths: list[int], levels: list[int]) -> list
     return [s + p for p in [path[:n] for n in lengths if n <= len(path)] for s in suffixes]
 
 
-def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def exact(hits: DataFrame, listed: DataFrame, size: int, most: int) -> DataFrame:
+    """hits (url, key) that are listed, with their verdicts.
+
+    A short list goes to every task. Of a long one only the rules with a thousandth of the hits or more do, no more than a
+    thousand; the others are joined by key, and none of those is hot.
+    """
+    if size <= most:
+        return hits.join(F.broadcast(listed), "key")
+    hits = written(hits, "hits")
+    total = hits.count()
+    often = hits.groupBy("key").count().where(F.col("count") * HOT >= F.lit(total)).select("key", F.lit(True).alias("often"))
+    marked = listed.join(F.broadcast(often), "key", "left")
+    hot = F.broadcast(marked.where("often").drop("often"))
+    rest = hits.join(F.broadcast(often), "key", "left_anti").join(listed, "key")
+    return hits.join(hot, "key").unionByName(rest)
+
+
+def judged(urls: DataFrame, rules: DataFrame, default: str = "allow", most: int = MAX_BROADCAST) -> DataFrame:
     """urls (url) with host, path, rule (host and path of the rule that fits, else null) and verdict.
 
     rules (host, path, verdict). Longest rule wins; of equally long ones block before allow, then
@@ -65,7 +84,7 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     an empty host and path. Other columns of urls are kept; columns named host, path, rule or verdict are replaced. Rules with a null or empty host, or a path that doesn't begin with /, fit nothing; an empty list judges all by default.
     """
     spark = urls.sparkSession
-    urls = urls.drop("_lodestone_best")
+    urls = urls.drop("_lodestone_best", "_lodestone_url")
     path = F.coalesce("path", F.lit(""))
     usable = rules.where((F.col("host") != "") & ~F.contains("host", F.lit("/")) & ((path == "") | F.startswith(path, F.lit("/"))))
     listed = usable.select(F.concat("host", path).alias("key"), F.char_length(path).alias("n"), F.size(F.split("host", "\\.")).alias("labels"), "verdict")
@@ -91,9 +110,11 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=["url", "key"])
 
     hits = parsed.where("host <> ''").select("url", "host", "path").mapInArrow(possible, "url string, key string")
-    exact = hits.join(listed, "key")
-    best = exact.groupBy("url").agg(F.max(F.struct(F.char_length("key").alias("length"), F.col("verdict").alias("verdict"), F.col("key").alias("rule"))).alias("_lodestone_best"))
-    out = parsed.join(best, "url", "left").select(*[c for c in parsed.columns if c.lower() not in ("rule", "verdict")], "_lodestone_best")
+    best = exact(hits, listed, size["k"], most).groupBy(F.col("url").alias("_lodestone_url")).agg(F.max(F.struct(F.char_length("key").alias("length"), F.col("verdict").alias("verdict"), F.col("key").alias("rule"))).alias("_lodestone_best"))
+    # what has no host can have no rule: such rows are spread by a key of their own that no url equals
+    alone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    parsed = parsed.withColumn("_lodestone_url", F.when(F.col("host") != "", F.col("url")).otherwise(alone))
+    out = parsed.join(best, "_lodestone_url", "left").select(*[c for c in parsed.columns if c.lower() not in ("rule", "verdict", "_lodestone_url")], "_lodestone_best")
     return out.withColumn("rule", F.col("_lodestone_best.rule")).withColumn("verdict", F.coalesce("_lodestone_best.verdict", F.lit(default))).drop("_lodestone_best")
 
 

@@ -92,12 +92,13 @@ def test_permutation(size):
     assert size < 100 or (slots != np.arange(size)).mean() > 0.9
 
 
-def test_shards_round_trip(spark):
+@pytest.mark.parametrize("tasks", [1, 3, shards.TASKS])
+def test_shards_round_trip(spark, tasks):
     texts = ["Hello  world ", "a b\n\nc  d", None, "", "naïve 東京 " * 30, " lead", "x" * 40_000, "tab\t end  ", "word " * 3000] * 3
     rows = [(i if i != 5 else None, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS slot", "'t' AS tokens").repartition(3).write.parquet(at := work_path(spark, "docs"))
     docs, folder = spark.read.parquet(at), work_path(spark, "shards")
-    index = shards.materialise(docs, folder, seq_len=64, shard_rows=50)
+    index = shards.materialise(docs, folder, seq_len=64, shard_rows=50, tasks=tasks)
     placed = sorted(shards.verified(spark, folder, index).collect())
     n = len(placed)
     assert [r.slot for r in placed] == list(range(n)) and len({r.sequence for r in placed}) == n
@@ -106,7 +107,7 @@ def test_shards_round_trip(spark):
     order = shards.Permutation(docs.rdd.getNumPartitions() * shards.PER_PART, 2024).positions(np.array([r.sequence for r in placed]))
     assert (np.diff(order) > 0).all()  # slots follow the keyed positions
     data = shards.read_slots(folder, 0, n)
-    assert data.shape == (n, 64) and (shards.read_slots(folder, 45, 20) == data[45:65]).all()
+    assert data.shape == (n, 64) and all((shards.read_slots(folder, at, 20) == data[at : at + 20]).all() for at in (0, 45, n - 7))
     by_sequence = data[[r.slot for r in sorted(placed, key=lambda r: r.sequence)]]
     sizes = [r.n_tokens for r in sorted(placed, key=lambda r: r.sequence)]
     stream = [int(t) for row, k in zip(by_sequence, sizes, strict=True) for t in row[:k]]

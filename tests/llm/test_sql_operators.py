@@ -3,7 +3,9 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,41 @@ def test_mixing_targets(spark):
         assert abs(spent.get(source, 0) * 4 - p.weight * 2000) <= 8
     assert mixing.mix(docs).selectExpr("count(DISTINCT doc_id)").first()[0] == 1000  # nothing is left out
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_a_long_list_of_rules_is_joined_by_key_but_for_its_hot_rules(spark):
+    """The same verdicts whether the rules are broadcast or joined, with a third of the urls null and most under one rule."""
+    rows = [(i, None if i % 3 == 0 else f"http://a{i % 7}.com/en/{i}" if i % 5 else f"http://b{i}.org/x/{i}") for i in range(3000)]
+    listed = [(r.host, r.path, r.verdict) for r in urls.RULES] + [(f"b{i}.org", f"/x/{i}", "block") for i in range(0, 3000, 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame(listed, "host string, path string, verdict string")
+    short, long_ = (Counter(map(tuple, urls.judged(pages, rules, most=n).collect())) for n in (urls.MAX_BROADCAST, 0))
+    assert short == long_ and sum(short.values()) == 3000
+    assert sum(n for r, n in short.items() if r[-1] == "block") == sum(1 for _, u in rows if u and (".com/en/" in u or int(u.rpartition("/")[2]) % 10 == 0))
+
+
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    pairs = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e-200, 1.01e-200]), (5, [5e-324, 0.0]), (6, [-1e308, 1e308]), (7, [math.inf, 1.0]), (8, [1.0, -1.0])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(pairs, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_forest_joins_what_links_join(seed):
+    rng = np.random.default_rng(seed)
+    i, j = rng.integers(0, 60, 80 * seed), rng.integers(0, 60, 80 * seed)
+    groups = {n: {n} for n in {*i.tolist(), *j.tolist()}}
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        if groups[x] is not groups[y]:
+            groups[x] |= groups[y]
+            for n in groups[y]:
+                groups[n] = groups[x]
+    tree = embeddings.forest(i, j)
+    parts = len({id(g) for g in groups.values()})
+    assert len(tree) == len(groups) - parts
+    joined = {n: {n} for n in groups}
+    for x, y in zip(i[tree].tolist(), j[tree].tolist(), strict=True):
+        assert joined[x] is not joined[y]
+        joined[x] |= joined[y]
+        for n in joined[y]:
+            joined[n] = joined[x]
