@@ -59,14 +59,63 @@ MARK = re.compile(r"\[\s*[*^]?\s*(\d{1,3})\s*\]")
 ID_NAMES = ("article id", "bài viết id", "mã bài viết", "nguồn id", "source id")
 EMPTIED = ("", "theo", "theo kết quả đọc:")
 
-_NAMES = "|".join(r"[\s_]*".join(name.split()) for name in ID_NAMES)
-LEAKED = re.compile(rf"\s*[(\[]?\s*(?:{_NAMES})\s*[:=#]?\s*\d+\s*[)\]]?", re.IGNORECASE)
-HOLLOW = re.compile(rf"\(\s*(?:{'|'.join(EMPTIED)})\s*\)", re.IGNORECASE)
+
+def found_name(text: str, at: int) -> int:
+    """Where the id name ends that begins at a place, its words apart by any white space or _, or by none; -1 if none does."""
+    for words in (name.split() for name in ID_NAMES):
+        end = at
+        for i, word in enumerate(words):
+            while i and end < len(text) and (text[end].isspace() or text[end] == "_"):
+                end += 1
+            if text[end : end + len(word)].lower() != word:
+                break
+            end += len(word)
+        else:
+            return end
+    return -1
+
+
+def skip(text: str, at: int, step: int = 1) -> int:
+    """The next place that holds no white space, forwards or backwards."""
+    while 0 <= at < len(text) and text[at].isspace():
+        at += step
+    return at
+
+
+def leaked(text: str) -> list[tuple[int, int]]:
+    """Spans of internal ids: a name, a sign or none, and a number, with white space before and a bracket on either side."""
+    out, at, firsts = [], 0, {name[0] for name in ID_NAMES}
+    while at < len(text):
+        end = found_name(text, at) if text[at].lower() in firsts else -1
+        if end < 0:
+            at += 1
+            continue
+        digits = skip(text, end)
+        digits = skip(text, digits + 1) if text[digits : digits + 1] in tuple(":=#") else digits
+        stop = digits
+        while stop < len(text) and text[stop].isdecimal():
+            stop += 1
+        if stop == digits:
+            at += 1
+            continue
+        start = skip(text, at - 1, -1)
+        start = start - 1 if start >= 0 and text[start] in "([" else start
+        start = skip(text, start, -1) + 1
+        after = skip(text, stop)
+        stop = after + 1 if text[after : after + 1] in tuple(")]") else stop
+        out.append((max(start, out[-1][1] if out else 0), stop))
+        at = stop
+    return out
+
+
+def without_hollow(line: str) -> str:
+    """A line without the brackets that hold nothing, or nothing but an introduction."""
+    return re.sub(r"\(([^()]*)\)", lambda m: "" if " ".join(m[1].lower().split()) in EMPTIED else m[0], line)
 
 
 def tidy(text: str) -> str:
     """Without hollow brackets, runs of blanks, and blanks before a closing mark."""
-    lines = [re.sub("[ \t][ \t]+", " ", line) for line in HOLLOW.sub("", text).split("\n")]
+    lines = [re.sub("[ \t][ \t]+", " ", line) for line in without_hollow(text).split("\n")]
     return re.sub(r"\s+(?=[,.:;?!])", "", "\n".join(lines)).strip()
 
 
@@ -89,7 +138,9 @@ def cited(answer: str | None, n: int) -> tuple[str, int]:
             seen.add(number)
             out.append(f"[^{number}]")
     marked = "".join([*out, text[at:]])
-    blanked = LEAKED.sub(" ", marked)
+    spans = leaked(marked)
+    edges = [0, *(x for span in spans for x in span), len(marked)]
+    blanked = " ".join(marked[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
     return (tidy(blanked) if dropped or blanked != marked else marked), dropped
 
 

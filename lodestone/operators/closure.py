@@ -2,41 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.registry import query
-from lodestone.sources.sinks import folder
+from lodestone.sources.sinks import folder, shared
 from lodestone.views import edges, table, view
 
 
-def build_closure(tree: DataFrame, max_depth: int = 32) -> DataFrame:
-    """The closure of edges (id, parent_id), stored in the shared folder.
+def build_closure(tree: DataFrame, path: str | None = None) -> DataFrame:
+    """The closure of edges (id, parent_id), stored in the shared folder, of a tree of any depth.
 
-    Rows are joined level by level and each level is written, so none is made twice; a tree deeper than
-    max_depth is an error.
+    Distances double: the rows of at least 2**k steps and less than twice that are the pairs just 2**k apart, met with all
+    rows below that. Each row is made once, and a tree of depth d takes log d rounds, each of them written. A node that is its own
+    ancestor is an error.
     """
-    spark, path = tree.sparkSession, folder(tree.sparkSession, "closure")
-    up = tree.where("parent_id IS NOT NULL").select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
-    level = tree.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"))
-    for depth in range(max_depth + 1):
-        level.write.parquet(at := f"{path}/{depth}")
-        last = spark.read.schema(level.schema).parquet(at)
-        if last.isEmpty():
-            return spark.read.schema(level.schema).parquet(*[f"{path}/{d}" for d in range(depth + 1)])
-        level = last.join(up, last["ancestor_id"] == up["child"]).select(F.col("parent").alias("ancestor_id"), "descendant_id", F.lit(depth + 1).alias("depth"))
-    raise ValueError(f"the tree is deeper than {max_depth}, or has a cycle")
-
-
-_STORED: dict[tuple[str, str], DataFrame] = {}
+    spark, path = tree.sparkSession, path or folder(tree.sparkSession, "closure")
+    parts, apart = [], []
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(at := f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(at)
+
+    parts.append(put(tree.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth")), "rows-0"))
+    apart.append(put(tree.where("parent_id IS NOT NULL").select(F.col("id").alias("low"), F.col("parent_id").alias("high")), "apart-0"))
+    while not apart[-1].isEmpty():
+        step = 2 ** (len(apart) - 1)
+        lower = parts[0]
+        for rows in parts[1:]:
+            lower = lower.union(rows)
+        above = apart[-1].join(lower, F.col("high") == F.col("descendant_id")).select("ancestor_id", F.col("low").alias("descendant_id"), (F.col("depth") + step).alias("depth"))
+        parts.append(put(above, f"rows-{step}"))
+        if not parts[-1].where("ancestor_id = descendant_id").isEmpty():
+            raise ValueError("the tree has a cycle")
+        once = apart[-1].alias("x").join(apart[-1].alias("y"), F.col("x.high") == F.col("y.low")).select("x.low", "y.high")
+        apart.append(put(once, f"apart-{2 * step}"))
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.union(rows)
+    return out
 
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closure of a stored tree: built once an application, then read."""
-    key = spark.conf.get("spark.app.id", ""), sf_dir
-    if key not in _STORED:
-        _STORED[key] = build_closure(edges(spark, sf_dir))
-    return _STORED[key]
+    """The closure of a stored tree, built once and then read for as long as the tree's rows stay the same.
+
+    It lies in the shared folder under a digest of the rows, one number that each call sums up anew; a row with its
+    place is written when all parts are there.
+    """
+    tree = edges(spark, sf_dir)
+    n, digest = tree.agg(F.count("*"), F.sum(F.xxhash64("id", "parent_id").cast("decimal(38,0)"))).first()
+    path = f"{shared(spark)}/lodestone/closure-of-{n}-{digest}"
+    try:
+        at = spark.read.schema("at string").parquet(f"{path}/built").agg(F.max("at")).first()[0]
+    except AnalysisException:  # nothing there yet
+        at = None
+    if at is None:
+        build_closure(tree, at := f"{path}/{uuid.uuid4().hex}")
+        spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("append").parquet(f"{path}/built")
+    return spark.read.schema("ancestor_id long, descendant_id long, depth int").parquet(f"{at}/rows-*")
 
 
 def move(rows: DataFrame, node: int, parent: int) -> DataFrame:

@@ -113,7 +113,6 @@ def merge_statuses(spark, sf):
 _CACHED = "SELECT a.doc_id, coalesce(a.doc_id > b.doc_id, false) AS hit FROM documents a LEFT JOIN (SELECT md5(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1) b ON md5(a.text) = b.h"
 
 
-@query(_CACHED, name="cache_lookup_all")
 @query(_CACHED)
 def cache_lookup(spark, sf):
     """Every document, and whether one of a smaller id has cached its text."""

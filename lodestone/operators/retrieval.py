@@ -63,7 +63,6 @@ def tokens(text: Column) -> Column:
 _TOKENS = "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS tokens FROM documents"
 
 
-@query(_TOKENS, name="tokenize_all")
 @query(_TOKENS)
 def tokenize(spark, sf):
     """The tokens of every document."""

@@ -16,13 +16,18 @@ from lodestone.registry import query
 from lodestone.views import article_pages, chunks, table, view
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share: spark.checkpoint.dir, which a cluster must set; a temporary one in local runs."""
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, which a cluster must set; a temporary one in local runs."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
         if not spark.conf.get("spark.master", "").startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", base := f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
-    return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

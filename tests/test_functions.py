@@ -105,6 +105,9 @@ def test_citations():
     assert language.cited("x (theo [9] ) , source_id=3 y", 2) == ("x, y", 1)
     assert language.cited("keep  this [1]\n  and  that", 1) == ("keep  this [^1]\n  and  that", 0)
     assert language.cited("bài viết id 5 và mã bài viết #12", 1) == ("và", 0)
+    assert language.cited("Nguồn_ID = 7] rest, an article idea 5 stays, articleid9", 1) == ("rest, an article idea 5 stays,", 0)
+    assert language.cited("x [Source  id # 12] ( Theo  kết quả đọc: ) y", 1) == ("x y", 0)
+    assert language.cited("article id: none", 1) == ("article id: none", 0)
 
 
 def test_identifiers_are_version_5_uuids(spark):
@@ -127,9 +130,21 @@ def test_series(spark):
 def test_closure_depth_and_cycles(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(6)], "id long, parent_id long")
     assert sorted(rows(closure.build_closure(chain))) == sorted((a, d, d - a) for d in range(6) for a in range(d + 1))
-    loop = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent_id long")
-    with pytest.raises(ValueError):
-        closure.build_closure(loop, 5)
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "id long, parent_id long")
+    assert sorted(rows(closure.build_closure(deep))) == sorted((a, d, d - a) for d in range(150) for a in range(d + 1))
+    for ring in ([(1, 2), (2, 1)], [(1, 1)], [(i, i % 7 + 1) for i in range(1, 8)] + [(9, None)]):
+        with pytest.raises(ValueError):
+            closure.build_closure(spark.createDataFrame(ring, "id long, parent_id long"))
+
+
+def test_closure_follows_its_table(spark, tmp_path):
+    """The same folder with other rows gives another closure in the same session."""
+    for name, column in (("region", "r_regionkey"), ("nation", "n_nationkey")):
+        spark.range(2).selectExpr(f"id AS {column}", "0L AS n_regionkey").write.parquet(f"{tmp_path}/{name}.parquet")
+    for customers in (5, 3, 5):
+        spark.range(customers).selectExpr("id AS c_custkey", "1L AS c_nationkey").write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+        spark.catalog.clearCache()
+        assert closure.closure(spark, str(tmp_path)).count() == 2 + 2 * 2 + 3 * customers
 
 
 def test_neighbours_leave_out_hits(spark):

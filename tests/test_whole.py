@@ -13,14 +13,14 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_document_is_tokenised_and_looked_up(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
-    found = {r.doc_id: r.tokens for r in catalog.QUERIES["tokenize_all"](spark, SF).collect()}
+    found = {r.doc_id: r.tokens for r in catalog.QUERIES["tokenize"](spark, SF).collect()}
     assert found.keys() == docs.keys()
     ascii_only = [i for i, t in docs.items() if t and t.isascii()]
     assert ascii_only and all(found[i] == re.findall("[a-z0-9]+", docs[i].lower()) for i in ascii_only)
     first = {}
     for i in sorted(docs):
         first.setdefault(docs[i], i)
-    hits = {r.doc_id: r.hit for r in catalog.QUERIES["cache_lookup_all"](spark, SF).collect()}
+    hits = {r.doc_id: r.hit for r in catalog.QUERIES["cache_lookup"](spark, SF).collect()}
     assert hits == {i: t is not None and first[t] < i for i, t in docs.items()}
     same = {(i % 2, first[t] % 2) for i, t in docs.items() if hits[i]}
     assert same & {(0, 0), (1, 1)}  # copies of one parity are hits
