@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.filters import alive, in_scope
+from lodestone.operators.postings import Index, by_score, index_of, terms_of, tokens
 from lodestone.registry import query
 from lodestone.views import table, view
 
 K = 60  # reciprocal-rank constant
 QUERY_VECTOR = 0
-WORDS = "[\\p{L}\\p{Nd}]+"
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -56,10 +56,6 @@ def _vector_topk(spark, sf):
     return vector_topk(view(spark, sf, "points").where("user_id IN (1, 2)"), query_vector(spark, sf), 10)
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
-
-
 _TOKENS = "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS tokens FROM documents"
 
 
@@ -69,13 +65,6 @@ def tokenize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
-def terms_of(text: str) -> list[str]:
-    """Distinct words of two letters or more of a query, which is the caller's and short."""
-    import regex
-
-    return list(dict.fromkeys(t for t in regex.findall(r"[\p{L}\p{Nd}]+", text.lower()) if len(t) > 1))
-
-
 def lexical_scores(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """Of docs with any term: covered (distinct terms), mentions (each term up to 3) and score (share of the terms' letters).
 
@@ -90,15 +79,11 @@ def lexical_scores(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return counts.select(id_col, add(lambda c, w: (c > 0).cast("int")).cast("int").alias("covered"), add(lambda c, w: F.least(c, F.lit(3))).cast("int").alias("mentions"), F.round(score, 9).alias("score"))
 
 
-def lexical_order(id_col: str) -> list[Column]:
-    return [F.desc("score"), F.desc("covered"), F.desc("mentions"), F.col(id_col)]
-
-
-def lexically_ranked(docs: DataFrame, text: str, id_col: str, limit: int) -> DataFrame:
-    """The best docs for a question, by lexical_order; for a question without a term, the first by id, with a score of 0."""
+def lexically_ranked(index: Index, text: str, limit: int) -> DataFrame:
+    """The best ids of an index for a question, by score, terms covered, mentions and id; for a question without a term, the first by id, with a score of 0."""
     if not terms_of(text):
-        return docs.select(id_col, F.lit(0).alias("covered"), F.lit(0).alias("mentions"), F.lit(0.0).alias("score")).orderBy(id_col).limit(limit)
-    return lexical_scores(docs, text, id_col).orderBy(*lexical_order(id_col)).limit(limit)
+        return index.entries().select("id", F.lit(0).alias("covered"), F.lit(0).alias("mentions"), F.lit(0.0).alias("score")).orderBy("id").limit(limit)
+    return index.best(text, limit)[0]
 
 
 QUESTION = "model data the benchmark of secret and information"
@@ -114,7 +99,7 @@ def _lexical_sql(ids: str, source: str, text: str) -> str:
 
 @query(f"SELECT * FROM {_lexical_sql('doc_id', 'documents', QUESTION)}")
 def lexical_score(spark, sf):
-    return lexical_scores(table(spark, sf, "documents"), QUESTION, "doc_id")
+    return index_of(spark, sf, "documents", "doc_id").scores(terms_of(QUESTION)).withColumnRenamed("id", "doc_id")
 
 
 _ORDER = "score DESC, covered DESC, mentions DESC, doc_id"
@@ -122,19 +107,19 @@ _ORDER = "score DESC, covered DESC, mentions DESC, doc_id"
 
 @query(f"SELECT doc_id, score FROM {_lexical_sql('doc_id', 'documents', QUESTION)} ORDER BY {_ORDER} LIMIT 20")
 def lexical_topk(spark, sf):
-    return lexically_ranked(table(spark, sf, "documents"), QUESTION, "doc_id", 20).select("doc_id", "score")
+    return lexically_ranked(index_of(spark, sf, "documents", "doc_id"), QUESTION, 20).select(F.col("id").alias("doc_id"), "score")
 
 
 @query(f"SELECT item_id, score FROM {_lexical_sql('item_id', 'benchmark', 'the of data and with')} ORDER BY score DESC, covered DESC, mentions DESC, item_id LIMIT 10")
 def rank_lexical(spark, sf):
-    return lexically_ranked(table(spark, sf, "benchmark"), "the of data and with", "item_id", 10).select("item_id", "score")
+    return lexically_ranked(index_of(spark, sf, "benchmark", "item_id"), "the of data and with", 10).select(F.col("id").alias("item_id"), "score")
 
 
 @query("SELECT doc_id FROM documents WHERE len(list_intersect(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), ['benchmark', 'secret', 'token'])) > 0 ORDER BY doc_id LIMIT 200")
 def text_match(spark, sf):
     """Documents with at least one of the words."""
-    wanted = F.array(*[F.lit(w) for w in ("benchmark", "secret", "token")])
-    return table(spark, sf, "documents").where(F.arrays_overlap(tokens(F.col("text")), wanted)).orderBy("doc_id").limit(200).select("doc_id")
+    found = index_of(spark, sf, "documents", "doc_id").postings(["benchmark", "secret", "token"])
+    return found.select(F.col("id").alias("doc_id")).distinct().orderBy("doc_id").limit(200)
 
 
 @query("SELECT term, CAST(length(term) AS INT) AS weight FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) AS term FROM benchmark) WHERE length(term) >= 2")
@@ -197,19 +182,19 @@ def dense_dual_rrf(spark, sf):
     return reciprocal_rank_fusion([a, b]).orderBy(F.desc("score"), "point_id").limit(10).select("point_id", "score")
 
 
-def hybrid(points: DataFrame, query_point: DataFrame, texts: DataFrame, text: str, done: DataFrame, limit: int = 5) -> DataFrame:
+def hybrid(points: DataFrame, query_point: DataFrame, index: Index, text: str, done: DataFrame, limit: int = 5) -> DataFrame:
     """Dense and lexical hits fused by reciprocal rank, cut, and then without hits of unfinished articles.
 
-    points (point_id, article_id, embedding), texts (point_id, text), done (article_id). The dense list
-    and the cut follow limit (5 by default, 20 at most); every text is scored, and as many go into the fusion as
-    dense hits. A question without a term leaves the dense list alone. Fewer than limit may be left.
+    points (point_id, article_id, embedding), index (of the points' texts by point_id), done (article_id). The dense list
+    and the cut follow limit (5 by default, 20 at most); lexical hits are the best of all points' texts, and as many go into
+    the fusion as dense hits. A question without a term leaves the dense list alone. Fewer than limit may be left.
     """
     limit = 5 if limit <= 0 else min(limit, 20)
     fetch = min(3 * limit, 20)
     dense = vector_topk(points, query_point, fetch)
-    lexical = lexical_scores(texts, text, "point_id").orderBy(*lexical_order("point_id")).limit(fetch)
+    lexical = index.best(text, fetch, points.select(F.col("point_id").alias("id")))[0].withColumnRenamed("id", "point_id")
     a = ranked(dense, F.desc("score"), "point_id").select("point_id", "rank")
-    b = ranked(lexical, *lexical_order("point_id")).select("point_id", "rank")
+    b = ranked(lexical, *by_score("point_id")).select("point_id", "rank")
     top = reciprocal_rank_fusion([a, b]).orderBy(F.desc("score"), "point_id").limit(limit)
     hits = points.select("point_id", "article_id").join(F.broadcast(top), "point_id")  # at most limit rows
     return hits.join(done, "article_id", "left_semi").select("point_id", "article_id", "score", "list")
@@ -225,6 +210,5 @@ HYBRID_SQL = f"""SELECT t.point_id, p.article_id, t.score, t.list FROM (SELECT p
 def hybrid_search(spark, sf):
     """Points are the embeddings; a document's text goes with the point of the same id."""
     points = view(spark, sf, "points").where("user_id < 4")
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "text").join(points.select("point_id"), "point_id", "left_semi")
     done = alive(view(spark, sf, "articles")).where("index_status = 'done'").select(F.col("id").alias("article_id"))
-    return hybrid(points, query_vector(spark, sf), texts, QUESTION, done, 20)
+    return hybrid(points, query_vector(spark, sf), index_of(spark, sf, "documents", "doc_id"), QUESTION, done, 20)

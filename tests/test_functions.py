@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import language, text
-from lodestone.operators import chunking, closure, retrieval, tables
+from lodestone.operators import chunking, closure, postings, retrieval, tables
 from lodestone.operators.joins import neighbours
 from lodestone.sources import readers, sinks
 from lodestone.streaming import events
@@ -215,14 +215,15 @@ def test_sections_are_carried(spark):
     assert {(r.article_id, r.chunk_index): r.section for r in found} == {(1, 0): "", (1, 1): "Điều 1. Scope", (1, 2): "Điều 2: Terms", (1, 3): "Chương II", (2, 0): ""}
 
 
-def test_questions_without_terms(spark):
+def test_questions_without_terms(spark, tmp_path):
     docs = spark.createDataFrame([(2, "b c"), (1, "a model"), (3, None)], "id int, text string")
-    assert retrieval.lexical_scores(docs, "a ? !", "id").count() == 0
-    assert [tuple(r) for r in retrieval.lexically_ranked(docs, "?", "id", 2).collect()] == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
+    index = postings.Index(spark, f"file://{tmp_path}/index")
+    index.extend(docs.select(F.col("id").cast("long").alias("id"), "text"))
+    assert index.scores(postings.terms_of("a ? !")).count() == 0
+    assert [tuple(r) for r in retrieval.lexically_ranked(index, "?", 2).collect()] == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
     points = spark.createDataFrame([(i, 1, [float(i), 1.0]) for i in range(1, 4)], "point_id int, article_id int, embedding array<double>")
     one, done = spark.createDataFrame([([1.0, 0.0],)], "q array<double>"), spark.createDataFrame([(1,)], "article_id int")
-    texts = docs.withColumnRenamed("id", "point_id")
-    hits = retrieval.hybrid(points, one, texts, "!", done, 2).orderBy("score", ascending=False).collect()
+    hits = retrieval.hybrid(points, one, index, "!", done, 2).orderBy("score", ascending=False).collect()
     assert [(r.point_id, r.list) for r in hits] == [(3, 0), (2, 0)]
 
 
