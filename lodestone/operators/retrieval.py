@@ -6,16 +6,20 @@ which the parameters bound.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.filters import alive, in_scope
 from lodestone.operators.postings import Index, by_score, index_of, terms_of, tokens
+from lodestone.operators.vectors import cells_of
 from lodestone.registry import query
 from lodestone.views import table, view
 
 K = 60  # reciprocal-rank constant
 QUERY_VECTOR = 0
+QUERY_STEP = 100
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -36,6 +40,14 @@ def vector_topk(points: DataFrame, query_point: DataFrame, k: int, threshold: fl
     return scored.orderBy(F.desc("score"), "point_id").limit(k).select("point_id", "article_id", "score")
 
 
+def nearest(spark: SparkSession, sf: str, k: int, users: list[int]) -> DataFrame:
+    """point_id, article_id, score of the k stored points of some users that are nearest to the query's vector, from the index of cells."""
+    points = view(spark, sf, "points")
+    cells = cells_of(spark, sf, points.select(F.col("point_id").alias("id"), F.col("user_id").alias("scope"), F.col("embedding").alias("vector")), "embeddings")
+    found = cells.search(query_vector(spark, sf).select(F.lit(0).alias("query"), F.col("q").alias("vector")), k, users)
+    return points.select("point_id", "article_id").join(F.broadcast(found.select(F.col("id").alias("point_id"), "score")), "point_id").select("point_id", "article_id", "score")  # k rows
+
+
 def query_vector(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where(F.col("vec_id") == QUERY_VECTOR).select(F.col("embedding").alias("q"))
 
@@ -53,7 +65,16 @@ _COS = _cos("embedding")
 
 @query(f"SELECT point_id, article_id, {_COS} AS score FROM points WHERE user_id IN (1, 2) ORDER BY score DESC, point_id LIMIT 10", name="vector_topk")
 def _vector_topk(spark, sf):
-    return vector_topk(view(spark, sf, "points").where("user_id IN (1, 2)"), query_vector(spark, sf), 10)
+    return nearest(spark, sf, 10, [1, 2])
+
+
+@query(f"""SELECT query, id, score, rank FROM (SELECT q.vec_id AS query, v.vec_id AS id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 9) AS score,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % {QUERY_STEP} = 0) WHERE rank <= 10""")
+def vector_topk_all(spark, sf):
+    """The ten nearest of all vectors for every query vector: those whose id is divisible by 100."""
+    points = view(spark, sf, "points").select(F.col("point_id").alias("id"), F.col("user_id").alias("scope"), F.col("embedding").alias("vector"))
+    asked = points.where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("query"), "vector")
+    return cells_of(spark, sf, points, "embeddings").search(asked, 10)
 
 
 _TOKENS = "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS tokens FROM documents"
@@ -159,14 +180,14 @@ def title_topk(points: DataFrame, query_point: DataFrame, k: int) -> DataFrame:
  SELECT point_id, row_number() OVER (ORDER BY score DESC, point_id) AS r, 0 AS l FROM {_DENSE} UNION ALL SELECT point_id, row_number() OVER (ORDER BY score DESC, point_id), 1 FROM {_TITLE}) GROUP BY 1""")
 def rrf_union(spark, sf):
     mine = view(spark, sf, "points").where(in_scope(1))
-    dense = vector_topk(mine, query_vector(spark, sf), 15)
+    dense = nearest(spark, sf, 15, [1])
     title = title_topk(mine, query_vector(spark, sf), 15)
     return reciprocal_rank_fusion([ranked(x, F.desc("score"), "point_id").select("point_id", "rank") for x in (dense, title)])
 
 
 @query(f"SELECT point_id, row_number() OVER (ORDER BY score DESC, point_id) AS rank FROM {_DENSE}")
 def rrf_rank(spark, sf):
-    return ranked(vector_topk(view(spark, sf, "points").where(in_scope(1)), query_vector(spark, sf), 15), F.desc("score"), "point_id").select("point_id", "rank")
+    return ranked(nearest(spark, sf, 15, [1]), F.desc("score"), "point_id").select("point_id", "rank")
 
 
 @query(f"""SELECT point_id, CAST(round(sum(1.0::DOUBLE / (60 + r)), 12) AS FLOAT) AS score FROM (
@@ -175,25 +196,24 @@ def rrf_rank(spark, sf):
 def dense_dual_rrf(spark, sf):
     """Content and title vectors fused; titles under the gate are skipped but keep their rank."""
     mine = view(spark, sf, "points").where(in_scope(1))
-    dense = vector_topk(mine, query_vector(spark, sf), 15).where("score >= 0.1")
+    dense = nearest(spark, sf, 15, [1]).where("score >= 0.1")
     title = title_topk(mine, query_vector(spark, sf), 15)
     a = ranked(dense, F.desc("score"), "point_id").select("point_id", "rank")
     b = ranked(title, F.desc("score"), "point_id").where("score >= 0.05").select("point_id", "rank")
     return reciprocal_rank_fusion([a, b]).orderBy(F.desc("score"), "point_id").limit(10).select("point_id", "score")
 
 
-def hybrid(points: DataFrame, query_point: DataFrame, index: Index, text: str, done: DataFrame, limit: int = 5) -> DataFrame:
+def hybrid(points: DataFrame, dense: Callable[[int], DataFrame], index: Index, text: str, done: DataFrame, limit: int = 5) -> DataFrame:
     """Dense and lexical hits fused by reciprocal rank, cut, and then without hits of unfinished articles.
 
-    points (point_id, article_id, embedding), index (of the points' texts by point_id), done (article_id). The dense list
+    points (point_id, article_id), dense (the nearest so many of them, with their score), index (of the points' texts by point_id), done (article_id). The dense list
     and the cut follow limit (5 by default, 20 at most); lexical hits are the best of all points' texts, and as many go into
     the fusion as dense hits. A question without a term leaves the dense list alone. Fewer than limit may be left.
     """
     limit = 5 if limit <= 0 else min(limit, 20)
     fetch = min(3 * limit, 20)
-    dense = vector_topk(points, query_point, fetch)
     lexical = index.best(text, fetch, points.select(F.col("point_id").alias("id")))[0].withColumnRenamed("id", "point_id")
-    a = ranked(dense, F.desc("score"), "point_id").select("point_id", "rank")
+    a = ranked(dense(fetch), F.desc("score"), "point_id").select("point_id", "rank")
     b = ranked(lexical, *by_score("point_id")).select("point_id", "rank")
     top = reciprocal_rank_fusion([a, b]).orderBy(F.desc("score"), "point_id").limit(limit)
     hits = points.select("point_id", "article_id").join(F.broadcast(top), "point_id")  # at most limit rows
@@ -211,4 +231,4 @@ def hybrid_search(spark, sf):
     """Points are the embeddings; a document's text goes with the point of the same id."""
     points = view(spark, sf, "points").where("user_id < 4")
     done = alive(view(spark, sf, "articles")).where("index_status = 'done'").select(F.col("id").alias("article_id"))
-    return hybrid(points, query_vector(spark, sf), index_of(spark, sf, "documents", "doc_id"), QUESTION, done, 20)
+    return hybrid(points, lambda k: nearest(spark, sf, k, [0, 1, 2, 3]), index_of(spark, sf, "documents", "doc_id"), QUESTION, done, 20)

@@ -223,7 +223,7 @@ def test_questions_without_terms(spark, tmp_path):
     assert [tuple(r) for r in retrieval.lexically_ranked(index, "?", 2).collect()] == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
     points = spark.createDataFrame([(i, 1, [float(i), 1.0]) for i in range(1, 4)], "point_id int, article_id int, embedding array<double>")
     one, done = spark.createDataFrame([([1.0, 0.0],)], "q array<double>"), spark.createDataFrame([(1,)], "article_id int")
-    hits = retrieval.hybrid(points, one, index, "!", done, 2).orderBy("score", ascending=False).collect()
+    hits = retrieval.hybrid(points, lambda k: retrieval.vector_topk(points, one, k), index, "!", done, 2).orderBy("score", ascending=False).collect()
     assert [(r.point_id, r.list) for r in hits] == [(3, 0), (2, 0)]
 
 
