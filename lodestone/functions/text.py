@@ -132,12 +132,6 @@ def extract_meta(spark, sf):
     return spark.createDataFrame(list(enumerate(_META)), "id int, t string").select("id", F.regexp_extract(head, VERSION, 1).alias("version"), F.regexp_extract(head, EFFECTIVE, 1).alias("effective"))
 
 
-@query("SELECT article_id, chunk_index, CASE WHEN section = '' THEN '' ELSE '[' || section || ']' || chr(10) END AS header FROM (SELECT *, regexp_extract(text, '([A-Z][a-z]+ [0-9]+)', 1) AS section FROM chunks)")
-def section_header(spark, sf):
-    section = F.regexp_extract("text", "([A-Z][a-z]+ [0-9]+)", 1)
-    return chunks(spark, sf).select("article_id", "chunk_index", F.when(section == "", "").otherwise(F.concat(F.lit("["), section, F.lit("]\n"))).alias("header"))
-
-
 @query("""SELECT page_id, CASE WHEN contains(lower(url), 'pdf') AND contains(lower(url), '/en/') THEN 'laws' WHEN contains(lower(url), 'csv') OR ends_with(lower(url), '5') THEN 'table' WHEN contains(lower(url), '/de/') THEN 'paper' ELSE 'general' END AS doc_type FROM pages""")
 def detect_doc_type(spark, sf):
     """Document type by content type and name; the url stands for both."""

@@ -89,12 +89,6 @@ def line_union(spark, sf):
     return words.groupBy(F.col("l_orderkey").alias("line")).agg(F.min("l_partkey").alias("x0"), F.min("l_suppkey").alias("y0"), F.max(F.col("l_partkey") + F.col("l_quantity")).alias("x1"), F.max(F.col("l_suppkey") + 10).alias("y1"), F.round(F.avg("l_quantity"), 6).alias("conf"), F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("text"))
 
 
-@query(windows.SECTIONS_SQL + " SELECT article_id, section, start_chunk FROM sections")
-def section_spans(spark, sf):
-    """Where each section of an article begins."""
-    return windows.sections(spark, sf)
-
-
 def repeat_key(line: Column) -> Column:
     """What makes two edge lines the same: case, numbers and blanks don't count; long ones and those without letters have none."""
     trimmed = F.btrim(line)

@@ -61,18 +61,11 @@ def _heading_title(spark, sf):
 
 
 def section_level(name: Column) -> Column:
-    head = F.upper(F.regexp_extract(F.btrim(name), "^(\\S+)", 1))
+    """By the first word's letters: chapters and parts 1, divisions 2, anything else 3."""
+    head = F.upper(F.regexp_extract(name, "^\\s*(\\p{L}+)", 1))
     return F.when(head.isin("CHƯƠNG", "PHẦN"), 1).when(head == "MỤC", 2).otherwise(3)
 
 
-_NAMES = ("Chương I", "PHẦN 2", "mục 3", "Điều 4", "", "Phụ lục")
-
-
-@query("SELECT name, CASE WHEN upper(string_split(trim(name), ' ')[1]) IN ('CHƯƠNG', 'PHẦN') THEN 1 WHEN upper(string_split(trim(name), ' ')[1]) = 'MỤC' THEN 2 ELSE 3 END AS level FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") v(name)", name="section_level")
-def _section_level(spark, sf):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", section_level(F.col("name")).alias("level"))
-
-
 def with_offsets(docs: DataFrame, id_col: str = "id") -> DataFrame:
     """id, n, block, first, last: blocks with their byte offsets, from running sums."""
     rows = docs.select(id_col, blocks(F.col("text")).alias("b")).select(id_col, F.posexplode("b").alias("n", "block"))
@@ -260,15 +253,6 @@ def index_article(spark, sf):
     return rows.select("article_id", "chunk_index", "seq", "section", point_id(F.col("article_id"), F.col("chunk_index")).alias("point_id"), F.concat(F.when(F.col("section") == "", "").otherwise(F.concat(F.lit("["), "section", F.lit("]\n"))), "chunk").alias("text"))
 
 
-@query(""", s AS (SELECT article_id, chunk_index // 3 AS section, min(chunk_index) AS f FROM chunks GROUP BY ALL) SELECT article_id, section, sha256('m1|' || section || '|' || t) AS h FROM (SELECT s.article_id, s.section, string_agg(c.text, chr(10) || chr(10) ORDER BY c.chunk_index) AS t
- FROM s JOIN chunks c ON c.article_id = s.article_id AND c.chunk_index // 3 = s.section GROUP BY 1, 2)""")
-def compile_sections(spark, sf):
-    """The text of each section, at most three chunks, and the hash that its summary is cached under."""
-    rows = chunks(spark, sf).withColumn("section", F.expr("chunk_index div 3"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n")
-    return rows.groupBy("article_id", "section").agg(text.alias("t")).select("article_id", "section", F.sha2(F.concat_ws("|", F.lit("m1"), F.col("section").cast("string"), "t"), 256).alias("h"))
-
-
 @query("SELECT 'counts' AS list, status AS item, n FROM (SELECT extract_status AS status, count(*) AS n FROM articles WHERE deleted_at IS NULL GROUP BY 1) UNION ALL SELECT 'failed', CAST(id AS VARCHAR), attempts FROM (SELECT id, attempts FROM articles WHERE extract_status = 'failed' AND deleted_at IS NULL ORDER BY id LIMIT 20) UNION ALL SELECT 'purge', CAST(id AS VARCHAR), deleted_at FROM (SELECT id, deleted_at FROM articles WHERE deleted_at IS NOT NULL ORDER BY deleted_at, id LIMIT 20)")
 def queue_dashboard(spark, sf):
     """Status counts, the first failed articles and the next ones to purge, as one list."""

@@ -96,14 +96,6 @@ def ghost_articles(spark, sf):
     return ghosts.agg(F.count("*").alias("ghosts"), F.coalesce(F.sum("index_done_chunks"), F.lit(0)).alias("claimed"))
 
 
-@query(", s AS (SELECT article_id, chunk_index // 3 AS section, min(chunk_index) AS start_chunk FROM chunks GROUP BY 1, 2) SELECT s.article_id, s.section, CASE WHEN a.compile_status = 'done' THEN coalesce(l.summary, '') ELSE '' END AS summary FROM s JOIN articles a ON a.id = s.article_id LEFT JOIN (SELECT doc_id, concat('q', quality) AS summary FROM labels) l ON l.doc_id = s.article_id")
-def section_summaries(spark, sf):
-    spans = chunks(spark, sf).groupBy("article_id", F.expr("chunk_index div 3").alias("section")).agg(F.min("chunk_index").alias("start_chunk"))
-    notes = table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"), F.concat(F.lit("q"), "quality").alias("note"))
-    status = view(spark, sf, "articles").select(F.col("id").alias("article_id"), "compile_status")
-    return spans.join(status, "article_id").join(notes, "article_id", "left").select("article_id", "section", F.when(F.col("compile_status") == "done", F.coalesce("note", F.lit(""))).otherwise("").alias("summary"))
-
-
 @query("SELECT a.id, coalesce(o.s, a.index_status) AS index_status FROM articles a LEFT JOIN (SELECT doc_id AS id, CASE quality WHEN 1 THEN 'done' ELSE 'failed' END AS s FROM labels) o USING (id)")
 def merge_statuses(spark, sf):
     newer = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("s"))

@@ -63,11 +63,6 @@ def article_info(spark, sf):
     return mine.join(counts, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(windows.SECTIONS_SQL + " SELECT section, start_chunk FROM sections WHERE article_id = 9")
-def list_sections(spark, sf):
-    return windows.sections(spark, sf).where("article_id = 9").select("section", "start_chunk")
-
-
 @query("SELECT chunk_index, text FROM chunks WHERE article_id = 21 AND chunk_index BETWEEN 2 AND 21")
 def read_article(spark, sf):
     """Twenty chunks at most, from one on; a larger limit is cut before anything is compared with it."""

@@ -31,22 +31,6 @@ def carried(first: Column, last: Column, of: str, order: str) -> Column:
     return F.coalesce(first, F.last(last, ignorenulls=True).over(before))
 
 
-_CARRIED = """SELECT article_id, chunk_index, coalesce(nullif(regexp_extract(text, '([A-Z][a-z]+ [0-9]+)', 1), ''),
- last_value(nullif(regexp_extract(text, '.*([A-Z][a-z]+ [0-9]+)', 1), '') IGNORE NULLS) OVER (PARTITION BY article_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS section FROM chunks"""
-SECTIONS_SQL = f", carried AS ({_CARRIED}), sections AS (SELECT article_id, section, min(chunk_index) AS start_chunk FROM carried WHERE section IS NOT NULL GROUP BY ALL)"
-
-
-@query(_CARRIED)
-def section_carry(spark, sf):
-    found = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return chunks(spark, sf).select("article_id", "chunk_index", carried(found("([A-Z][a-z]+ [0-9]+)"), found("(?s)^.*([A-Z][a-z]+ [0-9]+)"), "article_id", "chunk_index").alias("section"))
-
-
-def sections(spark, sf) -> DataFrame:
-    """article_id, section, start_chunk: where each section of an article begins."""
-    return section_carry(spark, sf).where("section IS NOT NULL").groupBy("article_id", "section").agg(F.min("chunk_index").alias("start_chunk"))
-
-
 def ranges(missing: DataFrame, key: str, number: str, most: int = 200) -> DataFrame:
     """Runs of consecutive numbers, cut into ranges of at most `most`."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(number))
@@ -83,13 +67,6 @@ def cite_numbering(spark, sf):
     return first.withColumn("n", n).select("conv_id", "article", F.when(F.col("n") <= 3, F.col("n")).otherwise(0).alias("cite"))
 
 
-@query(SECTIONS_SQL + " SELECT article_id, section, greatest(1, least(6, coalesce(lead(start_chunk) OVER (PARTITION BY article_id ORDER BY start_chunk, section) - start_chunk, 6))) AS span FROM sections")
-def section_span_len(spark, sf):
-    """Chunks of each section: up to the next one, from 1 to 6."""
-    following = F.lead("start_chunk").over(Window.partitionBy("article_id").orderBy("start_chunk", "section")) - F.col("start_chunk")
-    return sections(spark, sf).select("article_id", "section", F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(following, F.lit(6)))).alias("span"))
-
-
 @query("SELECT l_orderkey AS series, coalesce(bool_and(up), true) AS ordered FROM (SELECT l_orderkey, l_partkey > lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS up FROM lineitem) GROUP BY 1")
 def ordered_labels(spark, sf):
     """Whether each series' labels rise strictly."""
@@ -104,7 +81,7 @@ def session_buckets(spark, sf):
     events = table(spark, sf, "events")
     now = events.agg(F.date_sub(F.max("ts").cast("date"), 2).alias("now"))
     days = F.datediff("now", F.col("ts").cast("date"))
-    joined = events.withColumn("k", F.lit(1)).join(now.withColumn("k", F.lit(1)), "k")
+    joined = events.withColumn("k", F.lit(1)).join(F.broadcast(now.withColumn("k", F.lit(1))), "k")  # one row
     return joined.select("event_id", F.when(days <= 0, "today").when(days == 1, "yesterday").when(days <= 7, "week").otherwise("older").alias("bucket"))
 
 

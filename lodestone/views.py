@@ -65,11 +65,32 @@ def _cte(name: str) -> str:
     return f"{name} AS (SELECT " + ", ".join(f"{x.replace('AS STRING', 'AS VARCHAR')} AS {c}" for c, x in columns.items()) + f" FROM {source})"
 
 
+#: What stands before and after every twelfth line of a document, by the sum of its number and the document's: a legal text's headings and references.
+_LAW = {
+    0: "'PHẦN ', {n}, '\n', {t}",
+    1: "'Điều ', {n}, '. ', {short}, '\n', {t}",
+    3: "'> CHƯƠNG ', {roman}, ': Quyền và nghĩa vụ\nĐiều ', {n}, '. Phạm vi 1. ', {t}",
+    4: "{t}, ' theo ĐIỀU 4, khoản 2 và Điều 5. Hết'",
+    5: "'\tMục ', {n}, ' - Quy định\n', {t}",
+    7: "{t}, ' ĐIỀU ', {n}, ': ', {short}",
+    8: "'Bài ', {n}, ') ', {t}",
+    10: "'chương: II không phải mục\n', {t}, '\nĐiều ', {n}, ' cuối'",
+}
+
+
+def _law(text: str, as_text: str, left: str) -> str:
+    """The text of a line of law_chunks, in the dialect of the given forms."""
+    roman = f"CASE chunk_index % 5 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'IX' WHEN 3 THEN 'XL' ELSE 'CD' END"
+    names = {"t": text, "n": as_text.format("chunk_index + 1"), "short": left.format(text, 30), "roman": roman}
+    return "CASE (article_id + chunk_index) % 12 " + " ".join(f"WHEN {k} THEN concat({v.format(**names)})" for k, v in _LAW.items()) + f" ELSE {text} END"
+
+
 CTES = (
     ", ".join(_cte(n) for n in _SOURCES)
-    + """,
+    + f""",
 article_pages AS (SELECT doc_id AS article_id, generate_subscripts(p, 1) AS seq, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents)),
 chunks AS (SELECT doc_id AS article_id, generate_subscripts(p, 1) - 1 AS chunk_index, unnest(p) AS text, source FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents)),
+law_chunks AS (SELECT article_id, chunk_index, {_law('text', 'CAST({} AS VARCHAR)', 'left({}, {})')} AS text FROM chunks),
 edges AS (SELECT r_regionkey AS id, CAST(NULL AS BIGINT) AS parent_id FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey FROM nation UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey FROM customer),
 closure AS (SELECT CAST(id AS BIGINT) AS ancestor_id, CAST(id AS BIGINT) AS descendant_id, 0 AS depth FROM edges UNION ALL
   SELECT CAST(parent_id AS BIGINT), CAST(id AS BIGINT), 1 FROM edges WHERE parent_id IS NOT NULL UNION ALL
@@ -98,6 +119,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("article_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"), "source")
 
 
+def law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of articles as those of legal texts: with headings at line starts and inside lines, and with references that are none."""
+    return chunks(spark, sf_dir).selectExpr("article_id", "chunk_index", f"{_law('text', 'CAST({} AS STRING)', 'left({}, {})')} AS text")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folder tree as (id, parent_id): regions, nations, customers."""
     get = lambda t, *c: table(spark, sf_dir, t).selectExpr(*c)
