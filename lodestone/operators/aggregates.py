@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.closure import closure  # noqa: F401  (folder_counts is registered there)
 from lodestone.operators.filters import alive
-from lodestone.operators import windows
 from lodestone.registry import query
 from lodestone.views import NOW, article_pages, table, view
 

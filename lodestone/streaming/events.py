@@ -1,4 +1,4 @@
-"""Event streams on Structured Streaming: windows with watermarks, deduplication, rate limits with state, upserts.
+"""Event streams on Structured Streaming: windows with watermarks, deduplication, upserts.
 
 Every function takes a streaming or a batch DataFrame. The queries run the streams over the stored events with
 the availableNow trigger, so that they end, and return what the sink holds.
@@ -7,12 +7,9 @@ the availableNow trigger, so that they end, and return what the sink holds.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.registry import query
 from lodestone.sources.sinks import folder
@@ -23,12 +20,12 @@ WINDOW = "1 day"
 
 def stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
     """A stored table, one file or a folder of part files, as a stream; ts becomes an instant, as watermarks need it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
-    reader = spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 64)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        rows = reader.parquet(f"{sf}/{name}.parquet")
-    else:
+    stored = table(spark, sf, name)
+    reader = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 64)
+    if any(file.endswith(f"/{name}.parquet") for file in stored.inputFiles()[:1]):
         rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    else:
+        rows = reader.parquet(f"{sf}/{name}.parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -77,65 +74,6 @@ def dedup_stream(spark, sf):
     return finished(twice.select("event_id").dropDuplicates(["event_id"]))
 
 
-def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's events of one micro-batch by time, whatever chunks they came in: the micro-batch bounds them."""
-    return pd.concat(batches).sort_values(["ts", "event_id"])
-
-
-def fixed_window(limit: int = 5, seconds: float = 60.0):
-    """For applyInPandasWithState: hits of a key that a window starting at its first hit allows or refuses."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        start, used = state.get if state.exists else (float("-inf"), 0)
-        rows, allowed = in_order(batches), []
-        for t in rows["ts"]:
-            if t - start >= seconds:
-                start, used = t, 0
-            used += 1
-            allowed.append(used <= limit)
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
-        state.update((float(start), int(used)))
-
-    return run
-
-
-def rate_limited(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """event_id, user_id, allowed; ts in seconds. One state row per user, however many events it has.
-
-    Within a micro-batch events are judged by time; over micro-batches they must come in order of time, as a queue delivers them.
-    """
-    rows = events.select("event_id", "user_id", F.unix_micros("ts").cast("double").alias("ts")).withColumn("ts", F.col("ts") / 1e6)
-    return rows.groupBy("user_id").applyInPandasWithState(fixed_window(limit, seconds), "event_id long, user_id long, allowed boolean", "start double, used long", "append", GroupStateTimeout.NoTimeout)
-
-
-@query()
-def rate_fixed_window(spark, sf):
-    return finished(rate_limited(stream(spark, sf), 5, 86400.0))
-
-
-def bucket(capacity: float, per_second: float):
-    """For applyInPandasWithState: a bucket that refills steadily; each event takes one token or is refused."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        level, at = state.get if state.exists else (capacity, None)
-        rows, allowed = in_order(batches), []
-        for t in rows["ts"]:
-            level = min(capacity, level + per_second * max(0.0, t - at)) if at is not None else capacity
-            at = t
-            allowed.append(level >= 1)
-            level -= level >= 1
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
-        state.update((float(level), float(at)))
-
-    return run
-
-
-@query()
-def token_bucket(spark, sf):
-    rows = stream(spark, sf).select("event_id", "user_id", (F.unix_micros("ts").cast("double") / 1e6).alias("ts"))
-    return finished(rows.groupBy("user_id").applyInPandasWithState(bucket(5.0, 5 / 86400), "event_id long, user_id long, allowed boolean", "level double, at double", "append", GroupStateTimeout.NoTimeout))
-
-
 def apply_stream(rows: DataFrame, transition, target: str) -> DataFrame:
     """Applies transition(state, batch) to the stored state for each micro-batch: a new version of it is written
     beside the old one, named by the batch, so a batch that is repeated gives the same version, and a query

@@ -242,20 +242,6 @@ def test_state_goes_on_after_a_restart(spark, tmp_path):
     assert dict(events.apply_stream(spark.readStream.schema("k int, v int").parquet(source), add, target).select("k", "v").collect()) == state
 
 
-def test_limits_judge_in_order_of_time():
-    class State:
-        exists, get, value = False, None, None
-
-        def update(self, x):
-            self.exists, self.get = True, x
-
-    chunks = lambda: iter([pd.DataFrame({"event_id": [3, 4], "user_id": [1, 1], "ts": [50.0, 70.0]}), pd.DataFrame({"event_id": [1, 2], "user_id": [1, 1], "ts": [0.0, 10.0]})])
-    (out,) = events.fixed_window(2, 60.0)((1,), chunks(), State())
-    assert dict(zip(out["event_id"], out["allowed"], strict=True)) == {1: True, 2: True, 3: False, 4: True}
-    (out,) = events.bucket(1.0, 1 / 60)((1,), chunks(), State())
-    assert dict(zip(out["event_id"], out["allowed"], strict=True)) == {1: True, 2: False, 3: False, 4: True}
-
-
 def test_text_files_come_back_whole(spark, tmp_path):
     r = random.Random(6)
     texts = {"a.txt": "\n".join("é" * r.randrange(200) for _ in range(3000)), "b.md": "x\r\n\r\ny\n", "c.csv": "one", "d.json": "z" * 5000 + "\n" + "y" * 10, "e.txt": "\n\n"}
