@@ -34,9 +34,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors."""
+ROWS_PER_FILE = 200_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors.
+
+    rows, where a bound or an estimate is known, keeps a small table to a few files, one for each core at least.
+    """
     spark, schema = df.sparkSession, df.schema
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path := work_path(spark, name))
     return spark.read.schema(schema).parquet(path)
 
@@ -46,14 +54,14 @@ def crc_fold(column: str, parts: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node, component being its smallest node.
 
     Alternates large-star and small-star steps until the edges no longer change; each step is an
     aggregation and a join, and each round is written to the shared folder. Only a count and a
-    checksum come to the driver. No edges: no rows.
+    checksum come to the driver. No edges: no rows. rows bounds the edges, where it is known.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -61,7 +69,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.union(low.select("a", "m")).distinct(), "edges")
+        edges = written(small.union(low.select("a", "m")).distinct(), "edges", seen[0] if seen else rows)  # a round makes no edges more
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

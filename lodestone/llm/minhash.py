@@ -152,18 +152,20 @@ def judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percen
     signed = written(texts.withColumn("version", F.xxhash64("text")).mapInArrow(signer, "id long, version long, fp binary, n long, sig binary"), "signatures")
     classes = written(signed.where("n > 0 AND id IS NOT NULL").groupBy("fp", "n", "sig").agg(F.min("id").alias("rep")), "classes")
     chosen = choices(chunks, width, errors)
+    n = classes.count()
+    most = n * len(chosen)  # rows of the index
 
     keyed = classes.where(F.col("n") >= least).select("rep", keys(chosen).alias("x")).select("rep", "x.k", "x.key")
     held = keyed.groupBy("key").agg(F.min("k").alias("k"), F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("hub <> top")
     hubs = held.groupBy("hub", "top", "c", "x").agg(F.min(F.struct("k", "key")).alias("least")).select("least.key", "hub")
-    buckets = written(keyed.join(hubs, "key").select("key", "k", "rep", "hub"), "buckets")
+    buckets = written(keyed.join(hubs, "key").select("key", "k", "rep", "hub"), "buckets", most)
     stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    comps = components(confirmed(written(stars, "stars"), texts, shingle, percent))
+    comps = components(confirmed(written(stars, "stars", most), texts, shingle, percent, n), rows=most)
 
-    second = written(further(buckets, comps), "second")
-    comps = joined(comps, confirmed(second, texts, shingle, percent))
-    near = written(across(buckets, comps, classes, chosen, percent, max_distance), "across")
-    placed = joined(comps, confirmed_in_tiles(near, texts, shingle, percent)).toDF("rep", "component_id")
+    second = written(further(buckets, comps, most), "second", most)
+    comps = joined(comps, confirmed(second, texts, shingle, percent, n), n)
+    near = written(across(buckets, comps, classes, chosen, percent, max_distance, most), "across")
+    placed = joined(comps, confirmed_in_tiles(near, texts, shingle, percent, n), n).toDF("rep", "component_id")
 
     labelled = classes.join(placed, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", "version", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labelled, "fp", "left")
@@ -174,46 +176,46 @@ def judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percen
 TILE_OUT, TILE_ALL = 128, 512
 
 
-def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component), joined by links (a, b) between nodes."""
+def joined(comps: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """Components (node, component), joined by links (a, b) between nodes, of which there are n at most."""
     ends = links.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
     final = components(ends.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")).toDF("a", "b")).toDF("component", "low")
     old = comps.join(final, "component", "left").select("node", F.coalesce("low", "component").alias("component"))
     new = final.join(comps.select("node"), F.col("component") == F.col("node"), "left_anti")
-    return written(old.union(new.select("component", "low")), "components")
+    return written(old.union(new.select("component", "low")), "components", n)
 
 
-def in_components(buckets: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def in_components(buckets: DataFrame, comps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Members but for their bucket's smallest, which all are compared with: (key, k, rep, comp); and per bucket of several components
     its members c, those of the largest component, its name main and one member of it, centre."""
     rest = buckets.where("rep <> hub").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = written(rest.select("key", "k", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+    placed = written(rest.select("key", "k", "rep", F.coalesce("component", "rep").alias("comp")), "placed", most)
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("rep", F.xxhash64("rep")).alias("centre"))
     largest = F.max_by(F.struct("comp", "centre"), F.struct("c", "comp"))
     mixed = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.max("c").alias("most"), largest.alias("main"), F.count("*").alias("comps")).where("comps > 1")
     return placed, mixed.select("key", "c", "most", F.col("main.comp").alias("main"), "main.centre")
 
 
-def further(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+def further(buckets: DataFrame, comps: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of the members outside their bucket's largest component with one member of it."""
-    placed, mixed = in_components(buckets, comps)
+    placed, mixed = in_components(buckets, comps, most)
     pairs = placed.join(mixed, "key").where("comp <> main")
     return pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
 
 
-def across(buckets: DataFrame, comps: DataFrame, classes: DataFrame, chosen: list[tuple[int, ...]], percent: int, max_distance: int) -> DataFrame:
+def across(buckets: DataFrame, comps: DataFrame, classes: DataFrame, chosen: list[tuple[int, ...]], percent: int, max_distance: int, most: int) -> DataFrame:
     """Members of one bucket, of different components, whose signatures are within max_distance.
 
     Of each bucket, the members outside its largest component meet all members in tiles of about
     TILE_OUT by TILE_ALL, each side one block of signatures. Rows (key, o, t, rep, partners): per tile, one for each
     member that has a partner in it or is one. A pair is listed only in the first bucket that holds both, so once.
     """
-    placed, mixed = in_components(buckets, comps)
+    placed, mixed = in_components(buckets, comps, most)
     tiles = mixed.select("key", "main", F.ceil((F.col("c") - F.col("most")) / TILE_OUT).cast("int").alias("outs"), F.ceil(F.col("c") / TILE_ALL).cast("int").alias("alls"))
     # a member is in at most as many buckets as it has keys; its signature is fetched once for all of them
     where = placed.join(tiles, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "k", "comp", "main", "outs", "alls")).alias("b"))
     rows = where.join(classes.select("rep", "n", "sig"), "rep").select("rep", "n", "sig", F.inline("b"))
-    rows = written(rows.withColumn("h", F.xxhash64("rep", "k")), "members")
+    rows = written(rows.withColumn("h", F.xxhash64("rep", "k")), "members", most)
     block = [F.collect_list(c).alias(c) for c in ("rep", "comp", "n", "sig")]
 
     def blocks(members: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
@@ -306,22 +308,22 @@ def links_in_tiles(percent: int):
     return run
 
 
-def confirmed_in_tiles(near: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed_in_tiles(near: DataFrame, texts: DataFrame, shingle: int, percent: int, n: int) -> DataFrame:
     """The links among the partners of near (key, o, t, rep, partners), as (a, b)."""
-    sets = sets_for(near.select(F.col("rep").alias("id")), texts, shingle).withColumnRenamed("id", "rep")
+    sets = sets_for(near.select(F.col("rep").alias("id")), texts, shingle, n).withColumnRenamed("id", "rep")
     return near.join(sets, "rep").select("key", "o", "t", "rep", "partners", "set").repartition("key", "o", "t").sortWithinPartitions("key", "o", "t").mapInArrow(links_in_tiles(percent), "a long, b long").distinct()
 
 
 MAX_FILTER_BYTES = 32 << 20  # beyond it the texts are joined by id
 
 
-def sets_for(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def sets_for(ids: DataFrame, texts: DataFrame, shingle: int, n: int) -> DataFrame:
     """Shingle sets of the texts with these ids, and of a few others: (id, set).
 
     A Bloom filter of the ids picks the texts where they are read, so they don't move; the joins that follow
     are exact. Too many ids for a filter of bounded size are joined instead.
     """
-    ids = written(ids.distinct(), "ids")
+    ids = written(ids.distinct(), "ids", n)
     blocks = bloom_blocks(ids.count())
     if blocks * BLOOM_WORDS * 8 > MAX_FILTER_BYTES:
         return written(texts.join(ids, "id", "left_semi").mapInArrow(sets_of(shingle), "id long, set array<long>"), "sets")
@@ -339,9 +341,9 @@ def sets_for(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return written(texts.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(picked, "id long, set array<long>"), "sets")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, n: int) -> DataFrame:
     """The pairs (a, b) that are links by their full sets, which are made for the documents in pairs only."""
-    sets = sets_for(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, shingle)
+    sets = sets_for(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, shingle, n)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("c"), (F.size("x") + F.size("y")).cast("long").alias("t"))
     return common.where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b").distinct()
