@@ -5,8 +5,8 @@ from __future__ import annotations
 from lodestone import registry
 from lodestone.functions import language, text  # noqa: F401
 from lodestone.operators import aggregates, chunking, closure, filters, joins, retrieval, sections, sets, tables, tools, topk, windows  # noqa: F401
-from lodestone.sources import readers, sinks  # noqa: F401
-from lodestone.streaming import events, limits, queues  # noqa: F401
+from lodestone.sources import pages, readers, sinks  # noqa: F401
+from lodestone.streaming import claims, events, limits, queues  # noqa: F401
 
 FLAGSHIP = "hybrid_search"
 QUERIES = registry.QUERIES

@@ -12,13 +12,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.registry import query
-from lodestone.sources.sinks import folder
-from lodestone.views import table
+from lodestone.views import article_pages, table
 
 MAX_ARCHIVE = 100 << 20
 PAGES = "path string, seq int, text string"
@@ -45,12 +45,6 @@ def read_pages(spark: SparkSession, path: str, extension: str) -> DataFrame:
     return READERS[key](spark, path)
 
 
-@query("SELECT ext, ext IN ('.txt', '.md', '.csv', '.json', '.docx', '.xlsx', '.pptx') AS known FROM (VALUES ('.txt'), ('.MD'), ('.docx'), ('.exe')) v(e), (SELECT lower(e) AS ext)")
-def reader_registry(spark, sf):
-    asked = spark.createDataFrame([(".txt",), (".MD",), (".docx",), (".exe",)], "e string").select(F.lower("e").alias("ext"))
-    return asked.select("ext", F.col("ext").isin(*READERS).alias("known"))
-
-
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -69,19 +63,23 @@ def pages_of(spark: SparkSession, path: str, pattern: str, pages: Callable[[byte
 def text_pieces_of(spark: SparkSession, path: str, size: int = 256 << 10) -> DataFrame:
     """Pieces of text files of about size bytes, cut at line ends; a longer line makes a larger piece, an empty file has none.
 
-    Spark's text source splits files between tasks and reads them by line, so no file is held whole. Lines are put in
-    order by where they stand in the file's blocks (tasks read them in order); a running sum of their bytes deals them to pieces.
+    Spark's text source splits files between tasks and reads them by line. A line's place in its file is the sum of the bytes
+    of earlier splits, one row each, and of the lines before it in its own; a piece holds the lines that end in its
+    range, so pieces are the same however a file was split. Texts meet by piece only, and pieces are numbered without them.
     """
     lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.{txt,md,csv,json}").option("recursiveFileLookup", "true").text(path)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
-    end = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("path", "block").orderBy("n"))
-    placed = rows.withColumn("piece", F.floor((end - 1) / size))
-    joined = placed.groupBy("path", "block", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    whole = rows.groupBy("path").agg((F.sum(F.octet_length("line") + 1) == F.max("bytes") + 1).alias("open"))  # the last line of an open file has no end
-    order = Window.partitionBy("path").orderBy("block", "piece")
-    last = F.lead("piece").over(order).isNull()
-    pieces = joined.join(whole, "path").withColumn("seq", F.row_number().over(order)).withColumn("end", F.when(F.col("open") & last, "").otherwise("\n"))
-    return pieces.select("path", "seq", F.concat("text", "end").alias("text"))
+    held = F.octet_length("line") + 1
+    splits = rows.groupBy("path", "block").agg(F.sum(held).alias("held"), F.max("bytes").alias("bytes"))
+    of = Window.partitionBy("path").orderBy("block")
+    splits = splits.select("path", "block", (F.sum("held").over(of) - F.col("held")).alias("before"), (F.sum("held").over(Window.partitionBy("path")) == F.col("bytes") + 1).alias("open"))
+    inside = F.sum(held).over(Window.partitionBy("path", "block").orderBy("n"))
+    placed = rows.withColumn("inside", inside).join(splits, ["path", "block"]).withColumn("piece", F.floor((F.col("before") + F.col("inside") - 1) / size))
+    joined = placed.groupBy("path", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "line"))), lambda x: x["line"]), "\n").alias("text"), F.max("open").alias("open"))
+    order = Window.partitionBy("path").orderBy("piece")
+    numbers = placed.select("path", "piece").distinct().select("path", "piece", F.row_number().over(order).alias("seq"), F.lead("piece").over(order).isNull().alias("last"))
+    pieces = joined.join(numbers, ["path", "piece"])
+    return pieces.select("path", "seq", F.concat("text", F.when(F.col("open") & F.col("last"), "").otherwise("\n")).alias("text"))  # the last line of an open file has no end
 
 
 def opened(data: bytes) -> zipfile.ZipFile:
@@ -186,103 +184,99 @@ def zipped(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-W = 'xmlns:w="http://w" xmlns:r="http://r"'
-SAMPLES = {
-    "a.docx": {"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Title</w:t><w:tab/><w:t>two</w:t><w:drawing><w:docPr id='1' descr=' A plan '/></w:drawing></w:r></w:p><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>item</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>"},
-    "b.xlsx": {
-        "xl/workbook.xml": '<workbook xmlns:r="http://r"><sheets><sheet name="One" r:id="r1"/><sheet name="Empty" r:id="r2"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>',
-        "xl/sharedStrings.xml": "<sst><si><t>code</t></si><si><t>v</t></si></sst>",
-        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row/><row><c r="A3"><v>7</v></c><c r="B3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>',
-        "xl/worksheets/sheet2.xml": "<worksheet><sheetData/></worksheet>",
-    },
-    "c.pptx": {f"ppt/slides/slide{n}.xml": f"<p:sld xmlns:p='http://p'><a:p xmlns:a='http://a'><a:t>{t}</a:t></a:p></p:sld>" for n, t in ((10, "ten"), (2, "two"), (3, ""))},
-}
-
+#: A page's words as an OCR table's rows, from stored lines: word n of page l_orderkey.
+_WORD = {"n": "((CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS INT)", "line_num": "(l_linenumber + 1) DIV 2", "left": "l_partkey % 400", "top": "l_linenumber * 6 + l_suppkey % 5", "width": "CAST(l_quantity AS INT) % 30", "height": "9 + l_suppkey % 4", "conf": "l_partkey % 100 - 5", "text": "CASE WHEN l_partkey % 17 = 0 THEN '' ELSE concat(l_returnflag, l_linestatus) END"}
+_SQL_WORDS = "w AS (SELECT l_orderkey AS page, " + ", ".join(f"{x.replace(' DIV ', ' // ')} AS {c}" for c, x in _WORD.items()) + " FROM lineitem)"
 
-def stored_samples(spark: SparkSession) -> str:
-    """Our own small office files and texts, written to the shared folder by Spark."""
-    path = folder(spark, "samples")
-    rows = [(name, zipped(parts)) for name, parts in SAMPLES.items()] + [("d.txt", "one\ntwo\n".encode()), ("e.csv", b"")]
 
-    def put(batches):
-        import contextlib
-
-        from pyarrow import fs
-
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, at = fs.FileSystem.from_uri(path)
-                store.create_dir(at, recursive=True)
-                with contextlib.closing(store.open_output_stream(f"{at}/{name}")) as out:
-                    out.write(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS page", *[f"{x} AS {c}" for c, x in _WORD.items()])
 
-    spark.createDataFrame(rows, "name string, data binary").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
-    return path
 
-
-def _scan(extension: str):
-    def run(spark, sf):
-        return read_pages(spark, stored_samples(spark), extension).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "seq", "text")
-
-    return run
-
-
-for _name, _ext in (("text_pieces", ".txt"), ("docx_scan", ".docx"), ("xlsx_scan", ".xlsx"), ("pptx_scan", ".pptx")):
-    query(name=_name)(_scan(_ext))
+def ocr_lines(rows: DataFrame) -> DataFrame:
+    """Lines of OCR tables (page, p, row), in order of their first words: text, mean confidence, box. Columns go by the names in the page's first row."""
+    cells = rows.select("page", "p", F.split("row", "\t").alias("c"))
+    header = cells.groupBy("page").agg(F.min_by("c", "p").alias("h"), F.min("p").alias("first"))
+    get = lambda name: F.get("c", F.array_position("h", name).cast("int") - 1)
+    number = lambda name: get(name).try_cast("int").alias(name)
+    found = cells.join(header, "page").where("p > first")
+    found = found.select("page", "p", *[number(n) for n in ("level", "block_num", "par_num", "line_num", "left", "top", "width", "height")], get("conf").try_cast("double").alias("conf"), get("text").alias("text"))
+    found = found.where("level = 5 AND text <> '' AND conf >= 0 AND width > 0 AND height > 0")
+    lines = found.groupBy("page", "block_num", "par_num", "line_num").agg(F.min("p").alias("p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), " ").alias("text"), F.round(F.avg("conf"), 9).alias("conf"), F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(F.col("left") + F.col("width")).alias("x1"), F.max(F.col("top") + F.col("height")).alias("y1"))
+    return lines.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("p")) - 1).alias("line"), "text", "conf", "x0", "y0", "x1", "y1")
 
 
-TSV = (
-    (0, "level\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"),
-    (1, "4\t1\t1\t1\t0\t0\t0\t50\t10\t-1\t"),
-    (2, "5\t1\t1\t1\t1\t0\t0\t20\t10\t90\tHello"),
-    (3, "5\t1\t1\t2\t1\t0\t12\t20\t10\t70\tNext"),
-    (4, "5\t1\t1\t1\t2\t25\t1\t20\t9\t80\tworld"),
-    (5, "5\t1\t1\t2\t2\t25\t12\t0\t9\t80\tflat"),
-)
+_COLUMNS = "level block_num par_num line_num word_num left top width height conf text".split()
 
 
-@query("SELECT * FROM (VALUES (0, 'Hello world', 85.0::DOUBLE, 0, 0, 45, 10), (1, 'Next', 70.0::DOUBLE, 0, 12, 20, 22)) v(line, text, conf, x0, y0, x1, y1)")
+@query(", " + _SQL_WORDS + """, l AS (SELECT page, line_num, min(n) AS n, string_agg(text, ' ' ORDER BY n) AS text, round(avg(conf), 9) AS conf, min("left") AS x0, min(top) AS y0, max("left" + width) AS x1, max(top + height) AS y1 FROM w WHERE text <> '' AND conf >= 0 AND width > 0 GROUP BY ALL)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY n) - 1 AS line, text, conf, x0, y0, x1, y1 FROM l""")
 def ocr_tsv_parse(spark, sf):
-    """Lines of an OCR table, in order of their first words: text, mean confidence, box. Columns go by the header's names."""
-    cells = spark.createDataFrame(list(TSV), "p int, row string").select("p", F.split("row", "\t").alias("c"), F.lit(1).alias("page"))
-    header = cells.where("p = 0").select(F.col("c").alias("h"), "page")
-    get = lambda name: F.get("c", F.array_position("h", name).cast("int") - 1)
-    number = lambda name: get(name).try_cast("int").alias(name)
-    words = cells.where("p > 0").join(header, "page")
-    words = words.select("page", "p", *[number(n) for n in ("level", "block_num", "par_num", "line_num", "left", "top", "width", "height")], get("conf").try_cast("double").alias("conf"), get("text").alias("text"))
-    words = words.where("level = 5 AND text <> '' AND conf >= 0 AND width > 0 AND height > 0")
-    lines = words.groupBy("page", "block_num", "par_num", "line_num").agg(F.min("p").alias("p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), " ").alias("text"), F.avg("conf").alias("conf"), F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(F.col("left") + F.col("width")).alias("x1"), F.max(F.col("top") + F.col("height")).alias("y1"))
-    return lines.select((F.row_number().over(Window.partitionBy("page").orderBy("p")) - 1).alias("line"), "text", "conf", "x0", "y0", "x1", "y1")
+    """Stored words written as rows of OCR tables, with a header and a row of another level on every page, and read again."""
+    stored = words(spark, sf)
+    fields = [F.lit("5"), F.lit("1"), F.lit("1"), "line_num", F.lit("1"), "left", "top", "width", "height", "conf", "text"]
+    rows = stored.select("page", F.col("n").alias("p"), F.concat_ws("\t", *fields).alias("row"))
+    pages = stored.select("page").distinct()
+    head = pages.select("page", F.lit(0).alias("p"), F.lit("\t".join(_COLUMNS)).alias("row"))
+    frame = pages.select("page", F.lit(1).alias("p"), F.lit("4\t1\t1\t1\t0\t0\t0\t50\t10\t-1\tx").alias("row"))
+    return ocr_lines(rows.unionByName(head).unionByName(frame))
 
 
-BOXES = ((1, 10.0, 10.0, 30.0, 20.0, "one"), (2, 32.0, 11.0, 50.0, 21.0, "line"), (3, 10.0, 40.0, 30.0, 50.0, "two"), (4, 5.0, 41.0, 9.0, 51.0, "in"), (5, 0.0, 0.0, 0.0, 0.0, " "))
+def pixels(points: Column) -> Column:
+    return F.round(points * 300 / 72).cast("int")
 
 
-@query()
-def bbox_parse(spark, sf):
-    """Words of a page in lines: a word joins the line before if its middle is within half a line's height of it."""
-    words = spark.createDataFrame([(1, *b) for b in BOXES], "page int, n int, x0 double, y0 double, x1 double, y1 double, text string").where("trim(text) <> '' AND x1 > x0 AND y1 > y0")
-    words = words.select("page", "n", *[F.round(F.col(c) * 300 / 72).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
-    order = Window.partitionBy("page").orderBy("n")
-    middle, height = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0")
-    starts = F.coalesce(F.abs(middle - F.lag(middle).over(order)) > F.lag(height).over(order) / 2, F.lit(True))
-    lined = words.withColumn("new", starts.cast("int")).withColumn("line", F.sum("new").over(order))
-    return lined.groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("page")
+def boxed(found: DataFrame) -> DataFrame:
+    """Words (page, n, x, y, w, h, text) in lines: page, line, text, x, y, w, h.
 
+    A word goes on with the open line if its middle is less than half the line's height from the line's middle. The line's
+    box grows with its words, so a slanting line is cut where it has left its box. A page is one group.
+    """
 
-INFO = ((1, "Title:   Report"), (2, "Pages:          2"), (3, "Page    1 size: 595 x 842 pts"), (4, "Page    1 rot:  0"), (5, "Page    2 size: 842 x 595 pts"), (6, "Page    2 rot:  90"))
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        lines, box = [], None
+        for n, x, y, w, h, text in page.sort_values("n")[["n", "x", "y", "w", "h", "text"]].itertuples(index=False):
+            if box is None or not (box[3] > 0 and abs((y + h / 2) - (box[1] + box[3] / 2)) < box[3] * 0.5):
+                box = [x, y, w, h]
+                lines.append((box, []))
+            else:
+                right, low = max(box[0] + box[2], x + w), max(box[1] + box[3], y + h)
+                box[0], box[1] = min(box[0], x), min(box[1], y)
+                box[2], box[3] = right - box[0], low - box[1]
+            lines[-1][1].append((x, n, text))
+        return pd.DataFrame([(page["page"].iloc[0], i, " ".join(t for *_, t in sorted(own)), *b) for i, (b, own) in enumerate(lines)], columns=["page", "line", "text", "x", "y", "w", "h"])
+
+    return found.groupBy("page").applyInPandas(run, "page long, line int, text string, x int, y int, w int, h int")
+
+
+@query(", " + _SQL_WORDS + """, b AS (SELECT page, n, CAST(round("left" * 300 / 72) AS INT) AS x, CAST(round(top * 300 / 72) AS INT) AS y, CAST(round(width * 300 / 72) AS INT) AS w, CAST(round(height * 300 / 72) AS INT) AS h, text, row_number() OVER (PARTITION BY page ORDER BY n) AS i FROM w WHERE text <> '' AND width > 0),
+f AS (SELECT page, i, n, text, x AS wx, 0 AS line, x, y, w, h FROM b WHERE i = 1 UNION ALL
+ SELECT page, i, n, text, wx, CASE WHEN same THEN line ELSE line + 1 END, CASE WHEN same THEN least(x, wx) ELSE wx END, CASE WHEN same THEN least(y, wy) ELSE wy END, CASE WHEN same THEN greatest(x + w, wx + ww) - least(x, wx) ELSE ww END, CASE WHEN same THEN greatest(y + h, wy + wh) - least(y, wy) ELSE wh END
+ FROM (SELECT f.page, b.i, b.n, b.text, f.line, f.x, f.y, f.w, f.h, b.x AS wx, b.y AS wy, b.w AS ww, b.h AS wh, f.h > 0 AND abs((b.y + b.h / 2) - (f.y + f.h / 2)) < f.h * 0.5 AS same FROM f JOIN b ON b.page = f.page AND b.i = f.i + 1))
+SELECT page, line, string_agg(text, ' ' ORDER BY wx, n) AS text, arg_max(x, i) AS x, arg_max(y, i) AS y, arg_max(w, i) AS w, arg_max(h, i) AS h FROM f GROUP BY ALL""")
+def bbox_parse(spark, sf):
+    """Stored words of a page in lines, in pixels; words without a text or a width are left out."""
+    found = words(spark, sf).where("text <> '' AND width > 0 AND height > 0")
+    return boxed(found.select("page", "n", pixels(F.col("left")).alias("x"), pixels(F.col("top")).alias("y"), pixels(F.col("width")).alias("w"), pixels(F.col("height")).alias("h"), "text"))
 
 
-@query("SELECT * FROM (VALUES (1, 595.0::DOUBLE, 842.0::DOUBLE, 0), (2, 842.0::DOUBLE, 595.0::DOUBLE, 90)) v(page, width, height, rot)")
-def pdfinfo_parse(spark, sf):
-    """Size and rotation of each page from a document summary."""
-    rows = spark.createDataFrame(list(INFO), "p int, line string")
+def page_info(rows: DataFrame) -> DataFrame:
+    """Size and rotation of each page from the lines (id, line) of a document summary; other lines say nothing."""
     part = lambda pattern, i: F.regexp_extract("line", pattern, i)
     size, rot = r"^Page +(\d+) size: ([\d.]+) x ([\d.]+)", r"^Page +(\d+) rot: +(\d+)"
     page = F.coalesce(part(size, 1).try_cast("int"), part(rot, 1).try_cast("int"))
-    return rows.select(page.alias("page"), part(size, 2).try_cast("double").alias("w"), part(size, 3).try_cast("double").alias("h"), part(rot, 2).try_cast("int").alias("r")).where("page IS NOT NULL").groupBy("page").agg(F.max("w").alias("width"), F.max("h").alias("height"), F.max("r").alias("rot"))
+    found = rows.select("id", page.alias("page"), part(size, 2).try_cast("double").alias("w"), part(size, 3).try_cast("double").alias("h"), part(rot, 2).try_cast("int").alias("r")).where("page IS NOT NULL")
+    return found.groupBy("id", "page").agg(F.max("w").alias("width"), F.max("h").alias("height"), F.max("r").alias("rot"))
+
+
+@query("SELECT article_id AS id, CAST(seq AS INT) AS page, CAST(500 + length(text) % 400 AS DOUBLE) + 0.5 AS width, 842.0::DOUBLE AS height, CASE WHEN seq % 3 <> 0 THEN CAST(seq % 4 * 90 AS INT) END AS rot FROM article_pages")
+def pdfinfo_parse(spark, sf):
+    """Summaries written for the pages of every stored article, and read again; every third page's has no rotation."""
+    pages = article_pages(spark, sf)
+    size = F.format_string("Page %4d size: %d.5 x 842 pts", "seq", 500 + F.char_length("text") % 400)
+    rot = F.when(F.col("seq") % 3 != 0, F.format_string("Page %4d rot:  %d", "seq", F.col("seq") % 4 * 90))
+    lines = F.array(F.lit("Title:   Report"), size, rot, F.format_string("Pages:          %d", "seq"))
+    return page_info(pages.select(F.col("article_id").alias("id"), F.explode(lines).alias("line")).where("line IS NOT NULL"))
 
 
 @query(", p AS (SELECT doc_id, generate_subscripts(l, 1) AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), m AS (SELECT doc_id, page FROM p WHERE trim(text) <> ''), g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS island FROM m), q AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY page) - 1) // 200 AS part FROM g) SELECT doc_id, min(page) AS first, max(page) AS last FROM q GROUP BY doc_id, island, part")

@@ -18,15 +18,15 @@ from lodestone.views import table
 WINDOW = "1 day"
 
 
-def stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
-    """A stored table, one file or a folder of part files, as a stream; ts becomes an instant, as watermarks need it."""
+def stream(spark: SparkSession, sf: str, name: str = "events", ts: str | None = "ts") -> DataFrame:
+    """A stored table, one file or a folder of part files, as a stream; its column of times, if it has one, becomes an instant, as watermarks need it."""
     stored = table(spark, sf, name)
     reader = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 64)
     if any(file.endswith(f"/{name}.parquet") for file in stored.inputFiles()[:1]):
         rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
     else:
         rows = reader.parquet(f"{sf}/{name}.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")) if ts else rows
 
 
 def finished(df: DataFrame, mode: str = "append") -> DataFrame:

@@ -153,18 +153,6 @@ def test_neighbours_leave_out_hits(spark):
     assert sorted(r[1] for r in rows(neighbours(everything, hits))) == [1, 3, 6]
 
 
-def test_files(spark):
-    assert run("docx_scan", spark) == [("a.docx", 1, "[Hình: A plan]\n\nTitle two\n\n- item\n\n| x; y |  |")]
-    assert run("xlsx_scan", spark) == [("b.xlsx", 1, "## Sheet: One\n| code |  | v |\n| 7 | in |")]
-    assert sorted(run("pptx_scan", spark)) == [("c.pptx", 1, "## Slide 2\ntwo"), ("c.pptx", 2, "## Slide 10\nten")]
-    assert sorted(r[0] for r in run("text_pieces", spark)) in (["d.txt", "e.csv"], ["d.txt"])
-    assert sorted(run("bbox_parse", spark))[0][1] == "one line"
-    with pytest.raises(ValueError):
-        readers.read_pages(spark, "/nowhere", ".exe")
-    with pytest.raises(ValueError):
-        readers.reader(".a b")
-
-
 def test_upserts(spark):
     frame = lambda x: spark.createDataFrame(x, "k long, v string")
     old, new = frame([(1, "a"), (2, "b")]), frame([(2, "c"), (3, "d"), (3, "d")])
@@ -252,3 +240,12 @@ def test_text_files_come_back_whole(spark, tmp_path):
         found.setdefault(p.path.rsplit("/", 1)[1], []).append(p.text)
         assert len(p.text.encode()) <= 1600 or p.path.endswith(".json")
     assert {k: "".join(v) for k, v in found.items()} == texts and len(found["a.txt"]) > 100
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        again = {}
+        for p in readers.text_pieces_of(spark, f"file://{tmp_path}", 1000).orderBy("path", "seq").collect():
+            again.setdefault(p.path.rsplit("/", 1)[1], []).append(p.text)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert again == found
