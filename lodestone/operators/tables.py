@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.registry import query
+from lodestone.views import table
 
-#: Our own small workbook, as text pages of articles: (article, seq, text).
-SHEETS = (
-    (1, 1, "## Sheet: Sales\n| Year | Units | Amount |\n| 2021 | 10 | 1.500 |\nnoise\n| 2022 | 12 | 1.750,5 |\n| Total | 22 | 3.250,5 |"),
-    (1, 2, "| 2023 | 15 | 2.000 |\n## Sheet:\n| a | b |\n## Sheet Empty"),
-    (2, 1, "plain text\n| no | sheet |"),
-    (3, 1, "## Sheet: Prices\n| Item | Jan | Feb |\n| Pen | 5% | 7 USD |\n|  | 3 | 4 |\n| Cup | x | 1,5 |"),
-)
-_SHEETS_SQL = "sheets(article_id, seq, text) AS (VALUES " + ", ".join(f"({a}, {s}, '{t}')" for a, s, t in SHEETS) + ")"
+#: The workbooks of customers, written from stored orders: a page per order, a row per line item. Plain expressions that mean the same in both dialects.
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+_LABEL = """CASE l_linenumber % 6 WHEN 0 THEN concat('Q', 1 + l_partkey % 4, ' 2024') WHEN 1 THEN concat('tháng ', 1 + l_suppkey % 12) WHEN 2 THEN concat(10 + l_partkey % 25, '/0', 1 + l_suppkey % 9, '/2024')
+ WHEN 3 THEN concat('NV', l_partkey) WHEN 4 THEN '' ELSE CAST(l_suppkey AS STRING) END"""
+_UNITS = "CASE l_partkey % 5 WHEN 0 THEN concat(CAST(l_quantity AS INT), ' USD') WHEN 1 THEN concat('-', CAST(l_quantity AS INT), ',5') WHEN 2 THEN concat(CAST(l_quantity AS INT), '%') WHEN 3 THEN CAST(CAST(l_quantity AS INT) AS STRING) ELSE 'n/a' END"
+_PRICE = "CASE l_suppkey % 4 WHEN 0 THEN concat(1 + l_partkey % 9, '.', lpad(CAST(l_suppkey % 1000 AS STRING), 3, '0'), ',5') WHEN 1 THEN concat(1 + l_partkey % 9, ',', lpad(CAST(l_partkey % 1000 AS STRING), 3, '0')) WHEN 2 THEN '' ELSE CAST(l_partkey AS STRING) END"
+_ROW = f"concat('| ', {_LABEL}, ' | ', {_UNITS}, ' | ', {_PRICE}, ' | x |')"
+_TOP = """concat(CASE WHEN o_orderkey % 11 = 0 THEN 'a page of notes' WHEN o_orderkey % 5 = 0 THEN '## Sheet' ELSE concat('## Sheet: Sales ', o_orderkey % 7) END, '\n', CASE WHEN o_orderkey % 4 = 0 THEN '| 5 | 6 | 7 | y |' ELSE '| Kỳ | Số lượng | Doanh thu | Ghi chú |' END, '\n')"""
+_END = "CASE o_orderkey % 3 WHEN 0 THEN '\n| Tổng cộng | 10 | 1 | |' WHEN 1 THEN '\n| a | 12 | Subtotal | |\nnoise' ELSE '' END"
+_SHEETS_SQL = f"sheets AS (SELECT o_custkey AS article_id, o_orderkey AS seq, concat({_TOP}, rows, {_END}) AS text FROM orders JOIN (SELECT l_orderkey, string_agg({_ROW}, chr(10) ORDER BY {_ORDER}) AS rows FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)".replace("AS STRING", "AS VARCHAR")
 
 
-def sheets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SHEETS), "article_id int, seq int, text string")
+def sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """article_id, seq, text of the pages of stored workbooks."""
+    items = table(spark, sf, "lineitem").selectExpr("l_orderkey AS o_orderkey", f"struct({_ORDER}, {_ROW} AS row) AS x").groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), "\n").alias("rows"))
+    return table(spark, sf, "orders").join(items, "o_orderkey").selectExpr("o_custkey AS article_id", "o_orderkey AS seq", f"concat({_TOP}, rows, {_END}) AS text")
 
 
 def cells(line: Column) -> Column:
@@ -39,12 +44,12 @@ def sheet_lines(pages: DataFrame) -> DataFrame:
 
 @query(_LINES + " SELECT article_id, sheet, trim(regexp_replace(trim(substr(line, 9)), '^:', '')) AS name FROM marked WHERE line LIKE '## Sheet%'")
 def sheet_header_name(spark, sf):
-    return sheet_lines(sheets(spark)).where(F.startswith(F.col("line"), F.lit("## Sheet"))).select("article_id", "sheet", F.btrim(F.regexp_replace(F.btrim(F.substring("line", 9, 1 << 30)), "^:", "")).alias("name"))
+    return sheet_names(sheets(spark, sf))
 
 
 @query(_LINES + f" SELECT article_id, p, {_CELLS} AS cells FROM marked WHERE trim(line) LIKE '|%'")
 def pipe_cells(spark, sf):
-    return sheet_lines(sheets(spark)).where(F.startswith(F.btrim("line"), F.lit("|"))).select("article_id", "p", cells(F.col("line")).alias("cells"))
+    return sheet_lines(sheets(spark, sf)).where(F.startswith(F.btrim("line"), F.lit("|"))).select("article_id", "p", cells(F.col("line")).alias("cells"))
 
 
 def sheet_rows(pages: DataFrame) -> DataFrame:
@@ -60,13 +65,13 @@ _ROWS = _LINES + f", rws AS (SELECT article_id, sheet, row_number() OVER (PARTIT
 @query(_ROWS + " SELECT article_id, sheet, max(CASE WHEN r = 0 THEN line END) AS header, count(*) FILTER (r > 0) AS n_rows, CAST(sum(strlen(line) + 1) AS BIGINT) AS chars FROM rws GROUP BY ALL")
 def sheet_blocks(spark, sf):
     """Header, number of rows and size of each sheet that has pipe rows."""
-    return sheet_rows(sheets(spark)).groupBy("article_id", "sheet").agg(F.max(F.when(F.col("r") == 0, F.col("line"))).alias("header"), F.count_if(F.col("r") > 0).alias("n_rows"), F.sum(F.octet_length("line") + 1).cast("long").alias("chars"))
+    return sheet_rows(sheets(spark, sf)).groupBy("article_id", "sheet").agg(F.max(F.when(F.col("r") == 0, F.col("line"))).alias("header"), F.count_if(F.col("r") > 0).alias("n_rows"), F.sum(F.octet_length("line") + 1).cast("long").alias("chars"))
 
 
 @query(_ROWS + " SELECT article_id, sheet, r, line FROM rws WHERE article_id = 1 AND sheet = 1 AND r BETWEEN 2 AND 3")
 def sheet_page(spark, sf):
     """Rows 2 and 3 of one sheet."""
-    return sheet_rows(sheets(spark)).where("article_id = 1 AND sheet = 1 AND r BETWEEN 2 AND 3").select("article_id", "sheet", "r", "line")
+    return sheet_rows(sheets(spark, sf)).where("article_id = 1 AND sheet = 1 AND r BETWEEN 2 AND 3").select("article_id", "sheet", "r", "line")
 
 
 UNITS = ("VND", "ĐỒNG", "Đ", "USD", "EUR", "%")
@@ -98,16 +103,14 @@ def _strict_sql(x: str) -> str:
  WHEN regexp_full_match({b}, '[0-9]{{1,3}}(,[0-9]{{3}})*(\\.[0-9]{{1,2}})?') THEN replace({b}, ',', '') END AS DOUBLE)"""
 
 
-RAW = ("1.000.000", "1,000.5", "22.500", "1.2345", "5 %", "-7", "3 000 VND", "5 VNĐ", "2024-01-02", "A12", "", "1,5", "12 USD", "+4")
-_RAW_SQL = "(VALUES " + ", ".join(f"('{x}')" for x in RAW) + ") v(raw)"
+_NUMBER = """CASE l_linenumber % 7 WHEN 0 THEN concat(1 + l_partkey % 9, '.', lpad(CAST(l_suppkey % 1000 AS STRING), 3, '0'), '.000') WHEN 1 THEN concat(1 + l_partkey % 9, ',', lpad(CAST(l_partkey % 1000 AS STRING), 3, '0'), '.5')
+ WHEN 2 THEN concat(l_partkey, '.', lpad(CAST(l_suppkey AS STRING), 4, '0')) WHEN 3 THEN concat(l_partkey % 99, ' %') WHEN 4 THEN concat('-', l_partkey, ' ', 'VNĐ') WHEN 5 THEN concat(l_shipdate, '') ELSE concat('A', l_partkey) END"""
 
 
-@query(f"SELECT raw, {_strict_sql('raw')} AS value FROM {_RAW_SQL}")
+@query(f"SELECT raw, {_strict_sql('raw')} AS value, n FROM (SELECT raw, count(*) AS n FROM (SELECT {_NUMBER.replace('AS STRING', 'AS VARCHAR')} AS raw FROM lineitem) GROUP BY 1)")
 def vn_number(spark, sf):
-    return spark.createDataFrame([(x,) for x in RAW], "raw string").select("raw", strict_number(F.col("raw")).alias("value"))
-
-
-LABELS = ("31/01/2024", "1/2/24", "tháng 7", "Q3 2024", "q1", "42", "x", "31/02/2024")
+    """Cells written from stored columns in many styles, and their values."""
+    return table(spark, sf, "lineitem").selectExpr(f"{_NUMBER} AS raw").groupBy("raw").agg(F.count("*").alias("n")).select("raw", strict_number(F.col("raw")).alias("value"), "n")
 
 
 def label_ordinal(raw: Column) -> Column:
@@ -123,12 +126,13 @@ def label_ordinal(raw: Column) -> Column:
 @query("""SELECT raw, CASE WHEN m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN CAST(date_diff('day', DATE '1970-01-01', make_date(y, m, 1)) + d - 1 AS INT)
  ELSE coalesce(TRY_CAST(regexp_extract(t, '^tháng ([0-9]+)$', 1) AS INT), TRY_CAST(regexp_extract(t, '^q([1-4])( [0-9]{4})?$', 1) AS INT), TRY_CAST(t AS INT)) END AS ordinal FROM (SELECT raw, t, TRY_CAST(regexp_extract(t, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2}|[0-9]{4})$', 1) AS INT) AS d,
  TRY_CAST(regexp_extract(t, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2}|[0-9]{4})$', 2) AS INT) AS m, TRY_CAST(regexp_extract(t, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2}|[0-9]{4})$', 3) AS INT) + CASE WHEN length(regexp_extract(t, '/([0-9]+)$', 1)) = 2 THEN 2000 ELSE 0 END AS y
- FROM (SELECT raw, lower(trim(raw)) AS t FROM (VALUES """ + ", ".join(f"('{x}')" for x in LABELS) + ") v(raw)))", name="label_ordinal")
+ FROM (SELECT raw, lower(trim(raw)) AS t FROM (SELECT DISTINCT """ + _LABEL.replace("AS STRING", "AS VARCHAR") + " AS raw FROM lineitem)))", name="label_ordinal")
 def _label_ordinal(spark, sf):
-    return spark.createDataFrame([(x,) for x in LABELS], "raw string").select("raw", label_ordinal(F.col("raw")).alias("ordinal"))
+    """Labels written from stored columns: dates, some past a month's end, months, quarters, names and numbers."""
+    return table(spark, sf, "lineitem").selectExpr(f"{_LABEL} AS raw").distinct().select("raw", label_ordinal(F.col("raw")).alias("ordinal"))
 
 
-REFS = ("A1", "Z9", "AA10", "BC", "xyz7", "7")
+_REF = "concat(chr(CAST(65 + l_partkey % 26 AS INT)), CASE WHEN l_suppkey % 3 = 0 THEN chr(CAST(97 + l_suppkey % 26 AS INT)) ELSE '' END, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE CAST(l_linenumber AS STRING) END)"
 
 
 def col_index(ref: Column) -> Column:
@@ -137,90 +141,181 @@ def col_index(ref: Column) -> Column:
     return F.aggregate(F.filter(F.split(letters, ""), lambda x: x != ""), F.lit(0), lambda s, x: s * 26 + F.ascii(x) - 64) - 1
 
 
-@query("SELECT ref, CAST(list_reduce([0] || list_transform(regexp_extract_all(upper(regexp_extract(ref, '^([A-Za-z]*)', 1)), '.'), lambda x: ascii(x) - 64), lambda a, b: a * 26 + b) - 1 AS INT) AS col FROM (VALUES " + ", ".join(f"('{x}')" for x in REFS) + ") v(ref)", name="col_index")
+@query("SELECT ref, CAST(list_reduce([0] || list_transform(regexp_extract_all(upper(regexp_extract(ref, '^([A-Za-z]*)', 1)), '.'), lambda x: ascii(x) - 64), lambda a, b: a * 26 + b) - 1 AS INT) AS col FROM (SELECT DISTINCT " + _REF.replace("AS STRING", "AS VARCHAR") + " AS ref FROM lineitem)", name="col_index")
 def _col_index(spark, sf):
-    return spark.createDataFrame([(x,) for x in REFS], "ref string").select("ref", col_index(F.col("ref")).alias("col"))
+    return table(spark, sf, "lineitem").selectExpr(f"{_REF} AS ref").distinct().select("ref", col_index(F.col("ref")).alias("col"))
+
+
+#: What makes a row one of totals, wherever it stands: fixed values.
+TOTAL = "(?i)tổng cộng|total|^cộng$"
+_SQL_TOTAL = TOTAL.replace("(?i)", "")
+LEAST_CELLS, LEAST_POINTS, MOST_POINTS, MOST_CHARTS = 2, 2, 12, 4
+_CELLROWS = _ROWS + f""", cl0 AS (SELECT article_id, sheet, r, generate_subscripts(cells, 1) - 1 AS c, unnest(cells) AS cell FROM rws WHERE len(cells) >= {LEAST_CELLS}), cl1 AS (SELECT *, {_strict_sql('cell')} AS v FROM cl0),
+rf AS (SELECT article_id, sheet, r, count(v) > 0 AS numeric, bool_or(regexp_matches(lower(cell), '{_SQL_TOTAL}')) AS total FROM cl1 GROUP BY ALL), hd AS (SELECT article_id, sheet, min(r) AS h FROM rf WHERE NOT numeric GROUP BY ALL),
+body AS (SELECT rf.article_id, rf.sheet, r FROM rf LEFT JOIN hd USING (article_id, sheet) WHERE NOT total AND r IS DISTINCT FROM h), vals AS (SELECT cl1.* FROM cl1 JOIN body USING (article_id, sheet, r)),
+names AS (SELECT cl1.article_id, cl1.sheet, c, cell AS name FROM cl1 JOIN hd ON hd.article_id = cl1.article_id AND hd.sheet = cl1.sheet AND hd.h = cl1.r),
+cols AS (SELECT v.article_id, v.sheet, v.c, coalesce(any_value(name), 'cột ' || (v.c + 1)) AS name, count(v.v) AS n, round(sum(abs(v.v)), 6) AS weight FROM vals v LEFT JOIN names USING (article_id, sheet, c) GROUP BY 1, 2, 3 HAVING count(v.v) >= {LEAST_POINTS})"""
+
+
+def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of tables (article_id, sheet, r, cells) below their headers, without totals; and the headers.
+
+    A sheet's header is its first row without a number; rows before it count. A row of totals has one in any cell.
+    """
+    rows = sheet_rows(pages).where(F.size("cells") >= LEAST_CELLS).select("article_id", "sheet", "r", "cells", F.exists("cells", lambda x: strict_number(x).isNotNull()).alias("numeric"))
+    head = rows.where(~F.col("numeric")).groupBy("article_id", "sheet").agg(F.min_by(F.struct("r", "cells"), "r").alias("h")).select("article_id", "sheet", F.col("h.r").alias("h"), F.col("h.cells").alias("names"))
+    body = rows.join(head.drop("names"), ["article_id", "sheet"], "left").where(~F.exists("cells", lambda x: F.regexp_like(x, F.lit(TOTAL))) & ~F.coalesce(F.col("r") == F.col("h"), F.lit(False)))
+    return body.select("article_id", "sheet", "r", "cells"), head
 
 
-TOTAL = "^(total|sum|tổng|cộng)"
-_CELLROWS = _ROWS + f", body AS (SELECT * FROM rws WHERE r > 0 AND NOT regexp_matches(lower(cells[1]), '{TOTAL}')), cl AS (SELECT article_id, sheet, r, generate_subscripts(cells, 1) - 1 AS c, unnest(cells) AS cell FROM body), vals AS (SELECT *, {_strict_sql('cell')} AS v FROM cl), cols AS (SELECT article_id, sheet, c, count(v) AS n, round(sum(abs(v)), 6) AS weight FROM vals GROUP BY ALL HAVING count(v) >= 2)"
+def values(body: DataFrame) -> DataFrame:
+    """article_id, sheet, r, c, label, v of all cells of a body; v: the cell's number or null."""
+    return body.select("article_id", "sheet", "r", label_of(F.col("cells")).alias("label"), F.posexplode("cells").alias("c", "cell")).withColumn("v", strict_number(F.col("cell")))
 
 
-def values(pages: DataFrame) -> DataFrame:
-    """article_id, sheet, r, c, cell, v of the rows below the header, without totals; v: the cell's number or null."""
-    body = sheet_rows(pages).where((F.col("r") > 0) & ~F.regexp_like(F.lower(F.get("cells", F.lit(0))), F.lit(TOTAL)))
-    return body.select("article_id", "sheet", "r", F.posexplode("cells").alias("c", "cell")).withColumn("v", strict_number(F.col("cell")))
+def label_of(cells_: Column) -> Column:
+    """The first cell that is neither blank nor a number; '' if none is."""
+    return F.coalesce(F.get(F.filter(cells_, lambda x: (x != "") & strict_number(x).isNull()), F.lit(0)), F.lit(""))
 
 
-def numeric_columns_of(cells_: DataFrame) -> DataFrame:
-    return cells_.groupBy("article_id", "sheet", "c").agg(F.count("v").alias("n"), F.round(F.sum(F.abs("v")), 6).alias("weight")).where("n >= 2")
+def numeric_columns_of(cells_: DataFrame, head: DataFrame) -> DataFrame:
+    """Columns with enough numbers: their name, how many, and the sum of their sizes."""
+    counted = cells_.groupBy("article_id", "sheet", "c").agg(F.count("v").alias("n"), F.round(F.sum(F.abs("v")), 6).alias("weight")).where(F.col("n") >= LEAST_POINTS)
+    name = F.coalesce(F.get("names", F.col("c")), F.concat(F.lit("cột "), (F.col("c") + 1).cast("string")))
+    return counted.join(head, ["article_id", "sheet"], "left").select("article_id", "sheet", "c", name.alias("name"), "n", "weight")
 
 
-@query(_CELLROWS + " SELECT article_id, sheet, c, n, weight FROM cols")
+@query(_CELLROWS + " SELECT article_id, sheet, c, name, n, weight FROM cols")
 def numeric_columns(spark, sf):
-    return numeric_columns_of(values(sheets(spark)))
+    body, head = parsed(sheets(spark, sf))
+    return numeric_columns_of(values(body), head)
 
 
-@query(_CELLROWS + f" SELECT article_id, sheet, r, coalesce(list_filter(cells, lambda x: x <> '' AND {_strict_sql('x')} IS NULL)[1], '#' || r) AS label FROM body")
+@query(_CELLROWS + " SELECT article_id, sheet, r, coalesce(arg_min(cell, c) FILTER (cell <> '' AND v IS NULL), '#' || r) AS label FROM vals GROUP BY 1, 2, 3")
 def row_label(spark, sf):
-    """The first cell that is neither blank nor a number, else the row's number."""
-    body = sheet_rows(sheets(spark)).where((F.col("r") > 0) & ~F.regexp_like(F.lower(F.get("cells", F.lit(0))), F.lit(TOTAL)))
-    named = F.get(F.filter("cells", lambda x: (x != "") & strict_number(x).isNull()), F.lit(0))
-    return body.select("article_id", "sheet", "r", F.coalesce(named, F.concat(F.lit("#"), F.col("r").cast("string"))).alias("label"))
+    """The label of each row of a table; a row without one shows its number."""
+    label = label_of(F.col("cells"))
+    return parsed(sheets(spark, sf))[0].select("article_id", "sheet", "r", F.when(label == "", F.concat(F.lit("#"), F.col("r").cast("string"))).otherwise(label).alias("label"))
+
 
+def wanted_column(wanted: Column, name: Column) -> Column:
+    """Whether a column goes by the wanted name: one holds the other, in any case."""
+    a, b = F.lower(F.btrim(wanted)), F.lower(name)
+    return F.contains(a, b) | F.contains(b, a)
 
-def series(pages: DataFrame, most: int = 12) -> DataFrame:
-    """article_id, sheet, c, points, kind of the best numeric column: most numbers, then the largest sum, then the left one.
 
-    A sheet of more than `most` points gives no series.
+def series(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """article_id, sheet, wanted, kind, c, name, points (label, value), note of a chart that is asked for (article_id, sheet, wanted, kind).
+
+    Without a wanted name the column with most numbers, then the largest sum, then the left one is taken; else the first whose name
+    goes by it. A line whose labels do not rise becomes bars. The note tells why there are no points: no such kind, no
+    column of numbers, none of that name, or more points than a chart can show.
     """
-    cells_ = values(pages)
-    best = numeric_columns_of(cells_).groupBy("article_id", "sheet").agg(F.max_by("c", F.struct("n", "weight", (-F.col("c")).alias("x"))).alias("best"))
-    labels = cells_.where("c = 0").select("article_id", "sheet", "r", F.col("cell").alias("label"))
-    picked = cells_.join(best, ["article_id", "sheet"]).where("c = best AND v IS NOT NULL").join(labels, ["article_id", "sheet", "r"])
-    ordered = F.array_sort(F.collect_list(F.struct("r", "label", "v")))
-    grouped = picked.groupBy("article_id", "sheet", F.col("best").alias("c")).agg(ordered.alias("p"), F.count("*").alias("n")).where(F.col("n") <= most)
+    body, head = parsed(pages)
+    cells_ = values(body)
+    columns = numeric_columns_of(cells_, head).join(asked, ["article_id", "sheet"])
+    fits = (F.btrim("wanted") == "") | wanted_column(F.col("wanted"), F.col("name"))
+    order = F.when(F.btrim("wanted") == "", F.struct("n", "weight", (-F.col("c")).alias("x"))).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("weight"), (-F.col("c")).alias("x")))
+    best = columns.groupBy("article_id", "sheet", "wanted", "kind").agg(F.max_by(F.when(fits, F.struct("c", "name", "n")), F.when(fits, order)).alias("b"), F.count("*").alias("columns"))
+    points = cells_.where("v IS NOT NULL").join(best.select("article_id", "sheet", "wanted", "kind", F.col("b.c").alias("c")), ["article_id", "sheet", "c"])
+    points = points.groupBy("article_id", "sheet", "wanted", "kind").agg(F.array_sort(F.collect_list(F.struct("r", "label", "v"))).alias("p"))
+    rows = asked.join(best, ["article_id", "sheet", "wanted", "kind"], "left").join(points, ["article_id", "sheet", "wanted", "kind"], "left")
+    low = F.lower(F.btrim("kind"))
+    note = F.when(~low.isin("bar", "line", "pie"), "kind").when(F.col("columns").isNull(), "no numbers").when(F.col("b").isNull(), "no such column").when(F.col("b.n") > MOST_POINTS, "too many").otherwise("")
     ords = F.transform("p", lambda x: label_ordinal(x["label"]))
     rising = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | F.coalesce(F.get(ords, i - 1) > F.get(ords, i - 2), F.lit(False)))
-    return grouped.select("article_id", "sheet", "c", F.transform("p", lambda x: F.struct(x["label"].alias("label"), x["v"].alias("value"))).alias("points"), F.when(rising, "line").otherwise("bar").alias("kind"))
-
-
-_SERIES = _CELLROWS + """, best AS (SELECT article_id, sheet, c FROM (SELECT *, row_number() OVER (PARTITION BY article_id, sheet ORDER BY n DESC, weight DESC, c) AS k FROM cols) WHERE k = 1),
- pts AS (SELECT v.article_id, v.sheet, v.c, v.r, l.cell AS label, v.v AS value, TRY_CAST(l.cell AS INT) AS o FROM vals v JOIN best USING (article_id, sheet, c) JOIN vals l ON l.article_id = v.article_id AND l.sheet = v.sheet AND l.r = v.r AND l.c = 0 WHERE v.v IS NOT NULL),
- lagged AS (SELECT *, row_number() OVER w = 1 OR coalesce(o > lag(o) OVER w, false) AS up FROM pts WINDOW w AS (PARTITION BY article_id, sheet ORDER BY r))"""
-
-
-@query(_SERIES + " SELECT article_id, sheet, c, string_agg(label || '=' || CAST(CAST(value * 100 AS BIGINT) AS VARCHAR), ';' ORDER BY r) AS points, CASE WHEN bool_and(up) THEN 'line' ELSE 'bar' END AS kind FROM lagged GROUP BY 1, 2, 3")
+    rows = rows.withColumn("note", note)
+    shown = F.when(F.col("note") == "", F.transform("p", lambda x: F.struct(x["label"].alias("label"), x["v"].alias("value"))))
+    drawn = F.when(F.col("note") == "", F.when((low == "line") & ~rising, "bar").otherwise(low))
+    return rows.select("article_id", "sheet", "wanted", F.col("kind").alias("asked"), drawn.alias("kind"), F.col("b.c").alias("c"), F.col("b.name").alias("name"), shown.alias("points"), "note")
+
+
+#: What is asked for each sheet, by the numbers of article and sheet.
+_WANTED = "CASE (article_id + sheet) % 5 WHEN 0 THEN 'doanh' WHEN 1 THEN ' Số lượng hàng ' WHEN 2 THEN 'none' ELSE '' END"
+_KIND = "CASE article_id % 6 WHEN 0 THEN 'bar' WHEN 1 THEN ' Pie' WHEN 2 THEN 'scatter' ELSE 'LINE' END"
+_ORDINAL = """CASE WHEN regexp_full_match(t, '[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})') AND CAST(string_split(t, '/')[2] AS INT) BETWEEN 1 AND 12 AND CAST(string_split(t, '/')[1] AS INT) BETWEEN 1 AND 31 THEN date_diff('day', DATE '1970-01-01', make_date(CAST(string_split(t, '/')[3] AS INT), CAST(string_split(t, '/')[2] AS INT), 1)) + CAST(string_split(t, '/')[1] AS INT) - 1
+ ELSE coalesce(TRY_CAST(regexp_extract(t, '^tháng ([0-9]+)$', 1) AS INT), TRY_CAST(regexp_extract(t, '^q([1-4])( [0-9]{4})?$', 1) AS INT), TRY_CAST(t AS INT)) END"""
+_SERIES = _CELLROWS + f""", asked AS (SELECT DISTINCT article_id, sheet, {_WANTED} AS wanted, {_KIND} AS asked FROM rws),
+fit AS (SELECT a.*, c, name, n, weight FROM asked a JOIN cols USING (article_id, sheet) WHERE trim(wanted) = '' OR contains(lower(trim(wanted)), lower(name)) OR contains(lower(name), lower(trim(wanted)))),
+best AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY article_id, sheet ORDER BY CASE WHEN trim(wanted) = '' THEN n END DESC, CASE WHEN trim(wanted) = '' THEN weight END DESC, c) = 1),
+noted AS (SELECT a.*, b.c, b.name, CASE WHEN lower(trim(a.asked)) NOT IN ('bar', 'line', 'pie') THEN 'kind' WHEN NOT EXISTS (FROM cols WHERE cols.article_id = a.article_id AND cols.sheet = a.sheet) THEN 'no numbers' WHEN b.c IS NULL THEN 'no such column' WHEN b.n > {MOST_POINTS} THEN 'too many' ELSE '' END AS note FROM asked a LEFT JOIN best b USING (article_id, sheet)),
+lab AS (SELECT article_id, sheet, r, coalesce(arg_min(cell, c) FILTER (cell <> '' AND v IS NULL), '') AS label FROM vals GROUP BY ALL),
+pts AS (SELECT n.article_id, n.sheet, r, label, v.v AS value, {_ORDINAL} AS o FROM noted n JOIN vals v USING (article_id, sheet, c) JOIN (SELECT *, lower(trim(label)) AS t FROM lab) USING (article_id, sheet, r) WHERE note = '' AND v.v IS NOT NULL),
+up AS (SELECT *, row_number() OVER w = 1 OR coalesce(o > lag(o) OVER w, false) AS up FROM pts WINDOW w AS (PARTITION BY article_id, sheet ORDER BY r)),
+drawn AS (SELECT n.article_id, n.sheet, wanted, asked, c, name, note, CASE WHEN note = '' THEN CASE WHEN lower(trim(asked)) = 'line' AND NOT bool_and(up) THEN 'bar' ELSE lower(trim(asked)) END END AS kind, string_agg(label || '=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ';' ORDER BY r) AS points, list(label ORDER BY r) FILTER (r IS NOT NULL) AS labels, list(value ORDER BY r) FILTER (r IS NOT NULL) AS amounts FROM noted n LEFT JOIN up USING (article_id, sheet) GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+
+
+def asked_series(spark, sf) -> DataFrame:
+    pages = sheets(spark, sf)
+    asked = sheet_rows(pages).select("article_id", "sheet").distinct().selectExpr("article_id", "sheet", f"{_WANTED} AS wanted", f"{_KIND} AS kind")
+    return series(pages, asked)
+
+
+@query(_SERIES + " SELECT article_id, sheet, wanted, asked, kind, c, name, points, note FROM drawn")
 def extract_series(spark, sf):
+    """The series of every stored sheet, by the column and kind that are asked for."""
     text = lambda x: F.concat(x["label"], F.lit("="), F.round(x["value"] * 100).cast("long").cast("string"))
-    return series(sheets(spark)).select("article_id", "sheet", "c", F.array_join(F.transform("points", text), ";").alias("points"), "kind")
+    return asked_series(spark, sf).withColumn("points", F.array_join(F.transform("points", text), ";"))
+
 
+_AXES = "'\"kind\":\"' || kind || '\",\"name\":\"' || name || '\",\"labels\":[' || list_aggregate(list_transform(labels, lambda x: '\"' || x || '\"'), 'string_agg', ',') || '],'"
 
-@query(_SERIES + " SELECT article_id, sheet, '{\"kind\":\"' || CASE WHEN bool_and(up) THEN 'line' ELSE 'bar' END || '\",\"labels\":[' || string_agg('\"' || label || '\"', ',' ORDER BY r) || ']}' AS spec FROM lagged GROUP BY 1, 2")
+
+@query(_SERIES + f""", j AS (SELECT article_id, sheet, '{{' || {_AXES} || '\"values\":[' || list_aggregate(list_transform(amounts, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), 'string_agg', ',') || ']}}' AS spec FROM drawn WHERE note = ''),
+f AS (SELECT article_id, spec, min(sheet) AS sheet FROM j GROUP BY ALL) SELECT article_id, sheet, spec FROM f QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY sheet) <= {MOST_CHARTS}""")
 def chart_spec(spark, sf):
-    """A chart's specification as JSON, made from its series alone."""
-    return series(sheets(spark)).select("article_id", "sheet", F.to_json(F.struct("kind", F.transform("points", lambda x: x["label"]).alias("labels"))).alias("spec"))
+    """Charts as JSON with kind, name, labels and values in hundredths, made from their series alone; of equal ones of an article the first, and four at most."""
+    found = asked_series(spark, sf).where("note = ''")
+    spec = F.to_json(F.struct("kind", "name", F.transform("points", lambda x: x["label"]).alias("labels"), F.transform("points", lambda x: F.round(x["value"] * 100).cast("long")).alias("values")))
+    once = found.select("article_id", "sheet", spec.alias("spec")).groupBy("article_id", "spec").agg(F.min("sheet").alias("sheet"))
+    place = F.row_number().over(Window.partitionBy("article_id").orderBy("sheet"))
+    return once.withColumn("place", place).where(F.col("place") <= MOST_CHARTS).select("article_id", "sheet", "spec")
 
 
 @query(_SERIES + ", claim AS (SELECT unnest([10.0, 12.0, 99.0]) AS claimed) SELECT article_id, sheet, claimed, bool_or(round(value, 6) = claimed) AS ok FROM pts, claim GROUP BY ALL")
 def chart_guard(spark, sf):
     """Whether each number a chart claims is in its series, to six digits."""
     claimed = F.explode(F.array(*[F.lit(x) for x in (10.0, 12.0, 99.0)])).alias("claimed")
-    rows = series(sheets(spark)).select("article_id", "sheet", "points", claimed)
+    rows = asked_series(spark, sf).where("note = ''").select("article_id", "sheet", "points", claimed)
     return rows.select("article_id", "sheet", "claimed", F.exists("points", lambda x: F.round(x["value"], 6) == F.col("claimed")).alias("ok"))
 
 
-@query(_LINES + " SELECT article_id, sheet, trim(regexp_replace(trim(substr(line, 9)), '^:', '')) AS name FROM marked WHERE line LIKE '## Sheet%' AND lower(line) LIKE '%sale%'")
+def sheet_names(pages: DataFrame) -> DataFrame:
+    """article_id, sheet, name of every sheet, in any case as it is written."""
+    heads = sheet_lines(pages).where(F.startswith(F.col("line"), F.lit("## Sheet")))
+    return heads.select("article_id", "sheet", F.btrim(F.regexp_replace(F.btrim(F.substring("line", 9, 1 << 30)), "^:", "")).alias("name"))
+
+
+def picked(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """article_id, wanted, sheet, note of a sheet that is asked for (article_id, wanted): by number, by its whole name, or by a part of one name only.
+
+    Nothing asked means the only sheet. Where none is picked, the note tells why: no such number, none, or several.
+    """
+    ask, low = F.btrim("wanted"), F.lower(F.btrim("wanted"))
+    number = F.when(F.regexp_like(ask, F.lit("^[+-]?[0-9]+$")), ask.try_cast("int"))
+    same, part = F.lower("name") == low, F.contains(F.lower("name"), low)
+    of = wanted.join(names, "article_id").groupBy("article_id", "wanted").agg(F.count("*").alias("sheets"), F.min(F.when(same, F.col("sheet"))).alias("same"), F.count_if(part).alias("hits"), F.min(F.when(part, F.col("sheet"))).alias("part"), F.min("sheet").alias("first"))
+    sheet = F.when(number.isNotNull(), F.when(number.between(1, F.col("sheets")), number)).when(ask == "", F.when(F.col("sheets") == 1, F.col("first"))).when(F.col("same").isNotNull(), F.col("same")).when(F.col("hits") == 1, F.col("part"))
+    note = F.when(sheet.isNotNull(), "").when(number.isNotNull(), "no such number").when(ask == "", "name one").when(F.col("hits") == 0, "none").otherwise("several")
+    return of.select("article_id", "wanted", sheet.cast("long").alias("sheet"), note.alias("note"))
+
+
+_WANTS = "CASE article_id % 6 WHEN 0 THEN '2' WHEN 1 THEN ' SALES 3 ' WHEN 2 THEN 'sales' WHEN 3 THEN 'Budget' WHEN 4 THEN '' ELSE '99' END"
+
+
+@query(_LINES + f""", names AS (SELECT article_id, sheet, trim(regexp_replace(trim(substr(line, 9)), '^:', '')) AS name FROM marked WHERE line LIKE '## Sheet%'), a AS (SELECT DISTINCT article_id, {_WANTS} AS wanted FROM names),
+g AS (SELECT article_id, wanted, count(*) AS sheets, min(sheet) FILTER (lower(name) = lower(trim(wanted))) AS same, count(*) FILTER (contains(lower(name), lower(trim(wanted)))) AS hits, min(sheet) FILTER (contains(lower(name), lower(trim(wanted)))) AS part, min(sheet) AS first FROM a JOIN names USING (article_id) GROUP BY ALL),
+h AS (SELECT *, TRY_CAST(trim(wanted) AS INT) AS k FROM g), i AS (SELECT *, CASE WHEN k IS NOT NULL THEN CASE WHEN k BETWEEN 1 AND sheets THEN k END WHEN trim(wanted) = '' THEN CASE WHEN sheets = 1 THEN first END WHEN same IS NOT NULL THEN same WHEN hits = 1 THEN part END AS sheet FROM h)
+SELECT article_id, wanted, CAST(sheet AS BIGINT) AS sheet, CASE WHEN sheet IS NOT NULL THEN '' WHEN k IS NOT NULL THEN 'no such number' WHEN trim(wanted) = '' THEN 'name one' WHEN hits = 0 THEN 'none' ELSE 'several' END AS note FROM i""")
 def pick_sheet(spark, sf):
-    """The sheets whose names contain the wanted text, in any case."""
-    name = F.btrim(F.regexp_replace(F.btrim(F.substring("line", 9, 1 << 30)), "^:", ""))
-    heads = sheet_lines(sheets(spark)).where(F.startswith(F.col("line"), F.lit("## Sheet"))).select("article_id", "sheet", name.alias("name"))
-    return heads.where(F.contains(F.lower("name"), F.lit("sale")))
+    """The sheet of every stored workbook that is asked for, by number or name."""
+    names = sheet_names(sheets(spark, sf))
+    return picked(names, names.select("article_id").distinct().selectExpr("article_id", f"{_WANTS} AS wanted"))
 
 
 @query(f", {_SHEETS_SQL}, s AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY article_id ORDER BY seq) AS upto FROM sheets) SELECT article_id, bool_or(upto > 120) AS truncated, count(*) FILTER (upto - strlen(text) < 120) AS pages_read, max(CASE WHEN seq = 1 THEN contains(text, '## Sheet') END) AS is_sheet FROM s GROUP BY 1")
 def sheet_scan_cap(spark, sf):
     """Pages read in order up to a size; whether that cut the scan, and whether it is a workbook at all."""
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("article_id").orderBy("seq"))
-    rows = sheets(spark).withColumn("size", F.octet_length("text")).withColumn("upto", upto)
+    rows = sheets(spark, sf).withColumn("size", F.octet_length("text")).withColumn("upto", upto)
     return rows.groupBy("article_id").agg(F.bool_or(F.col("upto") > 120).alias("truncated"), F.count_if(F.col("upto") - F.col("size") < 120).alias("pages_read"), F.max(F.when(F.col("seq") == 1, F.contains("text", F.lit("## Sheet")))).alias("is_sheet"))

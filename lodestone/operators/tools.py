@@ -80,19 +80,21 @@ def list_unreadable_pages(spark, sf):
 
 @query(tables._ROWS + " SELECT article_id, sheet, count(*) FILTER (r > 0) AS n_rows FROM rws WHERE article_id IN (1, 3) GROUP BY ALL")
 def list_sheets(spark, sf):
-    return tables.sheet_rows(tables.sheets(spark)).where("article_id IN (1, 3)").groupBy("article_id", "sheet").agg(F.count_if(F.col("r") > 0).alias("n_rows"))
+    return tables.sheet_rows(tables.sheets(spark, sf)).where("article_id IN (1, 3)").groupBy("article_id", "sheet").agg(F.count_if(F.col("r") > 0).alias("n_rows"))
 
 
 @query(tables._ROWS + ", b AS (SELECT max(r) AS top FROM rws WHERE article_id = 1 AND sheet = 1) SELECT r, line, CASE WHEN top > 2 THEN 3 ELSE 0 END AS next_from FROM rws, b WHERE article_id = 1 AND sheet = 1 AND (r = 0 OR r BETWEEN 1 AND 2)")
 def read_sheet(spark, sf):
     """The header and two rows of a sheet, and where to go on; 0 at the end."""
-    rows = tables.sheet_rows(tables.sheets(spark)).where("article_id = 1 AND sheet = 1")
+    rows = tables.sheet_rows(tables.sheets(spark, sf)).where("article_id = 1 AND sheet = 1")
     top = F.max("r").over(Window.partitionBy("article_id", "sheet"))
     limit = clamp(2, 1, 300, 60)
     return rows.withColumn("top", top).where((F.col("r") == 0) | F.col("r").between(1, limit)).select("r", "line", F.when(F.col("top") > limit, limit + 1).otherwise(0).alias("next_from"))
 
 
-@query(tables._SERIES + " SELECT article_id, sheet, count(*) AS n_points FROM pts WHERE article_id = 3 GROUP BY 1, 2")
+@query(tables._SERIES + " SELECT d.article_id, d.sheet, d.kind, d.note, count(value) AS n_points FROM drawn d LEFT JOIN pts USING (article_id, sheet) WHERE d.article_id = 4 GROUP BY ALL")
 def chart_from_cite(spark, sf):
-    """The series a cited article's tables hold."""
-    return tables.series(tables.sheets(spark).where("article_id = 3")).select("article_id", "sheet", F.size("points").cast("long").alias("n_points"))
+    """The charts of a cited article's tables, or why there is none."""
+    pages = tables.sheets(spark, sf).where("article_id = 4")
+    asked = tables.sheet_rows(pages).select("article_id", "sheet").distinct().selectExpr("article_id", "sheet", f"{tables._WANTED} AS wanted", f"{tables._KIND} AS kind")
+    return tables.series(pages, asked).select("article_id", "sheet", "kind", "note", F.coalesce(F.size("points"), F.lit(0)).cast("long").alias("n_points"))
