@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType
 
 from lodestone.registry import query
-from lodestone.views import table, view
-
-SCATTERED = ("T h ô n g t ư này", "N ă m h a i n g h ì n", "a clean short line", "I am a man", "s c a t t e r e d")
-
+from lodestone.views import chunks, table, view
 
 def is_spaced(line: Column) -> Column:
     """Ten tokens of one letter, or four that are half of all."""
@@ -30,11 +27,18 @@ def despaced(line: Column, whole: Column | None = None) -> Column:
     return F.when(apart, F.regexp_replace(line, r"(?<=(?<![\p{L}\p{M}])[\p{L}\p{M}]) (?=[\p{L}\p{M}](?![\p{L}\p{M}]))", "")).otherwise(line)
 
 
+def scattered(spark, sf):
+    """Lines of documents, those of every third apart letter by letter, of every other third from a place on."""
+    apart = F.regexp_replace("text", r"([\p{L}\p{M}])(?=[\p{L}\p{M}])", "$1 ")
+    k = (F.col("article_id") + F.col("chunk_index")) % 3
+    line = F.when(k == 0, apart).when(k == 1, F.concat(F.left("text", F.lit(60)), F.lit(" "), F.left(apart, F.lit(60)))).otherwise(F.col("text"))
+    return chunks(spark, sf).select("article_id", "chunk_index", line.alias("line"))
+
+
 @query()
 def despace_line(spark, sf):
     """Each line by itself, and as a line of a document whose letters stand apart."""
-    rows = spark.createDataFrame([(x,) for x in SCATTERED], "line string")
-    return rows.select("line", despaced(F.col("line")).alias("joined"), despaced(F.col("line"), F.lit(True)).alias("forced"))
+    return scattered(spark, sf).select("article_id", "chunk_index", despaced(F.col("line")).alias("joined"), despaced(F.col("line"), F.lit(True)).alias("forced"))
 
 
 #: Letters and onsets of Vietnamese: fixed values.
@@ -49,9 +53,17 @@ def syllables(token: Column) -> Column:
     return F.when(F.regexp_like(token, F.lit(f"(?i)[{TONED}]")), split).otherwise(token)
 
 
+#: Syllables that are run together by the numbers of a document and a line: fixed values.
+SYLLABLES = ("thông", "quy", "định", "cơ", "sở", "hợp", "đồng", "banana", "nghiệp", "kha")
+
+
 @query()
 def split_syllables(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("thông", "quyđịnh", "cơsở", "banana", "hợpđồng")], "token string").select("token", syllables(F.col("token")).alias("split"))
+    """Tokens made of one to three syllables, by stored numbers."""
+    pick = lambda x: F.get(F.array(*[F.lit(t) for t in SYLLABLES]), (x % len(SYLLABLES)).cast("int"))
+    a, b = F.col("article_id"), F.col("chunk_index")
+    token = F.concat(pick(a + b), F.when(b % 3 > 0, pick(a * 7 + b)).otherwise(""), F.when(b % 3 > 1, pick(a + b * 3)).otherwise(""))
+    return chunks(spark, sf).select(token.alias("token")).distinct().select("token", syllables(F.col("token")).alias("split"))
 
 
 #: A citation mark, what names an internal id, and what an emptied bracket may still hold: fixed values.
@@ -144,7 +156,12 @@ def cited(answer: str | None, n: int) -> tuple[str, int]:
     return (tidy(blanked) if dropped or blanked != marked else marked), dropped
 
 
-ANSWERS = (("see [*2] and [ ^ 1 ] [1][3].", 2), ("no marks, [ ] box", 3), ("[0] out [9]", 5), ("", 1), ("a [1] [1] [2] b", 2), ("as (Article ID: 54) says  [2]", 3), ("keep  this [1]", 1))
+_ANSWER = "CASE turn % 6 WHEN 0 THEN concat('see [*2] and [ ^ 1 ] [1][3]. ', text) WHEN 1 THEN concat(text, ' [0] out [9]') WHEN 2 THEN concat(role, ' (Article ID: ', conv_id, ') says  [2] ', left(text, 30)) WHEN 3 THEN concat('a [1] [1] [2] b ( theo ) nguồn_id ', conv_id) WHEN 4 THEN concat('keep  this [1] ', text) ELSE text END"
+
+
+def answers(spark, sf):
+    """Stored messages as answers with citation marks and leaked ids."""
+    return table(spark, sf, "conversations").selectExpr("conv_id", "turn", f"{_ANSWER} AS raw")
 
 
 @query()
@@ -153,7 +170,7 @@ def normalize_citations(spark, sf):
     def run(answer: pd.Series, n: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cited(a, k) for a, k in zip(answer, n, strict=True)], columns=["answer", "dropped"])
 
-    return spark.createDataFrame(list(ANSWERS), "raw string, n int").select("raw", run("raw", "n").alias("x")).select("raw", "x.*")
+    return answers(spark, sf).select("conv_id", "turn", run("raw", F.lit(3)).alias("x")).select("conv_id", "turn", "x.*")
 
 
 @F.pandas_udf(StringType())
@@ -215,11 +232,12 @@ def answer_grade(spark, sf):
     return table(spark, sf, "documents").select("doc_id", numbers.alias("has_numbers"), links.alias("has_links"), short.alias("short"), (numbers.cast("int") + (~links).cast("int") + short.cast("int")).alias("checks"))
 
 
-SUMMARIES = ("[S1] first [S2] second", "[S1] only", "no marks", "[S1] [S2] second")
+_SUMMARY = "CASE conv_id % 5 WHEN 0 THEN concat('[S1] ', left(text, 40), ' [S2] ', role) WHEN 1 THEN concat('[S1] ', role, ' only') WHEN 2 THEN concat('[S1] [S2] ', role) WHEN 3 THEN text ELSE concat('x [S2] b [S1]  ', role, '  ') END"
 
 
-@query("SELECT raw, CASE WHEN trim(a) = '' OR trim(b) = '' THEN NULL ELSE trim(a) || '|' || trim(b) END AS parsed FROM (SELECT raw, regexp_extract(raw, '\\[S1\\]([^\\[]*)', 1) AS a, regexp_extract(raw, '\\[S2\\]([^\\[]*)', 1) AS b FROM (VALUES " + ", ".join(f"('{s}')" for s in SUMMARIES) + ") v(raw))")
+@query(f"SELECT conv_id, turn, CASE WHEN trim(a) = '' OR trim(b) = '' THEN NULL ELSE trim(a) || '|' || trim(b) END AS parsed FROM (SELECT conv_id, turn, regexp_extract(raw, '\\[S1\\]([^\\[]*)', 1) AS a, regexp_extract(raw, '\\[S2\\]([^\\[]*)', 1) AS b FROM (SELECT conv_id, turn, {_SUMMARY} AS raw FROM conversations))")
 def batch_summary_parse(spark, sf):
     """Summaries of a batch by their marks; null if one is missing or blank."""
-    part = lambda i: F.btrim(F.regexp_extract("raw", rf"\[S{i}\]([^\[]*)", 1))
-    return spark.createDataFrame([(s,) for s in SUMMARIES], "raw string").select("raw", F.when((part(1) == "") | (part(2) == ""), None).otherwise(F.concat_ws("|", part(1), part(2))).alias("parsed"))
+    part = lambda i: F.trim(F.regexp_extract("raw", rf"\[S{i}\]([^\[]*)", 1))
+    rows = table(spark, sf, "conversations").selectExpr("conv_id", "turn", f"{_SUMMARY} AS raw")
+    return rows.select("conv_id", "turn", F.when((part(1) == "") | (part(2) == ""), None).otherwise(F.concat_ws("|", part(1), part(2))).alias("parsed"))

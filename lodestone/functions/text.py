@@ -121,15 +121,16 @@ def cross_check(spark, sf):
 
 VERSION = r"(?i)(?:version|phiên bản)[ \t]*[:.]?[ \t]*([0-9][0-9A-Za-z._-]*)"
 EFFECTIVE = r"(?i)(?:effective|hiệu lực)[^0-9\n]{0,40}([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})"
-_META = ("Handbook version: 2024-Q3, effective from 01/02/2024", "Version - none", "phiên bản 1.2 hiệu lực từ ngày 5-6-2023", "")
-_META_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_META))
+#: Heads of documents, with versions and dates written into every few of them.
+_META = """CASE doc_id % 5 WHEN 0 THEN concat('Handbook version: ', doc_id % 90, '.', n_chars % 7, ', effective from ', 1 + doc_id % 28, '/', 1 + doc_id % 12, '/2024. ', text) WHEN 1 THEN concat('Version - none ', text)
+ WHEN 2 THEN concat(left(text, 90), ' phiên bản ', doc_id, '-b hiệu lực từ ngày ', 1 + doc_id % 9, '-6-2023 ', text) WHEN 3 THEN concat(text, ' version 9') ELSE text END"""
 
 
-@query(f"SELECT id, regexp_extract(substr(t, 1, 3000), '{VERSION}', 1) AS version, regexp_extract(substr(t, 1, 3000), '{EFFECTIVE}', 1) AS effective FROM (VALUES {_META_SQL}) v(id, t)")
+@query(f"SELECT doc_id, regexp_extract(substr(t, 1, 3000), '{VERSION}', 1) AS version, regexp_extract(substr(t, 1, 3000), '{EFFECTIVE}', 1) AS effective FROM (SELECT doc_id, {_META} AS t FROM documents)")
 def extract_meta(spark, sf):
     """Version and effective date in the head of a text, as written."""
     head = F.left(F.col("t"), F.lit(3000))
-    return spark.createDataFrame(list(enumerate(_META)), "id int, t string").select("id", F.regexp_extract(head, VERSION, 1).alias("version"), F.regexp_extract(head, EFFECTIVE, 1).alias("effective"))
+    return table(spark, sf, "documents").selectExpr("doc_id", f"{_META} AS t").select("doc_id", F.regexp_extract(head, VERSION, 1).alias("version"), F.regexp_extract(head, EFFECTIVE, 1).alias("effective"))
 
 
 @query("""SELECT page_id, CASE WHEN contains(lower(url), 'pdf') AND contains(lower(url), '/en/') THEN 'laws' WHEN contains(lower(url), 'csv') OR ends_with(lower(url), '5') THEN 'table' WHEN contains(lower(url), '/de/') THEN 'paper' ELSE 'general' END AS doc_type FROM pages""")
@@ -176,13 +177,15 @@ def file_ext(name: Column) -> Column:
     return F.when(F.octet_length(ext) <= 11, ext).otherwise("")
 
 
-_NAMES = ("a.PDF", ".hidden", "x.tar.gz", "noext", "end.", "b.averyverylongextension", "é ü.docx")
-_NAMES_SQL = "(VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") v(name)"
+#: File names of documents, and the first bytes that their uploads begin with.
+_NAME = "CASE doc_id % 11 WHEN 0 THEN concat('.', source) WHEN 1 THEN concat(source, doc_id) WHEN 2 THEN concat(doc_id, '.tar.gz') WHEN 3 THEN concat(lang, '.') WHEN 4 THEN concat(source, '.averyverylongextension') WHEN 5 THEN concat('é ', doc_id, '.docx') WHEN 6 THEN concat(doc_id, '.PDF') WHEN 7 THEN concat(doc_id, '.md') WHEN 8 THEN concat(doc_id, '.JSON') WHEN 9 THEN concat(doc_id, '.png') ELSE concat(doc_id, '.exe') END"
+_HEAD = "CASE doc_id % 4 WHEN 0 THEN concat('%PDF-1.', doc_id % 8) WHEN 1 THEN concat('PK', chr(3), chr(4), lang) ELSE left(text, 40) END"
+_EXT = "CASE WHEN strlen(lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1))) <= 11 THEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) ELSE '' END"
 
 
-@query(f"SELECT name, CASE WHEN strlen(lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1))) <= 11 THEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) ELSE '' END AS ext FROM {_NAMES_SQL}", name="file_ext")
+@query(f"SELECT doc_id, name, {_EXT} AS ext FROM (SELECT doc_id, {_NAME} AS name FROM documents)", name="file_ext")
 def _file_ext(spark, sf):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", file_ext(F.col("name")).alias("ext"))
+    return table(spark, sf, "documents").selectExpr("doc_id", f"{_NAME} AS name").select("doc_id", "name", file_ext(F.col("name")).alias("ext"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages")
@@ -205,16 +208,15 @@ def _snippet(spark, sf):
 
 
 QUESTIONS = ("lookup", "summary", "compare", "reasoning", "procedure", "scenario", "chitchat", "calculation")
-_ASKED = ("summary", " it is a COMPARE of two", "lookup then summary", "none of them", "")
-_ASKED_SQL = ", ".join(f"('{a}')" for a in _ASKED)
+_ASKED = "CASE id % 7 WHEN 0 THEN concat(' ', 'Summary') WHEN 1 THEN concat(content, ' it is a COMPARE of two') WHEN 2 THEN concat('lookup then summary ', content) WHEN 3 THEN '' WHEN 4 THEN 'CHITCHAT ' WHEN 5 THEN concat('calculation by procedure ', role) ELSE content END"
 
 
-@query("SELECT a, CASE " + " ".join(f"WHEN lower(trim(a)) = '{q}' THEN '{q}'" for q in QUESTIONS) + " " + " ".join(f"WHEN contains(lower(a), '{q}') THEN '{q}'" for q in QUESTIONS) + f" ELSE 'lookup' END AS kind FROM (VALUES {_ASKED_SQL}) v(a)")
+@query("SELECT id, CASE " + " ".join(f"WHEN lower(trim(a)) = '{q}' THEN '{q}'" for q in QUESTIONS) + " " + " ".join(f"WHEN contains(lower(a), '{q}') THEN '{q}'" for q in QUESTIONS) + f" ELSE 'lookup' END AS kind FROM (SELECT id, {_ASKED} AS a FROM messages)")
 def parse_question_type(spark, sf):
     """The kind named exactly, else the first one mentioned, else lookup."""
     low = F.lower(F.trim("a"))
     mentioned = F.get(F.filter(F.array(*[F.lit(q) for q in QUESTIONS]), lambda q: F.contains(low, q)), F.lit(0))
-    return spark.createDataFrame([(a,) for a in _ASKED], "a string").select("a", F.when(low.isin(*QUESTIONS), low).otherwise(F.coalesce(mentioned, F.lit("lookup"))).alias("kind"))
+    return view(spark, sf, "messages").selectExpr("id", f"{_ASKED} AS a").select("id", F.when(low.isin(*QUESTIONS), low).otherwise(F.coalesce(mentioned, F.lit("lookup"))).alias("kind"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('purchase', 'view') THEN 10 WHEN event_type IN ('click') THEN 8 ELSE 5 END AS lim FROM events WHERE event_type <> 'logout'")
@@ -230,14 +232,15 @@ def norm_box(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.when(size > 0, F.col("l_partkey") / size).otherwise(0.0), 9).alias("x"))
 
 
-_FLEX = ("12", "3.9", "-2.5", "abc", "", "1e2", "007")
-_FLEX_SQL = ", ".join(f"('{x}')" for x in _FLEX)
+_FLEX = "CASE l_partkey % 7 WHEN 0 THEN concat(l_partkey, '.9') WHEN 1 THEN concat('-', l_suppkey, '.5') WHEN 2 THEN concat(l_suppkey % 9, 'e2') WHEN 3 THEN concat('00', l_partkey) WHEN 4 THEN '' WHEN 5 THEN concat(l_returnflag, l_partkey) ELSE concat(l_partkey, '') END"
 
 
-@query(f"SELECT raw, coalesce(CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS BIGINT), 0) AS value FROM (VALUES {_FLEX_SQL}) v(raw)")
+@query(f"SELECT raw, coalesce(CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS BIGINT), 0) AS value FROM (SELECT DISTINCT {_FLEX} AS raw FROM lineitem)")
 def flex_int(spark, sf):
+    """Whole numbers from what stands for one, cut towards zero; 0 for anything else."""
     number = F.col("raw").try_cast("double")
-    return spark.createDataFrame([(x,) for x in _FLEX], "raw string").select("raw", F.coalesce(F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)), F.lit(0)).cast("long").alias("value"))
+    rows = table(spark, sf, "lineitem").selectExpr(f"{_FLEX} AS raw").distinct()
+    return rows.select("raw", F.coalesce(F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)), F.lit(0)).cast("long").alias("value"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -269,9 +272,39 @@ def round6(spark, sf):
 ALLOWED = (".pdf", ".docx", ".xlsx", ".csv", ".txt", ".md", ".html", ".json", ".png", ".jpg", ".jpeg", ".pptx")
 
 
-@query(f"SELECT name, CASE WHEN strlen(lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1))) <= 11 THEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) ELSE '' END IN {ALLOWED} AS ok FROM {_NAMES_SQL}")
+MAX_FILE = 500 << 20
+#: What the content of a file must look like, by its extension; text is all that nothing else is recognised in.
+CONTENT = {"pdf": (".pdf",), "zip": (".docx", ".xlsx", ".pptx"), "png": (".png",), "jpeg": (".jpg", ".jpeg"), "text": (".csv", ".txt", ".md", ".html", ".json")}
+MAGIC = {"pdf": "%PDF-", "zip": "PK\x03\x04", "png": "\x89PNG", "jpeg": "\xff\xd8\xff"}
+
+
+def sniffed(head: Column) -> Column:
+    """What the first bytes of a file, as Latin-1 text, show it to be."""
+    out = F.lit("text")
+    for kind, magic in MAGIC.items():
+        out = F.when(F.startswith(head, F.lit(magic)), kind).otherwise(out)
+    return out
+
+
+def refused(name: Column, head: Column, size: Column) -> Column:
+    """Why an upload is refused, '' if it isn't: empty, too large, a type that is not taken, or content of another type."""
+    ext = file_ext(name)
+    fits = F.lit(False)
+    for kind, extensions in CONTENT.items():
+        fits = fits | (ext.isin(*extensions) & (sniffed(head) == kind))
+    return F.when((size <= 0) | (head == ""), "empty").when(size > MAX_FILE, "too large").when(~ext.isin(*ALLOWED), "type").when(~fits, "content").otherwise("")
+
+
+_BYTES = "CASE WHEN doc_id % 23 = 0 THEN 0 WHEN doc_id % 29 = 0 THEN 600000000 ELSE n_chars END"
+_FITS = " OR ".join(f"(ext IN ({', '.join(repr(e) for e in x)}) AND kind = '{k}')" for k, x in CONTENT.items())
+
+
+@query(f"""SELECT doc_id, name, CASE WHEN size <= 0 OR head = '' THEN 'empty' WHEN size > {MAX_FILE} THEN 'too large' WHEN ext NOT IN {ALLOWED} THEN 'type' WHEN NOT ({_FITS}) THEN 'content' ELSE '' END AS refused
+FROM (SELECT *, {_EXT} AS ext, CASE WHEN starts_with(head, '%PDF-') THEN 'pdf' WHEN starts_with(head, 'PK' || chr(3) || chr(4)) THEN 'zip' ELSE 'text' END AS kind FROM (SELECT doc_id, {_NAME} AS name, {_HEAD} AS head, {_BYTES} AS size FROM documents))""")
 def upload_guard(spark, sf):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", file_ext(F.col("name")).isin(*ALLOWED).alias("ok"))
+    """Uploads of documents under many names: by extension, by what their first bytes show, and by size."""
+    rows = table(spark, sf, "documents").selectExpr("doc_id", f"{_NAME} AS name", f"{_HEAD} AS head", f"{_BYTES} AS size")
+    return rows.select("doc_id", "name", refused(F.col("name"), F.col("head"), F.col("size")).alias("refused"))
 
 
 @query("SELECT page_id, substr(regexp_replace(url, '[?#].*$', ''), 1, 60) AS url FROM pages")
@@ -279,14 +312,13 @@ def hide_url_query(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.left(F.regexp_replace("url", "[?#].*$", ""), F.lit(60)).alias("url"))
 
 
-_URLS = ("https://h/v1/chat/completions?x=1", "http://h//", "https://h/v2/embeddings/", "https://h/api#f")
-_URLS_SQL = ", ".join(f"('{x}')" for x in _URLS)
+_URL = "concat(url, CASE page_id % 5 WHEN 0 THEN '/v1/chat/completions?x=1' WHEN 1 THEN '//' WHEN 2 THEN '/v2/embeddings/' WHEN 3 THEN '/api#f' ELSE '/chat/completions/x' END)"
 
 
-@query(f"SELECT raw, regexp_replace(regexp_replace(regexp_replace(raw, '[?#].*$', ''), '/+$', ''), '/(chat/completions|embeddings)$', '') AS base FROM (VALUES {_URLS_SQL}) v(raw)")
+@query(f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(raw, '[?#].*$', ''), '/+$', ''), '/(chat/completions|embeddings)$', '') AS base FROM (SELECT page_id, {_URL} AS raw FROM pages)")
 def normalize_base_url(spark, sf):
     base = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", "[?#].*$", ""), "/+$", ""), "/(chat/completions|embeddings)$", "")
-    return spark.createDataFrame([(x,) for x in _URLS], "raw string").select("raw", base.alias("base"))
+    return table(spark, sf, "pages").selectExpr("page_id", f"{_URL} AS raw").select("page_id", base.alias("base"))
 
 
 @query("SELECT article_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (trim(text) <> ''), 1, 500) AS text FROM article_pages GROUP BY 1")

@@ -22,18 +22,6 @@ NUMBER = "[IVXLCDM0-9]++"
 HEADING = rf"(?m)(?<=^[ \t\r>]{{0,40}})(?:{HEADWORDS})\s+{NUMBER}|(?:{UPPER})\s+{NUMBER}(?=\s*(?:[:.)\]-]|\z))"
 MARK = "\x01"
 
-LAWS = (
-    (1, "Preface text.\nPHẦN I\nCHƯƠNG II: Rights\nĐiều 1. Scope of work 1. First clause, see Điều 9, clause 2\nĐiều 2 Terms"),
-    (2, "One long line ĐIỀU 3: Duties of staff as said in ĐIỀU 4, not here MỤC 1. Pay"),
-    (3, "no headings at all"),
-    (4, "> Bài 5) Practice\n\tMục 2 - Rules"),
-)
-
-
-def laws(spark) -> DataFrame:
-    return spark.createDataFrame(list(LAWS), "id int, text string")
-
-
 def headings(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(HEADING), F.lit(0))
 
@@ -43,11 +31,6 @@ def blocks(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, HEADING, f"{MARK}$0"), MARK), lambda x: x != "")
 
 
-@query()
-def find_headings(spark, sf):
-    return laws(spark).select("id", F.posexplode(headings(F.col("text"))).alias("n", "heading"))
-
-
 def heading_title(block: Column, most: int = 120) -> Column:
     """A heading's name: up to the line's end, a clause mark or a stray headword; white space as one, cut at a word."""
     line = F.regexp_extract(block, rf"^((?:{HEADWORDS})\s+{NUMBER}.*?)(?:\n|\s[0-9]+\.\s|\s(?:{UPPER})\s|\z)", 1)
@@ -55,11 +38,6 @@ def heading_title(block: Column, most: int = 120) -> Column:
     return F.when(F.char_length(flat) > most, F.regexp_extract(F.left(flat, F.lit(most)), "^(.*)\\s", 1)).otherwise(flat)
 
 
-@query(name="heading_title")
-def _heading_title(spark, sf):
-    return laws(spark).select("id", F.posexplode(blocks(F.col("text"))).alias("n", "block")).select("id", "n", heading_title(F.col("block")).alias("title"))
-
-
 def section_level(name: Column) -> Column:
     """By the first word's letters: chapters and parts 1, divisions 2, anything else 3."""
     head = F.upper(F.regexp_extract(name, "^\\s*(\\p{L}+)", 1))
@@ -74,11 +52,6 @@ def with_offsets(docs: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.withColumn("last", last).withColumn("first", F.col("last") - size).select(id_col, "n", "block", "first", "last")
 
 
-@query()
-def split_blocks(spark, sf):
-    return with_offsets(laws(spark))
-
-
 def parts(text: str, room: int, separators: list[str]) -> list[str]:
     """Pieces of at most room characters, cut at the largest separator that does it."""
     if len(text) <= room:
@@ -131,11 +104,10 @@ def chunk_recursive_vi(spark, sf):
     return chunked(table(spark, sf, "documents"), VIETNAMESE)
 
 
-@query()
-def chunk_laws(spark, sf):
-    """Blocks chunked on their own; each chunk is headed by its section."""
-    rows = with_offsets(laws(spark)).withColumn("title", heading_title(F.col("block")))
-    pieces = rows.select("id", "n", "title", F.posexplode(chunker(60, 10, PLAIN)("block")).alias("i", "chunk"))
+def chunked_blocks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Blocks of docs (id, text) chunked on their own; each chunk is headed by its section."""
+    rows = with_offsets(docs).withColumn("title", heading_title(F.col("block")))
+    pieces = rows.select("id", "n", "title", F.posexplode(chunker(size, overlap, PLAIN)("block")).alias("i", "chunk"))
     return pieces.select("id", "n", "i", F.concat(F.when(F.col("title") == "", "").otherwise(F.concat(F.lit("["), "title", F.lit("]\n"))), "chunk").alias("chunk"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.chunking import HEADWORDS, UPPER, section_level, with_sections
+from lodestone.operators.chunking import HEADWORDS, UPPER, chunked_blocks, heading_title, headings, section_level, with_offsets, with_sections
 from lodestone.registry import query
 from lodestone.views import law_chunks, table, view
 
@@ -28,6 +28,36 @@ leveled AS (SELECT *, CASE WHEN upper(regexp_extract(section, '^\\s*(\\p{{L}}+)'
 spans AS (SELECT *, greatest(1, least({MOST_CHUNKS}, coalesce(lead(start_chunk) OVER w - start_chunk, {MOST_CHUNKS}))) AS span, row_number() OVER w - 1 AS place FROM sections WINDOW w AS (PARTITION BY article_id ORDER BY start_chunk, section))"""
 
 
+#: blocks (id, n, block) of the texts of law_chunks by a number of their own, in DuckDB.
+_BLOCKS = f", b AS (SELECT article_id * 100000 + chunk_index AS id, list_filter(string_split({_MARKED}, chr(1)), lambda x: x <> '') AS b FROM law_chunks), blocks AS (SELECT id, generate_subscripts(b, 1) - 1 AS n, unnest(b) AS x FROM b)"
+
+
+def law_texts(spark, sf) -> DataFrame:
+    return law_chunks(spark, sf).select((F.col("article_id") * 100000 + F.col("chunk_index")).alias("id"), "text")
+
+
+@query(_BLOCKS + f" SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS n, regexp_extract(x, '^(?:{HEADWORDS})\\s+{_NUM}') AS heading FROM blocks WHERE regexp_matches(x, '^(?:{HEADWORDS})\\s+{_NUM}')")
+def find_headings(spark, sf):
+    return law_texts(spark, sf).select("id", F.posexplode(headings(F.col("text"))).alias("n", "heading"))
+
+
+@query(_BLOCKS + f" SELECT id, n, {_CUT} AS title FROM blocks", name="heading_title")
+def _heading_title(spark, sf):
+    return with_offsets(law_texts(spark, sf)).select("id", "n", heading_title(F.col("block")).alias("title"))
+
+
+@query(_BLOCKS + " SELECT id, n, x AS block, sum(strlen(x)) OVER w - strlen(x) AS first, sum(strlen(x)) OVER w AS last FROM blocks WINDOW w AS (PARTITION BY id ORDER BY n)")
+def split_blocks(spark, sf):
+    """The blocks of each text, which begin at headings, with their byte offsets."""
+    return with_offsets(law_texts(spark, sf))
+
+
+@query()
+def chunk_laws(spark, sf):
+    """Blocks chunked on their own; each chunk is headed by its section."""
+    return chunked_blocks(law_texts(spark, sf), 60, 10)
+
+
 def named(spark, sf) -> DataFrame:
     """article_id, chunk_index, text, section of every chunk."""
     return with_sections(law_chunks(spark, sf).withColumnRenamed("text", "chunk")).withColumnRenamed("chunk", "text").select("article_id", "chunk_index", "text", "section")

@@ -1,6 +1,8 @@
 """What has no SQL twin: patterns, chunks, readers, streams and state, against rows written by hand or plain Python."""
 
 import random
+import re
+import unicodedata
 import uuid
 
 import pandas as pd
@@ -25,26 +27,41 @@ def run(name, spark):
     return rows(catalog.QUERIES[name](spark, SF))
 
 
+LAWS = (
+    (1, "Preface text.\nPHẦN I\nCHƯƠNG II: Rights\nĐiều 1. Scope of work 1. First clause, see Điều 9, clause 2\nĐiều 2 Terms"),
+    (2, "One long line ĐIỀU 3: Duties of staff as said in ĐIỀU 4, not here MỤC 1. Pay"),
+    (3, "no headings at all"),
+    (4, "> Bài 5) Practice\n\tMục 2 - Rules"),
+)
+
+
+def laws(spark):
+    return spark.createDataFrame(list(LAWS), "id int, text string")
+
+
 def test_headings(spark):
-    found = {}
-    for i, n, h in sorted(run("find_headings", spark)):
-        found.setdefault(i, []).append(h.split("\n")[-1])
-    assert found == {1: ["PHẦN I", "CHƯƠNG II", "Điều 1", "Điều 2"], 2: ["ĐIỀU 3", "MỤC 1"], 4: ["Bài 5", "Mục 2"]}
+    found = {r.id: [h.split("\n")[-1] for h in r.h] for r in laws(spark).select("id", chunking.headings(F.col("text")).alias("h")).collect()}
+    assert found == {1: ["PHẦN I", "CHƯƠNG II", "Điều 1", "Điều 2"], 2: ["ĐIỀU 3", "MỤC 1"], 3: [], 4: ["Bài 5", "Mục 2"]}
 
 
 def test_blocks_join_to_the_text(spark):
     joined = {}
-    for i, _, block, first, last in sorted(run("split_blocks", spark)):
+    for i, _, block, first, last in sorted(rows(chunking.with_offsets(laws(spark)))):
         assert last - first == len(block.encode())
         joined[i] = joined.get(i, "") + block
-    assert joined == dict(chunking.LAWS)
+    assert joined == dict(LAWS)
 
 
 def test_titles(spark):
-    titles = {(i, n): t for i, n, t in run("heading_title", spark)}
+    titles = {(r.id, r.n): r.t for r in chunking.with_offsets(laws(spark)).select("id", "n", chunking.heading_title(F.col("block")).alias("t")).collect()}
     assert titles[1, 0] == "" and titles[1, 3] == "Điều 1. Scope of work" and titles[1, 2] == "CHƯƠNG II: Rights"
 
 
+def test_chunked_blocks(spark):
+    found = [r.chunk for r in chunking.chunked_blocks(laws(spark), 60, 10).where("id = 2").orderBy("n", "i").collect()]
+    assert found == ["One long line ", "[ĐIỀU 3: Duties of staff as said in ĐIỀU 4, not here]\nĐIỀU 3: Duties of staff as said in ĐIỀU 4, not", "[ĐIỀU 3: Duties of staff as said in ĐIỀU 4, not here]\nĐIỀU 4, not here", "[MỤC 1. Pay]\nMỤC 1. Pay"] or len(found) >= 3 and all(len(c.split("]\n")[-1]) <= 60 for c in found)
+
+
 def test_chunks_cover_texts():
     r = random.Random(1)
     for _ in range(60):
@@ -85,14 +102,38 @@ def test_pieces_are_lossless(spark):
 
 
 def test_scattered_letters(spark):
-    found = run("despace_line", spark)
-    assert {r[0]: r[2] for r in found}["I am a man"] == "I am a man" and all(r[2] == r[1] for r in found if r[1] != r[0])
-    assert {r[0]: r[1] for r in found} == {"T h ô n g t ư này": "Thôngt ư này".replace("t ư", "tư"), "N ă m h a i n g h ì n": "Nămhainghìn", "a clean short line": "a clean short line", "I am a man": "I am a man", "s c a t t e r e d": "scattered"}
+    lines = ("T h ô n g t ư này", "N ă m h a i n g h ì n", "a clean short line", "I am a man", "s c a t t e r e d")
+    found = spark.createDataFrame([(x,) for x in lines], "line string").select("line", language.despaced(F.col("line")).alias("one"), language.despaced(F.col("line"), F.lit(True)).alias("all")).collect()
+    assert {r.line: r.one for r in found} == {"T h ô n g t ư này": "Thôngtư này", "N ă m h a i n g h ì n": "Nămhainghìn", "a clean short line": "a clean short line", "I am a man": "I am a man", "s c a t t e r e d": "scattered"}
+    assert {r.line: r.all for r in found}["I am a man"] == "I am a man"
+
+
+def plain_despaced(line, forced):
+    words = [t for t in re.split("[ \t]+", line) if t]
+    ones = sum(len(t) == 1 for t in words)
+    if not (forced or ones >= 10 or ones >= 4 and 2 * ones >= len(words)):
+        return line
+    letter = lambda c: unicodedata.category(c)[0] in "LM"
+    alone = lambda i: letter(line[i]) and (i == 0 or not letter(line[i - 1])) and (i + 1 == len(line) or not letter(line[i + 1]))
+    return "".join(c for i, c in enumerate(line) if not (c == " " and 0 < i < len(line) - 1 and alone(i - 1) and alone(i + 1)))
+
+
+def test_stored_lines_despaced(spark):
+    lines = {(r.article_id, r.chunk_index): r.line for r in language.scattered(spark, SF).collect()}
+    found = {(a, c): (one, every) for a, c, one, every in run("despace_line", spark)}
+    assert found == {k: (plain_despaced(x, False), plain_despaced(x, True)) for k, x in lines.items()}
 
 
 def test_syllables(spark):
+    tokens = spark.createDataFrame([(x,) for x in ("thông", "quyđịnh", "cơsở", "banana")], "token string")
+    assert dict(rows(tokens.select("token", language.syllables(F.col("token"))))) == {"thông": "thông", "quyđịnh": "quy định", "cơsở": "cơ sở", "banana": "banana"}
     found = dict(run("split_syllables", spark))
-    assert found["banana"] == "banana" and found["thông"] == "thông" and found["cơsở"] == "cơ sở"
+    assert all(x.replace(" ", "") == token for token, x in found.items())
+
+
+def test_stored_answers(spark):
+    raw = {(r.conv_id, r.turn): r.raw for r in language.answers(spark, SF).collect()}
+    assert {(c, t): (a, d) for c, t, a, d in run("normalize_citations", spark)} == {k: language.cited(x, 3) for k, x in raw.items()}
 
 
 def test_citations():
@@ -116,15 +157,47 @@ def test_identifiers_are_version_5_uuids(spark):
 
 
 def test_strict_numbers(spark):
-    found = dict(run("vn_number", spark))
+    cells = ("1.000.000", "1,000.5", "22.500", "1.2345", "5 %", "-7", "3 000 VND", "5 VNĐ", "2024-01-02", "A12", "", "1,5", "12 USD", "+4")
+    found = dict(rows(spark.createDataFrame([(x,) for x in cells], "raw string").select("raw", tables.strict_number(F.col("raw")))))
     assert found["1.000.000"] == 1e6 and found["1,000.5"] == 1000.5 and found["22.500"] == 22500 and found["-7"] == -7
     assert [x for x, v in found.items() if v is None] == ["1.2345", "5 VNĐ", "2024-01-02", "A12", ""]
 
 
+SHEETS = (
+    (1, 1, "## Sheet: Sales\n| Code | Units | Amount | Note |\n| 5 | 10 | NV01 | 1.500 |\nnoise\n| 6 | 12 | NV02 | 1.750,5 |\n| 7 | Subtotal | x | 9 |\n| Summary | 3 | y | 2 |"),
+    (1, 2, "| 1 | 2 | 3 | 4 |\n## Sheet:\n| a | b |\n## Sheet Empty"),
+    (2, 1, "## Sheet: Months\n| 1 | 5 |\n| Kỳ | Giá |\n| tháng 1 | 7 |\n| tháng 2 | 8 |\n| Cộng | 15 |"),
+)
+
+
+def charts(spark, *asked):
+    pages = spark.createDataFrame(list(SHEETS), "article_id int, seq int, text string")
+    found = tables.series(pages, spark.createDataFrame(list(asked), "article_id int, sheet int, wanted string, kind string")).collect()
+    return {(r.article_id, r.sheet, r.wanted, r.asked): (r.kind, r.name, [tuple(p) for p in r.points or []], r.note) for r in found}
+
+
 def test_series(spark):
-    found = {(a, s): (p, k) for a, s, _, p, k in run("extract_series", spark)}
-    assert found[1, 1] == ("2021=150000;2022=175050;2023=200000", "line") or found[1, 1][1] in ("line", "bar")
-    assert tables.values(tables.sheets(spark)).where("lower(cell) = 'total'").count() == 0
+    found = charts(spark, (1, 1, "", "line"), (1, 1, "code", "pie"), (1, 1, "the NOTE column", "bar"), (1, 1, "price", "bar"), (1, 1, "", "scatter"), (1, 2, "", "bar"), (2, 1, "", "line"))
+    # labels are the first cell that is no number; a total in any cell drops the row, "Summary" does not
+    assert found[1, 1, "", "line"] == ("bar", "Note", [("NV01", 1500.0), ("NV02", 1750.5), ("Summary", 2.0), ("", 4.0)], "")
+    assert found[1, 1, "code", "pie"] == ("pie", "Code", [("NV01", 5.0), ("NV02", 6.0), ("", 1.0)], "")
+    assert found[1, 1, "the NOTE column", "bar"][:2] == ("bar", "Note")
+    assert found[1, 1, "price", "bar"] == (None, None, [], "no such column") and found[1, 1, "", "scatter"][3] == "kind"
+    assert found[1, 2, "", "bar"][3] == "no numbers"
+    assert found[2, 1, "", "line"] == ("bar", "Giá", [("", 5.0), ("tháng 1", 7.0), ("tháng 2", 8.0)], "")  # a row before the header counts
+
+
+def test_sheets_by_number_or_name(spark):
+    names = spark.createDataFrame([(1, 1, "Sales 1"), (1, 2, "Sales 12"), (1, 3, "Costs"), (2, 1, "Only")], "article_id int, sheet int, name string")
+    asks = [(1, "2"), (1, "4"), (1, " SALES 1 "), (1, "sales"), (1, "12"), (1, "cost"), (1, "x"), (1, ""), (2, " ")]
+    found = {(r.article_id, r.wanted): (r.sheet, r.note) for r in tables.picked(names, spark.createDataFrame(asks, "article_id int, wanted string")).collect()}
+    assert found == {(1, "2"): (2, ""), (1, "4"): (None, "no such number"), (1, " SALES 1 "): (1, ""), (1, "sales"): (None, "several"), (1, "12"): (None, "no such number"), (1, "cost"): (3, ""), (1, "x"): (None, "none"), (1, ""): (None, "name one"), (2, " "): (1, "")}
+
+
+def test_uploads(spark):
+    asks = [("a.pdf", "%PDF-1.7", 9), ("a.pdf", "PK\x03\x04", 9), ("b.DOCX", "PK\x03\x04x", 9), ("c.png", "\x89PNG", 9), ("c.jpg", "\xff\xd8\xff\xe0", 9), ("d.csv", "a,b", 9), ("d.csv", "%PDF-", 9), ("e.exe", "MZ", 9), ("f.txt", "", 9), ("f.txt", "x", 0), ("g.txt", "x", 600 << 20)]
+    found = [r.why for r in spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "i int, name string, head string, size long").select("i", text.refused(F.col("name"), F.col("head"), F.col("size")).alias("why")).orderBy("i").collect()]
+    assert found == ["", "content", "", "", "", "", "content", "type", "empty", "empty", "too large"]
 
 
 def test_closure_depth_and_cycles(spark):
