@@ -32,15 +32,19 @@ def repeat_key(spark, sf):
     return chunks(spark, sf).select("article_id", "chunk_index", key(F.col("text")).alias("key"))
 
 
+BLANKS = " \t\n\v\f\r"
+
+
 def words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{M}0-9]+"), F.lit(0)))
 
 
 def merged(layer: Column, ocr: Column, enough: float = 0.7) -> Column:
-    """The text layer alone if it holds enough of the distinct OCR words, else both; a blank side gives the other."""
+    """The text layer alone if it holds enough of the distinct OCR words, else both; a blank side gives the other. Both are trimmed; words are letters, marks and digits."""
+    layer, ocr = F.btrim(layer, F.lit(BLANKS)), F.btrim(ocr, F.lit(BLANKS))
     seen = words(ocr)
     covered = (F.size(seen) == 0) | (F.size(F.array_intersect(seen, words(layer))) >= enough * F.size(seen))
-    return F.when(F.btrim(layer) == "", ocr).when((F.btrim(ocr) == "") | covered, layer).otherwise(F.concat(layer, F.lit("\n"), ocr))
+    return F.when(ocr == "", layer).when(layer == "", ocr).when(covered, layer).otherwise(F.concat(layer, F.lit("\n"), ocr))
 
 
 _NEXT = "(SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
@@ -60,8 +64,8 @@ def beside(rows: DataFrame, *columns: str) -> DataFrame:
     return dealt.groupBy(F.col("to.at").alias("doc_id")).agg(F.min("to.side").alias("_first"), F.max("to.side").alias("_last"), *both).where("_first = 'x' AND _last = 'y'").drop("_first", "_last")
 
 
-@query(f"""SELECT doc_id, md5(CASE WHEN trim(x) = '' THEN y WHEN trim(y) = '' OR len(w) = 0 OR len(list_intersect(w, v)) >= 0.7 * len(w) THEN x ELSE x || chr(10) || y END) AS merged
- FROM (SELECT *, list_distinct(regexp_extract_all(lower(y), '[a-z]+')) AS w, list_distinct(regexp_extract_all(lower(x), '[a-z]+')) AS v FROM {_NEXT})""")
+@query(f"""SELECT doc_id, md5(CASE WHEN y = '' THEN x WHEN x = '' THEN y WHEN len(w) = 0 OR len(list_intersect(w, v)) >= 0.7 * len(w) THEN x ELSE x || chr(10) || y END) AS merged
+ FROM (SELECT doc_id, x, y, list_distinct(regexp_extract_all(lower(y), '[\\p{{L}}\\p{{M}}0-9]+')) AS w, list_distinct(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{M}}0-9]+')) AS v FROM (SELECT doc_id, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x, trim(y, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS y FROM {_NEXT}))""")
 def merge_ocr(spark, sf):
     return pairs(spark, sf).select("doc_id", F.md5(F.encode(merged(F.col("x"), F.col("y")), "UTF-8")).alias("merged"))
 

@@ -205,7 +205,7 @@ def scan_job_list(spark, sf):
     mine = alive(view(spark, sf, "jobs")).where("user_id = 1 AND status = 'pending'").select("id")
     total = mine.agg(F.count("*").alias("total"), F.lit(1).alias("k"))
     top = mine.orderBy(F.desc("id")).limit(20)
-    return top.withColumn("k", F.lit(1)).join(total, "k").select("id", "total", F.row_number().over(Window.partitionBy("total").orderBy(F.desc("id"))).alias("page"))
+    return top.withColumn("k", F.lit(1)).join(F.broadcast(total), "k").select("id", "total", F.row_number().over(Window.partitionBy("total").orderBy(F.desc("id"))).alias("page"))
 
 
 @query("SELECT job_id, count(*) AS total, count(*) FILTER (status <> 'skipped_has_text') AS target, count(*) FILTER (status = 'skipped_has_text') AS skipped FROM job_pages GROUP BY 1")

@@ -150,4 +150,4 @@ def resolve_scope(spark, sf):
     """The category's articles, unless one of the named ids is another owner's."""
     rows = view(spark, sf, "articles")
     foreign = rows.where("id IN (7, 37) AND user_id <> 2").agg(F.count("*").alias("foreign"), F.lit(1).alias("k"))
-    return alive(rows).where("user_id = 2 AND category_id = 7").withColumn("k", F.lit(1)).join(foreign, "k").where("foreign = 0").select("id")
+    return alive(rows).where("user_id = 2 AND category_id = 7").withColumn("k", F.lit(1)).join(F.broadcast(foreign), "k").where("foreign = 0").select("id")

@@ -59,11 +59,11 @@ def model_distinct(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), first_seen(F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " "), 300).alias("models"))
 
 
-@query(""", w AS (SELECT doc_id, trim(unnest(p)) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents)),
+@query(""", w AS (SELECT doc_id, trim(unnest(p)) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, ',') AS p FROM documents)),
 f AS (SELECT doc_id, list(w ORDER BY i)[1:8] AS keywords FROM (SELECT doc_id, w, min(i) AS i FROM w WHERE w <> '' GROUP BY 1, 2) GROUP BY 1) SELECT doc_id, coalesce(keywords, []) AS keywords FROM documents LEFT JOIN f USING (doc_id)""")
 def keyword_distinct(spark, sf):
-    """Up to eight distinct words of a text, as they come."""
-    return table(spark, sf, "documents").select("doc_id", first_seen(F.split("text", " "), 8).alias("keywords"))
+    """Up to eight distinct parts between a text's commas, as they come."""
+    return table(spark, sf, "documents").select("doc_id", first_seen(F.split("text", ","), 8).alias("keywords"))
 
 
 @query("SELECT doc_id, list_filter(string_split('EN+de+xx+' || lang, '+'), lambda l: NOT list_contains(['en', 'fr'], lower(l))) AS missing FROM documents WHERE lang NOT IN ('de', 'xx')")

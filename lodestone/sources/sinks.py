@@ -87,12 +87,21 @@ def section_replace(spark, sf):
     return replace_partitions(twice.union(twice), path, "source").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(", d AS (SELECT user_id, day, site, provider, model, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM usage GROUP BY ALL) SELECT user_id, day, site, provider, model, calls * 2 AS calls, tokens * 2 AS tokens FROM d")
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows with one key the first by an order; an aggregate that combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("v")).select(*keys, "v.*").select(rows.columns)
+
+
+@query(""", d AS (SELECT user_id, day, site, provider, model, calls, tokens FROM usage UNION ALL SELECT user_id, day, site, provider, model, calls, tokens FROM (SELECT *, row_number() OVER (PARTITION BY day, site, provider, model ORDER BY event_id) AS rn FROM usage) WHERE rn = 1)
+SELECT user_id, day, site, provider, model, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL""")
 def usage_merge_add(spark, sf):
-    """The same usage reported twice adds up."""
+    """Stored usage, and the same rows sent again as one report: of its rows with one day, site, provider and model the first counts, and adds up with what is stored."""
     keys = ["user_id", "day", "site", "provider", "model"]
-    rows = view(spark, sf, "usage").select(*keys, "calls", "tokens")
-    return merge_add(rows, rows, keys, ["calls", "tokens"])
+    stored = view(spark, sf, "usage")
+    report = first_of(stored, keys[1:], "event_id")
+    columns = [*keys, "calls", "tokens"]
+    return merge_add(stored.select(columns), report.select(columns), keys, ["calls", "tokens"])
 
 
 @query("SELECT md5(text) AS h, count(*) AS chunk_count FROM documents GROUP BY 1")
