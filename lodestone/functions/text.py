@@ -364,7 +364,16 @@ def plan_session(spark, sf):
     return view(spark, sf, "messages").select("conversation_id", "id", F.when(F.col("role") == "user", 1).otherwise(0).alias("scope"), F.coalesce(F.nullif(F.trim(asked), F.lit("")), F.lit("default")).alias("provider"))
 
 
-@query("SELECT id, list_sort(['id=' || id, 'name=' || name, 'user=' || user_id]) AS fields FROM articles WHERE deleted_at IS NULL")
+def ordered_fields(fields: Column) -> Column:
+    """Log fields (array of struct key, value) as key=value: the trace id, then ids, then others, the error last; within these by key."""
+    key = lambda x: x["key"]
+    place = lambda x: F.when(key(x) == "trace_id", 0).when((key(x) == "id") | F.endswith(key(x), F.lit("_id")), 1).when(key(x) == "error", 3).otherwise(2)
+    return F.transform(F.array_sort(F.transform(fields, lambda x: F.struct(place(x).alias("place"), key(x).alias("key"), x["value"].alias("value")))), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+
+
+@query("SELECT id, ['trace_id=t' || id % 7, 'category_id=' || category_id, 'id=' || id, 'user_id=' || user_id, 'name=' || name, 'stage=' || extract_status, 'error=' || (attempts > 5)] AS fields FROM articles WHERE deleted_at IS NULL")
 def field_order(spark, sf):
-    part = lambda k, c: F.concat(F.lit(f"{k}="), F.col(c).cast("string"))
-    return alive(view(spark, sf, "articles")).select("id", F.array_sort(F.array(part("id", "id"), part("name", "name"), part("user", "user_id"))).alias("fields"))
+    """Fields of a log line in the order in which they are written."""
+    values = {"error": F.col("attempts") > 5, "name": F.col("name"), "user_id": F.col("user_id"), "stage": F.col("extract_status"), "id": F.col("id"), "trace_id": F.concat(F.lit("t"), F.col("id") % 7), "category_id": F.col("category_id")}
+    fields = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
+    return alive(view(spark, sf, "articles")).select("id", ordered_fields(fields).alias("fields"))

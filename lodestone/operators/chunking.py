@@ -1,7 +1,7 @@
 """Headings, blocks and chunks of texts, and the pages they come from.
 
 Headings and blocks are native expressions. Recursive chunking is a small fold inside an Arrow UDF, exploded
-by Spark; semantic chunking and page cuts are relational.
+by Spark; page cuts are relational.
 """
 
 from __future__ import annotations
@@ -111,23 +111,6 @@ def chunked_blocks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Dat
     return pieces.select("id", "n", "i", F.concat(F.when(F.col("title") == "", "").otherwise(F.concat(F.lit("["), "title", F.lit("]\n"))), "chunk").alias("chunk"))
 
 
-@query("""SELECT doc_id, CAST(max(piece) + 1 AS BIGINT) AS pieces FROM (SELECT doc_id, sum(CASE WHEN d > cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS piece FROM (
- SELECT doc_id, n, coalesce(d, 0) AS d, quantile_cont(coalesce(d, 0), 0.9) OVER (PARTITION BY doc_id) AS cut FROM (
-  SELECT doc_id, n, CASE WHEN p IS NULL THEN 0 ELSE 1 - len(list_intersect(w, p)) / greatest(len(list_distinct(list_concat(w, p))), 1) END AS d FROM (
-   SELECT doc_id, n, w, lag(w) OVER (PARTITION BY doc_id ORDER BY n) AS p FROM (SELECT doc_id, generate_subscripts(s, 1) AS n, list_distinct(regexp_extract_all(lower(unnest(s)), '[a-z]+')) AS w FROM (
-    SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)))))) GROUP BY 1""")
-def chunk_semantic(spark, sf):
-    """Pieces of each text: cut where a line's words differ most from those of the line before (over the 90th percentile)."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("n", "s")).select("doc_id", "n", F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    order = Window.partitionBy("doc_id").orderBy("n")
-    rows = rows.withColumn("p", F.lag("w").over(order))
-    differ = F.when(F.col("p").isNull(), 0.0).otherwise(1 - F.size(F.array_intersect("w", "p")) / F.greatest(F.size(F.array_union("w", "p")), F.lit(1)))
-    rows = rows.select("doc_id", "n", differ.alias("d"))
-    cuts = rows.groupBy("doc_id").agg(F.percentile("d", F.lit(0.9)).alias("cut"))
-    return rows.join(cuts, "doc_id").groupBy("doc_id").agg((F.count_if(F.col("d") > F.col("cut")) + 1).alias("pieces"))
-
-
 def overlaps(a: DataFrame, b: DataFrame, width: int = 4096) -> DataFrame:
     """Rows (key, an, bn, lo, hi) of intervals (key, n, lo, hi) of a and b that overlap, with the part they share.
 

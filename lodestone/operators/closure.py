@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.registry import query
@@ -47,12 +47,17 @@ def build_closure(tree: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closure of a stored tree, built once and then read for as long as the tree's rows stay the same.
+    """The closure of the stored tree."""
+    return stored_closure(edges(spark, sf_dir))
+
+
+def stored_closure(tree: DataFrame) -> DataFrame:
+    """The closure of a tree (id, parent_id), built once and then read for as long as the tree's rows stay the same.
 
     It lies in the shared folder under a digest of the rows, one number that each call sums up anew; a row with its
     place is written when all parts are there.
     """
-    tree = edges(spark, sf_dir)
+    spark = tree.sparkSession
     n, digest = tree.agg(F.count("*"), F.sum(F.xxhash64("id", "parent_id").cast("decimal(38,0)"))).first()
     path = f"{shared(spark)}/lodestone/closure-of-{n}-{digest}"
     try:
@@ -144,12 +149,39 @@ def folder_counts(spark, sf):
     return closure(spark, sf).join(own, "descendant_id", "left").groupBy(F.col("ancestor_id").alias("id")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
-@query(", p AS (SELECT id, lpad(CAST(id AS VARCHAR), 6, '0') AS path, 0 AS level FROM edges WHERE parent_id IS NULL UNION ALL SELECT e.id, p.path || '/' || lpad(CAST(e.id AS VARCHAR), 6, '0'), level + 1 FROM edges e JOIN p ON e.parent_id = p.id) SELECT id, path, level FROM p")
+#: First words of folders' names, with letters that only Vietnamese order puts right: fixed values.
+FOLDERS = ("Ăn", "ân", "an", "Đá", "da", "Ơn", "ốc", "Ếch", "em", "Zalo")
+INDENT = "\u00a0\u00a0\u00a0"
+
+
+def listed_tree(nodes: DataFrame, locale: str = "vi") -> DataFrame:
+    """id, parent_id, level, place among its siblings and indented label of folders (id, parent_id, name), siblings in a language's order.
+
+    A folder whose parent is not there becomes a root; a cycle is an error. Sorting by the places on the way from the root
+    gives the list (column path).
+    """
+    there = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("there"))
+    visible = nodes.join(there, "parent_id", "left").select("id", F.when(F.col("there"), F.col("parent_id")).alias("parent_id"), "name")
+    siblings = Window.partitionBy("parent_id").orderBy(F.collate("name", locale), "id")
+    placed = visible.withColumn("place", F.row_number().over(siblings))
+    above = stored_closure(visible.select("id", "parent_id")).join(placed.select(F.col("id").alias("ancestor_id"), "place"), "ancestor_id")
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), F.format_string("%09d", "place").alias("at"))))
+    paths = above.groupBy(F.col("descendant_id").alias("id")).agg(F.array_join(F.transform(steps, lambda x: x["at"]), "/").alias("path"), F.max("depth").alias("level"))
+    return placed.join(paths, "id").select("id", "parent_id", "level", "place", F.concat(F.repeat(F.lit(INDENT), F.col("level")), "name").alias("label"), "path")
+
+
+_FOLDER = "CASE id % 10 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(FOLDERS)) + " END"
+
+
+@query(f""", n AS (SELECT id, parent_id, concat({_FOLDER}, ' ', id % 97) AS name FROM edges WHERE id NOT IN (SELECT 100 + id FROM categories WHERE deleted_at IS NOT NULL)),
+v AS (SELECT id, CASE WHEN parent_id IN (SELECT id FROM n) THEN parent_id END AS parent_id, name FROM n), w AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY name COLLATE vi, id) AS place FROM v),
+p AS (SELECT *, 0 AS level, printf('%09d', place) AS path FROM w WHERE parent_id IS NULL UNION ALL SELECT w.*, level + 1, p.path || '/' || printf('%09d', w.place) FROM w JOIN p ON w.parent_id = p.id)
+SELECT id, parent_id, level, place, repeat(chr(160), 3 * level) || name AS label, path FROM p""")
 def folder_tree(spark, sf):
-    """Each folder with its sort path and indentation."""
-    c = closure(spark, sf)
-    steps = F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("up"), F.lpad(F.col("ancestor_id").cast("string"), 6, "0").alias("a"))))
-    return c.groupBy(F.col("descendant_id").alias("id")).agg(F.array_join(F.transform(steps, lambda x: x["a"]), "/").alias("path"), F.max("depth").alias("level"))
+    """The folder tree as an indented list in Vietnamese order; folders of deleted ones are roots."""
+    dead = view(spark, sf, "categories").where("deleted_at IS NOT NULL").select((F.col("id") + 100).alias("id"))
+    nodes = edges(spark, sf).join(dead, "id", "left_anti").selectExpr("id", "parent_id", f"concat({_FOLDER}, ' ', id % 97) AS name")
+    return listed_tree(nodes)
 
 
 @query(", dead AS (SELECT 100 + id AS id FROM categories WHERE deleted_at IS NOT NULL) SELECT ancestor_id, descendant_id, depth FROM closure WHERE ancestor_id IN (FROM dead) OR descendant_id IN (FROM dead)")

@@ -123,11 +123,14 @@ def provider_overlay(spark, sf):
     return a.join(b, "slug", "full").select("slug", F.coalesce(F.nullif(F.trim("bu"), F.lit("")), "au").alias("url"))
 
 
-@query("""SELECT (SELECT count(*) FROM articles WHERE deleted_at IS NULL AND category_id NOT IN (SELECT id FROM categories)) AS orphan_articles,
+@query("""SELECT *, orphan_articles + orphan_pages + cycles + lost_points + without_vectors + unsound_vectors = 0 AS healthy FROM (SELECT (SELECT count(*) FROM articles WHERE deleted_at IS NULL AND category_id NOT IN (SELECT id FROM categories)) AS orphan_articles,
  (SELECT count(*) FROM article_pages WHERE article_id NOT IN (SELECT id FROM articles)) AS orphan_pages,
  (SELECT count(*) FROM closure WHERE ancestor_id = descendant_id AND depth > 0) AS cycles,
- (SELECT count(*) FROM points WHERE article_id NOT IN (SELECT id FROM articles WHERE deleted_at IS NULL)) AS lost_points""")
+ (SELECT count(*) FROM points WHERE article_id NOT IN (SELECT id FROM articles WHERE deleted_at IS NULL)) AS lost_points,
+ (SELECT count(*) FROM (SELECT id FROM articles WHERE index_status = 'done' AND index_done_chunks > 0 AND deleted_at IS NULL AND id NOT IN (SELECT article_id FROM points))) AS without_vectors,
+ (SELECT count(*) FROM points WHERE len(embedding) <> 64 OR list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) = 0) AS unsound_vectors)""")
 def consistency_report(spark, sf):
+    """What does not fit together, counted, and whether nothing is."""
     from lodestone.operators.closure import closure
 
     ids = view(spark, sf, "articles").select(F.col("id").alias("article_id"))
@@ -137,12 +140,15 @@ def consistency_report(spark, sf):
         "orphan_pages": article_pages(spark, sf).join(ids, "article_id", "left_anti"),
         "cycles": closure(spark, sf).where("ancestor_id = descendant_id AND depth > 0"),
         "lost_points": view(spark, sf, "points").join(live, "article_id", "left_anti"),
+        "without_vectors": alive(view(spark, sf, "articles")).where("index_status = 'done' AND index_done_chunks > 0").select(F.col("id").alias("article_id")).join(view(spark, sf, "points"), "article_id", "left_anti"),
+        "unsound_vectors": view(spark, sf, "points").where((F.size("embedding") != 64) | F.forall("embedding", lambda x: x == 0)),
     }
     named = None
     for name, df in parts.items():
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
         named = row if named is None else named.union(row)
-    return named.groupBy().agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in parts])
+    counts = named.groupBy().agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in parts])
+    return counts.withColumn("healthy", sum((F.col(n) for n in parts), F.lit(0)) == 0)
 
 
 @query("SELECT id FROM articles WHERE user_id = 2 AND category_id = 7 AND deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM articles x WHERE x.id IN (7, 37) AND x.user_id <> 2)")

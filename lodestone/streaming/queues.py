@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import backoff
 from lodestone.operators.filters import alive
 from lodestone.registry import query
-from lodestone.views import NOW, table, view
+from lodestone.views import JOB_PAGE, NOW, table, view
 
 LEASE = 900
 MAX_ATTEMPTS = 10
@@ -142,10 +142,47 @@ def scan_release(spark, sf):
     return view(spark, sf, "job_pages").select("job_id", "page_num", F.when(held, "pending").otherwise(F.col("status")).alias("status"), F.when(held, NOW).otherwise(F.col("next_retry_at")).alias("next_retry_at"))
 
 
-@query("SELECT job_id, page_num, CASE WHEN status = 'processing' THEN 'ocr_done' ELSE status END AS status, CASE WHEN status = 'processing' THEN 0 ELSE attempts END AS attempts FROM job_pages")
+def pages_saved(state: DataFrame, results: DataFrame) -> DataFrame:
+    """Job pages (job_id, page_num, status, attempts, error) after recognition: words, text and mean confidence are kept, the error and the attempts cleared.
+
+    results (job_id, page_num, text, words: array of struct text, conf; status or null). One with a status is a person's edit and
+    keeps it; blank words become none. A result whose page is not there or not being processed is an error.
+    """
+    keys = ["job_id", "page_num"]
+    known = results.select(*keys, F.col("text").alias("_text"), F.filter("words", lambda w: F.btrim(w["text"]) != "").alias("_words"), F.col("status").alias("_status"), F.lit(True).alias("_saved"))
+    both = state.join(known, keys, "full")
+    lost = F.col("_saved") & (F.col("status").isNull() | (F.col("_status").isNull() & (F.col("status") != "processing")))
+    saved = F.when(F.coalesce(lost, F.lit(False)), F.raise_error(F.concat(F.lit("no page to save: "), F.col("job_id").cast("string"), F.lit("/"), F.col("page_num").cast("string"))).cast("boolean")).otherwise(F.coalesce("_saved", F.lit(False)))
+    rows = both.withColumn("_saved", saved)
+    conf = F.try_divide(F.aggregate("_words", F.lit(0.0), lambda s, w: s + w["conf"]), F.size("_words"))
+    return rows.select(
+        *keys,
+        F.when(F.col("_saved"), F.coalesce("_status", F.lit("ocr_done"))).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("_saved"), 0).otherwise(F.col("attempts")).alias("attempts"),
+        F.when(~F.col("_saved"), F.col("error")).alias("error"),
+        F.when(F.col("_saved"), F.col("_text")).alias("text"),
+        F.when(F.col("_saved"), F.transform("_words", lambda w: w["text"])).alias("words"),
+        F.when(F.col("_saved"), F.round(conf, 9)).alias("conf"),
+    )
+
+
+_OCR = "array(struct(concat(l_returnflag, l_linestatus) AS text, l_quantity AS conf), struct(' ' AS text, 1.0 AS conf), struct(concat('p', l_partkey) AS text, l_discount AS conf))"
+
+
+@query("""SELECT job_id, page_num, CASE WHEN hit THEN 'ocr_done' WHEN edited THEN 'edited' ELSE status END AS status, CASE WHEN hit OR edited THEN 0 ELSE attempts END AS attempts, CASE WHEN NOT hit AND NOT edited AND attempts > 5 THEN 'timeout' END AS error,
+ CASE WHEN hit OR edited THEN text END AS text, CASE WHEN hit OR edited THEN [a, b] END AS words, CASE WHEN hit OR edited THEN round((l_quantity + l_discount) / 2, 9) END AS conf
+FROM (SELECT p.*, status = 'processing' AS hit, status = 'failed' AND l_partkey % 2 = 0 AS edited, concat(l_returnflag, ' ', l_partkey) AS text, concat(l_returnflag, l_linestatus) AS a, concat('p', l_partkey) AS b, l_quantity, l_discount
+ FROM (SELECT *, row_number() OVER (PARTITION BY job_id, page_num ORDER BY l_partkey, l_suppkey, l_quantity) AS k FROM (SELECT l_orderkey AS job_id, l_linenumber AS page_num, """ + JOB_PAGE["status"].replace("AS STRING", "AS VARCHAR") + """ AS status, l_suppkey % 11 AS attempts, * FROM lineitem)) p WHERE k = 1)""")
 def scan_page_save(spark, sf):
-    done = F.col("status") == "processing"
-    return view(spark, sf, "job_pages").select("job_id", "page_num", F.when(done, "ocr_done").otherwise(F.col("status")).alias("status"), F.when(done, 0).otherwise(F.col("attempts")).alias("attempts"))
+    """Pages of stored jobs after recognition of those being processed, and after edits of every other failed one; of repeated page numbers the first counts."""
+    first = table(spark, sf, "lineitem").selectExpr("l_orderkey AS job_id", "l_linenumber AS page_num", f"struct(l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag, l_linestatus, {JOB_PAGE['status']} AS status) AS x")
+    pages = first.groupBy("job_id", "page_num").agg(F.min("x").alias("x")).select("job_id", "page_num", "x.*")
+    attempts = F.col("l_suppkey") % 11
+    state = pages.select("job_id", "page_num", "status", attempts.alias("attempts"), F.when(attempts > 5, "timeout").alias("error"))
+    edited = F.expr("status = 'failed' AND l_partkey % 2 = 0")
+    found = pages.where(F.expr("status = 'processing'") | edited)
+    results = found.select("job_id", "page_num", F.concat("l_returnflag", F.lit(" "), "l_partkey").alias("text"), F.expr(_OCR).alias("words"), F.when(edited, "edited").alias("status"))
+    return pages_saved(state, results)
 
 
 @query(f"SELECT id, CASE WHEN status = 'done' AND deleted_at IS NULL THEN {NOW} END AS pushed_at, CASE WHEN status = 'done' AND deleted_at IS NULL THEN {NOW} + 86400 ELSE expires_at END AS expires_at FROM jobs")
@@ -171,10 +208,25 @@ def revoke_family(spark, sf):
     return tokens.join(families, "family_id", "left").select("token_hash", F.when(F.col("revoked_at").isNull() & F.col("hit").isNotNull(), NOW).otherwise(F.col("revoked_at")).alias("revoked_at"))
 
 
-@query("SELECT conversation_id, max(turn) AS last_turn, left(min_by(content, turn), 60) AS title FROM messages GROUP BY 1")
+def touched(conversations: DataFrame, turns: DataFrame) -> DataFrame:
+    """conversations (conversation_id, user_id, scope, last_turn, title) after turns (conversation_id, user_id, turn, content, scope).
+
+    An owner's turns only: the last one counts, the scope is set anew, and the title is the first message's head, but only where there is none.
+    """
+    news = turns.groupBy("conversation_id", "user_id").agg(F.max("turn").alias("_turn"), F.left(F.min_by("content", "turn"), F.lit(60)).alias("_title"), F.max_by("scope", "turn").alias("_scope"))
+    joined = conversations.join(news, ["conversation_id", "user_id"], "left")
+    title = F.when(F.col("title") == "", F.coalesce("_title", "title")).otherwise(F.col("title"))
+    return joined.select("conversation_id", "user_id", F.coalesce("_scope", "scope").alias("scope"), F.greatest("last_turn", "_turn").alias("last_turn"), title.alias("title"))
+
+
+@query("""SELECT c.conversation_id, c.user_id, CASE WHEN mine THEN n.scope ELSE 'all' END AS scope, CASE WHEN mine THEN n.last_turn ELSE 0 END AS last_turn, CASE WHEN c.conversation_id % 3 = 0 THEN 'kept' WHEN mine THEN n.title ELSE '' END AS title
+FROM (SELECT DISTINCT conversation_id, user_id, user_id <> 4 AS mine FROM messages) c JOIN (SELECT conversation_id, max(turn) AS last_turn, left(min_by(content, turn), 60) AS title, 'cat ' || (max(turn) % 4) AS scope FROM messages GROUP BY 1) n USING (conversation_id)""")
 def conversation_touch(spark, sf):
-    """Last turn, and the first message's head as the title."""
-    return view(spark, sf, "messages").groupBy("conversation_id").agg(F.max("turn").alias("last_turn"), F.left(F.min_by("content", "turn"), F.lit(60)).alias("title"))
+    """Stored conversations, every third with a title, after their messages; those of one owner come from another and change nothing."""
+    rows = view(spark, sf, "messages")
+    stored = rows.select("conversation_id", "user_id", F.lit("all").alias("scope"), F.lit(0).cast("long").alias("last_turn"), F.when(F.col("conversation_id") % 3 == 0, "kept").otherwise("").alias("title")).distinct()
+    sent = rows.select("conversation_id", F.when(F.col("user_id") == 4, -1).otherwise(F.col("user_id")).alias("user_id"), "turn", "content", F.concat(F.lit("cat "), F.col("turn") % 4).alias("scope"))
+    return touched(stored, sent)
 
 
 @query("SELECT conversation_id, turn, role FROM messages UNION ALL SELECT conversation_id, max(turn) + k, CASE k WHEN 1 THEN 'user' ELSE 'assistant' END FROM messages, (VALUES (1), (2)) v(k) GROUP BY conversation_id, k")

@@ -210,6 +210,15 @@ def test_closure_depth_and_cycles(spark):
             closure.build_closure(spark.createDataFrame(ring, "id long, parent_id long"))
 
 
+def test_folders_in_vietnamese_order(spark):
+    names = ["b", "đ", "d", "Đa", "a", "ă", "â", "á", "e", "z", "o", "ơ", "ô", "Ab"]
+    nodes = [(i, None, n) for i, n in enumerate(names)] + [(100, 4, "đi"), (101, 4, "du"), (102, 100, "x"), (103, 999, "c")]
+    found = closure.listed_tree(spark.createDataFrame(nodes, "id long, parent_id long, name string")).orderBy("path").collect()
+    assert [r.label.replace(closure.INDENT, "-") for r in found] == ["a", "-du", "-đi", "--x", "á", "Ab", "ă", "â", "b", "c", "d", "đ", "Đa", "e", "o", "ô", "ơ", "z"]
+    with pytest.raises(ValueError):
+        closure.listed_tree(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id long, parent_id long, name string"))
+
+
 def test_closure_follows_its_table(spark, tmp_path):
     """The same folder with other rows gives another closure in the same session."""
     for name, column in (("region", "r_regionkey"), ("nation", "n_nationkey")):
