@@ -177,13 +177,13 @@ def docx_scan(spark, sf):
     return numbered(pages(spark, written(spark, sf, ".docx"), ".docx"))
 
 
-@query(_LINES + " SELECT file, row_number() OVER (PARTITION BY file ORDER BY doc_id) AS seq, text FROM (SELECT file, doc_id, '## Sheet: ' || doc_id || chr(10) || string_agg(CASE WHEN line = '' THEN '| ' || n || ' |' ELSE '| ' || n || ' | ' || line || ' |' END, chr(10) ORDER BY n) AS text FROM t GROUP BY ALL)")
+@query(_LINES + " SELECT file, row_number() OVER (PARTITION BY file ORDER BY doc_id) AS seq, text FROM (SELECT file, doc_id, '## Sheet: ' || doc_id || chr(10) || string_agg(CASE WHEN line = '' THEN '| ' || n || ' |' ELSE '| ' || n || ' | ' || line || ' |' END, chr(10) ORDER BY n) AS text FROM t GROUP BY file, doc_id)")
 def xlsx_scan(spark, sf):
     """The same as work books, a sheet for every document."""
     return numbered(pages(spark, written(spark, sf, ".xlsx"), ".xlsx"))
 
 
-@query(_LINES + """, s AS (SELECT file, doc_id, row_number() OVER (PARTITION BY file ORDER BY doc_id) AS slide, string_agg(line, chr(10) ORDER BY n) FILTER (line <> '') AS text FROM t GROUP BY ALL)
+@query(_LINES + """, g AS (SELECT file, doc_id, string_agg(line, chr(10) ORDER BY n) FILTER (line <> '') AS text FROM t GROUP BY file, doc_id), s AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id) AS slide FROM g)
 SELECT file, row_number() OVER (PARTITION BY file ORDER BY slide) AS seq, '## Slide ' || slide || chr(10) || text AS text FROM s WHERE text IS NOT NULL""")
 def pptx_scan(spark, sf):
     """The same as slides, one for every document; those without a word are left out."""
