@@ -43,7 +43,7 @@ def dot(a: Column, b: Column) -> Column:
 def pieces(docs: DataFrame) -> DataFrame:
     """id, n, sentence, piece of docs (id, text): a piece ends where the distance to the next sentence is above the text's percentile.
 
-    Sentences without words are at no distance from their neighbours.
+    Sentences without words, and those whose words' signs cancel, are at no distance from their neighbours.
     """
     rows = docs.select("id", F.posexplode(sentences(F.col("text"))).alias("n", "sentence"))
     near = F.explode(F.sequence(F.col("n") - BUFFER, F.col("n") + BUFFER)).alias("n")
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame) -> DataFrame:
     vectors = hashed(words, ["id", "n"])
     of = Window.partitionBy("id").orderBy("n")
     following = F.lead("vector").over(of)
-    cosine = dot(F.col("vector"), F.col("next")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("next"), F.col("next")))
+    cosine = F.try_divide(dot(F.col("vector"), F.col("next")), F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("next"), F.col("next"))))
     apart = rows.select("id", "n").join(vectors, ["id", "n"], "left").withColumn("next", following).withColumn("last", F.lead("n").over(of).isNull())
     apart = apart.select("id", "n", F.when(~F.col("last"), F.round(F.coalesce(1 - cosine, F.lit(0.0)), 9)).alias("d"))
     limits = apart.groupBy("id").agg(F.round(F.percentile("d", F.lit(PERCENTILE)), 9).alias("limit"))

@@ -25,3 +25,15 @@ def test_topics_are_told_apart(spark):
         found.setdefault(r.id, []).append(r.chunk)
     assert found[4] == ["One short text."] and found[5] == ["\n\n"] and set(found) == {1, 4, 5}
     assert any(c.startswith("Bond") or "Bond" not in c for c in found[1]) and len(found[1]) >= 2
+
+
+def test_signs_that_cancel_divide_nothing(spark):
+    words = spark.range(4000).select(F.concat(F.lit("w"), "id").alias("word"))
+    found = {}
+    for r in semantic.hashed(words, ["word"]).collect():
+        place = next(i for i, x in enumerate(r.vector) if x)
+        found.setdefault((place, r.vector[place]), r.word)
+    place = next(p for p, sign in found if sign > 0 and (p, -1.0) in found)
+    text = f"{found[place, 1.0]} {found[place, -1.0]}."
+    rows = spark.createDataFrame([(1, f"{text} {text} {text}")], "id int, text string")
+    assert [r.chunk for r in semantic.chunked(rows).collect()] == [f"{text} {text} {text}"]
