@@ -63,7 +63,11 @@ class Bucket(Limit):
 
 
 class Judge(StatefulProcessor):
-    """Holds a user's events until the watermark has passed them; then the limit judges them in order."""
+    """Holds a user's events until the watermark has passed them; then the limit judges them in order.
+
+    A waiting event is put once and is read once it is due; one timer a user stands at the first of them, and when it goes
+    off, all that the watermark has passed is judged, so the calls of state grow with the events.
+    """
 
     def __init__(self, limit: Limit):
         self.limit = limit
@@ -71,29 +75,47 @@ class Judge(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "at long, event_id long", "none boolean")
+        self.first = handle.getValueState("first", "at long")
         self.used = handle.getValueState("used", "x double, y double")
 
+    def wait(self, at: int) -> None:
+        """Sets the timer for what waits from a time on."""
+        self.first.update((at,))
+        self.handle.registerTimer(at // 1000 + 1)  # in milliseconds; events are in microseconds
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        timers = set()
+        least = None
         for batch in rows:
             for at, event in zip(batch["at"].tolist(), batch["event_id"].tolist(), strict=True):
                 self.waiting.updateValue((at, event), (False,))
-                timers.add(at // 1000)
-        for at in timers:
-            self.handle.registerTimer(at + 1)  # in milliseconds; events are in microseconds
+            low = int(batch["at"].min())
+            least = low if least is None else min(least, low)
+        first = self.first.get()
+        if least is not None and (first is None or least < first[0]):
+            self.wait(least)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((at, event) for at, event in self.waiting.keys() if at < passed)
-        state, rows = self.used.get() if self.used.exists() else None, []
-        state = None if state is None else tuple(state)
+        passed = timerValues.getCurrentWatermarkInMs()
+        first, state = self.first.get(), self.used.get()
+        due, later = [], []
+        if first is not None and first[0] < passed * 1000:
+            for at, event in self.waiting.keys():
+                (due if at < passed * 1000 else later).append((at, event))
+            due.sort()
+            if later:
+                for event in due:
+                    self.waiting.removeKey(event)
+                self.wait(min(later)[0])
+            else:
+                self.waiting.clear()
+                self.first.clear()
+        rows = []
         for at, event in due:
             state, allowed = self.limit.judge(state, at / 1e6)
             rows.append((event, key[0], at / 1e6, allowed))
-            self.waiting.removeKey((at, event))
         over = None if state is None else int(self.limit.forgotten(state) * 1000) + 2
-        if over is not None and over <= timerValues.getCurrentWatermarkInMs() and not any(True for _ in self.waiting.keys()):
+        if over is not None and over <= passed and not later and (due or first is None):
             self.used.clear()
         elif due:
             self.used.update(tuple(map(float, state)))

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,38 @@ def test_disorder_of_files(spark, tmp_path):
     for rows in ([(10, 1, 1), (50, 2, 1)], [(45, 3, 1), (90, 4, 1)], [(20, 5, 1)]):
         write(spark, rows, f"{tmp_path}/in")
     assert limits.disorder(spark.read.parquet(f"{tmp_path}/in")) in (72, 32, 47, 7)  # files written in one second go by name
+
+
+def test_one_timer_judges_all_that_is_due():
+    class Map(dict):
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        def clear(self):
+            self.held = None
+
+    judge, timers = limits.Judge(limits.FixedWindow(3, 60.0)), []
+    handle = type("Handle", (), {"getMapState": lambda *_: Map(), "getValueState": lambda *_: Value(), "registerTimer": lambda _, t: timers.append(t)})()
+    judge.init(handle)
+    at = lambda t: type("Time", (), {"getCurrentWatermarkInMs": lambda _: t})()
+    events = [(i * 1_000_000, i) for i in range(200)]
+    list(judge.handleInputRows((7,), iter([pd.DataFrame(events[::-1], columns=["at", "event_id"])]), at(0)))
+    assert timers == [1]  # one, not one an event
+    first = list(judge.handleExpiredTimer((7,), at(100_500), None))
+    assert [len(x) for x in first] == [101] and len(judge.waiting) == 99 and timers[1:] == [101_001, 120_002]
+    rest = list(judge.handleExpiredTimer((7,), at(10**6), None))
+    found = {r.event_id: r.allowed for x in first + rest for r in x.itertuples()}
+    assert found == plain(limits.FixedWindow(3, 60.0), [(a / 1e6, e, 7) for a, e in events])
+    assert not judge.waiting and judge.used.get() is None and judge.first.get() is None
