@@ -1,6 +1,6 @@
 """Pages of office and text files as a data source, in batches and as a stream, and files written from a stored table.
 
-`spark.read.format("lodestone_pages").option("extension", ".docx").load(path)` has one partition a file; as a stream its
+`spark.read.format("lodestone_pages").option("extension", ".docx").load(path)` reads files in groups of some size; as a stream its
 offset is the time and path of the last file that was taken, so files that arrive later are read once each. Paths are those that
 pyarrow opens; readers.read_pages reads others through Spark.
 """
@@ -24,6 +24,8 @@ from lodestone.sources.sinks import folder
 from lodestone.views import table
 
 GROUP = 20  # documents of one file
+TOGETHER = 8 << 20  # bytes of files that one task reads
+LEAST = 64  # tasks, where there are as many files
 PIECE = 4096  # bytes of a text piece in the query
 PARSERS: dict[str, Callable[[bytes], list[str]]] = {".docx": docx_text, ".xlsx": xlsx_text, ".pptx": pptx_text}
 
@@ -35,8 +37,8 @@ def store_of(uri: str):
 
 
 @dataclass
-class File(InputPartition):
-    path: str
+class Group(InputPartition):
+    paths: list[str]
 
 
 class Files:
@@ -47,23 +49,38 @@ class Files:
         if self.extension not in PARSERS:
             raise ValueError(f"no reader for {self.extension}")
 
-    def listed(self) -> list[tuple[int, str]]:
+    def listed(self) -> list[tuple[int, str, int]]:
+        """Time, path and size of each file, in that order."""
         from pyarrow import fs
 
         store, at = store_of(self.path)
         found = store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
-        return sorted((f.mtime_ns or 0, f.path) for f in found if f.is_file and f.path.lower().endswith(self.extension))
+        return sorted((f.mtime_ns or 0, f.path, f.size or 0) for f in found if f.is_file and f.path.lower().endswith(self.extension))
 
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         store, _ = store_of(self.path)
-        with store.open_input_stream(partition.path) as f:
-            pages = PARSERS[self.extension](f.read())
-        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(pages), pa.string()), pa.array(range(1, len(pages) + 1), pa.int32()), pa.array(pages, pa.string())], names=["path", "seq", "text"])
+        for path in partition.paths:
+            with store.open_input_stream(path) as f:
+                pages = PARSERS[self.extension](f.read())
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(pages), pa.string()), pa.array(range(1, len(pages) + 1), pa.int32()), pa.array(pages, pa.string())], names=["path", "seq", "text"])
+
+
+def groups(files: list[tuple[int, str, int]]) -> list[Group]:
+    """Files in partitions of TOGETHER bytes at most, but of no more than a LEAST-th of all; a larger file is one of its own."""
+    most = min(TOGETHER, sum(size for *_, size in files) // LEAST)
+    out, held = [], 0
+    for _, path, size in files:
+        if not out or held + size > most:
+            out.append(Group([]))
+            held = 0
+        out[-1].paths.append(path)
+        held += size
+    return out
 
 
 class BatchReader(Files, DataSourceReader):
-    def partitions(self) -> list[File]:
-        return [File(path) for _, path in self.listed()]
+    def partitions(self) -> list[Group]:
+        return groups(self.listed())
 
 
 class StreamReader(Files, DataSourceStreamReader):
@@ -71,12 +88,12 @@ class StreamReader(Files, DataSourceStreamReader):
         return {"time": -1, "path": ""}
 
     def latestOffset(self) -> dict:
-        time, path = (self.listed() or [(-1, "")])[-1]
+        time, path, _ = (self.listed() or [(-1, "", 0)])[-1]
         return {"time": time, "path": path}
 
-    def partitions(self, start: dict, end: dict) -> list[File]:
+    def partitions(self, start: dict, end: dict) -> list[Group]:
         low, high = ((x["time"], x["path"]) for x in (start, end))
-        return [File(f[1]) for f in self.listed() if low < f <= high]
+        return groups([f for f in self.listed() if low < f[:2] <= high])
 
 
 class PagesSource(DataSource):

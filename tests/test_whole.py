@@ -43,3 +43,41 @@ def test_streams_read_tables_of_many_files(spark, tmp_path):
         assert sum(r.n for r in get("heartbeat_state")) == sum(r.n for r in get("tumbling_window")) == len(stored)
         assert sum(r.n for r in get("sliding_window")) == 2 * len(stored)
         assert all({r.event_id for r in get(x)} == stored.keys() for x in ("rate_fixed_window", "token_bucket"))
+
+
+def test_chunks_leave_in_slices():
+    import pyarrow as pa
+
+    from lodestone.operators import chunking
+
+    texts = ["word " * 100_000, None, "", "a b", "end " * 100_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["id", "text"])
+    slices = list(chunking.chunker(1000, 200, chunking.PLAIN)(iter([batch] * 4)))
+    assert len(slices) == 4 and {b.num_columns for b in slices} == {3}
+    many = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([texts[0]] * 8)], names=["id", "text"])
+    slices = list(chunking.chunker(1000, 200, chunking.PLAIN)(iter([many])))
+    assert len(slices) >= 4 and max(sum(map(len, b.column(2).to_pylist())) for b in slices) < 2 * chunking.SLICE
+    assert [(r["id"], r["number"], r["chunk"]) for b in slices for r in b.to_pylist()] == [(i, n, c) for i in range(8) for n, c in enumerate(chunking.recursive_chunks(texts[0], 1000, 200, chunking.PLAIN))]
+
+
+def test_vectors_meet_centres_in_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import vectors
+
+    rows = np.random.default_rng(1).normal(size=(2000, 8))
+    centres, seen, angles = vectors.units(rows[:50]), [], vectors.angles
+    monkeypatch.setattr(vectors, "angles", lambda a, b: seen.append(len(a)) or angles(a, b))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([0] * 2000), pa.array(rows.tolist())], names=["id", "scope", "vector"])
+    found = [c for b in vectors.placed(centres)(iter([batch])) for c in b.column(3).to_pylist()]
+    assert found == angles(vectors.units(rows), centres).argmin(axis=1).tolist() and max(seen) <= 512
+
+
+def test_small_files_share_a_task():
+    from lodestone.sources import pages
+
+    files = [(i, f"f{i}", 1000) for i in range(6400)] + [(7000, "large", 100_000_000)]
+    found = pages.groups(files)
+    assert [p for g in found for p in g.paths] == [f for _, f, _ in files] and 2 <= len(found) < 100
+    assert pages.groups([]) == [] and len(pages.groups(files[:64])) == 64
