@@ -1,14 +1,18 @@
 """Headings, blocks and chunks of texts, and the pages they come from.
 
-Headings and blocks are native expressions. Recursive chunking is a small fold inside an Arrow UDF, exploded
-by Spark; page cuts are relational.
+Headings and blocks are native expressions. Recursive chunking is a small fold in Arrow batches; page cuts
+are relational.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lodestone.operators.windows import carried
 from lodestone.registry import query
@@ -82,16 +86,45 @@ PLAIN = ["\n\n", "\n", " ", ""]
 VIETNAMESE = ["\n\n", "\n", "…", "...", ".", "?", "!", ";", ":", " ", ""]
 
 
+SLICE = 1 << 20  # characters of chunks that leave a task at once
+
+
 def chunker(size: int, overlap: int, separators: list[str]):
-    @F.pandas_udf("array<string>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: recursive_chunks(t, size, overlap, separators))
+    """Of batches whose last column is a text: the other columns, number and text of each chunk. A text is cut at a time, and chunks leave in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.columns[:-1], batch.columns[-1]
+            rows, numbers, out, held = [], [], [], 0
+
+            def chunks_of(rows, numbers, out, keys=keys, names=(*batch.schema.names[:-1], "number", "chunk")):
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(numbers, pa.int32()), pa.array(out, pa.string())], names=list(names))
+
+            for row in range(batch.num_rows):
+                found = recursive_chunks(texts[row].as_py(), size, overlap, separators)
+                rows += [row] * len(found)
+                numbers += range(len(found))
+                out += found
+                held += sum(map(len, found))
+                if held > SLICE:
+                    yield chunks_of(rows, numbers, out)
+                    rows, numbers, out, held = [], [], [], 0
+            if out:
+                yield chunks_of(rows, numbers, out)
 
     return run
 
 
+def cut(rows: DataFrame, text: str, number: str, separators: list[str], size: int, overlap: int) -> DataFrame:
+    """rows with the chunks of a text in its place: their number and chunk."""
+    keys = [c for c in rows.columns if c != text]
+    schema = StructType([*(rows.schema[c] for c in keys), StructField("number", IntegerType()), StructField("chunk", StringType())])
+    return rows.select(*keys, text).mapInArrow(chunker(size, overlap, separators), schema).withColumnRenamed("number", number)
+
+
 def chunked(docs: DataFrame, separators: list[str], size: int = 1000, overlap: int = 200, id_col: str = "doc_id") -> DataFrame:
-    return docs.select(id_col, F.posexplode(chunker(size, overlap, separators)("text")).alias("chunk_index", "chunk"))
+    return cut(docs.select(id_col, "text"), "text", "chunk_index", separators, size, overlap)
 
 
 @query()
@@ -107,7 +140,7 @@ def chunk_recursive_vi(spark, sf):
 def chunked_blocks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Blocks of docs (id, text) chunked on their own; each chunk is headed by its section."""
     rows = with_offsets(docs).withColumn("title", heading_title(F.col("block")))
-    pieces = rows.select("id", "n", "title", F.posexplode(chunker(size, overlap, PLAIN)("block")).alias("i", "chunk"))
+    pieces = cut(rows.select("id", "n", "title", "block"), "block", "i", PLAIN, size, overlap)
     return pieces.select("id", "n", "i", F.concat(F.when(F.col("title") == "", "").otherwise(F.concat(F.lit("["), "title", F.lit("]\n"))), "chunk").alias("chunk"))
 
 
@@ -202,7 +235,7 @@ def index_article(spark, sf):
     from lodestone.functions.text import clean_lines, point_id
 
     pages = article_pages(spark, sf).select("article_id", "seq", clean_lines(F.col("text")).alias("text")).where("text <> ''")
-    pieces = pages.select("article_id", "seq", F.posexplode(chunker(1000, 200, PLAIN)("text")).alias("i", "chunk"))
+    pieces = cut(pages, "text", "i", PLAIN, 1000, 200)
     numbered = pieces.withColumn("chunk_index", F.row_number().over(Window.partitionBy("article_id").orderBy("seq", "i")) - 1)
     rows = with_sections(numbered)
     return rows.select("article_id", "chunk_index", "seq", "section", point_id(F.col("article_id"), F.col("chunk_index")).alias("point_id"), F.concat(F.when(F.col("section") == "", "").otherwise(F.concat(F.lit("["), "section", F.lit("]\n"))), "chunk").alias("text"))
