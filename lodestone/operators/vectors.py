@@ -27,6 +27,7 @@ MOST_CELLS = 1024
 ROUNDS = 12
 TILE = 1024
 BLOCK = 256  # queries that meet a tile at once
+SLICE = 512  # rows of a batch that meet the centres at once
 SLACK = 1e-6  # of angles and bounds, above the rounding of single precision
 TILES = "cell int, n int, low double, high double, ids binary, scopes binary, codes binary, scales binary, errors binary, vectors binary"
 HITS = "query long, id long, score double"
@@ -43,6 +44,13 @@ def usable(column: pa.Array, size: int | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, np.int64), np.array(rows) if rows else np.empty((0, size or 1))
 
 
+def slices(batches):
+    """The batches in slices, so that a task's arrays do not grow with cells and batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def units(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -76,7 +84,7 @@ def placed(centres: np.ndarray):
     """Each usable row's cell and angle to its centre."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at, rows = usable(batch.column(2), centres.shape[1])
             if len(at):
                 found = angles(units(rows), centres)
@@ -97,7 +105,7 @@ def packed(batches):
         binary = [np.array(ids, np.int64), np.array([-1 if s is None else s for s in scopes], np.int64), codes, scale, error, rows]
         return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([min(angle)]), pa.array([max(angle)]), *(pa.array([x.tobytes()], pa.binary()) for x in binary)], names=[x.split()[0] for x in TILES.split(", ")])
 
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and (row[3] != current or len(held) == TILE):
                 yield out()
@@ -126,7 +134,7 @@ def blocks_of(centres: np.ndarray, bounds: np.ndarray, k: int, first: bool):
             ids, scores, vectors, angle = zip(*groups.pop(cell), strict=True)
             return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array([np.array(x).tobytes()], pa.binary()) for x in (np.array(ids, np.int64), np.array(scores, float), np.array(vectors, float), np.array(angle, float)))], names=["cell", "queries", "to_beat", "directions", "away"])
 
-        for batch in batches:
+        for batch in slices(batches):
             at, rows = usable(batch.column(1), centres.shape[1])
             if not len(at):
                 continue
@@ -134,7 +142,7 @@ def blocks_of(centres: np.ndarray, bounds: np.ndarray, k: int, first: bool):
             found = angles(unit, centres)
             ids, beat = batch.column(0).to_numpy(zero_copy_only=False)[at], batch.column(2).to_numpy(zero_copy_only=False)[at]
             for i in range(len(at)):
-                near = nearest(found[i])
+                near, own = nearest(found[i]), unit[i].copy()  # a view would keep its whole slice
                 if not first:
                     least = np.maximum(0, np.maximum(found[i] - high, low - found[i]))
                     open_ = (n > 0) & (np.cos(np.minimum(np.pi, least)) >= beat[i] - SLACK)
@@ -142,7 +150,7 @@ def blocks_of(centres: np.ndarray, bounds: np.ndarray, k: int, first: bool):
                     near = np.flatnonzero(open_)
                 for cell in near.tolist():
                     group = groups.setdefault(cell, [])
-                    group.append((ids[i], beat[i], unit[i], found[i][cell]))
+                    group.append((ids[i], beat[i], own, found[i, cell]))
                     if len(group) == BLOCK:
                         yield out(cell)
         for cell in list(groups):
@@ -156,7 +164,8 @@ def looked_up(k: int, scopes: list[int] | None):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {name: x[i].as_buffer() if pa.types.is_binary(x.type) else x[i].as_py() for name, x in zip(batch.schema.names, batch.columns, strict=True)}
                 ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["scopes"], np.int64)
                 vectors = np.frombuffer(row["vectors"], float).reshape(len(ids), -1)
                 codes = np.frombuffer(row["codes"], np.int8).reshape(len(ids), -1).astype(np.float32)
