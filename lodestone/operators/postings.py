@@ -2,8 +2,8 @@
 
 Postings lie in buckets by term, sorted by term and id, so a question reads its terms' buckets and of these the pages that can hold
 its terms. The index follows its table by content: of each id a digest of its texts is kept, only ids with a new digest are
-split into words again, and postings of an earlier state are told from living ones by their generation. Building sorts by range, so a
-frequent term is spread over tasks by id.
+split into words again, and postings of an earlier state are told from living ones by their generation. Texts move once, by id, and are split and
+counted where they arrive; a bucket's postings are spread over files by id, so a frequent term is in all of them.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from lodestone.views import table
 
 WORDS = "[\\p{L}\\p{Nd}]+"
 BUCKETS = 64
+PART = 4 << 20  # bytes of text that a task splits and counts
+SPREAD = 256 << 20  # bytes of text for each file of a bucket
 MOST = 3  # mentions of a term that count
 POSTING = "generation int, bucket int, term string, id long, n int"
 LEDGER = "id long, digest decimal(38,0), generation int"
@@ -75,15 +77,20 @@ class Index:
         """
         generation = self.generation + 1
         docs = docs.where("id IS NOT NULL")
-        now = docs.groupBy("id").agg(F.sum(F.xxhash64(F.coalesce("text", F.lit(""))).cast("decimal(38,0)")).alias("digest"))
+        size = F.octet_length(F.coalesce("text", F.lit("")))
+        now = docs.groupBy("id").agg(F.sum(F.xxhash64(F.coalesce("text", F.lit(""))).cast("decimal(38,0)")).alias("digest"), F.sum(size).alias("bytes"))
         old = self.entries()
         fresh = now.join(old, ["id", "digest"], "left_anti").withColumn("generation", F.lit(generation))
         fresh.write.parquet(at := folder(self.spark, "fresh"))
+        held = self.spark.read.schema("bytes long").parquet(at).agg(F.sum("bytes")).first()[0] or 0
         fresh = self.spark.read.schema(LEDGER).parquet(at)
-        words = docs.join(fresh.select("id"), "id", "left_semi").select("id", F.explode(tokens(F.col("text"))).alias("term"))
-        counted = words.groupBy("term", "id").agg(F.least(F.count("*"), F.lit(MOST)).cast("int").alias("n"))
-        rows = counted.select(F.lit(generation).alias("generation"), bucket_of(F.col("term")).alias("bucket"), "term", "id", "n")
-        rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("append").partitionBy("generation", "bucket").parquet(f"{self.path}/postings")
+        whole = docs.join(fresh.select("id"), "id", "left_semi").repartition(1 + held // PART, "id")
+        words = whole.select("id", F.explode(tokens(F.col("text"))).alias("term"))
+        counted = words.groupBy("id", "term").agg(F.least(F.count("*"), F.lit(MOST)).cast("int").alias("n"))
+        spread = F.pmod(F.xxhash64("id"), F.lit(1 + held // SPREAD))
+        rows = counted.select(bucket_of(F.col("term")).alias("bucket"), "term", "id", "n").repartition("bucket", spread).select(F.lit(generation).alias("generation"), "bucket", "term", "id", "n")
+        rows.sortWithinPartitions("generation", "bucket", "term", "id").write.mode("append").partitionBy("generation", "bucket").parquet(f"{self.path}/postings")
+        now = now.drop("bytes")
         living = old.join(now, ["id", "digest"], "left_semi")
         gone = old.join(now, ["id", "digest"], "left_anti")
         gone.select("id", "generation").write.mode("append").parquet(f"{self.path}/dead")

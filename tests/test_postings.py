@@ -108,3 +108,20 @@ def test_empty(spark):
     index = Index(spark, folder(spark, "index"))
     index.extend(frame(spark, []))
     assert tuples(index.best("alpha", 3)[0]) == [] == tuples(index.best("? !", 3)[0])
+
+
+def test_words_are_counted_where_the_texts_are(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def spied(self, path, *args, **kw):
+        plans.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    index = Index(spark, f"file://{tmp_path}/index")
+    index.extend(spark.createDataFrame([(1, "one two two"), (1, "two two"), (2, None), (3, "two")], "id long, text string"))
+    plan = next(p for path, p in plans if path.endswith("/postings"))
+    assert "rangepartitioning" not in plan and "hashpartitioning(term" not in plan  # words moved twice, and a range was sampled first
+    assert sorted(tuple(r) for r in index.postings(["one", "two"]).collect()) == [("one", 1, 1), ("two", 1, 3), ("two", 3, 1)]
