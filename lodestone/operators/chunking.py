@@ -23,7 +23,8 @@ HEADWORDS = "ĐIỀU|Điều|MỤC|Mục|CHƯƠNG|Chương|PHẦN|Phần|BÀI|B
 UPPER = "ĐIỀU|MỤC|CHƯƠNG|PHẦN|BÀI"
 NUMBER = "[IVXLCDM0-9]++"
 #: At a line's start any heading counts; inside a line only capitals with a mark or the end after the number.
-HEADING = rf"(?m)(?<=^[ \t\r>]{{0,40}})(?:{HEADWORDS})\s+{NUMBER}|(?:{UPPER})\s+{NUMBER}(?=\s*(?:[:.)\]-]|\z))"
+#: All headwords begin with one of five letters; other places are left at once, without a look behind.
+HEADING = rf"(?m)(?=[ĐMCPB])(?:(?<=^[ \t\r>]{{0,40}})(?:{HEADWORDS})\s+{NUMBER}|(?:{UPPER})\s+{NUMBER}(?=\s*(?:[:.)\]-]|\z)))"
 MARK = "\x01"
 
 def headings(text: Column) -> Column:

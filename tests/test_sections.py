@@ -44,3 +44,10 @@ def test_spans_and_compiled_text(spark):
     found = {r.section: (r.start_chunk, r.batch, r.text) for r in sections.compiled(named, "m1").collect()}
     assert found == {"Điều 1. One": (1, 0, "Điều 1. One\na\n\nb\n\nc\n\nd\n\ne"), "Điều 2. Two": (8, 0, "Điều 2. Two"), "Mục 3 x": (9, 0, "Mục 3 x\ny")}
     assert {r.section: r.span for r in sections.spanned(sections.starts(named)).collect()} == {"Điều 1. One": 6, "Điều 2. Two": 1, "Mục 3 x": 6}
+
+
+def test_places_without_a_headword_are_left_at_once():
+    from lodestone.operators import chunking
+
+    assert chunking.HEADING.startswith("(?m)(?=[ĐMCPB])")
+    assert {w[0] for w in f"{chunking.HEADWORDS}|{chunking.UPPER}".split("|")} == set("ĐMCPB")
