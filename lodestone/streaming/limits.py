@@ -1,7 +1,7 @@
 """Rate limits on streams that come out of order: events wait in state until the watermark passes them.
 
-Each user's waiting events are state, and an event-time timer stands at each. When the watermark passes a timer,
-what it has passed is judged in order of time, so micro-batches in any order, within the allowed lateness, give what the sorted
+Each user's waiting events are state, and an event-time timer stands at the first. When the watermark passes it,
+all it has passed is judged in order of time, so micro-batches in any order, within the allowed lateness, give what the sorted
 stream gives. A limit's own state goes with a last timer once it would judge a new event as no state does.
 """
 
